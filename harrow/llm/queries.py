@@ -6,8 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harrow.llm import langid
 from harrow.llm.bpe import encode_decode
+from harrow.llm.common import crc_bucket
 from harrow.llm.dedup import exact_duplicates
+from harrow.llm.lm import lm_scores
 from harrow.llm.packing import pack
 from harrow.llm.simhash import near_duplicates
 
@@ -21,6 +24,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents")).drop("row_id")
 
@@ -39,11 +46,21 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(langid.training_rows(docs, crc_bucket("doc_id", 3), 1))
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", (crc_bucket("doc_id", 3) == 1).alias("held_out"), "language.lang_pred", "language.score"
+    )
+
+
 QUERIES = {
     "op1_pack": op1_pack,
+    "op3_lm_score": op3_lm_score,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
+    "op9_language": op9_language,
 }
 
 ORACLE_SQL = {
