@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm import langid
+from harrow.llm import langid, warc
+from harrow.llm.ann import nearest
 from harrow.llm.bpe import encode_decode
-from harrow.llm.common import crc_bucket
+from harrow.llm.common import crc_bucket, shared_dir
 from harrow.llm.dedup import exact_duplicates
 from harrow.llm.lm import lm_scores
 from harrow.llm.packing import pack
 from harrow.llm.simhash import near_duplicates
+from harrow.llm.url_filter import judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +28,14 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+#: Rules of the url query: (host, path) -> verdict.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +44,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents")).drop("row_id")
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select(
@@ -46,6 +63,21 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    warc.register(spark)
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.page_records(_table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(folder)
+    read = spark.read.format("warc").load(folder).where(F.col("record_type").isin("response", "revisit"))
+    response = F.col("record_type") == "response"
+    return read.select(
+        warc.page_of("record_id").alias("page_id"),
+        F.when(response, F.octet_length("payload")).otherwise(F.col("payload_length")).cast("long").alias("payload_bytes"),
+        F.when(response, F.sha1("payload")).otherwise(F.substring("payload_digest", 6, 40)).alias("payload_digest"),
+        "record_type",
+        warc.page_of("refers_to").alias("refers_to"),
+    )
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(langid.training_rows(docs, crc_bucket("doc_id", 3), 1))
@@ -56,14 +88,26 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pack": op1_pack,
+    "op2_url_filter": op2_url_filter,
     "op3_lm_score": op3_lm_score,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_nearest": op5_nearest,
     "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
+    "op8_warc": op8_warc,
     "op9_language": op9_language,
 }
 
 ORACLE_SQL = {
+    "op8_warc": """
+        WITH t AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+        m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d) ELSE page_id END AS keeper FROM t)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest,
+               CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+        FROM m
+    """,
     "op4_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
