@@ -1,5 +1,66 @@
-"""Cleaning pipeline over documents."""
-STAGES = []
-ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""Cleaning pipeline over documents: language, exact copies, near copies, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from harrow.llm import langid
+from harrow.llm.common import shared_dir
+from harrow.llm.dedup import drop_exact_duplicates
+from harrow.llm.packing import pack
+from harrow.llm.simhash import drop_near_duplicates
+
+#: A document stays if the language of most of its letters covers at least this share of them.
+MIN_LANGUAGE_SHARE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters, most of them in one language; the model is learned from the table's own labels."""
+    labelled = langid.identify(docs, langid.train(docs), into="__language")
+    kept = (F.col("__language.lang_pred") != langid.UNKNOWN) & (F.col("__language.score") >= MIN_LANGUAGE_SHARE)
+    return labelled.where(kept).select(*docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return drop_exact_duplicates(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a similarity of 0.8 or more over five-word shingles."""
+    return drop_near_duplicates(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of at most 2048 tokens."""
+    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("packing", packing),
+]
+
+#: Language spans, similarity groups and packing can't be said in SQL; tests hold the stages against brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each one's result but the last is written as Parquet and read again."""
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,6 +13,7 @@ from harrow.llm.ann import nearest
 from harrow.llm.bpe import encode_decode
 from harrow.llm.common import crc_bucket, shared_dir
 from harrow.llm.dedup import exact_duplicates
+from harrow.llm.html_text import extract
 from harrow.llm.lm import lm_scores
 from harrow.llm.packing import pack
 from harrow.llm.simhash import near_duplicates
@@ -28,6 +29,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 #: Rules of the url query: (host, path) -> verdict.
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
@@ -96,6 +101,7 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_warc": op8_warc,
     "op9_language": op9_language,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -71,56 +72,76 @@ def reference_distances(values: np.ndarray) -> np.ndarray:
     return np.bitwise_count(values[:, None] ^ REFERENCES[None, :])
 
 
-def links_within(values: np.ndarray, keys: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs with equal key and Hamming distance of at most ``distance``; ``keys`` are sorted.
+def forest(
+    values: np.ndarray, keys: np.ndarray, distance: int, group: np.ndarray, known: set[tuple[int, int]] | None = None
+) -> list[tuple[int, int]]:
+    """Row pairs with equal key and Hamming distance of at most ``distance`` that connect what is not yet connected.
 
-    Offsets 1, 2, ... are compared for the whole array at once: a pair is discarded if any coordinate of the
-    distance table differs by more than ``distance`` (triangle inequality), and survivors are verified.
+    ``keys`` are sorted; rows of equal ``group`` count as connected; pairs in ``known`` (smaller row first) are left
+    out. Offsets 1, 2, ... are compared for the whole array at once: a pair is discarded if any coordinate of
+    the distance table differs by more than ``distance`` (triangle inequality), and survivors are verified. Only
+    pairs that join two trees are kept, so memory stays in proportion to the rows.
     """
     n = len(values)
     new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     size = np.diff(np.concatenate((new, [n])))
     last = np.repeat(new + size, size)  # end of each row's bucket
-    left, right = [], []
     active = np.flatnonzero(np.arange(n) + 1 < last)
-    table = None
+    if not len(active):
+        return []
+    _, first, place = np.unique(group, return_index=True, return_inverse=True)
+    parent = first[place.reshape(-1)]
+    table = np.zeros((n, len(REFERENCES)), dtype=np.int8)
+    inside = np.flatnonzero(np.repeat(size, size) > 1)
+    for at in range(0, len(inside), 65_536):
+        some = inside[at : at + 65_536]
+        table[some] = reference_distances(values[some])
+    out: list[tuple[int, int]] = []
     step = 1
     while len(active):
-        if table is None:
-            table = np.zeros((n, len(REFERENCES)), dtype=np.int8)
-            inside = np.flatnonzero(np.repeat(size, size) > 1)
-            for at in range(0, len(inside), 65_536):
-                some = inside[at : at + 65_536]
-                table[some] = reference_distances(values[some])
         a, b = active, active + step
+        apart = parent[a] != parent[b]
+        a, b = a[apart], b[apart]
         for column in range(table.shape[1]):
-            near = np.abs(table[a, column] - table[b, column]) <= distance
-            a, b = a[near], b[near]
             if not len(a):
                 break
+            near = np.abs(table[a, column] - table[b, column]) <= distance
+            a, b = a[near], b[near]
         near = np.bitwise_count(values[a] ^ values[b]) <= distance
-        left.append(a[near])
-        right.append(b[near])
+        before = len(out)
+        for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
+            x, y = parent[i], parent[j]
+            while x != parent[x]:
+                x = parent[x]
+            while y != parent[y]:
+                y = parent[y]
+            if x != y and (known is None or (i, j) not in known):
+                parent[max(x, y)] = min(x, y)
+                out.append((i, j))
+        while len(out) > before and not np.array_equal(parent, parent[parent]):
+            parent = parent[parent]
         step += 1
         active = active[active + step < last[active]]
-    empty = np.zeros(0, dtype=np.int64)
-    return np.concatenate([empty, *left]), np.concatenate([empty, *right])
-
-
-def spanning(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of a bucket array that is linked: itself and the first row of its local component."""
-    parent = np.arange(n)
-    while True:  # minimum label hooking with pointer jumping
-        low = np.minimum(parent[left], parent[right])
-        before = parent.copy()
-        np.minimum.at(parent, parent[left], low)
-        np.minimum.at(parent, parent[right], low)
-        while not np.array_equal(parent, parent[parent]):
-            parent = parent[parent]
-        if np.array_equal(before, parent):
-            break
-    moved = np.flatnonzero(parent != np.arange(n))
-    return moved, parent[moved]
+    return out
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows sorted by ``bucket``, cut anew so that none ends inside a bucket."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column("bucket").to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if held and (cut or keys[0] != held[0].column("bucket")[0].as_py()):
+            joined = pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            yield from joined.to_batches()
+            held = []
+        elif cut:
+            yield batch.slice(0, cut)
+        held.append(batch.slice(cut))
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def fingerprint_links(nodes: DataFrame, distance: int = 4, blocks: int = 6) -> DataFrame:
@@ -140,24 +161,13 @@ def fingerprint_links(nodes: DataFrame, distance: int = 4, blocks: int = 6) -> D
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held_values = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def found(keys: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-            left, right = links_within(values.view(np.uint64), keys, distance)
-            if len(left):
-                i, j = spanning(len(values), left, right)
+        for batch in whole_buckets(batches):
+            values = batch.column("fingerprint").to_numpy()
+            found = forest(values.view(np.uint64), batch.column("bucket").to_numpy(), distance, values)
+            if found:
+                i, j = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(values[j]), pa.array(values[i])], schema=schema)
 
-        for batch in batches:
-            keys = np.concatenate((held_keys, batch.column("bucket").to_numpy()))
-            values = np.concatenate((held_values, batch.column("fingerprint").to_numpy()))
-            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last bucket may go on
-            if whole:
-                yield from found(keys[:whole], values[:whole])
-            held_keys, held_values = keys[whole:], values[whole:]
-        if len(held_keys):
-            yield from found(held_keys, held_values)
-
     return dealt.select("bucket", "fingerprint").mapInArrow(run, "a long, b long")
 
 
@@ -211,3 +221,139 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, distance:
     return marked.join(labels, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def sampled_masks(fingerprints_: int, near_bits: int, miss: float, bucket_size: int = 16, seed: int = 11) -> list[int]:
+    """Masks of randomly chosen bits, for buckets of near fingerprints where too many bits may differ for blocks.
+
+    A mask has as many bits as give unrelated fingerprints buckets of about ``bucket_size``; there are as many masks
+    as let a pair that differs in ``near_bits`` bits miss every common bucket with probability ``miss`` at most.
+    """
+    bits = min(BITS - near_bits - 1, max(6, math.ceil(math.log2(max(1, fingerprints_) / bucket_size)) if fingerprints_ > bucket_size else 6))
+    shared = math.prod((BITS - near_bits - i) / (BITS - i) for i in range(bits))
+    tables = max(1, math.ceil(math.log(miss) / math.log1p(-shared)))
+    chosen = np.random.default_rng(seed)
+    return [sum(1 << int(b) for b in chosen.choice(BITS, bits, replace=False)) for _ in range(tables)]
+
+
+def shingle_set(text: str | None, shingle: int) -> set[int]:
+    words = words_of(text)
+    line_of = b" ".join
+    return {xxhash.xxh64_intdigest(line_of(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
+def similar(left: str | None, right: str | None, shingle: int, similarity: float) -> bool:
+    """Jaccard similarity of the sets of word shingles; two texts without words are alike."""
+    a, b = shingle_set(left, shingle), shingle_set(right, shingle)
+    return a == b or len(a & b) >= similarity * len(a | b)
+
+
+def verified_groups(
+    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, sketch: int = 2, distance: int = 12, near_bits: int = 8, miss: float = 0.05
+) -> DataFrame:
+    """row_id, doc_id, component: near-duplicate groups by Jaccard similarity of word shingles, one row per document.
+
+    Candidates are pairs whose fingerprints over ``sketch``-word runs differ in at most ``distance`` bits (an edited
+    word changes few of those) and that share a bucket of sampled bits; the distance table discards, and both
+    whole texts verify. Buckets give forests of unchecked pairs between groups that are still apart, more of them in
+    every round, until none is left; so no candidate pair between different groups stays unchecked, and pairs inside
+    a group are never listed. row_id is monotonically_increasing_id() of ``docs``, which must be a table read from
+    files so that it is the same each time; component is the smallest row_id of the group. Null texts count as
+    empty; all texts without words are one group. An empty table gives no rows.
+    """
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_id"))
+    prints = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("fingerprint", pa.int64())])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[tuple]:
+            for row_id, doc_id, text in rows(batches, "row_id", "doc_id", "text"):
+                yield row_id, doc_id, _signed(simhash(words_of(text), sketch))
+
+        return batched(out(), prints)
+
+    picked = numbered.select("row_id", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = materialise(picked.mapInArrow(mark, "row_id long, doc_id long, fingerprint long"), "sketches")
+    masks = F.array(*(F.lit(_signed(m)) for m in sampled_masks(marked.count(), near_bits, miss)))
+    pair_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def pairs(nodes: DataFrame, forests: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in whole_buckets(batches):
+                node, group, keys = (batch.column(c).to_numpy() for c in ("node", "group", "bucket"))
+                values = batch.column("fingerprint").to_numpy().view(np.uint64)
+                place: dict[int, list[int]] = {}
+                failed = batch.column("failed").to_pylist()
+                wanted = {f for some in failed for f in some or ()}
+                for i, x in enumerate(node.tolist()):
+                    if x in wanted:
+                        place.setdefault(x, []).append(i)
+                known = {(min(i, j), max(i, j)) for i, some in enumerate(failed) for f in some or () for j in place.get(f, ())}
+                for _ in range(forests):
+                    found = forest(values, keys, distance, group, known)
+                    if not found:
+                        break
+                    known.update(found)
+                    i, j = np.array(found).T
+                    a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=pair_schema)
+
+        return (
+            nodes.select("node", "fingerprint", "group", "failed", F.posexplode(masks).alias("band", "mask"))
+            .withColumn("bucket", F.xxhash64("band", F.col("fingerprint").bitwiseAND(F.col("mask"))))
+            .drop("band", "mask")
+            .repartition("bucket")
+            .sortWithinPartitions("bucket", "fingerprint")
+            .mapInArrow(run, "a long, b long")
+            .distinct()
+        )
+
+    checked_schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("alike", pa.bool_())])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[tuple]:
+            for a, b, left, right in rows(batches, "a", "b", "left", "right"):
+                yield a, b, similar(left, right, shingle, similarity)
+
+        return batched(out(), checked_schema)
+
+    texts = numbered.select("row_id", "text")
+    nodes = marked.select(
+        F.col("row_id").alias("node"), "fingerprint", F.col("row_id").alias("group"), F.array().cast("array<long>").alias("failed")
+    )
+    checked: DataFrame | None = None
+    groups: DataFrame | None = None
+    forests = 1
+    while True:
+        found = materialise(pairs(nodes, forests), "candidates")
+        if found.isEmpty():
+            break
+        with_left = found.join(texts.select(F.col("row_id").alias("a"), F.col("text").alias("left")), "a")
+        both = with_left.join(texts.select(F.col("row_id").alias("b"), F.col("text").alias("right")), "b")
+        new = materialise(both.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long, alike boolean"), "verified")
+        checked = new if checked is None else checked.unionAll(new)
+        groups = components(checked.where("alike").select("a", "b"))
+        bad = checked.where(~F.col("alike"))
+        failed = bad.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("failed"))
+        touched = checked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        nodes = materialise(
+            touched.join(marked.select(F.col("row_id").alias("node"), "fingerprint"), "node")
+            .join(groups.withColumnRenamed("component", "group"), "node", "left")
+            .join(failed, "node", "left")
+            .select("node", "fingerprint", F.coalesce("group", "node").alias("group"), F.coalesce("failed", F.array().cast("array<long>")).alias("failed")),
+            "nodes",
+        )
+        forests *= 4
+    if groups is None:
+        return marked.select("row_id", "doc_id", F.col("row_id").alias("component"))
+    named = groups.withColumnRenamed("node", "row_id")
+    return marked.join(named, "row_id", "left").select("row_id", "doc_id", F.coalesce("component", "row_id").alias("component"))
+
+
+def drop_near_duplicates(docs: DataFrame, **options: float) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns as they are: of each of :func:`verified_groups` the smallest doc_id
+    (null last; then the first row)."""
+    groups = verified_groups(docs, **options)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_id"))
+    kept = groups.groupBy("component").agg(F.min_by("row_id", order).alias("__row")).select("__row")
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    return numbered.join(kept, "__row", "left_semi").drop("__row")
