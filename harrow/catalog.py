@@ -1,4 +1,5 @@
 """All queries of the library by name, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from harrow.plans.queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

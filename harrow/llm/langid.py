@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-import zlib
+import uuid
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +36,25 @@ SCRIPTS = sorted({name for _, name in SCRIPT_RANGES})
 
 def script_of(word: str) -> str:
     """Script of most letters of a word; ties go to the one that comes first in the word."""
-    if word.isascii():
+    if word.isascii() or max(word) < "\u0370":
         return "Latin"
     return Counter(SCRIPT_RANGES[bisect_right(_STARTS, ord(c)) - 1][1] for c in word).most_common(1)[0][0]
 
 
-def features(word: str, size: int) -> list[int]:
-    """Hashed character bigrams and trigrams of a lower-case word with a mark at each end, and the word itself."""
-    data = f"<{word}>"
-    grams = [data[i : i + 2] for i in range(len(data) - 1)] + [data[i : i + 3] for i in range(len(data) - 2)] + [data]
-    return [zlib.crc32(g.encode("utf-8", "replace")) % size for g in grams]
+def features(words: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed character bigrams and trigrams of lower-case words with a mark at each end.
+
+    Two arrays of features by position of all words laid end to end (-1 where a word ends), and each word's start.
+    """
+    codes = np.frombuffer(f"<{'><'.join(words)}>".encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    starts = np.cumsum(lengths) - lengths
+    left = np.repeat(starts + lengths, lengths) - np.arange(len(codes))  # characters to the word's end
+    second, third = (np.concatenate((codes[i:], np.zeros(i, np.uint64))) for i in (1, 2))
+    pair = codes * np.uint64(0x9E3779B97F4A7C15) + second * np.uint64(0xC2B2AE3D27D4EB4F)
+    triple = (pair ^ (pair >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + third * np.uint64(0x94D049BB133111EB)
+    hashed = [((h ^ (h >> np.uint64(32))) % np.uint64(size)).astype(np.int64) for h in (pair, triple)]
+    return np.where(left > 1, hashed[0], -1), np.where(left > 2, hashed[1], -1), starts
 
 
 @dataclass
@@ -58,6 +68,21 @@ class LanguageModel:
     weights: np.ndarray  # features x languages
     scripts: dict[str, np.ndarray] = field(default_factory=dict)  # script -> mask of languages
     penalty: float = 12.0
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def __post_init__(self) -> None:
+        self.padded = np.vstack([self.weights, np.zeros((1, len(self.languages)))]).astype(np.float32)  # row -1 for no feature
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Log likelihood of each letter run by language, less the best; scripts that a language isn't written in cost more."""
+        pairs, triples, starts = features(words, len(self.weights))
+        own = np.add.reduceat(self.padded[pairs] + self.padded[triples], starts, axis=0) / 2
+        for name in {script_of(w) for w in words}:
+            mask = self.scripts.get(name)
+            if mask is not None and not mask.all():
+                some = np.array([script_of(w) == name for w in words])
+                own[np.ix_(some, ~mask)] = own[some].min(axis=1, keepdims=True) - 2 * self.penalty
+        return own - own.max(axis=1, keepdims=True)
 
 
 def train(labelled: DataFrame, size: int = 1 << 16, max_documents: int = 20_000, smoothing: float = 0.5, min_script_share: float = 0.01) -> LanguageModel:
@@ -83,8 +108,15 @@ def train(labelled: DataFrame, size: int = 1 << 16, max_documents: int = 20_000,
         sums: dict[str, np.ndarray] = {}
         for lang, words in found.items():
             total = sums[lang] = np.zeros(size + len(SCRIPTS), dtype=np.int64)
+            known = list(words)
+            for at in range(0, len(known), 50_000):
+                part = known[at : at + 50_000]
+                n = np.fromiter((words[w] for w in part), np.int64, len(part))
+                *grams, starts = features(part, size)
+                each = np.repeat(n, np.diff(np.append(starts, len(grams[0]))))
+                for gram in grams:
+                    total[:size] += np.bincount(gram[gram >= 0], each[gram >= 0], size).astype(np.int64)
             for word, n in words.items():
-                np.add.at(total, features(word, size), n)
                 total[size + SCRIPTS.index(script_of(word))] += n * len(word)
         return batched(((lang, int(i), int(v[i])) for lang, v in sums.items() for i in np.flatnonzero(v)), schema)
 
@@ -102,82 +134,106 @@ def train(labelled: DataFrame, size: int = 1 << 16, max_documents: int = 20_000,
 class WordScores(dict):
     """Maps a white-space delimited word to a row of ``scores`` (languages) and ``letters``; bounded memory."""
 
-    def __init__(self, model: LanguageModel, max_words: int = 400_000):
+    def __init__(self, model: LanguageModel, max_words: int = 600_000):
         super().__init__()
         self.model, self.max_words = model, max_words
         self.scores = np.zeros((max_words, len(model.languages)), dtype=np.float32)
-        self.letters = np.zeros(max_words, dtype=np.int64)
-
-    def __missing__(self, word: str) -> int:
-        row = len(self)
-        model, size = self.model, len(self.model.weights)
-        parts = LETTERS.findall(word)
-        score = np.zeros(len(model.languages))
-        for part in parts:
-            wanted = features(part, size)
-            own = model.weights[wanted].sum(axis=0) / 2
-            mask = model.scripts.get(script_of(part))
-            if mask is not None and not mask.all():
-                own = np.where(mask, own, own.min() - 2 * model.penalty)
-            score += own - own.max()
-        self.scores[row] = np.maximum(score, -2 * model.penalty)
-        self.letters[row] = sum(map(len, parts))
-        self[word] = row
-        return row
-
-    def rows_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        scores, letters = [], []
-        for at in range(0, len(words), 50_000):  # room for a part is made before it is looked up
-            part = words[at : at + 50_000]
-            if len(self) + len(part) > self.max_words:
-                self.clear()
-            rows_ = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
+        self.letters = np.zeros(max_words, dtype=np.int32)
+
+    def learn(self, new: list[str]) -> None:
+        """Score words not seen before, all at once; there must be room for them."""
+        first = len(self)
+        self.update(zip(new, range(first, first + len(new)), strict=True))
+        found = [LETTERS.findall(w) for w in new]
+        parts = [p for some in found for p in some]
+        if parts:
+            owner = np.repeat(np.arange(len(new)), np.fromiter(map(len, found), np.int64, len(new)))
+            score = np.zeros((len(new), len(self.model.languages)), dtype=np.float32)
+            np.add.at(score, owner, self.model.word_scores(parts))
+            self.scores[first : first + len(new)] = np.maximum(score, -2 * self.model.penalty)
+            self.letters[first : first + len(new)] = np.bincount(owner, np.fromiter(map(len, parts), np.int64, len(parts)), len(new))
+        else:
+            self.scores[first : first + len(new)] = 0
+            self.letters[first : first + len(new)] = 0
+
+    def of(self, words: list[str], part: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+        """Scores by language and number of letters of each word, looked up in parts that there is always room for."""
+        scores, letters = [np.zeros((0, self.scores.shape[1]), np.float32)], [np.zeros(0, np.int32)]
+        for at in range(0, len(words), part):
+            some = words[at : at + part]
+            rows_ = np.fromiter(map(self.get, some, repeat(-1)), np.int64, len(some))
+            missing = np.flatnonzero(rows_ < 0)
+            if len(missing):
+                new = {some[i] for i in missing.tolist()}
+                if len(self) + len(new) > self.max_words:
+                    self.clear()
+                    new, missing = set(some), np.arange(len(some))
+                self.learn(list(new))
+                rows_[missing] = [self[some[i]] for i in missing.tolist()]
             scores.append(self.scores[rows_])
             letters.append(self.letters[rows_])
         return np.concatenate(scores), np.concatenate(letters)
 
 
+_held: dict[str, WordScores] = {}
+
+
+def word_scores(model: LanguageModel) -> WordScores:
+    """One per Python worker: a model's memory of words serves later tasks of the worker too."""
+    if model.key not in _held:
+        _held.clear()
+        _held[model.key] = WordScores(model)
+    return _held[model.key]
+
+
 def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
     """Language number of each word: the path with the largest sum of scores less ``penalty`` per change (Viterbi)."""
     n, k = scores.shape
     total = scores.sum(axis=0, dtype=np.float64)
     top = int(total.argmax())
+    if np.maximum(scores - scores[:, top : top + 1], 0).sum(axis=0).max() <= penalty / 2:
+        return np.full(n, top)
     lead = np.cumsum(scores - scores[:, top : top + 1], axis=0, dtype=np.float64)
     floor = np.minimum(np.minimum.accumulate(lead, axis=0), 0)
     if (lead - floor).max() <= penalty / 2:  # no stretch gains enough to pay for leaving the best single language
         return np.full(n, top)
-    best = scores[0].astype(np.float64)
-    back = np.empty((n, k), dtype=np.int32)
-    own = np.arange(k)
-    for i in range(1, n):
-        first = best.argmax()
-        stay = best >= best[first] - penalty
-        back[i] = np.where(stay, own, first)
-        best = np.where(stay, best, best[first] - penalty) + scores[i]
-    path = np.empty(n, dtype=np.int64)
-    path[-1] = best.argmax()
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
-    return path
-
-
-def label(text: str | None, known: WordScores) -> tuple[str, float, list[dict]]:
+    sums = [scores[0].tolist()]
+    for row in scores[1:].tolist():
+        best = sums[-1]
+        least = max(best) - penalty
+        sums.append([(b if b >= least else least) + x for b, x in zip(best, row, strict=True)])
+    state = sums[-1].index(max(sums[-1]))
+    path = [state]
+    for best in reversed(sums[:-1]):
+        top_sum = max(best)
+        if best[state] < top_sum - penalty:
+            state = best.index(top_sum)
+        path.append(state)
+    return np.array(path[::-1])
+
+
+def label(words: list[str], scores: np.ndarray, letters: np.ndarray, model: LanguageModel) -> tuple[str, float, list[dict]]:
     """Language of a text, its share of the text's letters, and the labelled spans (first word, words, lang)."""
-    words = (text or "").lower().split()
-    if not words or not known.model.languages:
+    if not model.languages or not letters.any():
         return UNKNOWN, 0.0, []
-    scores, letters = known.rows_of(words)
-    if not letters.any():
-        return UNKNOWN, 0.0, []
-    path = best_path(scores, known.model.penalty)
-    weight = np.bincount(path, letters, len(known.model.languages))
+    path = best_path(scores, model.penalty)
+    weight = np.bincount(path, letters, len(model.languages))
     top = int(weight.argmax())
     cuts = np.flatnonzero(np.diff(path)) + 1
     starts = np.concatenate(([0], cuts)).tolist()
-    spans = [
-        {"first_word": a, "words": b - a, "lang": known.model.languages[path[a]]} for a, b in zip(starts, [*starts[1:], len(words)], strict=True)
-    ]
-    return known.model.languages[top], float(weight[top] / weight.sum()), spans
+    spans = [{"first_word": a, "words": b - a, "lang": model.languages[path[a]]} for a, b in zip(starts, [*starts[1:], len(words)], strict=True)]
+    return model.languages[top], float(weight[top] / weight.sum()), spans
+
+
+def label_texts(texts: list[str | None], known: WordScores) -> Iterator[tuple[str, float, list[dict]]]:
+    """Labels of texts; their words are looked up together."""
+    split = [text.lower().split() if text else [] for text in texts]
+    scores, letters = known.of([w for words in split for w in words])
+    at = 0
+    for words in split:
+        end = at + len(words)
+        yield label(words, scores[at:end], letters[at:end], known.model)
+        at = end
 
 
 SPANS = pa.list_(pa.struct([("first_word", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
@@ -197,14 +253,12 @@ def identify(docs: DataFrame, model: LanguageModel, into: str = "language") -> D
     ddl = f"{into} {LABEL_DDL}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordScores(model)
+        known = word_scores(model)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                found = []
-                for text in batch.column("text"):
-                    lang, score, spans = label(text.as_py(), known)
-                    found.append({"lang_pred": lang, "score": score, "spans": spans})
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                labels = label_texts(batch.column("text").to_pylist(), known)
+                found = [{"lang_pred": lang, "score": score, "spans": spans} for lang, score, spans in labels]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, LABEL)], names=[*batch.schema.names, into])
 
     from pyspark.sql.types import StructType
