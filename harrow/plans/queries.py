@@ -702,9 +702,9 @@ def bundle_gate(spark: SparkSession, d: str) -> DataFrame:
     return H.bundle_issues(spark.sql(f"WITH {BUNDLE} SELECT * FROM r"), known)
 
 
-@query("""WITH raw AS (SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 'Heights' WHEN 1 THEN 'mildew' ELSE 'Lodgings' END AS raw_key, CASE WHEN p_size % 10 = 0 THEN 'n/a' ELSE CAST(p_size % 10 AS STRING) END AS v FROM part)
+@query("""WITH raw AS (SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 'Heights' WHEN 1 THEN 'mildew' ELSE 'Lodgings' END AS raw_key, CASE WHEN p_size % 10 = 0 THEN NULL ELSE CAST(p_size % 10 AS DOUBLE) END AS v FROM part)
     SELECT id, CASE raw_key WHEN 'Heights' THEN 'plant_height' WHEN 'mildew' THEN 'mildew_resistance' ELSE 'lodging' END AS trait,
-        round(CASE raw_key WHEN 'Heights' THEN TRY_CAST(v AS DOUBLE) WHEN 'mildew' THEN greatest(0, least(1, 1 - (TRY_CAST(v AS DOUBLE) - 1) / 8)) ELSE greatest(0, least(1, (TRY_CAST(v AS DOUBLE) - 1) / 8)) END, 4) AS value FROM raw""".replace("WHEN 'mildew' THEN", "WHEN 'mildew' THEN CASE WHEN v <> 'n/a' THEN").replace("/ 8)) ELSE greatest", "/ 8)) END ELSE CASE WHEN v <> 'n/a' THEN greatest").replace("/ 8)) END, 4)", "/ 8)) END END, 4)"))
+        round(CASE WHEN v IS NULL THEN NULL WHEN raw_key = 'Heights' THEN v WHEN raw_key = 'mildew' THEN greatest(0, least(1, 1 - (v - 1) / 8)) ELSE greatest(0, least(1, (v - 1) / 8)) END, 4) AS value FROM raw""")
 def trait_unify(spark: SparkSession, d: str) -> DataFrame:
     """K2: raw measurements under canonical names and scales."""
     size = F.col("p_size")
