@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.llm import langid
-from harrow.llm.common import shared_dir
+from harrow.llm.common import fresh, shared_dir
 from harrow.llm.dedup import drop_exact_duplicates
 from harrow.llm.packing import pack
 from harrow.llm.simhash import drop_near_duplicates
@@ -24,8 +24,9 @@ MIN_LANGUAGE_SHARE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters, most of them in one language; the model is learned from the table's own labels."""
-    labelled = langid.identify(docs, langid.train(docs), into="__language")
-    kept = (F.col("__language.lang_pred") != langid.UNKNOWN) & (F.col("__language.score") >= MIN_LANGUAGE_SHARE)
+    into = fresh(docs, "__language")
+    labelled = langid.identify(docs, langid.train(docs), into)
+    kept = (F.col(f"{into}.lang_pred") != langid.UNKNOWN) & (F.col(f"{into}.score") >= MIN_LANGUAGE_SHARE)
     return labelled.where(kept).select(*docs.columns)
 
 

@@ -40,6 +40,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have yet, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written once with a number for each row, and that column's name.
+
+    Numbers of a plan that is run twice may differ, as lost executors change how files are split; a written table's don't.
+    """
+    row = fresh(df, "__row")
+    return materialise(df.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """doc_id as long and text as string, null text as empty; all other columns go."""
     return docs.select(

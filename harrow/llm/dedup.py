@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import BLANKS, materialise
+from harrow.llm.common import BLANKS, materialise, numbered
 
 #: Runs that one node merges in a round.
 FAN_IN = 8
@@ -26,13 +26,13 @@ def _merge_runs(level: DataFrame, fan_in: int) -> DataFrame:
     )
 
 
-def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fan_in: int = FAN_IN) -> DataFrame:
+def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fan_in: int = FAN_IN, row_id: str | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, row_id.
 
     Texts are equal when identical after deleting white space (space, 0x09-0x0D); null counts as empty, so
     null, empty and blank texts form one group. Of equal texts the row stays that has most code points in the
-    original text, then the smallest doc_id (null last), then the first row by position: of repeated rows
-    exactly one stays. An empty table gives no rows; other columns are left out; whole texts count.
+    original text, then the smallest doc_id (null last), then the first row by position (or by the column ``row_id``):
+    of repeated rows exactly one stays. An empty table gives no rows; other columns are left out; whole texts count.
 
     Each input partition makes a run of distinct digests with the members of each. Runs merge ``fan_in`` at a
     time in rounds until one logical run is left (still spread over tasks by digest); then the verdicts go back
@@ -46,7 +46,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
         F.length(whole).alias("n_chars"),
         bare.alias("bare"),
         F.spark_partition_id().cast("long").alias("run"),
-        F.monotonically_increasing_id().alias("row_id"),
+        (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("row_id"),
     ).select(
         "doc_id", "run", "row_id", F.sha2("bare", 256).alias("digest"), F.xxhash64("bare").alias("check"),
         F.octet_length("bare").alias("norm_length"), "n_chars",
@@ -84,6 +84,6 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they are; same rules as :func:`exact_duplicates`."""
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    kept = exact_duplicates(docs).where("kept").select(F.col("row_id").alias("__row"))
-    return numbered.join(kept, "__row", "left_semi").drop("__row")
+    rows, row = numbered(docs)
+    kept = exact_duplicates(rows, row_id=row).where("kept").select(F.col("row_id").alias(row))
+    return rows.join(kept, row, "left_semi").drop(row)

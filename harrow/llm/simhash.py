@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import batched, documents, materialise, rows, words_of
+from harrow.llm.common import batched, documents, materialise, numbered, rows, words_of
 
 BITS = 64
 #: Reference fingerprints: any fixed, well spread values do; these come from a rule, the multiples of an odd constant.
@@ -249,7 +249,7 @@ def similar(left: str | None, right: str | None, shingle: int, similarity: float
 
 
 def verified_groups(
-    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, sketch: int = 2, distance: int = 12, near_bits: int = 8, miss: float = 0.05
+    docs: DataFrame, row: str, similarity: float = 0.8, shingle: int = 5, sketch: int = 2, distance: int = 12, near_bits: int = 8, miss: float = 0.05
 ) -> DataFrame:
     """row_id, doc_id, component: near-duplicate groups by Jaccard similarity of word shingles, one row per document.
 
@@ -257,11 +257,10 @@ def verified_groups(
     word changes few of those) and that share a bucket of sampled bits; the distance table discards, and both
     whole texts verify. Buckets give forests of unchecked pairs between groups that are still apart, more of them in
     every round, until none is left; so no candidate pair between different groups stays unchecked, and pairs inside
-    a group are never listed. row_id is monotonically_increasing_id() of ``docs``, which must be a table read from
-    files so that it is the same each time; component is the smallest row_id of the group. Null texts count as
+    a group are never listed. row_id is the column ``row`` of ``docs``, a written number of each row; component is the smallest row_id of the group. Null texts count as
     empty; all texts without words are one group. An empty table gives no rows.
     """
-    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_id"))
+    whole = docs.select(F.col(row).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("fingerprint", pa.int64())])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,8 +270,7 @@ def verified_groups(
 
         return batched(out(), prints)
 
-    picked = numbered.select("row_id", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = materialise(picked.mapInArrow(mark, "row_id long, doc_id long, fingerprint long"), "sketches")
+    marked = materialise(whole.mapInArrow(mark, "row_id long, doc_id long, fingerprint long"), "sketches")
     masks = F.array(*(F.lit(_signed(m)) for m in sampled_masks(marked.count(), near_bits, miss)))
     pair_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -316,7 +314,7 @@ def verified_groups(
 
         return batched(out(), checked_schema)
 
-    texts = numbered.select("row_id", "text")
+    texts = whole.select("row_id", "text")
     nodes = marked.select(
         F.col("row_id").alias("node"), "fingerprint", F.col("row_id").alias("group"), F.array().cast("array<long>").alias("failed")
     )
@@ -352,8 +350,8 @@ def verified_groups(
 def drop_near_duplicates(docs: DataFrame, **options: float) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they are: of each of :func:`verified_groups` the smallest doc_id
     (null last; then the first row)."""
-    groups = verified_groups(docs, **options)
+    whole, row = numbered(docs)
+    groups = verified_groups(whole, row, **options)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_id"))
-    kept = groups.groupBy("component").agg(F.min_by("row_id", order).alias("__row")).select("__row")
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(kept, "__row", "left_semi").drop("__row")
+    kept = groups.groupBy("component").agg(F.min_by("row_id", order).alias(row)).select(row)
+    return whole.join(kept, row, "left_semi").drop(row)
