@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import crc_bucket, documents, words_of
+from harrow.llm.common import crc_bucket, documents, mixed, words_of
 
 END, START = 0, 1  # local numbers of the end of a text, and of the state before its first token
 #: Keys of the two marks; words never contain the line feed that keeps these apart from them.
@@ -42,16 +42,6 @@ def unplaned(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(">u8").reshape(-1).astype(np.uint64)
 
 
-def mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """64-bit keys of pairs from the keys of their parts (the finisher of a well-known 64-bit hash)."""
-    x = first * np.uint64(0x9E3779B97F4A7C15) + second
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Block:
     """The tokens of a block of documents as local numbers, and its distinct unigrams and bigrams with sorted keys."""
 

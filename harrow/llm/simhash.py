@@ -12,11 +12,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import batched, documents, materialise, numbered, rows, words_of
+from harrow.llm.common import batched, documents, materialise, mixed, numbered, rows, words_of
 
 BITS = 64
 #: Reference fingerprints: any fixed, well spread values do; these come from a rule, the multiples of an odd constant.
-REFERENCES = (np.arange(1, 33, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.arange(1, 33, dtype=np.uint64) << np.uint64(29))
+#: 32 references of up to 256 bits.
+REFERENCES = mixed(np.arange(128, dtype=np.uint64), np.uint64(1)).reshape(32, 4)
 
 
 def simhash(words: list[bytes], shingle: int = 4, seed: int = 42) -> int:
@@ -67,9 +68,31 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints; the last axis holds the 64-bit words of one fingerprint."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
+
+
 def reference_distances(values: np.ndarray) -> np.ndarray:
     """The distance table: a row per fingerprint, a column per reference fingerprint."""
-    return np.bitwise_count(values[:, None] ^ REFERENCES[None, :])
+    return distances(values[:, None, :], REFERENCES[None, :, : values.shape[1]])
+
+
+def _surviving(a: np.ndarray, b: np.ndarray, values: np.ndarray, table: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows within ``distance``: those are discarded of which any coordinate of the table differs by more
+    (triangle inequality), the others are verified."""
+    for column in range(table.shape[1]):
+        if not len(a):
+            return a, b
+        near = np.abs(table[a, column] - table[b, column]) <= distance
+        a, b = a[near], b[near]
+    near = distances(values[a], values[b]) <= distance
+    return a[near], b[near]
+
+
+#: Neighbours that every row of a bucket is compared with before only the smaller groups of the bucket are.
+NEIGHBOURS = 8
+PAIRS_AT_ONCE = 1 << 20
 
 
 def forest(
@@ -77,51 +100,64 @@ def forest(
 ) -> list[tuple[int, int]]:
     """Row pairs with equal key and Hamming distance of at most ``distance`` that connect what is not yet connected.
 
-    ``keys`` are sorted; rows of equal ``group`` count as connected; pairs in ``known`` (smaller row first) are left
-    out. Offsets 1, 2, ... are compared for the whole array at once: a pair is discarded if any coordinate of
-    the distance table differs by more than ``distance`` (triangle inequality), and survivors are verified. Only
-    pairs that join two trees are kept, so memory stays in proportion to the rows.
+    ``values``: a row of 64-bit words per fingerprint. ``keys`` are sorted; rows of equal ``group`` count as connected;
+    pairs in ``known`` (smaller row first) are left out. First all rows are compared with their next neighbours in
+    the bucket, then, as pairs inside a bucket's largest group can add nothing, every other row with the whole bucket.
+    Only pairs that join two trees are kept, so memory stays in proportion to the rows.
     """
     n = len(values)
     new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     size = np.diff(np.concatenate((new, [n])))
-    last = np.repeat(new + size, size)  # end of each row's bucket
-    active = np.flatnonzero(np.arange(n) + 1 < last)
-    if not len(active):
+    end = np.repeat(new + size, size)  # of each row's bucket
+    inside = np.flatnonzero(np.repeat(size, size) > 1)
+    if not len(inside):
         return []
     _, first, place = np.unique(group, return_index=True, return_inverse=True)
     parent = first[place.reshape(-1)]
-    table = np.zeros((n, len(REFERENCES)), dtype=np.int8)
-    inside = np.flatnonzero(np.repeat(size, size) > 1)
-    for at in range(0, len(inside), 65_536):
-        some = inside[at : at + 65_536]
+    table = np.zeros((n, len(REFERENCES)), dtype=np.int16)
+    for at in range(0, len(inside), 16_384):
+        some = inside[at : at + 16_384]
         table[some] = reference_distances(values[some])
     out: list[tuple[int, int]] = []
-    step = 1
-    while len(active):
-        a, b = active, active + step
+
+    def root(i: int) -> int:
+        while i != parent[i]:
+            i = parent[i]
+        return int(i)
+
+    def roots() -> np.ndarray:
+        nonlocal parent
+        while not np.array_equal(parent, above := parent[parent]):
+            parent = above
+        return parent
+
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
         apart = parent[a] != parent[b]
-        a, b = a[apart], b[apart]
-        for column in range(table.shape[1]):
-            if not len(a):
-                break
-            near = np.abs(table[a, column] - table[b, column]) <= distance
-            a, b = a[near], b[near]
-        near = np.bitwise_count(values[a] ^ values[b]) <= distance
+        a, b = _surviving(a[apart], b[apart], values, table, distance)
         before = len(out)
-        for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
-            x, y = parent[i], parent[j]
-            while x != parent[x]:
-                x = parent[x]
-            while y != parent[y]:
-                y = parent[y]
+        for i, j in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True):
+            x, y = root(i), root(j)
             if x != y and (known is None or (i, j) not in known):
                 parent[max(x, y)] = min(x, y)
                 out.append((i, j))
-        while len(out) > before and not np.array_equal(parent, parent[parent]):
-            parent = parent[parent]
-        step += 1
-        active = active[active + step < last[active]]
+        if len(out) > before:
+            roots()
+
+    for step in range(1, NEIGHBOURS + 1):
+        a = inside[inside + step < end[inside]]
+        if not len(a):
+            return out
+        compare(a, a + step)
+    large = size > NEIGHBOURS + 1
+    for start, stop in zip(new[large].tolist(), (new + size)[large].tolist(), strict=True):
+        found, share = np.unique(parent[start:stop], return_counts=True)
+        others = start + np.flatnonzero(parent[start:stop] != found[share.argmax()]) if len(found) > 1 else []
+        whole = np.arange(start, stop)
+        block = max(1, PAIRS_AT_ONCE // (stop - start))
+        for at in range(0, len(others), block):
+            some = others[at : at + block]
+            a, b = np.repeat(some, stop - start), np.tile(whole, len(some))
+            compare(a[a != b], b[a != b])
     return out
 
 
@@ -163,7 +199,7 @@ def fingerprint_links(nodes: DataFrame, distance: int = 4, blocks: int = 6) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_buckets(batches):
             values = batch.column("fingerprint").to_numpy()
-            found = forest(values.view(np.uint64), batch.column("bucket").to_numpy(), distance, values)
+            found = forest(values.view(np.uint64)[:, None], batch.column("bucket").to_numpy(), distance, values)
             if found:
                 i, j = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(values[j]), pa.array(values[i])], schema=schema)
@@ -223,62 +259,102 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, distance:
     )
 
 
-def sampled_masks(fingerprints_: int, near_bits: int, miss: float, bucket_size: int = 16, seed: int = 11) -> list[int]:
+def sampled_masks(rows_: int, words: int, near_bits: int, miss: float, bucket_size: int = 16, seed: int = 11) -> list[list[int]]:
     """Masks of randomly chosen bits, for buckets of near fingerprints where too many bits may differ for blocks.
 
-    A mask has as many bits as give unrelated fingerprints buckets of about ``bucket_size``; there are as many masks
-    as let a pair that differs in ``near_bits`` bits miss every common bucket with probability ``miss`` at most.
+    A mask has as many bits as give ``rows_`` unrelated fingerprints buckets of about ``bucket_size``; there are as
+    many masks as let a pair that differs in ``near_bits`` bits miss every common bucket with probability ``miss``.
     """
-    bits = min(BITS - near_bits - 1, max(6, math.ceil(math.log2(max(1, fingerprints_) / bucket_size)) if fingerprints_ > bucket_size else 6))
-    shared = math.prod((BITS - near_bits - i) / (BITS - i) for i in range(bits))
+    length = BITS * words
+    bits = min(length - near_bits - 1, max(6, math.ceil(math.log2(max(1, rows_) / bucket_size))))
+    shared = math.prod((length - near_bits - i) / (length - i) for i in range(bits))
     tables = max(1, math.ceil(math.log(miss) / math.log1p(-shared)))
     chosen = np.random.default_rng(seed)
-    return [sum(1 << int(b) for b in chosen.choice(BITS, bits, replace=False)) for _ in range(tables)]
+    masks = np.zeros((tables, length), dtype=np.uint8)
+    for mask in masks:
+        mask[chosen.choice(length, bits, replace=False)] = 1
+    return np.packbits(masks, axis=1, bitorder="little").view("<i8").tolist()
+
+
+class WordHashes(dict):
+    """XXH64 of a word; bounded memory."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
 
-def shingle_set(text: str | None, shingle: int) -> set[int]:
+
+_word_hashes = WordHashes()
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of all runs of ``shingle`` words; of the whole sequence if it is shorter."""
     words = words_of(text)
-    line_of = b" ".join
-    return {xxhash.xxh64_intdigest(line_of(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+    each = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+    width = min(shingle, len(words))
+    runs = each[: len(words) - width + 1] if words else each
+    for i in range(1, width):
+        runs = mixed(runs, each[i : i + len(runs)])
+    return np.unique(runs)
+
+
+def wide_simhash(hashes: np.ndarray, words: int = 4) -> np.ndarray:
+    """Fingerprint of ``words`` times 64 bits: bitwise majority over a set of hashes; zero for none."""
+    out = np.zeros(words, dtype=np.uint64)
+    for k in range(words):
+        ones = np.zeros(BITS, dtype=np.int64)
+        for at in range(0, len(hashes), 65_536):
+            part = mixed(hashes[at : at + 65_536], np.uint64(k)).astype("<u8")
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0]
+    return out
 
 
 def similar(left: str | None, right: str | None, shingle: int, similarity: float) -> bool:
     """Jaccard similarity of the sets of word shingles; two texts without words are alike."""
     a, b = shingle_set(left, shingle), shingle_set(right, shingle)
-    return a == b or len(a & b) >= similarity * len(a | b)
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
 
 
 def verified_groups(
-    docs: DataFrame, row: str, similarity: float = 0.8, shingle: int = 5, sketch: int = 2, distance: int = 12, near_bits: int = 8, miss: float = 0.05
+    docs: DataFrame, row: str, similarity: float = 0.8, shingle: int = 5, words: int = 4, distance: int = 60, near_bits: int = 40, miss: float = 0.02
 ) -> DataFrame:
     """row_id, doc_id, component: near-duplicate groups by Jaccard similarity of word shingles, one row per document.
 
-    Candidates are pairs whose fingerprints over ``sketch``-word runs differ in at most ``distance`` bits (an edited
-    word changes few of those) and that share a bucket of sampled bits; the distance table discards, and both
-    whole texts verify. Buckets give forests of unchecked pairs between groups that are still apart, more of them in
-    every round, until none is left; so no candidate pair between different groups stays unchecked, and pairs inside
-    a group are never listed. row_id is the column ``row`` of ``docs``, a written number of each row; component is the smallest row_id of the group. Null texts count as
-    empty; all texts without words are one group. An empty table gives no rows.
+    Candidates are pairs whose fingerprints of ``words`` times 64 bits over the sets of shingles differ in at most
+    ``distance`` bits and that share a bucket of sampled bits; the distance table discards, and both whole texts verify.
+    At a similarity of 0.8 fingerprints of 256 bits differ in 39 bits with a deviation of 6, whence the defaults. Buckets
+    give forests of unchecked pairs between groups that are still apart, more of them in every round, until none is
+    left; so no candidate pair between different groups stays unchecked, and pairs inside a group are never listed.
+    row_id is the column ``row`` of ``docs``, a written number of each row; component is the smallest row_id of the
+    group. Null texts count as empty; all texts without words are one group. An empty table gives no rows.
     """
     whole = docs.select(F.col(row).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("fingerprint", pa.int64())])
+    parts = [f"p{i}" for i in range(words)]
+    prints = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), *((p, pa.int64()) for p in parts)])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple]:
             for row_id, doc_id, text in rows(batches, "row_id", "doc_id", "text"):
-                yield row_id, doc_id, _signed(simhash(words_of(text), sketch))
+                yield row_id, doc_id, *wide_simhash(shingle_set(text, shingle), words).view(np.int64).tolist()
 
         return batched(out(), prints)
 
-    marked = materialise(whole.mapInArrow(mark, "row_id long, doc_id long, fingerprint long"), "sketches")
-    masks = F.array(*(F.lit(_signed(m)) for m in sampled_masks(marked.count(), near_bits, miss)))
+    ddl = ", ".join(f"{p} long" for p in parts)
+    marked = materialise(whole.mapInArrow(mark, f"row_id long, doc_id long, {ddl}"), "sketches")
+    masks = F.array(*(F.array(*map(F.lit, mask)) for mask in sampled_masks(marked.count(), words, near_bits, miss)))
     pair_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def pairs(nodes: DataFrame, forests: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in whole_buckets(batches):
                 node, group, keys = (batch.column(c).to_numpy() for c in ("node", "group", "bucket"))
-                values = batch.column("fingerprint").to_numpy().view(np.uint64)
+                values = np.stack([batch.column(p).to_numpy().view(np.uint64) for p in parts], axis=1)
                 place: dict[int, list[int]] = {}
                 failed = batch.column("failed").to_pylist()
                 wanted = {f for some in failed for f in some or ()}
@@ -296,11 +372,11 @@ def verified_groups(
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=pair_schema)
 
         return (
-            nodes.select("node", "fingerprint", "group", "failed", F.posexplode(masks).alias("band", "mask"))
-            .withColumn("bucket", F.xxhash64("band", F.col("fingerprint").bitwiseAND(F.col("mask"))))
+            nodes.select("node", *parts, "group", "failed", F.posexplode(masks).alias("band", "mask"))
+            .withColumn("bucket", F.xxhash64("band", *(F.col(p).bitwiseAND(F.get("mask", F.lit(i))) for i, p in enumerate(parts))))
             .drop("band", "mask")
             .repartition("bucket")
-            .sortWithinPartitions("bucket", "fingerprint")
+            .sortWithinPartitions("bucket", *parts, "node")
             .mapInArrow(run, "a long, b long")
             .distinct()
         )
@@ -316,7 +392,7 @@ def verified_groups(
 
     texts = whole.select("row_id", "text")
     nodes = marked.select(
-        F.col("row_id").alias("node"), "fingerprint", F.col("row_id").alias("group"), F.array().cast("array<long>").alias("failed")
+        F.col("row_id").alias("node"), *parts, F.col("row_id").alias("group"), F.array().cast("array<long>").alias("failed")
     )
     checked: DataFrame | None = None
     groups: DataFrame | None = None
@@ -334,10 +410,10 @@ def verified_groups(
         failed = bad.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("failed"))
         touched = checked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         nodes = materialise(
-            touched.join(marked.select(F.col("row_id").alias("node"), "fingerprint"), "node")
+            touched.join(marked.select(F.col("row_id").alias("node"), *parts), "node")
             .join(groups.withColumnRenamed("component", "group"), "node", "left")
             .join(failed, "node", "left")
-            .select("node", "fingerprint", F.coalesce("group", "node").alias("group"), F.coalesce("failed", F.array().cast("array<long>")).alias("failed")),
+            .select("node", *parts, F.coalesce("group", "node").alias("group"), F.coalesce("failed", F.array().cast("array<long>")).alias("failed")),
             "nodes",
         )
         forests *= 4
