@@ -35,8 +35,8 @@ class Forest:
         weights = 1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64)
         return ((vectors - self.center) @ self.planes[tree] > 0) @ weights
 
-    def candidates(self, queries: np.ndarray, wanted: int) -> Iterator[np.ndarray]:
-        """Row numbers per query, each once."""
+    def candidates(self, queries: np.ndarray, wanted: int, least: int) -> Iterator[np.ndarray]:
+        """Row numbers per query, each once; ``least`` different ones at least, if there are as many."""
         shape = (self.bits + 1, len(self.rows), len(queries))
         low, high = np.empty(shape, np.int32), np.empty(shape, np.int32)
         for t, codes in enumerate(self.sorted):
@@ -49,9 +49,13 @@ class Forest:
         depth = np.where(enough.any(axis=0), self.bits - np.argmax(enough[::-1], axis=0), 0)
         for q, d in enumerate(depth.tolist()):
             seen = np.zeros(len(self.vectors), dtype=bool)
-            for t, rows in enumerate(self.rows):
-                seen[rows[low[d, t, q] : high[d, t, q]]] = True
-            yield np.flatnonzero(seen)
+            for level in range(d, -1, -1):
+                for t, rows in enumerate(self.rows):
+                    seen[rows[low[level, t, q] : high[level, t, q]]] = True
+                found = np.flatnonzero(seen)
+                if len(found) >= least:
+                    break
+            yield found
 
 
 def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, trees: int, bits: int, share: float, seed: int) -> Iterator[tuple]:
@@ -69,7 +73,7 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     entry, entry_ids = place[by_entry][keep], ids[order][by_entry][keep]
     begin = np.searchsorted(entry, np.arange(len(distinct) + 1))
     forest = Forest(distinct, trees, bits, seed)
-    found = forest.candidates(queries, max(4 * k, math.ceil(share * len(distinct))))
+    found = forest.candidates(queries, max(4 * k, math.ceil(share * len(distinct))), k + 1)
     for query_id, query, rows in zip(query_ids.tolist(), queries, found, strict=True):
         distance = np.sqrt(((distinct[rows] - query) ** 2).sum(axis=1))
         if len(rows) > 2 * (k + 1):  # ties with the last one stay in
@@ -80,7 +84,7 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
             yield query_id, i, d
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 96, bits: int = 24, share: float = 0.5, shard_rows: int = 25_000, query_rows: int = 2_000, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 96, bits: int = 24, share: float = 2.0, shard_rows: int = 25_000, query_rows: int = 2_000, seed: int = 7) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's ``k`` nearest found by Euclidean distance in double precision.
 
     Both tables have vec_id and embedding. Every vector is in the index; equal ids are not each other's candidates.
@@ -91,7 +95,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 96
 
     Vectors are dealt to shards of about ``shard_rows`` by hash, and queries to blocks of ``query_rows``; each
     task searches one block in one shard's forest, so memory is bounded. A search widens until its ranges hold
-    ``share`` times the shard's rows in total, over all trees together.
+    ``share`` times the shard's rows in total, over all trees together, and ``k`` different candidates.
     """
 
     def valid(df: DataFrame) -> DataFrame:

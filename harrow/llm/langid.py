@@ -146,7 +146,7 @@ class WordScores(dict):
         self.update(zip(new, range(first, first + len(new)), strict=True))
         found = [LETTERS.findall(w) for w in new]
         parts = [p for some in found for p in some]
-        if parts:
+        if parts and self.model.languages:
             owner = np.repeat(np.arange(len(new)), np.fromiter(map(len, found), np.int64, len(new)))
             score = np.zeros((len(new), len(self.model.languages)), dtype=np.float32)
             np.add.at(score, owner, self.model.word_scores(parts))
