@@ -96,14 +96,15 @@ PAIRS_AT_ONCE = 1 << 20
 
 
 def forest(
-    values: np.ndarray, keys: np.ndarray, distance: int, group: np.ndarray, known: set[tuple[int, int]] | None = None
+    values: np.ndarray, keys: np.ndarray, distance: int, group: np.ndarray, known: set[tuple[int, int]] | None = None, levels: tuple[int, ...] = ()
 ) -> list[tuple[int, int]]:
     """Row pairs with equal key and Hamming distance of at most ``distance`` that connect what is not yet connected.
 
     ``values``: a row of 64-bit words per fingerprint. ``keys`` are sorted; rows of equal ``group`` count as connected;
     pairs in ``known`` (smaller row first) are left out. First all rows are compared with their next neighbours in
     the bucket, then, as pairs inside a bucket's largest group can add nothing, every other row with the whole bucket.
-    Only pairs that join two trees are kept, so memory stays in proportion to the rows.
+    Only pairs that join two trees are kept, so memory stays in proportion to the rows. Smaller distances in ``levels``
+    are tried first, so that trees are made of near pairs: copies join their original rather than each other.
     """
     n = len(values)
     new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -131,9 +132,9 @@ def forest(
             parent = above
         return parent
 
-    def compare(a: np.ndarray, b: np.ndarray) -> None:
+    def compare(a: np.ndarray, b: np.ndarray, limit: int) -> None:
         apart = parent[a] != parent[b]
-        a, b = _surviving(a[apart], b[apart], values, table, distance)
+        a, b = _surviving(a[apart], b[apart], values, table, limit)
         before = len(out)
         for i, j in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True):
             x, y = root(i), root(j)
@@ -143,21 +144,20 @@ def forest(
         if len(out) > before:
             roots()
 
-    for step in range(1, NEIGHBOURS + 1):
-        a = inside[inside + step < end[inside]]
-        if not len(a):
-            return out
-        compare(a, a + step)
     large = size > NEIGHBOURS + 1
-    for start, stop in zip(new[large].tolist(), (new + size)[large].tolist(), strict=True):
-        found, share = np.unique(parent[start:stop], return_counts=True)
-        others = start + np.flatnonzero(parent[start:stop] != found[share.argmax()]) if len(found) > 1 else []
-        whole = np.arange(start, stop)
-        block = max(1, PAIRS_AT_ONCE // (stop - start))
-        for at in range(0, len(others), block):
-            some = others[at : at + block]
-            a, b = np.repeat(some, stop - start), np.tile(whole, len(some))
-            compare(a[a != b], b[a != b])
+    for limit in (*levels, distance):
+        for step in range(1, NEIGHBOURS + 1):
+            a = inside[inside + step < end[inside]]
+            compare(a, a + step, limit)
+        for start, stop in zip(new[large].tolist(), (new + size)[large].tolist(), strict=True):
+            found, share = np.unique(parent[start:stop], return_counts=True)
+            others = start + np.flatnonzero(parent[start:stop] != found[share.argmax()]) if len(found) > 1 else []
+            whole = np.arange(start, stop)
+            block = max(1, PAIRS_AT_ONCE // (stop - start))
+            for at in range(0, len(others), block):
+                some = others[at : at + block]
+                a, b = np.repeat(some, stop - start), np.tile(whole, len(some))
+                compare(a[a != b], b[a != b], limit)
     return out
 
 
@@ -349,6 +349,7 @@ def verified_groups(
     marked = materialise(whole.mapInArrow(mark, f"row_id long, doc_id long, {ddl}"), "sketches")
     masks = F.array(*(F.array(*map(F.lit, mask)) for mask in sampled_masks(marked.count(), words, near_bits, miss)))
     pair_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    levels = (distance * 6 // 10, distance * 8 // 10)
 
     def pairs(nodes: DataFrame, forests: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +364,7 @@ def verified_groups(
                         place.setdefault(x, []).append(i)
                 known = {(min(i, j), max(i, j)) for i, some in enumerate(failed) for f in some or () for j in place.get(f, ())}
                 for _ in range(forests):
-                    found = forest(values, keys, distance, group, known)
+                    found = forest(values, keys, distance, group, known, levels)
                     if not found:
                         break
                     known.update(found)
