@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.llm.common import batched, documents, materialise, mixed, numbered, rows, words_of
@@ -259,23 +259,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, distance:
     )
 
 
-def sampled_masks(rows_: int, words: int, near_bits: int, miss: float, bucket_size: int = 16, seed: int = 11) -> list[list[int]]:
-    """Masks of randomly chosen bits, for buckets of near fingerprints where too many bits may differ for blocks.
-
-    A mask has as many bits as give ``rows_`` unrelated fingerprints buckets of about ``bucket_size``; there are as
-    many masks as let a pair that differs in ``near_bits`` bits miss every common bucket with probability ``miss``.
-    """
-    length = BITS * words
-    bits = min(length - near_bits - 1, max(6, math.ceil(math.log2(max(1, rows_) / bucket_size))))
-    shared = math.prod((length - near_bits - i) / (length - i) for i in range(bits))
-    tables = max(1, math.ceil(math.log(miss) / math.log1p(-shared)))
-    chosen = np.random.default_rng(seed)
-    masks = np.zeros((tables, length), dtype=np.uint8)
-    for mask in masks:
-        mask[chosen.choice(length, bits, replace=False)] = 1
-    return np.packbits(masks, axis=1, bitorder="little").view("<i8").tolist()
-
-
 class WordHashes(dict):
     """XXH64 of a word; bounded memory."""
 
@@ -300,18 +283,6 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(runs)
 
 
-def wide_simhash(hashes: np.ndarray, words: int = 4) -> np.ndarray:
-    """Fingerprint of ``words`` times 64 bits: bitwise majority over a set of hashes; zero for none."""
-    out = np.zeros(words, dtype=np.uint64)
-    for k in range(words):
-        ones = np.zeros(BITS, dtype=np.int64)
-        for at in range(0, len(hashes), 65_536):
-            part = mixed(hashes[at : at + 65_536], np.uint64(k)).astype("<u8")
-            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0]
-    return out
-
-
 def similar(left: str | None, right: str | None, shingle: int, similarity: float) -> bool:
     """Jaccard similarity of the sets of word shingles; two texts without words are alike."""
     a, b = shingle_set(left, shingle), shingle_set(right, shingle)
@@ -321,67 +292,95 @@ def similar(left: str | None, right: str | None, shingle: int, similarity: float
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def verified_groups(
-    docs: DataFrame, row: str, similarity: float = 0.8, shingle: int = 5, words: int = 4, distance: int = 60, near_bits: int = 40, miss: float = 0.02
-) -> DataFrame:
-    """row_id, doc_id, component: near-duplicate groups by Jaccard similarity of word shingles, one row per document.
+def prefix_length(size: int, similarity: float) -> int:
+    """How many of a set's first elements, in an order that all sets share, must meet those of any similar set.
 
-    Candidates are pairs whose fingerprints of ``words`` times 64 bits over the sets of shingles differ in at most
-    ``distance`` bits and that share a bucket of sampled bits; the distance table discards, and both whole texts verify.
-    At a similarity of 0.8 fingerprints of 256 bits differ in 39 bits with a deviation of 6, whence the defaults. Buckets
-    give forests of unchecked pairs between groups that are still apart, more of them in every round, until none is
-    left; so no candidate pair between different groups stays unchecked, and pairs inside a group are never listed.
+    Similar sets share at least ``similarity`` times the size of either, so their common elements can't all lie behind.
+    """
+    return size - math.ceil(similarity * size - 1e-9) + 1
+
+
+#: Shingles that order last are looked for in about so many documents; so many are kept at most (8 bytes each).
+SAMPLED = 20_000
+MOST_COMMON = 200_000
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles of three or more of some sampled documents, the rarest first. They only settle an order: no pair depends on them."""
+    keep = min(1.0, SAMPLED / max(1, docs.count()))
+    some = docs.where(F.pmod(F.xxhash64("row_id"), F.lit(1_000_000)) < int(keep * 1_000_000)).select("text")
+    schema = pa.schema([("item", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (text,) in rows(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, shingle).view(np.int64))], schema=schema)
+
+    counted = some.mapInArrow(run, "item long").groupBy("item").count().where("count > 2")
+    found = counted.orderBy(F.desc("count"), "item").limit(MOST_COMMON).collect()
+    return np.array([r.item for r in reversed(found)], dtype=np.int64)
+
+
+def postings(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """row_id, size, item, place: of each document's set of shingles, the first by rarity and hash, as :func:`prefix_length` says.
+
+    All pairs of that similarity share an item. Texts without words share one item, zero, with each other.
+    """
+    common = common_shingles(docs, shingle)
+    by_value = np.argsort(common)
+    ordered = common[by_value]
+    shared = docs.sparkSession.sparkContext.broadcast((ordered, by_value))
+    schema = pa.schema([("row_id", pa.int64()), ("size", pa.int32()), ("item", pa.int64()), ("place", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ordered, rank = shared.value
+        held: list[tuple[int, int, np.ndarray]] = []
+        weight = 0
+
+        def batch() -> pa.RecordBatch:
+            lengths = [len(items) for _, _, items in held]
+            columns = (
+                np.repeat(np.array([r for r, _, _ in held], np.int64), lengths),
+                np.repeat(np.array([n for _, n, _ in held], np.int32), lengths),
+                np.concatenate([items for _, _, items in held]),
+                np.concatenate([np.arange(n, dtype=np.int32) for n in lengths]),
+            )
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+        for row_id, text in rows(batches, "row_id", "text"):
+            items = shingle_set(text, shingle).view(np.int64)
+            size = len(items)
+            if size and len(ordered):
+                at = np.minimum(np.searchsorted(ordered, items), len(ordered) - 1)
+                items = items[np.argsort(np.where(ordered[at] == items, rank[at] + 1, 0), kind="stable")]
+            items = items[: prefix_length(size, similarity)] if size else np.zeros(1, np.int64)
+            held.append((row_id, size, items))
+            weight += len(items)
+            if weight >= 1 << 16:
+                yield batch()
+                held, weight = [], 0
+        if held:
+            yield batch()
+
+    return docs.select("row_id", "text").mapInArrow(run, "row_id long, size int, item long, place int")
+
+
+def verified_groups(docs: DataFrame, row: str, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """row_id, doc_id, component: groups by Jaccard similarity of word shingles, one row per document; no similar pair is missed.
+
+    Candidates are all pairs that share one of their first shingles (:func:`postings`), can be similar by their sizes and
+    by what is left of both sets behind that shingle, and are verified on both whole texts. So that a large group isn't
+    compared with itself, each shingle's documents are first compared with one of them, that whose shingles occur most
+    (an original has more common ones than its copies); then all pairs that are still in different groups are verified.
     row_id is the column ``row`` of ``docs``, a written number of each row; component is the smallest row_id of the
     group. Null texts count as empty; all texts without words are one group. An empty table gives no rows.
     """
     whole = docs.select(F.col(row).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [f"p{i}" for i in range(words)]
-    prints = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), *((p, pa.int64()) for p in parts)])
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> Iterator[tuple]:
-            for row_id, doc_id, text in rows(batches, "row_id", "doc_id", "text"):
-                yield row_id, doc_id, *wide_simhash(shingle_set(text, shingle), words).view(np.int64).tolist()
-
-        return batched(out(), prints)
-
-    ddl = ", ".join(f"{p} long" for p in parts)
-    marked = materialise(whole.mapInArrow(mark, f"row_id long, doc_id long, {ddl}"), "sketches")
-    masks = F.array(*(F.array(*map(F.lit, mask)) for mask in sampled_masks(marked.count(), words, near_bits, miss)))
-    pair_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    levels = (distance * 6 // 10, distance * 8 // 10)
-
-    def pairs(nodes: DataFrame, forests: int) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in whole_buckets(batches):
-                node, group, keys = (batch.column(c).to_numpy() for c in ("node", "group", "bucket"))
-                values = np.stack([batch.column(p).to_numpy().view(np.uint64) for p in parts], axis=1)
-                place: dict[int, list[int]] = {}
-                failed = batch.column("failed").to_pylist()
-                wanted = {f for some in failed for f in some or ()}
-                for i, x in enumerate(node.tolist()):
-                    if x in wanted:
-                        place.setdefault(x, []).append(i)
-                known = {(min(i, j), max(i, j)) for i, some in enumerate(failed) for f in some or () for j in place.get(f, ())}
-                for _ in range(forests):
-                    found = forest(values, keys, distance, group, known, levels)
-                    if not found:
-                        break
-                    known.update(found)
-                    i, j = np.array(found).T
-                    a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=pair_schema)
-
-        return (
-            nodes.select("node", *parts, "group", "failed", F.posexplode(masks).alias("band", "mask"))
-            .withColumn("bucket", F.xxhash64("band", *(F.col(p).bitwiseAND(F.get("mask", F.lit(i))) for i, p in enumerate(parts))))
-            .drop("band", "mask")
-            .repartition("bucket")
-            .sortWithinPartitions("bucket", *parts, "node")
-            .mapInArrow(run, "a long, b long")
-            .distinct()
-        )
-
+    named = whole.select("row_id", "doc_id")
+    of_item = Window.partitionBy("item")
+    held = postings(whole, shingle, similarity).withColumn("shared", F.count(F.lit(1)).over(of_item)).where("shared > 1")
+    held = materialise(held, "postings")
+    weights = held.groupBy("row_id").agg(F.sum("shared").alias("weight"))
+    entries = materialise(held.join(weights, "row_id"), "entries")
     checked_schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("alike", pa.bool_())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,36 +391,33 @@ def verified_groups(
         return batched(out(), checked_schema)
 
     texts = whole.select("row_id", "text")
-    nodes = marked.select(
-        F.col("row_id").alias("node"), *parts, F.col("row_id").alias("group"), F.array().cast("array<long>").alias("failed")
-    )
-    checked: DataFrame | None = None
-    groups: DataFrame | None = None
-    forests = 1
-    while True:
-        found = materialise(pairs(nodes, forests), "candidates")
-        if found.isEmpty():
-            break
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        found = materialise(pairs, "candidates")
         with_left = found.join(texts.select(F.col("row_id").alias("a"), F.col("text").alias("left")), "a")
         both = with_left.join(texts.select(F.col("row_id").alias("b"), F.col("text").alias("right")), "b")
-        new = materialise(both.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long, alike boolean"), "verified")
-        checked = new if checked is None else checked.unionAll(new)
-        groups = components(checked.where("alike").select("a", "b"))
-        bad = checked.where(~F.col("alike"))
-        failed = bad.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("failed"))
-        touched = checked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        nodes = materialise(
-            touched.join(marked.select(F.col("row_id").alias("node"), *parts), "node")
-            .join(groups.withColumnRenamed("component", "group"), "node", "left")
-            .join(failed, "node", "left")
-            .select("node", *parts, F.coalesce("group", "node").alias("group"), F.coalesce("failed", F.array().cast("array<long>")).alias("failed")),
-            "nodes",
-        )
-        forests *= 4
-    if groups is None:
-        return marked.select("row_id", "doc_id", F.col("row_id").alias("component"))
-    named = groups.withColumnRenamed("node", "row_id")
-    return marked.join(named, "row_id", "left").select("row_id", "doc_id", F.coalesce("component", "row_id").alias("component"))
+        return materialise(both.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long, alike boolean"), "verified")
+
+    def possible(left: str, right: str) -> Column:
+        """Sizes allow the similarity, and so does what is left behind a shared item, if it is the pair's first."""
+        m, n = F.col(f"{left}.size"), F.col(f"{right}.size")
+        behind = F.least(m - F.col(f"{left}.place"), n - F.col(f"{right}.place"))
+        fits = (F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9) & (behind * (1 + similarity) >= similarity * (m + n) - 1e-6)
+        return fits | ((m == 0) & (n == 0))
+
+    ordered = (F.least("x.row_id", "y.row_id").alias("a"), F.greatest("x.row_id", "y.row_id").alias("b"))
+    entry = F.struct("weight", -F.col("row_id"), "row_id", "size", "place")
+    hubs = entries.groupBy("item").agg(F.max(entry).alias("hub")).select("item", "hub.row_id", "hub.size", "hub.place")
+    stars = entries.alias("x").join(hubs.alias("y"), "item").where((F.col("x.row_id") != F.col("y.row_id")) & possible("x", "y"))
+    first = verified(stars.select(*ordered).distinct())
+    groups = materialise(components(first.where("alike").select("a", "b")).withColumnRenamed("node", "row_id"), "groups")
+    placed = entries.join(groups, "row_id", "left").select("item", "row_id", "size", "place", F.coalesce("component", "row_id").alias("group"))
+    apart = placed.groupBy("item").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("item")
+    left = materialise(placed.join(apart, "item"), "apart")
+    across = left.alias("x").join(left.alias("y"), "item").where((F.col("x.group") < F.col("y.group")) & possible("x", "y"))
+    rest = verified(across.select(*ordered).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    final = components(first.unionAll(rest).where("alike").select("a", "b")).withColumnRenamed("node", "row_id")
+    return named.join(final, "row_id", "left").select("row_id", "doc_id", F.coalesce("component", "row_id").alias("component"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options: float) -> DataFrame:

@@ -296,3 +296,36 @@ def test_near_copies_go_and_others_stay(spark):
     rows = sorted(r.doc_id for r in kept.collect())
     assert rows == [*(i * 10 for i in range(30)), 900, 901, 902]
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_pairs_at_exactly_the_similarity_are_found(spark):
+    rows, expected = [], []
+    for i in range(600):
+        k = i % 40 + 1  # 4k of 5k shingles are shared: a similarity of 0.8; short texts too
+        text = [f"t{i}_{j}" for j in range(4 * k + 4)]
+        longer = [*text, *(f"n{i}_{j}" for j in range(k))]
+        rows += [(3 * i, " ".join(text)), (3 * i + 1, " ".join(longer))]
+        expected.append(3 * i)
+        if i % 3 == 0:  # one shingle more that isn't shared: below 0.8
+            rows[-1] = (3 * i + 1, " ".join([*longer, f"m{i}"]))
+            expected.append(3 * i + 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == sorted(expected)
+
+
+def test_near_copies_sharing_a_common_line_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    line = [f"common{j}" for j in range(12)]
+    original = [f"o{j}" for j in range(30)]
+    texts = []
+    for i in range(150):  # copies resemble the original more than each other; all hold the common line
+        copy = list(original)
+        for at in rng.choice(30, int(rng.integers(0, 3)), replace=False):
+            copy[at] = f"e{i}_{at}"
+        texts.append(" ".join([*line, *copy]))
+    texts += [" ".join([*line, *(f"u{i}_{j}" for j in range(int(rng.integers(1, 40))))]) for i in range(150)]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    alike = [(i, j) for i in range(300) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect())
+    assert kept == sorted(set(components(300, alike)))
