@@ -16,7 +16,13 @@ from harrow.llm.common import batched, rows
 #: Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title meta link iframe object svg math datalist dialog audio video canvas select textarea".split())
+HIDDEN = frozenset("head script style template noscript title meta link iframe object datalist audio video canvas textarea".split())
+#: Parts of an svg or math element that are not drawn themselves.
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask annotation annotation-xml".split())
+#: What may stand in a head; any other tag, and any text, ends it.
+HEAD_CONTENT = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Table parts that are not shown or have a place of their own.
+TABLE_PARTS = frozenset("tr td th thead tbody tfoot caption col colgroup".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html legend li main menu nav ol p pre search section summary table caption tr ul".split()
@@ -48,7 +54,7 @@ class Node:
 
     def visible(self) -> bool:
         a = self.attributes
-        return not (self.tag in HIDDEN or a and ("hidden" in a or "style" in a and UNSEEN_STYLE.search(a["style"]) or self.tag == "input"))
+        return not (self.tag in HIDDEN or self.tag == "dialog" and "open" not in a or a and ("hidden" in a or "style" in a and UNSEEN_STYLE.search(a["style"]) or self.tag == "input"))
 
 
 def attributes_of(text: str) -> dict[str, str]:
@@ -77,6 +83,8 @@ def parse(source: str) -> Node:
         m = TOKEN.search(source, at)
         text = source[at : m.start() if m else len(source)]
         if text:
+            if stack[-1].tag == "head" and text.strip():
+                stack.pop()
             stack[-1].children.append(html.unescape(text))
         if m is None:
             return root
@@ -101,11 +109,15 @@ def parse(source: str) -> Node:
             tags, walls = IMPLIED_END[tag]
             while close(tags, walls):
                 pass
-        elif tag in BLOCK and any(n.tag == "head" for n in stack):
+        if stack[-1].tag == "head" and tag not in HEAD_CONTENT and tag != "head":
+            stack.pop()
+        elif tag in BLOCK and any(n.tag == "head" for n in stack) and not any(n.tag == "template" for n in stack):
             close({"head"}, frozenset())
-        node = Node(tag, attributes_of(m[3]) if "=" in m[3] or "hidden" in m[3] else {})
+        node = Node(tag, attributes_of(m[3]) if "=" in m[3] or "hidden" in m[3].lower() or tag == "dialog" else {})
+        if tag in UNDRAWN and any(n.tag in ("svg", "math") for n in stack):
+            node.attributes["hidden"] = ""
         stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag in ("svg", "math"):
+        if tag in VOID or m[3].endswith("/") and (tag in ("svg", "math") or any(n.tag in ("svg", "math") for n in stack)):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
@@ -157,20 +169,46 @@ def cell_lines(node: Node) -> list[str]:
     return [line for line in page.lines if line] or [""]
 
 
-def table_rows(node: Node) -> Iterator[list[list[str]]]:
-    """Visible rows in order, also inside row groups; each cell as its lines, with empty cells for a column span."""
-    for child in node.children:
-        if isinstance(child, str) or not child.visible():
+def is_cell(child: Node | str) -> bool:
+    return not isinstance(child, str) and child.tag in ("td", "th")
+
+
+def table_rows(node: Node, loose: list[Node | str]) -> Iterator[list[list[str]]]:
+    """Visible rows in order, also inside row groups; each cell as its lines, with empty cells for a column span.
+
+    Cells outside rows make a row of their own, as the standard implies. What is in no cell is added to ``loose``.
+    """
+    stray = Node("tr", {})
+    for child in [*node.children, None]:
+        if child is not None and is_cell(child):
+            stray.children.append(child)
             continue
-        if child.tag == "tr":
-            row: list[list[str]] = []
-            for cell in child.children:
-                if not isinstance(cell, str) and cell.tag in ("td", "th") and cell.visible():
-                    span = cell.attributes.get("colspan", "1")
-                    row += [cell_lines(cell), *[[""]] * (min(int(span), 1000) - 1 if span.isascii() and span.isdigit() and int(span or 1) else 0)]
-            yield row
-        elif child.tag in ("thead", "tbody", "tfoot"):
-            yield from table_rows(child)
+        if stray.children and (child is None or not isinstance(child, str)):
+            yield row_cells(stray, loose)
+            stray = Node("tr", {})
+        if child is None or isinstance(child, str):
+            loose += [child] if child and child.strip() else []
+        elif child.visible():
+            if child.tag == "tr":
+                yield row_cells(child, loose)
+            elif child.tag in ("thead", "tbody", "tfoot", "colgroup"):  # an unclosed colgroup holds the rows
+                yield from table_rows(child, loose)
+            elif child.tag not in TABLE_PARTS:
+                loose.append(child)
+            elif child.tag == "caption" and node.tag != "table":
+                loose.append(child)
+
+
+def row_cells(row: Node, loose: list[Node | str]) -> list[list[str]]:
+    cells: list[list[str]] = []
+    for cell in row.children:
+        if is_cell(cell):
+            if cell.visible():
+                span = cell.attributes.get("colspan", "1")
+                cells += [cell_lines(cell), *[[""]] * (min(int(span), 1000) - 1 if span.isascii() and span.isdigit() and int(span or 1) else 0)]
+        elif not isinstance(cell, str) or cell.strip():
+            loose.append(cell)
+    return cells
 
 
 def render_table(node: Node, page: Page) -> None:
@@ -179,14 +217,14 @@ def render_table(node: Node, page: Page) -> None:
             for line in cell_lines(child):
                 page.line = line
                 page.end_line()
-    found = [row for row in table_rows(node) if row]
+    loose: list[Node | str] = []
+    found = [row for row in table_rows(node, loose) if row]
     widths = [max((len(line) for cell in column for line in cell), default=0) for column in zip_longest(*found, fillvalue=[""])]
     for row in found:
         for parts in zip_longest(*row, fillvalue=""):
             page.line = "  ".join(part.ljust(width) for part, width in zip(parts, widths, strict=False)).rstrip()
             page.end_line()
-    # Anything of a table that is not in a row is shown after it.
-    loose = [c for c in node.children if isinstance(c, str) and c.strip() or not isinstance(c, str) and c.tag not in ("tr", "thead", "tbody", "tfoot", "caption", "col", "colgroup")]
+    # Anything of a table that is not in a cell is shown after it.
     for child in loose:
         render_child(child, page, False, None)
 
@@ -235,9 +273,11 @@ def render(node: Node, page: Page, preserve: bool, marker: str | None = None) ->
     else:
         if tag == "dd":
             page.line = "    "
+        elif tag in ("select", "option"):
+            page.text(" ", False)
         for child in node.children:
             render_child(child, page, preserve or tag == "pre", None)
-        if tag in ("td", "th"):
+        if tag in ("td", "th", "select", "option"):
             page.text(" ", False)
     if tag in BLOCK:
         page.block(spaced)
@@ -267,7 +307,8 @@ def flatten(root: Node) -> None:
 
 def html_to_text(source: str | None) -> str:
     """All visible text of a page, laid out: blocks on lines of their own, spaced ones with an empty line between,
-    list items with marks and hanging indents, table cells in aligned columns."""
+    list items with marks and hanging indents, table cells in aligned columns. All options of a select are shown; a textarea's text,
+    which is a form's value, is not."""
     if not source:
         return ""
     root = parse(source.replace("\r\n", "\n").replace("\0", ""))

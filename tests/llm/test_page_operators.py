@@ -119,6 +119,30 @@ def test_html_layout():
     assert "no" not in html_to_text("<p>a<noscript>no</noscript><!-- no --><textarea>no</textarea>").split()
 
 
+@pytest.mark.parametrize(
+    ("page", "words"),
+    [
+        ("<table><tbody><td>x</table>", "x"),
+        ("<table><td>x<td>y<tr><td>z</table>", "x y z"),
+        ("<table><tr>text<td>a</table>", "a text"),
+        ("<table><tr><div>text</div><td>a</table>", "a text"),
+        ("<table><tbody>text<tr><td>a</tbody></table>", "a text"),
+        ("<table><caption>c</caption><tr><td>a</table>", "c a"),
+        ("<head><title>T</title>Hello <b>x</b> <span>y</span>", "Hello x y"),
+        ("<head><title>T</title><b>x</b> y", "x y"),
+        ("<head><meta charset=utf-8><style>no</style></head><p>a", "a"),
+        ("<p>a<select><option>b<option>c</select>d", "a b c d"),
+        ("<svg><text>a</text></svg> <math><mi>b</mi></math>", "a b"),
+        ("<svg><defs/><desc>no</desc><path d='M0'/><text>a</text></svg>b", "ab"),
+        ("<table><colgroup><col><tr><td>x</table>", "x"),
+        ("<head><template><div>no</div></template><p>a", "a"),
+        ("<dialog>no</dialog><dialog open>a</dialog>", "a"),
+    ],
+)
+def test_html_keeps_all_visible_text(page, words):
+    assert sorted(html_to_text(page).split()) == sorted(words.split())
+
+
 def test_html_of_odd_rows(spark, sf):
     rows = [(1, None), (2, ""), (2, ""), (None, "<p>x"), (3, "<" * 2000), (4, "<div>" * 3000 + "deep"), (5, "a < b & c &nope; &#0;"), (6, "<td>cell</p></table>")]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, html string, n_lines int")
