@@ -165,7 +165,7 @@ def weather_penalties(spark: SparkSession, d: str) -> DataFrame:
     round(avg(yield_kg_ha) - coalesce(1.96 * stddev_samp(yield_kg_ha) / sqrt(count(*)), 0), 1) AS ci_low,
     round(avg(yield_kg_ha) + coalesce(1.96 * stddev_samp(yield_kg_ha) / sqrt(count(*)), 0), 1) AS ci_high FROM t GROUP BY crop, variety_norm""")
 def yield_potential_ci(spark: SparkSession, d: str) -> DataFrame:
-    """Mean yield of each variety with its 95 % interval."""
+    """Part of J9: mean yield of each variety with its 95 % interval."""
     return V.yield_potential(variety_trials(spark, d), ["crop", "variety_norm"])
 
 
@@ -416,7 +416,7 @@ def scraped_stats(spark: SparkSession, d: str) -> DataFrame:
     SELECT crop, climate_class, round(CAST(100.0 * 40 / 90 AS DOUBLE) * yield_mean / max(yield_mean) OVER w + CAST(100.0 * 30 / 90 AS DOUBLE) * yield_top / max(yield_top) OVER w + CAST(100.0 * 20 / 90 AS DOUBLE) * n / max(n) OVER w, 1) AS score
     FROM m WINDOW w AS (PARTITION BY climate_class)""")
 def suggest_crops(spark: SparkSession, d: str) -> DataFrame:
-    """Crops of each climate by a weighted score of figures relative to the best."""
+    """Part of J44, J45: crops of each climate by mean yield, highest yield and records, relative to the best."""
     rows = V.usable(variety_trials(spark, d)).join(trial_sites(spark, d).select("site_id", "climate_class"), "site_id")
     facts = rows.groupBy("crop", "climate_class").agg(
         F.round(F.avg("yield_kg_ha"), 1).alias("yield_mean"), F.round(F.max("yield_kg_ha"), 1).alias("yield_top"), F.count(F.lit(1)).cast("double").alias("n")
@@ -439,7 +439,7 @@ def _rotation(spark: SparkSession, d: str, years: int) -> DataFrame:
         UNION ALL SELECT parcel_id, year_no + 1, k.crop, k.score, k.previous FROM plan p JOIN rk k ON k.previous = p.crop AND k.r = 1 WHERE year_no < 4)
     SELECT p.parcel_id, p.year_no, p.crop, p.score, (SELECT string_agg(k.crop, ',' ORDER BY k.r) FROM rk k WHERE k.previous = p.previous AND k.r BETWEEN 2 AND 4) AS alternatives FROM plan p""")
 def rotation_optimise(spark: SparkSession, d: str) -> DataFrame:
-    """Four years of the best allowed successor, with alternatives."""
+    """Part of J47: four years of the allowed successor with the best given score, with alternatives."""
     return _rotation(spark, d, 4).withColumn("alternatives", F.array_join("alternatives", ","))
 
 
@@ -450,7 +450,7 @@ def rotation_optimise(spark: SparkSession, d: str) -> DataFrame:
         UNION ALL SELECT n.parcel_id, n.year_no, greatest(0, soil_n + fixed - required) FROM pool JOIN n ON n.parcel_id = pool.parcel_id AND n.year_no = pool.year_no + 1)
     SELECT parcel_id, year_no, CAST(soil_n AS DOUBLE) AS soil_n FROM pool""")
 def nitrogen_balance(spark: SparkSession, d: str) -> DataFrame:
-    """The clamped nitrogen pool over a rotation."""
+    """E13 and part of J46: the clamped nitrogen pool over a rotation."""
     plan = _rotation(spark, d, 4)
     n = F.length("crop")
     return D.nitrogen_balance(plan.select("parcel_id", "year_no", F.when(n == 5, 60.0).otherwise(10.0).alias("fixed"), (n * 5.0).alias("required")))
@@ -758,7 +758,7 @@ def alias_resolution(spark: SparkSession, d: str) -> DataFrame:
     SELECT plan_id, 'invalid_role' AS kind, seq AS seq_a, NULL AS seq_b FROM s WHERE role = 'odd' UNION ALL SELECT plan_id, 'invalid_termination_method', seq, NULL FROM s WHERE method = 'burning'
     UNION ALL SELECT a.plan_id, 'window_overlap', a.seq, b.seq FROM s a JOIN s b ON a.plan_id = b.plan_id AND a.seq < b.seq AND a.s <= b.e AND b.s <= a.e""")
 def plan_warnings(spark: SparkSession, d: str) -> DataFrame:
-    """What is odd about crop plans."""
+    """C17 and part of J61: what is odd about crop plans."""
     k = F.col("o_orderkey")
     day = F.to_date("o_orderdate")
     s = table(spark, d, "orders").select(
