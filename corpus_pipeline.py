@@ -18,16 +18,11 @@ from harrow.llm.dedup import drop_exact_duplicates
 from harrow.llm.packing import pack
 from harrow.llm.simhash import drop_near_duplicates
 
-#: A document stays if the language of most of its letters covers at least this share of them.
-MIN_LANGUAGE_SHARE = 0.5
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters, most of them in one language; the model is learned from the table's own labels."""
+    """Documents with letters, in one language or several; the model is learned from the table's own labels."""
     into = fresh(docs, "__language")
     labelled = langid.identify(docs, langid.train(docs), into)
-    kept = (F.col(f"{into}.lang_pred") != langid.UNKNOWN) & (F.col(f"{into}.score") >= MIN_LANGUAGE_SHARE)
-    return labelled.where(kept).select(*docs.columns)
+    return labelled.where(F.col(f"{into}.lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

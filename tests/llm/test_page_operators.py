@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from harrow.llm import queries, simhash, warc
+from harrow.llm import langid, queries, simhash, warc
 from harrow.llm.ann import nearest
 from harrow.llm.common import shared_dir
 from harrow.llm.html_text import extract, html_to_text
@@ -153,6 +153,20 @@ def test_html_of_odd_rows(spark, sf):
     assert whole.count() == spark.read.parquet(f"{sf}/pages.parquet").count() and whole.where("text like '%<p>%' or text like '%</%'").count() == 0
 
 
+def test_language_stage_drops_only_texts_without_letters(spark, sf):
+    parts = {
+        "en": "the cat sat on the mat and then the dog ran to the house ",
+        "de": "der Hund lief durch die Straße und das Haus war nicht weit ",
+        "fr": "le chat est dans la maison avec les enfants et une pomme ",
+    }
+    rows = [(i, parts[lang] * 40, lang) for i, lang in enumerate(parts)]
+    rows += [(10, parts["en"] * 8 + parts["de"] * 7 + parts["fr"] * 6, None), (11, "12 34 !!", None), (12, None, None), (13, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = {r.doc_id: r.language for r in langid.identify(docs, langid.train(docs)).collect()}
+    assert {s.lang for s in labels[10].spans} == set(parts) and labels[10].score < 0.5
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, sf).collect()) == [0, 1, 2, 10]
+
+
 def test_pipeline_stages_equal_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     folder = f"{shared_dir(spark)}/stages"
