@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from harrow.llm.common import batched, documents, rows
+from harrow.llm.common import Memory, batched, documents, rows, worker_memory
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 DDL = "doc_id long, ids binary, decoded string"
@@ -48,18 +48,17 @@ def forced_cuts(tokens: list[bytes]) -> np.ndarray:
     return ~inside & sound & ~apostrophe & ~((left == 0x27) & ~BLANK[right])
 
 
-class ForcedBoundaryBPE(dict):
+class ForcedBoundaryBPE(Memory):
     """Maps a fragment between two forced boundaries to its ids (little-endian unsigned 32-bit); bounded memory."""
 
-    def __init__(self, tokenizer_file: str, max_fragments: int = 400_000):
+    def __init__(self, tokenizer_file: str, max_bytes: int = 64 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(max_bytes)
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.max_fragments = max_fragments
         with open(tokenizer_file, encoding="utf-8") as f:
             parts = json.load(f)
         alphabet = byte_alphabet()
@@ -72,10 +71,8 @@ class ForcedBoundaryBPE(dict):
         self.cut = forced_cuts(list(plain.values())).reshape(-1)
 
     def __missing__(self, fragment: bytes) -> bytes:
-        if len(self) >= self.max_fragments:
-            self.clear()
-        ids = self[fragment] = array("I", self.tokenizer.encode(fragment.decode(), add_special_tokens=False).ids).tobytes()
-        return ids
+        ids = array("I", self.tokenizer.encode(fragment.decode(), add_special_tokens=False).ids).tobytes()
+        return self.remember(fragment, ids, len(ids))
 
     def encode(self, text: str) -> bytes:
         data = text.encode("utf-8", "replace")
@@ -93,14 +90,9 @@ class ForcedBoundaryBPE(dict):
         return b"".join([token_bytes[i] for i in array("I", ids)]).decode("utf-8", "replace")
 
 
-_held: dict[str, ForcedBoundaryBPE] = {}
-
-
 def forced_boundary_bpe(tokenizer_file: str) -> ForcedBoundaryBPE:
     """One per Python worker and file."""
-    if tokenizer_file not in _held:
-        _held[tokenizer_file] = ForcedBoundaryBPE(tokenizer_file)
-    return _held[tokenizer_file]
+    return worker_memory(("forced boundaries", tokenizer_file), lambda: ForcedBoundaryBPE(tokenizer_file))
 
 
 def encode_decode(docs: DataFrame, tokenizer_file: str) -> DataFrame:

@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,12 +24,14 @@ _own_dir: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where that is unset, as in tests, a new local folder is taken.
+    Only where that is unset and all runs on one machine, as in tests, a new local folder is taken.
     """
     global _own_dir
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_dir is None or not os.path.isdir(_own_dir):
         _own_dir = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(_own_dir)
@@ -37,8 +42,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of :func:`materialise` that no later plan reads."""
+    for table in tables:
+        jvm, context = table.sparkSession._jvm, table.sparkSession.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -58,6 +73,22 @@ def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     return materialise(df.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
+def identified(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a text that tells its rows apart, and that column's name.
+
+    Rows read straight from Parquet files are named by file and place in it, which no lost executor changes; others
+    are written once with numbers.
+    """
+    row = fresh(df, "__row")
+    try:
+        named = df.withColumn(row, F.concat_ws("#", "_metadata.file_path", F.col("_metadata.row_index").cast("string")))
+        named.schema  # noqa: B018  # analysed here, so that a table without this metadata is known at once
+    except AnalysisException:
+        named, row = numbered(df)
+        named = named.withColumn(row, F.col(row).cast("string"))
+    return named, row
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """doc_id as long and text as string, null text as empty; all other columns go."""
     return docs.select(
@@ -87,10 +118,66 @@ def mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def portions(batches: Iterator[pa.RecordBatch], *texts: str, size: int = 500, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches, in order: at most ``size`` rows, and about ``max_bytes`` of the columns ``texts`` or one row."""
+    for batch in batches:
+        total = np.zeros(batch.num_rows, np.int64)
+        for name in texts:
+            total += pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+        total = np.cumsum(total)
+        at = 0
+        while at < batch.num_rows:
+            passed = total[at - 1] if at else 0
+            end = max(at + 1, min(at + size, int(np.searchsorted(total, passed + max_bytes))))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """Rows of Arrow batches as tuples of the named columns, one batch in memory at a time."""
+    """Rows of Arrow batches as tuples of the named columns; few of them are Python objects at a time."""
     for batch in batches:
-        yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+        for at in range(0, batch.num_rows, 200):
+            yield from zip(*(batch.column(n).slice(at, 200).to_pylist() for n in names), strict=True)
+
+
+class Memory(dict):
+    """A dictionary of words and what was worked out for them, cleared when it holds about ``max_bytes``."""
+
+    #: Bytes that an entry takes besides its word and value.
+    ENTRY = 200
+    #: Longer words are worked out anew each time.
+    LONGEST = 1000
+
+    def __init__(self, max_bytes: int = 32 << 20):
+        super().__init__()
+        self.max_bytes, self.held_bytes = max_bytes, 0
+
+    def remember(self, word: bytes | str, value: Any, size: int = 0) -> Any:
+        weight = self.ENTRY + len(word) + size
+        if weight <= self.ENTRY + self.LONGEST:
+            if self.held_bytes + weight > self.max_bytes:
+                self.clear()
+            self.held_bytes += weight
+            self[word] = value
+        return value
+
+    def clear(self) -> None:
+        super().clear()
+        self.held_bytes = 0
+
+
+_worker: dict[Any, Any] = {}
+
+
+def worker_memory(key: Any, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept by a Python worker for its later tasks until another key is asked for.
+
+    So a worker that serves several stages holds the memory of one of them at a time.
+    """
+    if key not in _worker:
+        _worker.clear()
+        _worker[key] = make()
+    return _worker[key]
 
 
 def batched(rows_: Iterator[tuple], schema: pa.Schema, size: int = 4096, max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from itertools import zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,11 +38,15 @@ IMPLIED_END = {
 }
 #: End tags don't reach out of a cell, a caption or a table.
 WALLS = frozenset(["td", "th", "caption", "table"])
-MAX_OPEN = 512
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TAG_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+TAG_STOP = re.compile("[>\"']")
 UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
+#: Spans beyond these count as so many (fixed by the HTML standard).
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+#: Items nested deeper are not indented further.
+DEEPEST_INDENT = 80
 
 
 class Node:
@@ -54,7 +57,9 @@ class Node:
 
     def visible(self) -> bool:
         a = self.attributes
-        return not (self.tag in HIDDEN or self.tag == "dialog" and "open" not in a or a and ("hidden" in a or "style" in a and UNSEEN_STYLE.search(a["style"]) or self.tag == "input"))
+        if self.tag in HIDDEN or self.tag == "dialog" and "open" not in a:
+            return False
+        return not (a and ("hidden" in a or "style" in a and UNSEEN_STYLE.search(a["style"])))
 
 
 def attributes_of(text: str) -> dict[str, str]:
@@ -64,172 +69,318 @@ def attributes_of(text: str) -> dict[str, str]:
     return found
 
 
+def tokens(source: str) -> Iterator[tuple[str, str, str, int]]:
+    """(kind, tag or text, attributes, end) with kind ``text``, ``start`` or ``end``; the caller sends back where to go on.
+
+    The page is walked once: what ends a tag or a quote is looked for forwards from where the walk is, and a quote or
+    bracket that is found to be missing in the rest is not looked for again. A tag that never ends is text to the end.
+    """
+    at = begin = 0
+    size = len(source)
+    missing: set[str] = set()
+    while at < size:
+        at = source.find("<", at)
+        if at < 0 or ">" in missing:
+            break
+        comment = source.startswith("<!--", at)
+        if comment or source[at + 1 : at + 2] in ("!", "?"):
+            end = source.find("-->" if comment else ">", at + (4 if comment else 2))
+            end = size if end < 0 else end + (3 if comment else 1)
+            if begin < at:
+                yield "text", source[begin:at], "", at
+            at = begin = end
+            continue
+        closing = source.startswith("/", at + 1)
+        name = TAG_NAME.match(source, at + 1 + closing)
+        if not name:
+            at += 1
+            continue
+        stop = name.end()
+        while True:
+            found = TAG_STOP.search(source, stop)
+            if not found:
+                missing.add(">")
+                break
+            if found[0] == ">":
+                break
+            close = -1 if found[0] in missing else source.find(found[0], found.end())
+            if close < 0:  # a quote without a partner is a character like any other
+                missing.add(found[0])
+                stop = found.end()
+            else:
+                stop = close + 1
+        if ">" in missing:
+            break
+        if begin < at:
+            yield "text", source[begin:at], "", at
+        moved = yield ("end" if closing else "start"), name[0].lower(), source[name.end() : found.start()], found.end()
+        at = begin = moved or found.end()
+        if moved:
+            yield "moved", "", "", moved
+    if begin < size:
+        yield "text", source[begin:], "", size
+
+
+class Tree:
+    """Open elements and, by tag, how deep they are, so that closing needs no walk down the stack."""
+
+    def __init__(self) -> None:
+        self.root = Node("html", {})
+        self.stack = [self.root]
+        self.depths: dict[str, list[int]] = {}
+
+    def top(self) -> Node:
+        return self.stack[-1]
+
+    def add(self, node: Node | str) -> None:
+        self.stack[-1].children.append(node)
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def pop(self) -> None:
+        self.depths[self.stack.pop().tag].pop()
+
+    def deepest(self, tags: set | frozenset) -> int:
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
+
+    def within(self, *tags: str) -> bool:
+        return any(self.depths.get(t) for t in tags)
+
+    def close(self, tags: set | frozenset, walls: set | frozenset) -> bool:
+        """Close the innermost open element of ``tags``, unless one of ``walls`` is open inside it."""
+        depth = self.deepest(tags)
+        if not depth or self.deepest(walls - tags) > depth:
+            return False
+        while len(self.stack) > depth:
+            self.pop()
+        return True
+
+
 def parse(source: str) -> Node:
     """The tree of a page. Unclosed elements end where the standard implies it, unmatched end tags are passed over."""
-    root = Node("html", {})
-    stack = [root]
-    at = 0
-
-    def close(tags: set | frozenset, walls: set | frozenset) -> bool:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return True
-            if stack[i].tag in walls:
-                return False
-        return False
-
-    while True:
-        m = TOKEN.search(source, at)
-        text = source[at : m.start() if m else len(source)]
-        if text:
-            if stack[-1].tag == "head" and text.strip():
-                stack.pop()
-            stack[-1].children.append(html.unescape(text))
-        if m is None:
-            return root
-        at = m.end()
-        tag = m[2]
-        if not tag:
-            continue
-        tag = tag.lower()
-        if m[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
-                stack[-1].children.append(Node("p", {}))
+    tree = Tree()
+    walk = tokens(source)
+    token = next(walk, None)
+    while token:
+        kind, tag, rest, end = token
+        back = None
+        if kind == "text":
+            if tree.top().tag == "head" and tag.strip():
+                tree.pop()
+            tree.add(html.unescape(tag))
+        elif kind == "end":
+            if tag == "p" and not tree.within("p"):
+                tree.add(Node("p", {}))
             elif tag == "br":
-                stack[-1].children.append(Node("br", {}))
+                tree.add(Node("br", {}))
             elif tag not in ("html", "body"):
-                close({tag}, WALLS - {tag} if tag not in ("tr", "thead", "tbody", "tfoot", "table") else {"table"} - {tag})
-            continue
-        if tag == "html":
-            continue
-        if tag in CLOSES_P:
-            close({"p"}, WALLS | {"button"})
-        if tag in IMPLIED_END:
-            tags, walls = IMPLIED_END[tag]
-            while close(tags, walls):
+                tree.close({tag}, WALLS - {tag} if tag not in ("tr", "thead", "tbody", "tfoot", "table") else {"table"} - {tag})
+        elif kind == "start" and tag != "html":
+            if tag in CLOSES_P:
+                tree.close({"p"}, WALLS | {"button"})
+            if tag in IMPLIED_END:
+                tags, walls = IMPLIED_END[tag]
+                while tree.close(tags, walls):
+                    pass
+            if tree.top().tag == "head" and tag not in HEAD_CONTENT and tag != "head":
+                tree.pop()
+            elif tag in BLOCK and tree.within("head") and not tree.within("template"):
+                tree.close({"head"}, frozenset())
+            node = Node(tag, attributes_of(rest) if "=" in rest or "hidden" in rest.lower() or tag in ("dialog", "input") else {})
+            foreign = tree.within("svg", "math")
+            if tag in UNDRAWN and foreign:
+                node.attributes["hidden"] = ""
+            tree.add(node)
+            if tag in VOID or rest.endswith("/") and (tag in ("svg", "math") or foreign):
                 pass
-        if stack[-1].tag == "head" and tag not in HEAD_CONTENT and tag != "head":
-            stack.pop()
-        elif tag in BLOCK and any(n.tag == "head" for n in stack) and not any(n.tag == "template" for n in stack):
-            close({"head"}, frozenset())
-        node = Node(tag, attributes_of(m[3]) if "=" in m[3] or "hidden" in m[3].lower() or tag == "dialog" else {})
-        if tag in UNDRAWN and any(n.tag in ("svg", "math") for n in stack):
-            node.attributes["hidden"] = ""
-        stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and (tag in ("svg", "math") or any(n.tag in ("svg", "math") for n in stack)):
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
-            node.children.append(source[at : end.start() if end else len(source)])
-            at = end.end() if end else len(source)
-            continue
-        if len(stack) < MAX_OPEN:  # what is nested deeper becomes a sibling
-            stack.append(node)
+            elif tag in RAW:
+                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, end)
+                node.children.append(source[end : close.start() if close else len(source)])
+                back = close.end() if close else len(source)
+            else:
+                tree.push(node)
+        try:
+            token = walk.send(back)
+        except StopIteration:
+            token = None
+    return tree.root
 
 
 class Page:
-    """Lines of text under way: inline text gathers in a line, a block starts a new one, with an empty line if spaced."""
+    """Lines of text under way: inline text gathers in a line, a block starts a new one, with an empty line if spaced.
+
+    ``indent`` stands before each line; ``lead``, if set, before the next one instead (an item's mark).
+    """
 
     def __init__(self) -> None:
         self.lines: list[str] = []
-        self.line = ""
+        self.parts: list[str] = []
+        self.last = ""
         self.gap = False
+        self.indent = ""
+        self.lead: str | None = None
+
+    def put(self, text: str) -> None:
+        if text:
+            self.parts.append(text)
+            self.last = text[-1]
 
     def text(self, text: str, preserve: bool) -> None:
         if preserve:
             first, *more = text.split("\n")
-            self.line += first
+            self.put(first)
             for line in more:
                 self.end_line(keep=True)
-                self.line = line
+                self.put(line)
             return
         text = SPACE.sub(" ", text)
-        if text[:1] == " " and (not self.line or self.line[-1] == " "):
+        if text[:1] == " " and self.last in ("", " "):
             text = text[1:]
-        self.line += text
+        self.put(text)
 
     def end_line(self, keep: bool = False) -> None:
-        line, self.line = self.line.rstrip(" \t"), ""
+        line = "".join(self.parts).rstrip(" \t")
+        self.parts.clear()
+        self.last = ""
         if line or keep:
             if self.gap and self.lines:
                 self.lines.append("")
             self.gap = False
-            self.lines.append(line)
+            before = self.indent if self.lead is None else self.lead
+            self.lines.append((before + line).rstrip(" \t") if line or self.lead is not None else "")
+            self.lead = None
 
     def block(self, spaced: bool) -> None:
         self.end_line()
-        self.gap |= spaced and bool(self.lines)
+        self.gap |= spaced and bool(self.lines) and self.lead is None
 
 
-def cell_lines(node: Node) -> list[str]:
-    page = Page()
-    render(node, page, False)
-    page.end_line()
-    return [line for line in page.lines if line] or [""]
+#: A step of rendering: a generator that yields the steps it waits for, so that pages may be nested to any depth.
+Step = Iterator["Step"]
+
+
+def run(step: Step) -> None:
+    waiting = [step]
+    while waiting:
+        below = next(waiting[-1], None)
+        if below is None:
+            waiting.pop()
+        else:
+            waiting.append(below)
+
+
+def number_of(text: str, most: int) -> int:
+    return min(int(text), most) if text.isascii() and text.isdigit() and len(text) < 10 else 1
 
 
 def is_cell(child: Node | str) -> bool:
     return not isinstance(child, str) and child.tag in ("td", "th")
 
 
-def table_rows(node: Node, loose: list[Node | str]) -> Iterator[list[list[str]]]:
-    """Visible rows in order, also inside row groups; each cell as its lines, with empty cells for a column span.
+Cell = tuple[list[str], int, int]  # lines, columns, rows
+
+
+def row_cells(row: Node, into: list[tuple[int, list[Cell]]], group: int, loose: list[Node | str]) -> Step:
+    cells: list[Cell] = []
+    for cell in row.children:
+        if is_cell(cell):
+            if cell.visible():
+                page = Page()
+                yield render(cell, page, False)
+                page.end_line()
+                rows_ = number_of(cell.attributes.get("rowspan", "1"), MOST_ROWS) or MOST_ROWS
+                cells.append(([line for line in page.lines if line], number_of(cell.attributes.get("colspan", "1"), MOST_COLUMNS) or 1, rows_))
+        elif not isinstance(cell, str) or cell.strip():
+            loose.append(cell)
+    if cells:
+        into.append((group, cells))
+
+
+def table_rows(node: Node, into: list[tuple[int, list[Cell]]], groups: list[int], loose: list[Node | str]) -> Step:
+    """Visible rows in order with the number of their row group, also inside groups.
 
     Cells outside rows make a row of their own, as the standard implies. What is in no cell is added to ``loose``.
     """
+    groups[0] += 1
     stray = Node("tr", {})
     for child in [*node.children, None]:
         if child is not None and is_cell(child):
             stray.children.append(child)
             continue
         if stray.children and (child is None or not isinstance(child, str)):
-            yield row_cells(stray, loose)
+            yield row_cells(stray, into, groups[0], loose)
             stray = Node("tr", {})
         if child is None or isinstance(child, str):
             loose += [child] if child and child.strip() else []
         elif child.visible():
             if child.tag == "tr":
-                yield row_cells(child, loose)
+                yield row_cells(child, into, groups[0], loose)
             elif child.tag in ("thead", "tbody", "tfoot", "colgroup"):  # an unclosed colgroup holds the rows
-                yield from table_rows(child, loose)
-            elif child.tag not in TABLE_PARTS:
-                loose.append(child)
-            elif child.tag == "caption" and node.tag != "table":
+                yield table_rows(child, into, groups, loose)
+                groups[0] += 1
+            elif child.tag not in TABLE_PARTS or child.tag == "caption" and node.tag != "table":
                 loose.append(child)
 
 
-def row_cells(row: Node, loose: list[Node | str]) -> list[list[str]]:
-    cells: list[list[str]] = []
-    for cell in row.children:
-        if is_cell(cell):
-            if cell.visible():
-                span = cell.attributes.get("colspan", "1")
-                cells += [cell_lines(cell), *[[""]] * (min(int(span), 1000) - 1 if span.isascii() and span.isdigit() and int(span or 1) else 0)]
-        elif not isinstance(cell, str) or cell.strip():
-            loose.append(cell)
-    return cells
-
-
-def render_table(node: Node, page: Page) -> None:
+def placed(rows_: list[tuple[int, list[Cell]]]) -> list[dict[int, list[str]]]:
+    """Each row's lines by column. A cell takes the first columns that no cell from a row above reaches into; only the
+    first column of a span has text."""
+    out: list[dict[int, list[str]]] = []
+    spans: list[tuple[int, int, int]] = []  # first column, column behind, rows left; in order
+    group = None
+    for at, cells in rows_:
+        if at != group:
+            group, spans = at, []
+        line: dict[int, list[str]] = {}
+        after: list[tuple[int, int, int]] = [(a, b, n - 1) for a, b, n in spans if n > 1]
+        column = i = 0
+        for lines, width, height in cells:
+            while i < len(spans) and spans[i][0] <= column:
+                column = max(column, spans[i][1])
+                i += 1
+            line[column] = lines
+            if height > 1:
+                after.append((column, column + width, height - 1))
+            column += width
+        spans = sorted(after)
+        out.append(line)
+    return out
+
+
+def render_table(node: Node, page: Page) -> Step:
     for child in node.children:
         if not isinstance(child, str) and child.tag == "caption" and child.visible():
-            for line in cell_lines(child):
-                page.line = line
-                page.end_line()
+            yield render(child, page, False)
+            page.end_line()
     loose: list[Node | str] = []
-    found = [row for row in table_rows(node, loose) if row]
-    widths = [max((len(line) for cell in column for line in cell), default=0) for column in zip_longest(*found, fillvalue=[""])]
-    for row in found:
-        for parts in zip_longest(*row, fillvalue=""):
-            page.line = "  ".join(part.ljust(width) for part, width in zip(parts, widths, strict=False)).rstrip()
+    found: list[tuple[int, list[Cell]]] = []
+    yield table_rows(node, found, [0], loose)
+    for child in loose:  # what is in no cell is shown before the table, as the standard puts it there
+        yield render_child(child, page, False, None)
+    page.block(bool(loose))
+    grid = placed(found)
+    widths: dict[int, int] = {}
+    for row in grid:
+        for column, lines in row.items():
+            widths[column] = max(widths.get(column, 0), *map(len, lines), 0)
+    place, end = {}, 0
+    for column in sorted(c for c, width in widths.items() if width):  # a column without text takes no room
+        place[column] = end
+        end += widths[column] + 2
+    for row in grid:
+        cells = [(place[c], lines) for c, lines in sorted(row.items()) if lines]
+        for i in range(max((len(lines) for _, lines in cells), default=0)):
+            line = ""
+            for left, lines in cells:
+                if i < len(lines):
+                    line = line.ljust(left) + lines[i]
+            page.put(line)
             page.end_line()
-    # Anything of a table that is not in a cell is shown after it.
-    for child in loose:
-        render_child(child, page, False, None)
 
 
-def render_child(child: Node | str, page: Page, preserve: bool, marker: str | None) -> None:
+def render_child(child: Node | str, page: Page, preserve: bool, marker: str | None) -> Step:
     if isinstance(child, str):
         page.text(child, preserve)
     elif child.visible():
@@ -237,28 +388,32 @@ def render_child(child: Node | str, page: Page, preserve: bool, marker: str | No
             page.end_line(keep=True)
         elif child.tag == "img":
             page.text(child.attributes.get("alt", ""), False)
+        elif child.tag == "input":
+            kind = child.attributes.get("type", "").lower()
+            if kind in ("submit", "button", "reset"):
+                page.text(f" {child.attributes.get('value', '')} ", False)
         else:
-            render(child, page, preserve, marker)
+            yield render(child, page, preserve, marker)
 
 
-def render(node: Node, page: Page, preserve: bool, marker: str | None = None) -> None:
+def render(node: Node, page: Page, preserve: bool, marker: str | None = None) -> Step:
     tag = node.tag
     spaced = tag in SPACED
     if tag == "table":
         page.block(True)
-        render_table(node, page)
+        yield render_table(node, page)
         page.block(True)
         return
     if tag == "li":
         page.block(False)
-        inner = Page()
+        mark = marker or "- "
+        indent = page.indent
+        page.lead = (indent if page.lead is None else page.lead) + mark
+        page.indent = indent + " " * len(mark) if len(indent) < DEEPEST_INDENT else indent
         for child in node.children:
-            render_child(child, inner, preserve, None)
-        inner.end_line()
-        lead = marker or "- "
-        for i, line in enumerate(inner.lines or [""]):
-            page.line = (lead if i == 0 else " " * len(lead)) + line if line or i == 0 else ""
-            page.end_line(keep=True)
+            yield render_child(child, page, preserve, None)
+        page.end_line(keep=page.lead is not None)
+        page.indent, page.gap = indent, False
         return
     if tag in BLOCK:
         page.block(spaced)
@@ -268,66 +423,47 @@ def render(node: Node, page: Page, preserve: bool, marker: str | None = None) ->
         for child in node.children:
             item = isinstance(child, Node) and child.tag == "li"
             if not isinstance(child, str) or child.strip():
-                render_child(child, page, preserve, (f"{number}. " if tag == "ol" else "- ") if item else None)
+                yield render_child(child, page, preserve, (f"{number}. " if tag == "ol" else "- ") if item else None)
             number += item and child.visible()
     else:
         if tag == "dd":
-            page.line = "    "
+            page.put("    ")
         elif tag in ("select", "option"):
             page.text(" ", False)
         for child in node.children:
-            render_child(child, page, preserve or tag == "pre", None)
+            yield render_child(child, page, preserve or tag == "pre", None)
         if tag in ("td", "th", "select", "option"):
             page.text(" ", False)
     if tag in BLOCK:
         page.block(spaced)
 
 
-#: Elements nested deeper than this are laid out as if they were their parent's own children.
-MAX_DEPTH = 150
-
-
-def flatten(root: Node) -> None:
-    """Lift what is nested too deeply, so that rendering needs a bounded stack; no text is lost."""
-    level = [root]
-    for _ in range(MAX_DEPTH):
-        level = [c for n in level for c in n.children if not isinstance(c, str) and c.children]
-        if not level:
-            return
-    for node in level:
-        flat, todo = [], list(reversed(node.children))
-        while todo:
-            child = todo.pop()
-            if isinstance(child, str) or not child.children:
-                flat.append(child)
-            elif child.visible():
-                todo += [" ", *reversed(child.children), " "]
-        node.children = flat
-
-
 def html_to_text(source: str | None) -> str:
     """All visible text of a page, laid out: blocks on lines of their own, spaced ones with an empty line between,
-    list items with marks and hanging indents, table cells in aligned columns. All options of a select are shown; a textarea's text,
-    which is a form's value, is not."""
+    list items with marks and hanging indents, table cells in aligned columns (spans over columns and rows keep their
+    places). All options of a select and the labels of buttons are shown; a textarea's text and what stands in other
+    fields, which are a form's values, are not. Pages may be nested to any depth."""
     if not source:
         return ""
-    root = parse(source.replace("\r\n", "\n").replace("\0", ""))
-    flatten(root)
     page = Page()
-    render(root, page, False)
+    run(render(parse(source.replace("\r\n", "\n").replace("\0", "")), page, False))
     page.end_line()
     return "\n".join(page.lines).strip("\n")
 
 
 def title_of(source: str | None) -> str | None:
-    found = re.search(r"<title[^>]*>(.*?)</title", source or "", re.S | re.I)
-    return SPACE.sub(" ", html.unescape(found[1])).strip() if found else None
+    source = source or ""
+    start = re.search(r"<title(?=[\s/>])", source, re.I)
+    opened = source.find(">", start.end()) if start else -1
+    end = re.compile("</title", re.I).search(source, opened) if opened >= 0 else None
+    return SPACE.sub(" ", html.unescape(source[opened + 1 : end.start()])).strip() if end else None
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, title, text and n_lines, one row per page; a narrow map without a shuffle.
 
-    Null and empty pages have empty text and no title. Broken markup never fails: what can't be a tag is text.
+    Null and empty pages have empty text and no title. Broken markup never fails: what can't be a tag is text. The time
+    for a page grows with its length, whatever it holds.
     Repeated rows give a row each; a null page_id is kept; an empty table gives no rows; other columns are left
     out; pages of any length are read whole.
     """

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import batched, rows
+from harrow.llm.common import batched, portions, rows, worker_memory
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -61,7 +61,7 @@ def features(words: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.nd
 class LanguageModel:
     """Log probabilities of hashed features by language, and the scripts that each language is written in.
 
-    Its size is bounded by languages x features, whatever the corpus.
+    Its size is bounded by languages x features, whatever the corpus: a quarter of a megabyte for each language.
     """
 
     languages: list[str]
@@ -71,12 +71,13 @@ class LanguageModel:
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def __post_init__(self) -> None:
-        self.padded = np.vstack([self.weights, np.zeros((1, len(self.languages)))]).astype(np.float32)  # row -1 for no feature
+        self.size = len(self.weights)
+        self.weights = np.vstack([self.weights, np.zeros((1, len(self.languages)))]).astype(np.float32)  # row -1 for no feature
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log likelihood of each letter run by language, less the best; scripts that a language isn't written in cost more."""
-        pairs, triples, starts = features(words, len(self.weights))
-        own = np.add.reduceat(self.padded[pairs] + self.padded[triples], starts, axis=0) / 2
+        pairs, triples, starts = features(words, self.size)
+        own = np.add.reduceat(self.weights[pairs] + self.weights[triples], starts, axis=0) / 2
         for name in {script_of(w) for w in words}:
             mask = self.scripts.get(name)
             if mask is not None and not mask.all():
@@ -85,16 +86,21 @@ class LanguageModel:
         return own - own.max(axis=1, keepdims=True)
 
 
-def train(labelled: DataFrame, size: int = 1 << 16, max_documents: int = 20_000, smoothing: float = 0.5, min_script_share: float = 0.01) -> LanguageModel:
+def train(
+    labelled: DataFrame, size: int = 1 << 16, max_documents: int = 20_000, smoothing: float = 0.5, min_script_share: float = 0.01, max_languages: int = 400
+) -> LanguageModel:
     """A model from text and lang of ``labelled``; rows without lang or text are left out.
 
     At most about ``max_documents`` documents are read per language: where there are more, a share of them chosen by
     the hash of their text, whole texts. Executors count features; the driver gets their sums, which are bounded by
-    languages x (``size`` + scripts). A table without labelled rows gives a model that knows no language.
+    languages x (``size`` + scripts); more than ``max_languages`` different values of lang are an error, as the model is
+    sent to every worker. A table without labelled rows gives a model that knows no language.
     """
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text"))
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()}
     languages = sorted(sizes)
+    if len(languages) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     if not languages:
         return LanguageModel([], np.zeros((size, 0)))
     share = F.create_map(*(F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, max_documents / n))))
@@ -102,22 +108,30 @@ def train(labelled: DataFrame, size: int = 1 << 16, max_documents: int = 20_000,
     schema = pa.schema([("lang", pa.string()), ("feature", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, Counter] = {}
-        for lang, text in rows(batches, "lang", "text"):
-            found.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
         sums: dict[str, np.ndarray] = {}
-        for lang, words in found.items():
-            total = sums[lang] = np.zeros(size + len(SCRIPTS), dtype=np.int64)
-            known = list(words)
-            for at in range(0, len(known), 50_000):
-                part = known[at : at + 50_000]
-                n = np.fromiter((words[w] for w in part), np.int64, len(part))
-                *grams, starts = features(part, size)
-                each = np.repeat(n, np.diff(np.append(starts, len(grams[0]))))
-                for gram in grams:
-                    total[:size] += np.bincount(gram[gram >= 0], each[gram >= 0], size).astype(np.int64)
-            for word, n in words.items():
-                total[size + SCRIPTS.index(script_of(word))] += n * len(word)
+        words: dict[str, Counter] = {}
+
+        def add_up() -> None:
+            for lang, found in words.items():
+                total = sums.setdefault(lang, np.zeros(size + len(SCRIPTS), dtype=np.int64))
+                known = list(found)
+                for at in range(0, len(known), 10_000):
+                    part = known[at : at + 10_000]
+                    n = np.fromiter((found[w] for w in part), np.int64, len(part))
+                    *grams, starts = features(part, size)
+                    each = np.repeat(n, np.diff(np.append(starts, len(grams[0]))))
+                    for gram in grams:
+                        total[:size] += np.bincount(gram[gram >= 0], each[gram >= 0], size).astype(np.int64)
+                for word, n in found.items():
+                    total[size + SCRIPTS.index(script_of(word))] += n * len(word)
+            words.clear()
+
+        for part in portions(batches, "text"):
+            for lang, text in rows([part], "lang", "text"):
+                words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+            if sum(map(len, words.values())) > 100_000:
+                add_up()
+        add_up()
         return batched(((lang, int(i), int(v[i])) for lang, v in sums.items() for i in np.flatnonzero(v)), schema)
 
     summed = chosen.mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
@@ -132,18 +146,26 @@ def train(labelled: DataFrame, size: int = 1 << 16, max_documents: int = 20_000,
 
 
 class WordScores(dict):
-    """Maps a white-space delimited word to a row of ``scores`` (languages) and ``letters``; bounded memory."""
+    """Maps a white-space delimited word to a row of ``scores`` (languages) and ``letters``.
 
-    def __init__(self, model: LanguageModel, max_words: int = 600_000):
+    It is emptied when it holds ``max_words`` words or ``max_bytes`` of them.
+    """
+
+    def __init__(self, model: LanguageModel, max_words: int = 200_000, max_bytes: int = 16 << 20):
         super().__init__()
-        self.model, self.max_words = model, max_words
+        self.model, self.max_words, self.max_bytes, self.held_bytes = model, max_words, max_bytes, 0
         self.scores = np.zeros((max_words, len(model.languages)), dtype=np.float32)
         self.letters = np.zeros(max_words, dtype=np.int32)
 
     def learn(self, new: list[str]) -> None:
-        """Score words not seen before, all at once; there must be room for them."""
+        """Score words not seen before, all at once; there must be room for them.
+
+        A word's scores are sums over its runs of letters, relative to its best language and no lower than twice
+        the penalty: a single odd word (a name, an address) costs no more than two changes of language.
+        """
         first = len(self)
         self.update(zip(new, range(first, first + len(new)), strict=True))
+        self.held_bytes += sum(map(len, new))
         found = [LETTERS.findall(w) for w in new]
         parts = [p for some in found for p in some]
         if parts and self.model.languages:
@@ -156,7 +178,7 @@ class WordScores(dict):
             self.scores[first : first + len(new)] = 0
             self.letters[first : first + len(new)] = 0
 
-    def of(self, words: list[str], part: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, words: list[str], part: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
         """Scores by language and number of letters of each word, looked up in parts that there is always room for."""
         scores, letters = [np.zeros((0, self.scores.shape[1]), np.float32)], [np.zeros(0, np.int32)]
         for at in range(0, len(words), part):
@@ -165,8 +187,9 @@ class WordScores(dict):
             missing = np.flatnonzero(rows_ < 0)
             if len(missing):
                 new = {some[i] for i in missing.tolist()}
-                if len(self) + len(new) > self.max_words:
+                if len(self) + len(new) > self.max_words or self.held_bytes > self.max_bytes:
                     self.clear()
+                    self.held_bytes = 0
                     new, missing = set(some), np.arange(len(some))
                 self.learn(list(new))
                 rows_[missing] = [self[some[i]] for i in missing.tolist()]
@@ -175,17 +198,6 @@ class WordScores(dict):
         return np.concatenate(scores), np.concatenate(letters)
 
 
-_held: dict[str, WordScores] = {}
-
-
-def word_scores(model: LanguageModel) -> WordScores:
-    """One per Python worker: a model's memory of words serves later tasks of the worker too."""
-    if model.key not in _held:
-        _held.clear()
-        _held[model.key] = WordScores(model)
-    return _held[model.key]
-
-
 def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
     """Language number of each word: the path with the largest sum of scores less ``penalty`` per change (Viterbi)."""
     n, k = scores.shape
@@ -253,13 +265,11 @@ def identify(docs: DataFrame, model: LanguageModel, into: str = "language") -> D
     ddl = f"{into} {LABEL_DDL}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = word_scores(model)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                labels = label_texts(batch.column("text").to_pylist(), known)
-                found = [{"lang_pred": lang, "score": score, "spans": spans} for lang, score, spans in labels]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, LABEL)], names=[*batch.schema.names, into])
+        known = worker_memory(("language", model.key), lambda: WordScores(model))
+        for batch in portions(batches, "text", size=200):
+            labels = label_texts(batch.column("text").to_pylist(), known)
+            found = [{"lang_pred": lang, "score": score, "spans": spans} for lang, score, spans in labels]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, LABEL)], names=[*batch.schema.names, into])
 
     from pyspark.sql.types import StructType
 

@@ -3,29 +3,34 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import crc_bucket, documents, mixed, words_of
+from harrow.llm.common import crc_bucket, documents, materialise, mixed, portions, words_of
 
-END, START = 0, 1  # local numbers of the end of a text, and of the state before its first token
-#: Keys of the two marks; words never contain the line feed that keeps these apart from them.
-MARKS = [b"\nend", b"\nstart"]
+#: Marks of a text's start and end; words never contain the line feed that keeps these apart from them.
+START, END = b"\nstart", b"\nend"
+START_KEY = np.uint64(xxhash.xxh64_intdigest(START))
 
-COUNT_SCHEMA = pa.schema([
-    ("order", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()),
-])
-COUNT_DDL = "order int, bucket long, block long, keys binary, counts binary"
+COUNT_SCHEMA = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("sizes", pa.list_(pa.int64())), ("keys", pa.binary()), ("counts", pa.binary())])
+COUNT_DDL = "bucket long, block long, sizes array<long>, keys binary, counts binary"
 REPLY_SCHEMA = pa.schema([
-    ("order", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("totals", pa.binary()),
+    ("block", pa.int64()), ("bucket", pa.int64()), ("sizes", pa.list_(pa.int64())), ("totals", pa.binary()),
     ("tokens", pa.int64()), ("types", pa.int64()), ("singles", pa.int64()),
 ])
-REPLY_DDL = "order int, bucket long, block long, totals binary, tokens long, types long, singles long"
+REPLY_DDL = "block long, bucket long, sizes array<long>, totals binary, tokens long, types long, singles long"
+BLOCK_SCHEMA = pa.schema([
+    ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())),
+    ("tokens", pa.binary()), ("keys", pa.binary()),
+])
+BLOCK_DDL = "block long, doc_ids array<long>, held_out array<boolean>, lengths array<long>, tokens binary, keys binary"
 SCORE_SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
     ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()),
@@ -33,174 +38,251 @@ SCORE_SCHEMA = pa.schema([
 SCORE_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def planes(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys, highest bytes first: those hardly change and compress well."""
-    return keys.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def packed(values: np.ndarray) -> bytes:
+    """64-bit values, the highest bytes of all first: of sorted keys and of counts those hardly change and compress well."""
+    planes = values.astype(">u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def unplaned(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(">u8").reshape(-1).astype(np.uint64)
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return planes.reshape(8, -1).T.copy().view(">u8").reshape(-1).astype(np.uint64)
 
 
 class Block:
-    """The tokens of a block of documents as local numbers, and its distinct unigrams and bigrams with sorted keys."""
-
-    def __init__(self, texts: Iterable[str | None], train: Iterable[bool]):
-        number: dict[bytes, int] = {word: i for i, word in enumerate(MARKS)}
-        self.docs: list[np.ndarray] = []
-        for text in texts:
-            words = words_of(text)
-            for word in words:
-                if word not in number:
-                    number[word] = len(number)
-            self.docs.append(np.fromiter((number[w] for w in words), np.int64, len(words)))
-        self.train = np.fromiter(train, bool, len(self.docs))
-        self.size = len(number)
-        self.keys = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, self.size)
-        tokens = [np.concatenate(([START], d, [END])) for d in self.docs]
-        flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-        weight = np.repeat(self.train, [len(t) for t in tokens])
-        self.order1 = np.argsort(self.keys, kind="stable")
-        self.count1 = np.bincount(flat[weight], minlength=self.size)[self.order1]
-        follows = np.flatnonzero(flat[:-1] != END)
-        self.pairs, place = np.unique(flat[follows] * self.size + flat[follows + 1], return_inverse=True)
-        count2 = np.bincount(place, weight[follows], len(self.pairs)).astype(np.int64)
-        self.keys2 = mixed(self.keys[self.pairs // self.size], self.keys[self.pairs % self.size]) if len(self.pairs) else np.zeros(0, np.uint64)
-        self.order2 = np.argsort(self.keys2, kind="stable")
-        self.count2 = count2[self.order2]
-
-    def sorted_keys(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        return (self.keys[self.order1], self.count1) if order == 1 else (self.keys2[self.order2], self.count2)
-
+    """The tokens of some documents as numbers, and their distinct n-grams of each order.
 
-def edges(buckets: int) -> np.ndarray:
-    """First key of each bucket but the first: buckets are equal ranges of the key space."""
-    return np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64)
+    ``keys`` are the sorted 64-bit keys of the distinct words and marks, ``tokens`` each document's start mark, words and end
+    mark as places in them. ``places[n - 1]`` has the number of the n-gram that ends at each token, -1 if a text's start
+    cuts it short.
+    """
 
+    def __init__(self, tokens: np.ndarray, keys: np.ndarray, lengths: np.ndarray, train: np.ndarray, order: int):
+        self.tokens, self.lengths, self.size = tokens, lengths, len(keys)
+        self.start = int(np.searchsorted(keys, START_KEY))
+        weight = np.repeat(train, lengths)
+        inner = np.flatnonzero(tokens != self.start)
+        self.places = [tokens]
+        self.keys = [keys]
+        self.counts = [np.bincount(tokens[weight], minlength=self.size)]
+        #: For each order from 2 on: the n-gram's history (all but its last word) and suffix (all but its first).
+        self.history: list[np.ndarray] = []
+        self.suffix: list[np.ndarray] = []
+        for _ in range(order - 1):
+            below = self.places[-1]
+            at = inner[below[inner - 1] >= 0] if len(inner) else inner
+            found, number = np.unique(below[at - 1].astype(np.int64) * self.size + tokens[at], return_inverse=True)
+            place = np.full(len(tokens), -1, np.int32)
+            place[at] = number
+            self.counts.append(np.bincount(number[weight[at]], minlength=len(found)))
+            suffix = np.zeros(len(found), np.int32)
+            suffix[number] = below[at]
+            self.history.append(found // self.size if self.size else found)
+            self.suffix.append(suffix)
+            last = found - self.history[-1] * self.size
+            self.keys.append(mixed(self.keys[-1][self.history[-1]], keys[last]))
+            self.places.append(place)
 
-def count_block(block: int, texts: Iterable[str | None], train: Iterable[bool], buckets: int) -> pa.Table:
-    """A row per n-gram order and bucket, empty ones too: the block's distinct keys and their counts in training texts."""
-    found = Block(texts, train)
-    out: list[tuple] = []
-    for order in (1, 2):
-        keys, counts = found.sorted_keys(order)
-        cuts = [0, *np.searchsorted(keys, edges(buckets)).tolist(), len(keys)]
-        for bucket, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            out.append((order, bucket, block, planes(keys[a:b]), counts[a:b].astype("<u4").tobytes()))
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), COUNT_SCHEMA.types, strict=True)], schema=COUNT_SCHEMA)
+    def sorted_keys(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of an order's n-grams by their keys, and the sorted keys."""
+        by_key = np.argsort(self.keys[order - 1], kind="stable")
+        return by_key, self.keys[order - 1][by_key]
+
+
+def numbered_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``tokens``, ``keys`` and ``lengths`` of a :class:`Block`."""
+    number: dict[bytes, int] = {START: 0, END: 1}
+    parts = []
+    for text in texts:
+        words = words_of(text)
+        parts.append(np.fromiter((number.setdefault(w, len(number)) for w in [START, *words, END]), np.int32, len(words) + 2))
+    keys = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
+    order = np.argsort(keys, kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    tokens = rank[np.concatenate(parts)] if parts else np.zeros(0, np.int32)
+    return tokens, keys[order], np.fromiter(map(len, parts), np.int64, len(parts))
+
+
+def count_rows(number: int, block: Block, buckets: int) -> Iterator[tuple]:
+    """A row per bucket that some of the block's n-grams fall into: their sorted keys by order, and their counts in training texts."""
+    edges = np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64)  # equal ranges of the key space
+    orders = []
+    for n in range(1, len(block.keys) + 1):
+        by_key, keys = block.sorted_keys(n)
+        orders.append((keys, block.counts[n - 1][by_key], [0, *np.searchsorted(keys, edges).tolist(), len(keys)]))
+    for bucket in range(buckets):
+        parts = [(keys[cuts[bucket] : cuts[bucket + 1]], counts[cuts[bucket] : cuts[bucket + 1]]) for keys, counts, cuts in orders]
+        sizes = [len(keys) for keys, _ in parts]
+        if any(sizes):
+            yield bucket, number, sizes, packed(np.concatenate([k for k, _ in parts])), packed(np.concatenate([c for _, c in parts]))
 
 
 def total_bucket(table: pa.Table) -> pa.Table:
-    """For every block that sent keys to this bucket: the total of each key over all blocks, in the block's own order."""
-    sent = sorted(
-        zip(*(table.column(n).to_pylist() for n in ("order", "bucket", "block", "keys", "counts")), strict=True), key=lambda r: r[:3]
-    )
-    start = int.from_bytes(xxhash.xxh64_digest(MARKS[START]), "big")
-    out = []
-    for order in (1, 2):
-        some = [r for r in sent if r[0] == order]
-        if not some:
-            continue
-        keys = np.concatenate([unplaned(r[3]) for r in some])
-        counts = np.concatenate([np.frombuffer(r[4], "<u4") for r in some]).astype(np.int64)
-        distinct, place = np.unique(keys, return_inverse=True)
-        totals = np.bincount(place, counts, len(distinct)).astype(np.int64)
-        tokens = totals[distinct != np.uint64(start)] if order == 1 else totals[:0]
-        stats = int(tokens.sum()), int((tokens > 0).sum()), int((tokens == 1).sum())
+    """For every block that sent keys to this bucket: the total of each key over all blocks, in the block's own order.
+
+    A row of block -1 has the bucket's tokens, types and types seen once.
+    """
+    bucket = table.column("bucket")[0].as_py()
+    blocks, sizes = table.column("block").to_pylist(), np.array(table.column("sizes").to_pylist(), np.int64)
+    ends = np.cumsum(sizes, axis=1)
+    keys = [unpacked(k) for k in table.column("keys").to_pylist()]
+    counts = [unpacked(c).astype(np.int64) for c in table.column("counts").to_pylist()]
+    totals: list[list[np.ndarray]] = [[] for _ in blocks]
+    stats = (0, 0, 0)
+    for n in range(sizes.shape[1]):
+        spans = [slice(int(e[n] - s[n]), int(e[n])) for e, s in zip(ends, sizes, strict=True)]
+        distinct, place = np.unique(np.concatenate([k[s] for k, s in zip(keys, spans, strict=True)]), return_inverse=True)
+        total = np.bincount(place, np.concatenate([c[s] for c, s in zip(counts, spans, strict=True)]), len(distinct)).astype(np.int64)
+        if not n:
+            words = total[distinct != START_KEY]
+            stats = int(words.sum()), int((words > 0).sum()), int((words == 1).sum())
         at = 0
-        for r in some:
-            size = len(r[4]) // 4
-            mine = np.minimum(totals[place[at : at + size]], 2**32 - 1) if order == 2 else totals[place[at : at + size]]
-            out.append((*r[:3], mine.astype("<i8" if order == 1 else "<u4").tobytes(), *stats))
+        for i, s in enumerate(spans):
+            size = s.stop - s.start
+            totals[i].append(total[place[at : at + size]])
             at += size
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), REPLY_SCHEMA.types, strict=True)], schema=REPLY_SCHEMA)
+    rows = [(b, bucket, s, packed(np.concatenate(t)), None, None, None) for b, s, t in zip(blocks, sizes.tolist(), totals, strict=True)]
+    rows.append((-1, bucket, [], b"", *stats))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), REPLY_SCHEMA.types, strict=True)], schema=REPLY_SCHEMA)
 
 
 class Automaton:
     """Backoff automaton of the n-grams that a block needs.
 
-    A state per history (a word, or the start of a text) and a root for no history. A seen bigram is an arc with
-    weight log10 P(w|h), where P(w|h) = (c(h,w) + prior * P(w)) / (c(h) + prior). For any other word the failure
-    arc of h leads to the root with weight log10(prior / (c(h) + prior)); the root has an arc for every word.
-    P(w) = (1 - u) * c(w) / N for words seen in training, and u, the share of words seen once, for all others
-    as one class. So the probabilities of what may follow a state sum to one.
+    A state is a history of up to n - 1 words that training has seen, with the root for none. A seen n-gram is an arc of its
+    history, of weight log10 P(w|h), where P(w|h) = a * c(h,w) / c(h) + (1 - a) * P(w|h without its first word) and
+    a = weight * c(h) / (c(h) + 1). For any other word the failure arc of h leads to the state of the shorter history,
+    with weight log10(1 - a); the root has an arc for every word. P(w) = (1 - u) * c(w) / N for words seen in training, and
+    u, the share of words seen once, for all others as one class. So what may follow a state has probabilities that sum to one.
     """
 
-    def __init__(self, block: Block, total1: np.ndarray, total2: np.ndarray, tokens: int, singles: int, prior: float):
-        count = np.empty(block.size, dtype=np.int64)
-        count[block.order1] = total1
-        pair_count = np.empty(len(block.pairs), dtype=np.int64)
-        pair_count[block.order2] = total2
+    def __init__(self, block: Block, counts: list[np.ndarray], tokens: int, singles: int, weights: tuple[float, ...]):
         unknown = (singles + 1) / (tokens + 2)
-        self.count = count
-        unigram = np.where(count > 0, (1 - unknown) * count / max(tokens, 1), unknown)
-        self.root = np.log10(unigram).tolist()
-        self.fail = np.log10(prior / (count + prior)).tolist()
-        seen = np.flatnonzero(pair_count > 0)
-        pairs = block.pairs[seen]
-        history = count[pairs // block.size]
-        weight = np.log10((pair_count[seen] + prior * unigram[pairs % block.size]) / (history + prior))
-        self.arcs = dict(zip(pairs.tolist(), weight.tolist(), strict=True))
-        self.size = block.size
-
-    def score(self, tokens: list[int]) -> float:
-        """log10 probability of a text: one traversal from the start state to the end token."""
-        arcs, fail, root, size = self.arcs, self.fail, self.root, self.size
-        state, weights = START, []
-        for token in tokens:
-            arc = arcs.get(state * size + token)
-            weights.append(fail[state] + root[token] if arc is None else arc)
-            state = token
-        return math.fsum(weights)
-
-
-def score_block(doc_ids: list, held_out: list[bool], texts: list, replies: pa.Table, prior: float) -> pa.Table:
-    block = Block(texts, [not h for h in held_out])
-    rows = sorted(zip(*(replies.column(n).to_pylist() for n in REPLY_SCHEMA.names), strict=True), key=lambda r: r[:2])
-    total1 = np.frombuffer(b"".join(r[3] for r in rows if r[0] == 1), "<i8")
-    total2 = np.frombuffer(b"".join(r[3] for r in rows if r[0] == 2), "<u4")
-    tokens, types, singles = (sum(r[i] for r in rows if r[0] == 1) for i in (4, 5, 6))
-    automaton = Automaton(block, total1, total2, tokens, singles, prior)
-    base = np.log10((automaton.count + 1) / (tokens + types + 1))
-    out = []
-    for doc_id, held, numbers in zip(doc_ids, held_out, block.docs, strict=True):
-        ids = np.append(numbers, END)
-        known = int((automaton.count[ids] > 0).sum())
-        out.append((doc_id, held, len(ids), known, tokens, float(base[ids].sum()), automaton.score(ids.tolist())))
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SCORE_SCHEMA.types, strict=True)], schema=SCORE_SCHEMA)
-
-
-def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, prior: float = 2000.0, blocks: int | None = None) -> DataFrame:
+        probability = np.where(counts[0] > 0, (1 - unknown) * counts[0] / max(tokens, 1), unknown)
+        self.root = np.log10(probability)
+        self.seen = [c > 0 for c in counts[1:]]
+        self.arcs: list[np.ndarray] = []
+        self.fail: list[np.ndarray] = []
+        for weight, count, below, history, suffix in zip(weights, counts[1:], counts, block.history, block.suffix, strict=False):
+            share = weight * below / (below + 1)
+            self.fail.append(np.log10(1 - share))
+            probability = share[history] * count / np.maximum(below[history], 1) + (1 - share[history]) * probability[suffix]
+            self.arcs.append(np.log10(probability))
+
+    def traverse(self, block: Block) -> np.ndarray:
+        """Log probability of each token, left to right; those of start marks are zero.
+
+        A token's state is the longest history before it that training has seen, and a failure arc depends on the state
+        alone, so all positions are moved at once: one step for each failure arc of the longest chain.
+        """
+        weights = np.zeros(len(block.tokens))
+        waiting = np.flatnonzero(block.tokens != block.start)
+        for n in range(len(self.arcs), 0, -1):
+            place = block.places[n][waiting]
+            long = place >= 0  # near its start a text has no such history
+            at, arc = waiting[long], place[long]
+            has = self.seen[n - 1][arc]
+            weights[at[has]] += self.arcs[n - 1][arc[has]]
+            weights[at[~has]] += self.fail[n - 1][block.history[n - 1][arc[~has]]]
+            left = np.ones(len(waiting), dtype=bool)
+            left[np.flatnonzero(long)[has]] = False
+            waiting = waiting[left]
+        weights[waiting] += self.root[block.tokens[waiting]]
+        return weights
+
+
+def score_block(texts: pa.Table, replies: pa.Table, tokens: int, types: int, singles: int, weights: tuple[float, ...]) -> pa.Table:
+    """Scores of a block's documents from the totals of its n-grams."""
+    row = texts.slice(0, 1).to_pylist()[0]
+    order = len(weights) + 1
+    numbers = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["tokens"]), "<i4")
+    held = np.array(row["held_out"], dtype=bool)
+    block = Block(numbers, unpacked(row["keys"]), np.array(row["lengths"], np.int64), ~held, order)
+    answers = sorted(zip(*(replies.column(c).to_pylist() for c in ("bucket", "sizes", "totals")), strict=True), key=lambda r: r[0])
+    totals = [unpacked(t).astype(np.int64) for _, _, t in answers]
+    counts = []
+    for n in range(order):
+        parts = [t[sum(s[:n]) : sum(s[: n + 1])] for (_, s, _), t in zip(answers, totals, strict=True)]
+        by_key, _ = block.sorted_keys(n + 1)
+        found = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        if len(found) != len(by_key):
+            raise RuntimeError("the documents have changed since their n-grams were counted")
+        count = np.empty(len(by_key), np.int64)
+        count[by_key] = found
+        counts.append(count)
+    automaton = Automaton(block, counts, tokens, singles, weights)
+    inner = numbers != block.start
+    base = np.where(inner, np.log10((counts[0][numbers] + 1) / (tokens + types + 1)), 0.0)
+    starts = np.cumsum(block.lengths) - block.lengths
+    sums = [np.add.reduceat(v, starts) for v in (automaton.traverse(block), base, ((counts[0][numbers] > 0) & inner).astype(np.int64))]
+    columns = [row["doc_ids"], held, block.lengths - 1, sums[2], np.full(len(held), tokens), sums[1], sums[0]]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, SCORE_SCHEMA.types, strict=True)], schema=SCORE_SCHEMA)
+
+
+def lm_scores(
+    docs: DataFrame, modulus: int = 7, held_out: int = 2, weights: tuple[float, ...] = (0.2, 0.6), block_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, one row per document.
 
-    Learns from the documents whose crc32(doc_id as text) mod ``modulus`` is not ``held_out`` and scores all.
-    Tokens are the words ``[^\\x20\\x09-\\x0D]+`` of the whole text, A-Z lower-cased, then one end. Null and empty
-    texts are the end alone; a null doc_id counts as the empty text in the crc; repeated rows count and are
+    Learns n-grams of the order ``len(weights) + 1`` from the documents whose crc32(doc_id as text) mod ``modulus`` is not
+    ``held_out`` and scores all. Tokens are the words ``[^\\x20\\x09-\\x0D]+`` of the whole text, A-Z lower-cased, then one end.
+    Null and empty texts are the end alone; a null doc_id counts as the empty text in the crc; repeated rows count and are
     scored once each; an empty table gives no rows; other columns are left out.
 
-    No table of n-grams is broadcast or collected. Documents are dealt to ``blocks`` (spark.sql.shuffle.partitions
-    by default); a block sends its distinct n-grams with counts to buckets by key range, a bucket adds them up and
-    answers each block for its own n-grams, and the block builds the part of the automaton that its texts
-    reach. A frequent n-gram is one entry per block, so no bucket grows with its frequency.
+    No table of n-grams is broadcast or collected, and texts are not shuffled. Each task cuts its documents into blocks of
+    ``block_bytes`` of text. A block sends its distinct n-grams with counts to buckets by key range, as many as the corpus
+    has ``bucket_bytes``; a bucket adds them up and answers each block for its own n-grams, and the block, now sent as
+    numbers, builds the part of the automaton that its texts reach. A frequent n-gram is one entry per block, so no bucket
+    grows with its frequency, and memory doesn't grow with the corpus. Rows must come in the same order when read again, as
+    files do; else the job fails.
     """
-    spark = docs.sparkSession
-    n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = documents(docs).select(
-        "doc_id",
-        "text",
-        (crc_bucket("doc_id", modulus) == held_out).alias("held_out"),
-        F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(n)).alias("block"),
-    )
-
-    def count(key: tuple, table: pa.Table) -> pa.Table:
-        train = (not h for h in table.column("held_out").to_pylist())
-        return count_block(key[0].as_py(), table.column("text").to_pylist(), train, n)
+    order = len(weights) + 1
+    whole = documents(docs).withColumn("held_out", crc_bucket("doc_id", modulus) == held_out)
+    size = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, math.ceil(size / bucket_bytes))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+        number = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+        weight = 0
+        for part in portions(batches, "text", size=1 << 20, max_bytes=block_bytes):
+            more = part.column("text").nbytes
+            if held and weight + more > block_bytes:
+                yield number, pa.Table.from_batches(held)
+                number, held, weight = number + 1, [], 0
+            held.append(part)
+            weight += more
+        if held:
+            yield number, pa.Table.from_batches(held)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, table in blocks(batches):
+            train = ~table.column("held_out").to_numpy()
+            tokens, keys, lengths = numbered_words(table.column("text").to_pylist())
+            found = count_rows(number, Block(tokens, keys, lengths, train, order), buckets)
+            for row in found:
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, COUNT_SCHEMA.types, strict=True)], schema=COUNT_SCHEMA)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, table in blocks(batches):
+            tokens, keys, lengths = numbered_words(table.column("text").to_pylist())
+            row = (
+                number, table.column("doc_id").to_pylist(), table.column("held_out").to_pylist(), lengths.tolist(),
+                zstandard.ZstdCompressor(level=1).compress(tokens.astype("<i4").tobytes()), packed(keys),
+            )
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, BLOCK_SCHEMA.types, strict=True)], schema=BLOCK_SCHEMA)
 
     def total(key: tuple, table: pa.Table) -> pa.Table:
         return total_bucket(table)
 
-    def score(key: tuple, texts: pa.Table, replies: pa.Table) -> pa.Table:
-        return score_block(*(texts.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), replies, prior)
+    replies = materialise(whole.mapInArrow(count, COUNT_DDL).groupBy("bucket").applyInArrow(total, REPLY_DDL), "n-grams")
+    tokens, types, singles = (v or 0 for v in replies.where("block = -1").agg(*(F.sum(c) for c in ("tokens", "types", "singles"))).first())
+
+    def score(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(texts):
+            raise RuntimeError("the documents have changed since their n-grams were counted")
+        return score_block(texts, answers, tokens, types, singles, weights)
 
-    replies = dealt.groupBy("block").applyInArrow(count, COUNT_DDL).groupBy("bucket").applyInArrow(total, REPLY_DDL)
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, SCORE_DDL)
+    packs = whole.mapInArrow(pack, BLOCK_DDL)
+    return packs.groupBy("block").cogroup(replies.where("block >= 0").groupBy("block")).applyInArrow(score, SCORE_DDL)

@@ -26,16 +26,16 @@ class Windows:
 
     ``count[h]`` windows are filled to level h. A piece of length s goes to the level h (0: a new window)
     that makes the sum of squared counts smallest; full windows no longer count. Ties go to the fullest
-    level. At most ``max_open`` windows stay open: beyond that, and at the end, the open windows' pieces
-    are laid end to end and cut anew into full windows; what then remains is cut into powers of two, which
-    need no padding. So memory is bounded and no id is dropped.
+    level. At most ``max_open`` windows stay open. Beyond that, and at the end, windows keep what the rule gave them and
+    are filled up, the fullest first, with ids cut from the emptiest ones; what then remains is cut into powers of two,
+    which need no padding. So memory is bounded, no id is dropped, and only as many ids move as the gaps hold (``moved``).
     """
 
     def __init__(self, capacity: int, first_id: int, max_open: int):
         self.capacity, self.next_id, self.max_open = capacity, first_id, max_open
         self.count = np.zeros(capacity + 1, dtype=np.int64)
         self.open: list[list[list[Piece]]] = [[] for _ in range(capacity)]
-        self.n_open = 0
+        self.n_open = self.moved = 0
 
     def add(self, doc_id: int | None, ids: bytes) -> Iterator[tuple]:
         tokens, at = len(ids) // 4, 0
@@ -78,23 +78,44 @@ class Windows:
         self.next_id += 1
 
     def flush(self) -> Iterator[tuple]:
-        pieces = [p for windows in reversed(self.open) for window in windows for p in window]
+        windows = [w for level in reversed(self.open) for w in level]  # the fullest first
         self.open = [[] for _ in range(self.capacity)]
         self.count[:] = 0
         self.n_open = 0
-        rest = sum(len(p[2]) for p in pieces) // 4
-        room, window = 0, []
-        for doc_id, start, ids, tokens in pieces:
+        first, last = 0, len(windows) - 1
+        while first < last:
+            window = windows[first]
+            gap = self.capacity - sum(len(p[2]) for p in window) // 4
+            while gap and first < last:
+                doc_id, start, ids, tokens = windows[last].pop()
+                keep = max(0, len(ids) // 4 - gap)
+                window.append((doc_id, start + keep, ids[4 * keep :], tokens))
+                moved = len(ids) // 4 - keep
+                gap, self.moved = gap - moved, self.moved + moved
+                if keep:
+                    windows[last].append((doc_id, start, ids[: 4 * keep], tokens))
+                elif not windows[last]:
+                    last -= 1
+            if gap:
+                break
+            yield from self.close(window)
+            first += 1
+        yield from self.in_powers(windows[first] if first <= last else [])
+
+    def in_powers(self, window: list[Piece]) -> Iterator[tuple]:
+        """The last window's pieces in sequences of powers of two."""
+        rest, room, held = sum(len(p[2]) for p in window) // 4, 0, []
+        for doc_id, start, ids, tokens in window:
             while ids:
                 if not room:
-                    room = self.capacity if rest >= self.capacity else 1 << (rest.bit_length() - 1)
+                    room = 1 << (rest.bit_length() - 1)
                 part, ids = ids[: 4 * room], ids[4 * room :]
                 size = len(part) // 4
-                window.append((doc_id, start, part, tokens))
+                held.append((doc_id, start, part, tokens))
                 start, room, rest = start + size, room - size, rest - size
                 if not room:
-                    yield from self.close(window)
-                    window = []
+                    yield from self.close(held)
+                    held = []
 
 
 def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int = 1, max_open: int = 4096) -> DataFrame:

@@ -9,15 +9,23 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import batched, documents, materialise, mixed, numbered, rows, words_of
+from harrow.llm.common import Memory, batched, discard, documents, materialise, mixed, numbered, rows, words_of
 
 BITS = 64
 #: Reference fingerprints: any fixed, well spread values do; these come from a rule, the multiples of an odd constant.
-#: 32 references of up to 256 bits.
-REFERENCES = mixed(np.arange(128, dtype=np.uint64), np.uint64(1)).reshape(32, 4)
+REFERENCES = mixed(np.arange(16, dtype=np.uint64), np.uint64(1))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes: a bit is 1 if set in over half of them."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), 65_536):
+        part = np.ascontiguousarray(hashes[at : at + 65_536], dtype="<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def simhash(words: list[bytes], shingle: int = 4, seed: int = 42) -> int:
@@ -31,12 +39,7 @@ def simhash(words: list[bytes], shingle: int = 4, seed: int = 42) -> int:
     starts = np.concatenate(([0], ends[:-1]))[: len(words) - shingle + 1].tolist()
     stops = (ends[shingle - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], seed) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(hashes), 65_536):
-        part = hashes[at : at + 65_536]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(np.array([digest(line[a:b], seed) for a, b in zip(starts, stops, strict=True)], dtype="<u8"))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -46,21 +49,21 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple]:
             for doc_id, text in rows(batches, "doc_id", "text"):
-                value = simhash(words_of(text), shingle, seed)
-                yield doc_id, value - (1 << 64) if value >> 63 else value
+                yield doc_id, _signed(simhash(words_of(text), shingle, seed))
 
         return batched(out(), schema)
 
     return documents(docs).mapInArrow(run, "doc_id long, fingerprint long")
 
 
-def block_masks(distance: int, blocks: int) -> list[int]:
+def block_masks(distance: int, blocks: int, within: int = (1 << BITS) - 1) -> list[int]:
     """Masks of the bit blocks of which one pair of fingerprints within ``distance`` must agree on at least one mask.
 
-    ``blocks`` blocks, of which ``distance`` differ at most, leave ``blocks - distance`` that agree.
+    The bits of ``within`` make ``blocks`` blocks, of which ``distance`` differ at most and ``blocks - distance`` agree.
     """
-    edges = [BITS * i // blocks for i in range(blocks + 1)]
-    part = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
+    bits = [1 << i for i in range(BITS) if within >> i & 1]
+    edges = [len(bits) * i // blocks for i in range(blocks + 1)]
+    part = [sum(bits[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
     return [sum(part[i] for i in chosen) for chosen in combinations(range(blocks), blocks - distance)]
 
 
@@ -68,14 +71,15 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hamming distances of fingerprints; the last axis holds the 64-bit words of one fingerprint."""
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
-
-
 def reference_distances(values: np.ndarray) -> np.ndarray:
     """The distance table: a row per fingerprint, a column per reference fingerprint."""
-    return distances(values[:, None, :], REFERENCES[None, :, : values.shape[1]])
+    return np.bitwise_count(values[:, None] ^ REFERENCES[None, :]).astype(np.int8)
+
+
+def distance_table(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with a column ``table``: the Hamming distances of each fingerprint to all references, worked out once."""
+    column = F.col("fingerprint")
+    return nodes.withColumn("table", F.array(*(F.bit_count(column.bitwiseXOR(F.lit(_signed(int(r))))).cast("tinyint") for r in REFERENCES)))
 
 
 def _surviving(a: np.ndarray, b: np.ndarray, values: np.ndarray, table: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +90,7 @@ def _surviving(a: np.ndarray, b: np.ndarray, values: np.ndarray, table: np.ndarr
             return a, b
         near = np.abs(table[a, column] - table[b, column]) <= distance
         a, b = a[near], b[near]
-    near = distances(values[a], values[b]) <= distance
+    near = np.bitwise_count(values[a] ^ values[b]) <= distance
     return a[near], b[near]
 
 
@@ -95,16 +99,12 @@ NEIGHBOURS = 8
 PAIRS_AT_ONCE = 1 << 20
 
 
-def forest(
-    values: np.ndarray, keys: np.ndarray, distance: int, group: np.ndarray, known: set[tuple[int, int]] | None = None, levels: tuple[int, ...] = ()
-) -> list[tuple[int, int]]:
+def forest(values: np.ndarray, keys: np.ndarray, distance: int, table: np.ndarray) -> list[tuple[int, int]]:
     """Row pairs with equal key and Hamming distance of at most ``distance`` that connect what is not yet connected.
 
-    ``values``: a row of 64-bit words per fingerprint. ``keys`` are sorted; rows of equal ``group`` count as connected;
-    pairs in ``known`` (smaller row first) are left out. First all rows are compared with their next neighbours in
-    the bucket, then, as pairs inside a bucket's largest group can add nothing, every other row with the whole bucket.
-    Only pairs that join two trees are kept, so memory stays in proportion to the rows. Smaller distances in ``levels``
-    are tried first, so that trees are made of near pairs: copies join their original rather than each other.
+    ``keys`` are sorted; ``table`` has a row of coordinates per fingerprint. First all rows are compared with their
+    next neighbours in the bucket, then, as pairs inside a bucket's largest group can add nothing, every other row
+    with the whole bucket. Only pairs that join two trees are kept, so memory stays in proportion to the rows.
     """
     n = len(values)
     new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -113,12 +113,7 @@ def forest(
     inside = np.flatnonzero(np.repeat(size, size) > 1)
     if not len(inside):
         return []
-    _, first, place = np.unique(group, return_index=True, return_inverse=True)
-    parent = first[place.reshape(-1)]
-    table = np.zeros((n, len(REFERENCES)), dtype=np.int16)
-    for at in range(0, len(inside), 16_384):
-        some = inside[at : at + 16_384]
-        table[some] = reference_distances(values[some])
+    parent = np.arange(n)
     out: list[tuple[int, int]] = []
 
     def root(i: int) -> int:
@@ -126,38 +121,33 @@ def forest(
             i = parent[i]
         return int(i)
 
-    def roots() -> np.ndarray:
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
         nonlocal parent
-        while not np.array_equal(parent, above := parent[parent]):
-            parent = above
-        return parent
-
-    def compare(a: np.ndarray, b: np.ndarray, limit: int) -> None:
         apart = parent[a] != parent[b]
-        a, b = _surviving(a[apart], b[apart], values, table, limit)
+        a, b = _surviving(a[apart], b[apart], values, table, distance)
         before = len(out)
         for i, j in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True):
             x, y = root(i), root(j)
-            if x != y and (known is None or (i, j) not in known):
+            if x != y:
                 parent[max(x, y)] = min(x, y)
                 out.append((i, j))
         if len(out) > before:
-            roots()
+            while not np.array_equal(parent, above := parent[parent]):
+                parent = above
 
+    for step in range(1, NEIGHBOURS + 1):
+        a = inside[inside + step < end[inside]]
+        compare(a, a + step)
     large = size > NEIGHBOURS + 1
-    for limit in (*levels, distance):
-        for step in range(1, NEIGHBOURS + 1):
-            a = inside[inside + step < end[inside]]
-            compare(a, a + step, limit)
-        for start, stop in zip(new[large].tolist(), (new + size)[large].tolist(), strict=True):
-            found, share = np.unique(parent[start:stop], return_counts=True)
-            others = start + np.flatnonzero(parent[start:stop] != found[share.argmax()]) if len(found) > 1 else []
-            whole = np.arange(start, stop)
-            block = max(1, PAIRS_AT_ONCE // (stop - start))
-            for at in range(0, len(others), block):
-                some = others[at : at + block]
-                a, b = np.repeat(some, stop - start), np.tile(whole, len(some))
-                compare(a[a != b], b[a != b], limit)
+    for start, stop in zip(new[large].tolist(), (new + size)[large].tolist(), strict=True):
+        found, share = np.unique(parent[start:stop], return_counts=True)
+        others = start + np.flatnonzero(parent[start:stop] != found[share.argmax()]) if len(found) > 1 else []
+        whole = np.arange(start, stop)
+        block = max(1, PAIRS_AT_ONCE // (stop - start))
+        for at in range(0, len(others), block):
+            some = others[at : at + block]
+            a, b = np.repeat(some, stop - start), np.tile(whole, len(some))
+            compare(a[a != b], b[a != b])
     return out
 
 
@@ -180,17 +170,32 @@ def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def fingerprint_links(nodes: DataFrame, distance: int = 4, blocks: int = 6) -> DataFrame:
+def fingerprint_links(nodes: DataFrame, distance: int = 4, blocks: int = 6, bucket_rows: int = 20_000) -> DataFrame:
     """Links (a, b) that connect fingerprints within ``distance``: a spanning forest of each bucket, not all pairs.
 
-    ``nodes`` has one row per distinct fingerprint. Each is dealt to a bucket per choice of bit blocks that a
-    near fingerprint may share with it (no pair is missed); in a bucket, pairs are discarded by the distance table
-    and survivors verified. Buckets are sorted in the JVM (which spills) and read as a stream.
+    ``nodes`` has one row per distinct fingerprint; the distance table is worked out once for each and written. A row
+    is dealt to a bucket per choice of bit blocks that a near fingerprint may share with it (no pair is missed). A
+    bucket of more than ``bucket_rows`` is split in the same way by the bits that are left, so that a task compares
+    fingerprints that agree in 35 bits. In a bucket, pairs are discarded by the distance table and survivors verified.
     """
-    masks = F.array(*(F.lit(_signed(m)) for m in block_masks(distance, blocks)))
+    table = materialise(distance_table(nodes.select("fingerprint")), "distance-table")
+    masks = block_masks(distance, blocks)
+    finer = [[m | rest for rest in block_masks(distance, blocks, ((1 << BITS) - 1) ^ m)] for m in masks]
+    lists = F.array(*(F.array(*(F.lit(_signed(m)) for m in some)) for some in finer))
+
+    def bucket(*parts: str | Column) -> Column:
+        return F.xxhash64(*parts)
+
+    banded = table.select("fingerprint", "table", F.posexplode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("band", "mask"))
+    banded = banded.withColumn("bucket", bucket("band", F.col("fingerprint").bitwiseAND(F.col("mask"))))
+    crowded = materialise(
+        banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows).select("bucket", F.lit(True).alias("crowded")), "crowded"
+    )
+    split = F.when(F.col("crowded"), F.element_at(lists, F.col("band") + 1)).otherwise(F.array("mask"))
     dealt = (
-        nodes.select("fingerprint", F.posexplode(masks).alias("band", "mask"))
-        .select("fingerprint", F.xxhash64("band", F.col("fingerprint").bitwiseAND(F.col("mask"))).alias("bucket"))
+        banded.join(crowded, "bucket", "left")
+        .select("fingerprint", "table", "band", F.posexplode(split).alias("part", "mask"))
+        .select("fingerprint", "table", bucket("band", "part", F.col("fingerprint").bitwiseAND(F.col("mask"))).alias("bucket"))
         .repartition("bucket")
         .sortWithinPartitions("bucket", "fingerprint")
     )
@@ -199,29 +204,33 @@ def fingerprint_links(nodes: DataFrame, distance: int = 4, blocks: int = 6) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_buckets(batches):
             values = batch.column("fingerprint").to_numpy()
-            found = forest(values.view(np.uint64)[:, None], batch.column("bucket").to_numpy(), distance, values)
+            coordinates = batch.column("table").flatten().to_numpy().reshape(len(values), -1)
+            found = forest(values.view(np.uint64), batch.column("bucket").to_numpy(), distance, coordinates)
             if found:
                 i, j = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(values[j]), pa.array(values[i])], schema=schema)
 
-    return dealt.select("bucket", "fingerprint").mapInArrow(run, "a long, b long")
+    return dealt.select("bucket", "fingerprint", "table").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, component: the smallest node reachable over ``links`` (a, b; long, in signed order); linked nodes only.
 
-    Alternates large-star and small-star rounds until nothing changes; each round is written to the shared folder.
+    Alternates large-star and small-star rounds until nothing changes; each round is written to the shared folder. The
+    lowest neighbours are written before they are joined, so that Spark can split the join at a node with many links.
     """
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
+    def star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         seen = both if large else both.where("b < a")
-        lowest = seen.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
+        lowest = materialise(seen.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low")), "lowest")
         joined = seen.join(lowest, "a")
         if large:
-            return joined.where("b > a and b != low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        moved = joined.where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        return moved.union(lowest.where("a != low").select("a", F.col("low").alias("b"))).distinct()
+            moved = joined.where("b > a and b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        else:
+            moved = joined.where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+            moved = moved.union(lowest.where("a != low").select("a", F.col("low").alias("b")))
+        return materialise(moved.distinct(), "links"), lowest
 
     def summary(edges: DataFrame) -> tuple:
         return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -229,8 +238,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialise(links.where("a != b").distinct(), "links")
     state = summary(edges)
     while state[0]:
-        edges = materialise(star(star(edges, large=True), large=False), "links")
-        new = summary(edges)
+        wide, lowest = star(edges, large=True)
+        narrow, lower = star(wide, large=False)
+        discard(edges, wide, lowest, lower)
+        edges, new = narrow, summary(narrow)
         if new == state:
             break
         state = new
@@ -252,21 +263,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, distance:
     named = nodes.join(comps, nodes.fingerprint == comps.node, "left").select(
         "fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("component")
     )
-    lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    labels = named.join(lowest, "component").select("fingerprint", "component_id")
+    lowest = materialise(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "lowest")
+    labels = materialise(named.join(lowest, "component").select("fingerprint", "component_id"), "labels")
     return marked.join(labels, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-class WordHashes(dict):
-    """XXH64 of a word; bounded memory."""
+class WordHashes(Memory):
+    """XXH64 of a word."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+        return self.remember(word, xxhash.xxh64_intdigest(word))
 
 
 _word_hashes = WordHashes()
@@ -300,60 +308,69 @@ def prefix_length(size: int, similarity: float) -> int:
     return size - math.ceil(similarity * size - 1e-9) + 1
 
 
-#: Shingles that order last are looked for in about so many documents; so many are kept at most (8 bytes each).
-SAMPLED = 20_000
-MOST_COMMON = 200_000
+#: One document of so many is asked which shingles several documents share; so many shingles are kept at most (12 bytes each).
+ASKED = 4
+MOST_COMMON = 2_000_000
 
 
-def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles of three or more of some sampled documents, the rarest first. They only settle an order: no pair depends on them."""
-    keep = min(1.0, SAMPLED / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64("row_id"), F.lit(1_000_000)) < int(keep * 1_000_000)).select("text")
+def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles of two or more of every fourth document, and the place of each by how often it occurs, the rarest first.
+
+    They only settle an order, in which a document's own shingles come before those of passages that documents share; no
+    pair depends on them. If there are more than ``MOST_COMMON``, the most frequent ones are kept.
+    """
+    some = docs.where(F.pmod(F.xxhash64("row_id"), F.lit(ASKED)) == 0).select("text")
     schema = pa.schema([("item", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (text,) in rows(batches, "text"):
             yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, shingle).view(np.int64))], schema=schema)
 
-    counted = some.mapInArrow(run, "item long").groupBy("item").count().where("count > 2")
-    found = counted.orderBy(F.desc("count"), "item").limit(MOST_COMMON).collect()
-    return np.array([r.item for r in reversed(found)], dtype=np.int64)
+    counted = materialise(some.mapInArrow(run, "item long").groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "common")
+    left, least = MOST_COMMON, None
+    for r in counted.groupBy("n").agg(F.count(F.lit(1)).alias("items")).orderBy(F.desc("n")).toLocalIterator():
+        left -= r.items
+        if left < 0:
+            break
+        least = r.n
+    kept = counted.where(F.col("n") >= least) if least else counted.limit(0)
+    table = kept.toArrow()
+    items, n = (table.column(c).to_numpy() for c in ("item", "n"))
+    discard(counted)
+    by_value = np.argsort(items)
+    rank = np.empty(len(items), np.int32)
+    rank[np.lexsort((items, n))] = np.arange(1, len(items) + 1, dtype=np.int32)
+    return items[by_value], rank[by_value]
 
 
-def postings(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """row_id, size, item, place: of each document's set of shingles, the first by rarity and hash, as :func:`prefix_length` says.
+def sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """row_id, size, fingerprint, items, from row_id and text: of each document's set of shingles its size, its SimHash
+    and the first shingles by rarity and hash, as many as :func:`prefix_length` says.
 
     All pairs of that similarity share an item. Texts without words share one item, zero, with each other.
     """
-    common = common_shingles(docs, shingle)
-    by_value = np.argsort(common)
-    ordered = common[by_value]
-    shared = docs.sparkSession.sparkContext.broadcast((ordered, by_value))
-    schema = pa.schema([("row_id", pa.int64()), ("size", pa.int32()), ("item", pa.int64()), ("place", pa.int32())])
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
+    schema = pa.schema([("row_id", pa.int64()), ("size", pa.int32()), ("fingerprint", pa.int64()), ("items", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered, rank = shared.value
-        held: list[tuple[int, int, np.ndarray]] = []
+        held: list[tuple[int, int, int, np.ndarray]] = []
         weight = 0
 
         def batch() -> pa.RecordBatch:
-            lengths = [len(items) for _, _, items in held]
-            columns = (
-                np.repeat(np.array([r for r, _, _ in held], np.int64), lengths),
-                np.repeat(np.array([n for _, n, _ in held], np.int32), lengths),
-                np.concatenate([items for _, _, items in held]),
-                np.concatenate([np.arange(n, dtype=np.int32) for n in lengths]),
-            )
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+            offsets = np.cumsum([0, *(len(items) for *_, items in held)]).astype(np.int32)
+            ids, sizes, marks = (pa.array([h[i] for h in held], t) for i, t in enumerate(schema.types[:3]))
+            items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([h[3] for h in held])))
+            return pa.RecordBatch.from_arrays([ids, sizes, marks, items], schema=schema)
 
         for row_id, text in rows(batches, "row_id", "text"):
-            items = shingle_set(text, shingle).view(np.int64)
-            size = len(items)
+            whole = shingle_set(text, shingle)
+            items, size = whole.view(np.int64), len(whole)
             if size and len(ordered):
                 at = np.minimum(np.searchsorted(ordered, items), len(ordered) - 1)
-                items = items[np.argsort(np.where(ordered[at] == items, rank[at] + 1, 0), kind="stable")]
+                items = items[np.argsort(np.where(ordered[at] == items, rank[at], 0), kind="stable")]
             items = items[: prefix_length(size, similarity)] if size else np.zeros(1, np.int64)
-            held.append((row_id, size, items))
+            held.append((row_id, size, _signed(majority(whole)), items))
             weight += len(items)
             if weight >= 1 << 16:
                 yield batch()
@@ -361,26 +378,25 @@ def postings(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
         if held:
             yield batch()
 
-    return docs.select("row_id", "text").mapInArrow(run, "row_id long, size int, item long, place int")
+    return docs.select("row_id", "text").mapInArrow(run, "row_id long, size int, fingerprint long, items array<long>")
 
 
-def verified_groups(docs: DataFrame, row: str, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+def verified_groups(docs: DataFrame, row: str, similarity: float = 0.8, shingle: int = 5, distance: int = 4) -> DataFrame:
     """row_id, doc_id, component: groups by Jaccard similarity of word shingles, one row per document; no similar pair is missed.
 
-    Candidates are all pairs that share one of their first shingles (:func:`postings`), can be similar by their sizes and
-    by what is left of both sets behind that shingle, and are verified on both whole texts. So that a large group isn't
-    compared with itself, each shingle's documents are first compared with one of them, that whose shingles occur most
-    (an original has more common ones than its copies); then all pairs that are still in different groups are verified.
+    1. Documents whose SimHash fingerprints are equal or linked within ``distance`` bits (:func:`fingerprint_links`) are
+       verified on both whole texts; that finds most copies.
+    2. Fingerprints miss pairs near the similarity and of short texts. So all pairs that share one of their first shingles
+       (:func:`sketches`), can be similar by their sizes and by what is left of both sets behind that shingle, and are
+       still in different groups are verified too. First each shingle's documents are compared with one of them, that
+       whose shingles occur most (an original has more common ones than its copies); then what is still apart.
+
     row_id is the column ``row`` of ``docs``, a written number of each row; component is the smallest row_id of the
     group. Null texts count as empty; all texts without words are one group. An empty table gives no rows.
     """
     whole = docs.select(F.col(row).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = whole.select("row_id", "doc_id")
-    of_item = Window.partitionBy("item")
-    held = postings(whole, shingle, similarity).withColumn("shared", F.count(F.lit(1)).over(of_item)).where("shared > 1")
-    held = materialise(held, "postings")
-    weights = held.groupBy("row_id").agg(F.sum("shared").alias("weight"))
-    entries = materialise(held.join(weights, "row_id"), "entries")
+    texts = whole.select("row_id", "text")
+    marked = materialise(sketches(texts, shingle, similarity), "sketches")
     checked_schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("alike", pa.bool_())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,13 +406,19 @@ def verified_groups(docs: DataFrame, row: str, similarity: float = 0.8, shingle:
 
         return batched(out(), checked_schema)
 
-    texts = whole.select("row_id", "text")
-
     def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) with ``alike``; only texts that are in a pair move."""
         found = materialise(pairs, "candidates")
-        with_left = found.join(texts.select(F.col("row_id").alias("a"), F.col("text").alias("left")), "a")
-        both = with_left.join(texts.select(F.col("row_id").alias("b"), F.col("text").alias("right")), "b")
-        return materialise(both.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long, alike boolean"), "verified")
+        asked = materialise(found.select(F.explode(F.array("a", "b")).alias("row_id")).distinct(), "asked")
+        needed = materialise(texts.join(asked, "row_id", "left_semi"), "texts")
+        with_left = found.join(needed.select(F.col("row_id").alias("a"), F.col("text").alias("left")), "a")
+        both = with_left.join(needed.select(F.col("row_id").alias("b"), F.col("text").alias("right")), "b")
+        out = materialise(both.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long, alike boolean"), "verified")
+        discard(found, asked, needed)
+        return out
+
+    def grouped(pairs: DataFrame) -> DataFrame:
+        return materialise(components(pairs.where("alike").select("a", "b")).withColumnRenamed("node", "row_id"), "groups")
 
     def possible(left: str, right: str) -> Column:
         """Sizes allow the similarity, and so does what is left behind a shared item, if it is the pair's first."""
@@ -406,18 +428,41 @@ def verified_groups(docs: DataFrame, row: str, similarity: float = 0.8, shingle:
         return fits | ((m == 0) & (n == 0))
 
     ordered = (F.least("x.row_id", "y.row_id").alias("a"), F.greatest("x.row_id", "y.row_id").alias("b"))
-    entry = F.struct("weight", -F.col("row_id"), "row_id", "size", "place")
-    hubs = entries.groupBy("item").agg(F.max(entry).alias("hub")).select("item", "hub.row_id", "hub.size", "hub.place")
-    stars = entries.alias("x").join(hubs.alias("y"), "item").where((F.col("x.row_id") != F.col("y.row_id")) & possible("x", "y"))
-    first = verified(stars.select(*ordered).distinct())
-    groups = materialise(components(first.where("alike").select("a", "b")).withColumnRenamed("node", "row_id"), "groups")
-    placed = entries.join(groups, "row_id", "left").select("item", "row_id", "size", "place", F.coalesce("component", "row_id").alias("group"))
-    apart = placed.groupBy("item").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("item")
-    left = materialise(placed.join(apart, "item"), "apart")
+    nodes = materialise(marked.groupBy("fingerprint").agg(F.min("row_id").alias("first")), "nodes")
+    linked = fingerprint_links(nodes, distance)
+    ends = linked.join(nodes.select(F.col("fingerprint").alias("a"), F.col("first").alias("x")), "a").join(
+        nodes.select(F.col("fingerprint").alias("b"), F.col("first").alias("y")), "b"
+    )
+    equal = marked.select("row_id", "fingerprint").join(nodes, "fingerprint").where("row_id != first").select(F.col("first").alias("a"), F.col("row_id").alias("b"))
+    first = verified(equal.union(ends.select(F.least("x", "y"), F.greatest("x", "y"))).distinct())
+    groups = grouped(first)
+
+    postings = marked.select("row_id", "size", F.posexplode("items").alias("place", "item"))
+    counts = materialise(postings.groupBy("item").agg(F.count(F.lit(1)).alias("shared")).where("shared > 1"), "counts")
+    held = materialise(postings.join(counts, "item"), "postings")
+    weights = held.groupBy("row_id").agg(F.sum("shared").alias("weight"))
+    placed = held.drop("shared").join(weights, "row_id").join(groups, "row_id", "left")
+    entries = materialise(placed.withColumn("group", F.coalesce("component", "row_id")).drop("component"), "entries")
+    discard(counts, held, groups)
+    entry = F.struct("weight", -F.col("row_id"), "row_id", "group", "size", "place")
+    hubs = materialise(
+        entries.groupBy("item").agg(F.max(entry).alias("hub"), F.min("group").alias("low"), F.max("group").alias("high"))
+        .where("low < high").select("item", "hub.row_id", "hub.group", "hub.size", "hub.place"), "hubs",
+    )
+    stars = entries.alias("x").join(hubs.alias("y"), "item").where((F.col("x.group") != F.col("y.group")) & possible("x", "y"))
+    second = verified(stars.select(*ordered).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    known = first.unionAll(second)
+    groups = grouped(known)
+    regrouped = entries.drop("group", "weight").join(groups, "row_id", "left").withColumn("group", F.coalesce("component", "row_id")).drop("component")
+    regrouped = materialise(regrouped, "entries")
+    discard(entries, hubs)
+    apart = materialise(regrouped.groupBy("item").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("item"), "apart")
+    left = materialise(regrouped.join(apart, "item"), "apart")
     across = left.alias("x").join(left.alias("y"), "item").where((F.col("x.group") < F.col("y.group")) & possible("x", "y"))
-    rest = verified(across.select(*ordered).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    final = components(first.unionAll(rest).where("alike").select("a", "b")).withColumnRenamed("node", "row_id")
-    return named.join(final, "row_id", "left").select("row_id", "doc_id", F.coalesce("component", "row_id").alias("component"))
+    rest = verified(across.select(*ordered).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"))
+    discard(regrouped, apart, left)
+    final = grouped(known.unionAll(rest))
+    return whole.select("row_id", "doc_id").join(final, "row_id", "left").select("row_id", "doc_id", F.coalesce("component", "row_id").alias("component"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options: float) -> DataFrame:

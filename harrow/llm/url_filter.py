@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import materialise
+from harrow.llm.common import discard, materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stand for a variable segment, and for a literal segment whose branches were merged.
@@ -48,71 +48,93 @@ def _at(segments: Column, level: int, max_depth: int) -> Column:
     return F.when(F.size(segments) >= level, F.array_join(tail, "/"))
 
 
+def _marked(template: str, level: int, mark: str) -> Column:
+    """A template with another segment number ``level`` (from 1)."""
+    return F.transform(template, lambda s, i: F.when(i == level - 1, F.lit(mark)).otherwise(s))
+
+
 def path_templates(urls: DataFrame, max_depth: int = 6, min_children: int = 8, min_share: float = 0.05) -> DataFrame:
     """``urls`` (host, path, any other columns) with a column ``template``: array of segments, variable ones as ``*``.
 
     The tree is built level by level: at a node (host and template so far) with ``min_children`` or more different
-    next segments, those that fewer than ``min_share`` of its rows have are variable, and numbers are everywhere. A node keeps at most
-    1 / min_share literals, so the table of literals stays small beside the urls; it is joined with salted
-    keys, as one host or branch may hold a large part of all rows. Segments past ``max_depth`` count as one.
+    next segments, those that fewer than ``min_share`` of its rows have are variable, and numbers are everywhere. A node
+    keeps at most 1 / min_share literals, so the table of literals stays small beside the urls. One host or branch may
+    hold a large part of all rows, so children meet their node's totals, and rows their literals, by salted keys.
+    Segments past ``max_depth`` count as one. A column ``template`` of ``urls`` is replaced.
     """
-    rows = urls.withColumn("__segments", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn(
-        "template", F.array().cast("array<string>")
-    )
+    kept = [c for c in urls.columns if c.lower() != "template"]
+    rows = urls.select(
+        F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col("host"), F.array().cast("array<string>").alias("template"),
+        F.filter(F.split("path", "/"), lambda s: s != "").alias("segments"),
+    )
     rows = materialise(rows, "url-templates")
-    deepest = rows.agg(F.max(F.least(F.size("__segments"), F.lit(max_depth)))).first()[0] or 0
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    deepest = rows.agg(F.max(F.least(F.size("segments"), F.lit(max_depth)))).first()[0] or 0
     for level in range(1, deepest + 1):
-        rows = rows.withColumn("__next", _at(F.col("__segments"), level, max_depth))
-        children = rows.where("__next is not null").groupBy("host", "template", "__next").agg(F.count(F.lit(1)).alias("n"))
-        nodes = children.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("kinds"))
+        rows = rows.withColumn("next", _at(F.col("segments"), level, max_depth))
+        children = rows.where("next IS NOT NULL").groupBy("host", "template", "next").agg(F.count(F.lit(1)).alias("n"))
+        children = materialise(children.withColumn("salt", F.pmod(F.xxhash64("next"), F.lit(SALTS)).cast("int")), "url-children")
+        nodes = children.groupBy("host", "template", "salt").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
+        nodes = nodes.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("kinds").alias("kinds"))
         literals = (
-            children.join(nodes, ["host", "template"])
+            children.join(nodes.withColumn("salt", salts), ["host", "template", "salt"])
             .where((F.col("kinds") < min_children) | (F.col("n") >= min_share * F.col("all_n")))
-            .where(~F.col("__next").rlike(NUMBER))
-            .select("host", "template", "__next", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"), F.lit(True).alias("__literal"))
-        )
-        salted = rows.withColumn("__salt", F.pmod(F.xxhash64("path", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
-        segment = F.when(F.col("__literal"), F.col("__next")).otherwise(F.lit(WILD))
-        rows = materialise(
-            salted.join(literals, ["host", "template", "__next", "__salt"], "left")
-            .withColumn("template", F.when(F.col("__next").isNull(), F.col("template")).otherwise(F.array_append("template", segment)))
-            .drop("__next", "__salt", "__literal"),
-            "url-templates",
+            .where(~F.col("next").rlike(NUMBER))
+            .select("host", "template", "next", salts.alias("salt"), F.lit(True).alias("literal"))
         )
-    return rows.drop("__segments")
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("segments", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+        segment = F.when(F.col("literal"), F.col("next")).otherwise(F.lit(WILD))
+        grown = F.when(F.col("next").isNull(), F.col("template")).otherwise(F.array_append("template", segment))
+        below = salted.join(literals, ["host", "template", "next", "salt"], "left")
+        rows = materialise(below.select("row", "host", grown.alias("template"), "segments"), "url-templates")
+        discard(children)
+    return rows.select("row.*", "template")
 
 
-def template_purity(rows: DataFrame, max_depth: int = 6, z: float = 2.0, pseudo: float = 1.0) -> DataFrame:
-    """host, template, merged, labelled, purity: each template's class after merging, and its smoothed share of bad labels.
+def merged_templates(rows: DataFrame, max_depth: int = 6, z: float = 2.0, pseudo: float = 1.0) -> DataFrame:
+    """host, template, labelled, bad, merged: each template's counts of labels and the class it is merged into.
 
     ``rows`` have host, template and bad (true, false, or null without a label). From the last segment to the first,
-    templates of a host that differ only in the literal there are compared: labelled ones whose share of bad
-    rows is within ``z`` standard errors of the share of all of them merge, and so do unlabelled ones among themselves.
-    purity = (bad + pseudo) / (labelled + 2 * pseudo) of the merged class, so an unlabelled class has one half.
+    templates of a host that differ only in the literal there, and so agree in all that is below it, are compared.
+    Labelled ones whose share of bad rows is within ``z`` standard errors of the share of all of them merge. Unlabelled ones
+    join them if no labelled one stands apart, as the literal then makes no difference; else they merge among themselves.
     """
     stats = rows.groupBy("host", "template").agg(F.count("bad").alias("labelled"), F.count_if(F.col("bad")).alias("bad"))
-    stats = stats.withColumn("merged", F.col("template"))
+    stats = materialise(stats.withColumn("merged", F.col("template")), "url-classes")
     for level in range(max_depth, 0, -1):
         here = F.get("merged", F.lit(level - 1))
-        masked = F.transform("merged", lambda s, i: F.when(i == level - 1, F.lit(MERGED)).otherwise(s))
-        stats = stats.withColumn("__masked", F.when(here.isNotNull() & (here != WILD), masked).otherwise(F.col("merged")))
-        branch = stats.groupBy("host", "__masked", "merged").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("k"))
-        pool = branch.groupBy("host", "__masked").agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k"))
+        masked = _marked("merged", level, MERGED)
+        stats = stats.withColumn("masked", F.when(here.isNotNull() & (here != WILD), masked))
+        branch = stats.where("masked IS NOT NULL").groupBy("host", "masked", "merged").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("k"))
+        pool = branch.groupBy("host", "masked").agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k"))
         share = (F.col("all_k") + pseudo) / (F.col("all_n") + 2 * pseudo)
         off = F.abs((F.col("k") + pseudo) / (F.col("n") + 2 * pseudo) - share)
-        alike = (F.col("n") == 0) | (off <= z * F.sqrt(share * (1 - share) / F.col("n")))
-        kind = F.when(F.col("n") == 0, "0").otherwise("1")  # with or without labels
-        marked = F.transform("__masked", lambda s, i: F.when(i == level - 1, F.concat(F.lit(MERGED), kind)).otherwise(s))
-        moves = branch.join(pool, ["host", "__masked"]).select(
-            "host", "merged", F.when(alike & (F.col("__masked") != F.col("merged")), marked).otherwise(F.col("merged")).alias("__to")
-        )
-        stats = stats.join(moves, ["host", "merged"]).select("host", "template", "labelled", "bad", F.col("__to").alias("merged"))
-        stats = materialise(stats, "url-classes")
-    classes = stats.groupBy("host", "merged").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    purity = (F.col("bad") + pseudo) / (F.col("labelled") + 2 * pseudo)
-    return stats.select("host", "template", "merged").join(
-        classes.select("host", "merged", "labelled", purity.alias("purity")), ["host", "merged"]
-    )
+        alike = (F.col("n") > 0) & (off <= z * F.sqrt(share * (1 - share) / F.col("n")))
+        judged = branch.join(pool, ["host", "masked"]).withColumn("alike", alike)
+        agreed = judged.where("n > 0").groupBy("host", "masked").agg(F.bool_and("alike").alias("agreed"))
+        joins = F.col("alike") | ((F.col("n") == 0) & F.coalesce("agreed", F.lit(False)))
+        to = F.when(joins, F.col("masked")).when(F.col("n") == 0, _marked("masked", level, MERGED + "?"))
+        moves = judged.join(agreed, ["host", "masked"], "left").select("host", "merged", to.alias("to"))
+        moved = stats.join(moves, ["host", "merged"], "left").select("host", "template", "labelled", "bad", F.coalesce("to", "merged").alias("merged"))
+        stats = materialise(moved, "url-classes")
+    return stats
+
+
+def template_purity(classes: DataFrame, pseudo: float = 1.0, weight: float = 4.0) -> DataFrame:
+    """host, template, merged, labelled, purity of :func:`merged_templates`: the smoothed share of bad labels.
+
+    A host's purity is (bad + pseudo) / (labelled + 2 * pseudo). That of each node below, down to the merged template, is
+    (bad + weight * purity of the node above) / (labelled + weight) over all labels under the node. So a template without
+    labels has the purity of the nearest node above that has some, and one half if its host has none.
+    """
+    merged = classes.groupBy("host", "merged").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    paths = merged.select("host", "merged", "labelled", "bad", F.explode(F.sequence(F.lit(0), F.size("merged"))).alias("level"))
+    paths = materialise(paths.withColumn("node", F.expr("slice(merged, 1, level)")), "url-nodes")
+    nodes = paths.groupBy("host", "node").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("k"))
+    steps = paths.join(nodes, ["host", "node"]).groupBy("host", "merged").agg(F.array_sort(F.collect_list(F.struct("level", "n", "k"))).alias("steps"))
+    down = lambda above, s: F.when(s["level"] == 0, (s["k"] + pseudo) / (s["n"] + 2 * pseudo)).otherwise((s["k"] + weight * above) / (s["n"] + weight))
+    purity = steps.select("host", "merged", F.aggregate("steps", F.lit(0.5), down).alias("purity"))
+    return classes.select("host", "template", "merged").join(purity, ["host", "merged"]).join(merged.drop("bad"), ["host", "merged"])
 
 
 def judge_urls(pages: DataFrame, rules: dict[str, str], threshold: float = 0.8, max_depth: int = 6) -> DataFrame:
@@ -128,12 +150,12 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], threshold: float = 0.8,
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     urls = urls.withColumn("rule", matching_rule(F.col("host"), F.col("path"), list(rules)))
     given = reduce(lambda c, r: c.when(F.col("rule") == r, F.lit(rules[r])), rules, F.when(F.lit(False), F.lit("")))
-    rows = path_templates(urls, max_depth).withColumn("__given", given).withColumn("bad", F.col("__given") == "block")
-    purity = template_purity(rows, max_depth).select(
-        "host", "template", "purity", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")
+    rows = path_templates(urls, max_depth).withColumn("given", given).withColumn("bad", F.col("given") == "block")
+    purity = template_purity(merged_templates(rows, max_depth)).select(
+        "host", "template", "purity", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     )
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
-    verdict = F.coalesce("__given", F.when(F.col("purity") >= threshold, F.lit("block")).otherwise(F.lit("allow")))
-    return salted.join(purity, ["host", "template", "__salt"]).select(
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
+    verdict = F.coalesce("given", F.when(F.col("purity") >= threshold, F.lit("block")).otherwise(F.lit("allow")))
+    return salted.join(purity, ["host", "template", "salt"]).select(
         "page_id", "host", "path", "rule", verdict.alias("verdict"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity"
     )

@@ -7,6 +7,7 @@ import re
 from array import array
 
 from harrow.llm.bpe import byte_alphabet
+from harrow.llm.common import Memory, worker_memory
 
 #: Splits a lower-case word of printable ASCII and accented Latin letters as the vocabulary file's own pattern
 #: does; fixed by the vocabulary.
@@ -15,7 +16,7 @@ PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u012f\u013
 PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
 
 
-class WordTokens(dict):
+class WordTokens(Memory):
     """Maps a white-space delimited word (UTF-8) to its ids as little-endian unsigned 32-bit integers.
 
     No token spans white space and normalisation works inside a word, so a text's ids are those of its
@@ -23,36 +24,30 @@ class WordTokens(dict):
     encodes; every other word goes through the whole tokenizer.
     """
 
-    def __init__(self, tokenizer_file: str, max_words: int = 600_000):
+    def __init__(self, tokenizer_file: str, max_bytes: int = 48 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(max_bytes)
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.max_words = max_words
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Memory(max_bytes // 2)
         self.byte_names = {byte: name for name, byte in byte_alphabet().items()}
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.max_words:
-            self.clear()
         text = word.decode("utf-8", "replace")
         if "<|" not in text and PLAIN.fullmatch(text):
             ids = b"".join([self.pieces.get(p) or self._piece(p) for p in PIECES.findall(text.lower())])
         else:
             ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        self[word] = ids
-        return ids
+        return self.remember(word, ids, len(ids))
 
     def _piece(self, piece: str) -> bytes:
-        if len(self.pieces) >= self.max_words:
-            self.pieces.clear()
         shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_names)
-        ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        return ids
+        ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return self.pieces.remember(piece, ids, len(ids))
 
     def encode(self, text: str | None) -> bytes:
         data = (text or "").encode("utf-8", "replace")
@@ -61,11 +56,6 @@ class WordTokens(dict):
         return b"".join(map(self.__getitem__, data.split()))
 
 
-_held: dict[str, WordTokens] = {}
-
-
 def word_tokens(tokenizer_file: str) -> WordTokens:
     """One per Python worker and file; its memory of words serves later tasks of the worker too."""
-    if tokenizer_file not in _held:
-        _held[tokenizer_file] = WordTokens(tokenizer_file)
-    return _held[tokenizer_file]
+    return worker_memory(("word tokens", tokenizer_file), lambda: WordTokens(tokenizer_file))

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import gzip
+import re
+import time
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from harrow.llm import langid, queries, simhash, warc
 from harrow.llm.ann import nearest
 from harrow.llm.common import shared_dir
-from harrow.llm.html_text import extract, html_to_text
+from harrow.llm.html_text import extract, html_to_text, title_of
 from harrow.llm.url_filter import judge_urls
 
 RULES = queries.URL_RULES
@@ -57,6 +61,87 @@ def test_url_templates_learn_from_labels_and_odd_rows(spark):
     assert judge_urls(pages.limit(0), rules).count() == 0
 
 
+def brute_templates(urls: list[tuple[str, str]], min_children: int = 8, min_share: float = 0.05, max_depth: int = 6) -> list[tuple]:
+    """The template of each (host, path), built from a plain tree."""
+    cut = []
+    for _, path in urls:
+        parts = [p for p in path.split("/") if p]
+        cut.append(parts if len(parts) < max_depth else [*parts[: max_depth - 1], "/".join(parts[max_depth - 1 :])])
+    templates = [() for _ in urls]
+    for level in range(max_depth):
+        children: dict = {}
+        for (host, _), parts, t in zip(urls, cut, templates, strict=True):
+            if len(parts) > level:
+                children.setdefault((host, t), Counter())[parts[level]] += 1
+        for i, ((host, _), parts) in enumerate(zip(urls, cut, strict=True)):
+            if len(parts) > level:
+                node, s = children[host, templates[i]], parts[level]
+                literal = (len(node) < min_children or node[s] >= min_share * node.total()) and not re.fullmatch(r"[0-9]+(\.[A-Za-z0-9]+)?", s)
+                templates[i] = (*templates[i], s if literal else "*")
+    return templates
+
+
+def brute_purity(labels: dict[tuple, tuple[int, int]], max_depth: int = 6) -> dict[tuple, float]:
+    """Purity of each (host, template) from its counts of labels and of bad ones."""
+    merged = {key: key[1] for key in labels}
+    for level in range(max_depth - 1, -1, -1):
+        branches: dict = {}
+        for key, now in merged.items():
+            if len(now) > level and now[level] != "*":
+                masked = (key[0], (*now[:level], "+", *now[level + 1 :]))
+                n, k = branches.setdefault(masked, {}).get(now, (0, 0))
+                branches[masked][now] = (n + labels[key][0], k + labels[key][1])
+        to = {}
+        for (host, masked), some in branches.items():
+            share = (sum(k for _, k in some.values()) + 1) / (sum(n for n, _ in some.values()) + 2)
+            near = {b: abs((k + 1) / (n + 2) - share) <= 2 * (share * (1 - share) / n) ** 0.5 for b, (n, k) in some.items() if n}
+            for b, (n, _) in some.items():
+                if near[b] if n else near and all(near.values()):
+                    to[host, b] = masked
+                elif not n:
+                    to[host, b] = (*masked[:level], "+?", *masked[level + 1 :])
+        merged = {key: to.get((key[0], now), now) for key, now in merged.items()}
+    sums: dict = {}
+    for key, now in merged.items():
+        for i in range(len(now) + 1):
+            n, k = sums.get((key[0], now[:i]), (0, 0))
+            sums[key[0], now[:i]] = (n + labels[key][0], k + labels[key][1])
+    out = {}
+    for key, now in merged.items():
+        for i in range(len(now) + 1):
+            n, k = sums[key[0], now[:i]]
+            out[key] = (k + 4 * out[key]) / (n + 4) if i else (k + 1) / (n + 2)
+    return out
+
+
+def check_urls(rows: list, rules: dict[str, str]) -> None:
+    templates = brute_templates([(r.host, r.path) for r in rows])
+    assert [r.template for r in rows] == ["/" + "/".join(t) for t in templates]
+    labels: dict = {}
+    for r, t in zip(rows, templates, strict=True):
+        n, k = labels.get((r.host, t), (0, 0))
+        labels[r.host, t] = (n + (r.rule is not None), k + (rules.get(r.rule) == "block"))
+    purity = brute_purity(labels)
+    for r, t in zip(rows, templates, strict=True):
+        assert r.purity == pytest.approx(purity[r.host, t], abs=1e-12), (r.host, t)
+        assert r.verdict == (rules[r.rule] if r.rule else "block" if r.purity >= 0.8 else "allow")
+
+
+def test_url_templates_purity_and_verdicts_equal_brute_force(spark, sf):
+    check_urls(queries.op2_url_filter(spark, sf).collect(), RULES)
+    rng = np.random.default_rng(2)
+    rules = {f"{h}.test/{s}/": v for h in "abc" for s, v in (("s1", "block"), ("s2", "block" if h == "a" else "allow"), ("s3/x", "block"))}
+    urls = [
+        f"http://{h}.test/s{rng.integers(1, 6)}/{'xyz'[rng.integers(3)]}/{rng.choice(['page', 'item', 'view'])}{rng.integers(40)}/{rng.integers(1000)}"
+        for h in rng.choice(list("abcd"), 900)
+    ]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    rows = judge_urls(pages, rules).collect()
+    check_urls(rows, rules)
+    unruled = Counter((r.host, r.verdict) for r in rows if r.rule is None)
+    assert unruled["a.test", "block"] and not unruled["d.test", "block"] and unruled["d.test", "allow"]
+
+
 def test_nearest_has_exact_scores_and_recall(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
     ids, vectors = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
@@ -72,6 +157,41 @@ def test_nearest_has_exact_scores_and_recall(spark, sf):
     assert hits >= 0.9 * total
 
 
+def measured(spark, vectors: np.ndarray, **options) -> tuple[float, float]:
+    """Recall of 10 nearest against brute force, and the share of all vectors that a query is compared with."""
+    table = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<double>").repartition(3)
+    found, compared = {}, {}
+    for r in nearest(table, table.where("vec_id % 100 = 0"), counted=True, **options).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+        compared.setdefault(r.query_id, {})[r.compared] = r.compared
+    hits = 0
+    for q in range(0, len(vectors), 100):
+        distance = ((vectors - vectors[q]) ** 2).sum(axis=1)
+        distance[q] = np.inf
+        assert len(found[q]) == 10
+        hits += len(found[q] & set(np.argsort(distance)[:10].tolist()))
+    asked = len(range(0, len(vectors), 100))
+    return hits / asked / 10, float(np.mean([sum(c) for c in compared.values()])) / len(vectors)
+
+
+def test_nearest_compares_few_vectors_where_neighbours_are_near(spark):
+    rng = np.random.default_rng(11)
+    middles = rng.normal(size=(300, 24))
+    vectors = middles[rng.integers(0, 300, 9000)] + rng.normal(size=(9000, 24)) * 0.15
+    for shard_rows in (20_000, 1_500):  # one shard, and several that queries must choose from
+        recall, share = measured(spark, vectors, shard_rows=shard_rows)
+        print(f"{len(vectors)} vectors, shards of {shard_rows}: recall {recall:.3f}, compared with {share:.3f}")
+        assert recall >= 0.9 and share < 0.1
+
+
+def test_nearest_fills_up_from_all_shards_and_splits_crowded_ones(spark):
+    rng = np.random.default_rng(12)
+    crowd = rng.normal(size=8) + rng.normal(size=(900, 8)) * 1e-3
+    lonely = rng.normal(size=(100, 8)) * 5
+    recall, _ = measured(spark, np.concatenate((crowd, lonely)), shard_rows=50, query_rows=4)
+    assert recall >= 0.9
+
+
 def test_nearest_of_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [2.0, 0.0]), (8, [1.0]), (None, [1.0, 0.0])]
     table = spark.createDataFrame([(*r, 9) for r in rows], "vec_id long, embedding array<float>, dim int")
@@ -95,6 +215,41 @@ def test_warc_round_trip_filters_and_odd_rows(spark, tmp_path):
     assert warc.page_records(pages.limit(0)).count() == 0
 
 
+def test_warc_of_an_empty_table_and_leftovers_of_lost_attempts(spark, tmp_path):
+    warc.register(spark)
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.page_records(pages).write.format("warc").mode("append").save(f"{tmp_path}/w")
+    assert spark.read.format("warc").load(f"{tmp_path}/w").count() == 0
+    writer = warc.WarcWriter(str(tmp_path / "w"), 1 << 20, 1)
+    record = dict.fromkeys([*warc.HEADER_COLUMNS, "payload_length", "payload"]) | {"record_type": "response", "payload": b"x"}
+    batch = pa.RecordBatch.from_pylist([record], schema=pa.schema([*((c, pa.string()) for c in warc.HEADER_COLUMNS), ("payload_length", pa.int64()), ("payload", pa.binary())]))
+    lost, done = writer.write(iter([batch])), writer.write(iter([batch]))
+    assert lost.files != done.files
+    writer.commit([done])
+    assert len(list((tmp_path / "w").glob("*.warc.gz"))) == 1 and not list((tmp_path / "w").glob("*.part"))
+    assert spark.read.format("warc").load(f"{tmp_path}/w").count() == 1
+
+
+@pytest.mark.parametrize("zipped", [False, True])
+def test_warc_malformed_records_fail_or_are_rows_of_their_own(spark, tmp_path, zipped):
+    good = lambda i: f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:{i}>\r\nContent-Length: 4\r\n\r\nbody\r\n\r\n".encode()
+    bad = [
+        b"WARC/1.0\r\nWARC-Type: resource\r\n\r\nno length\r\n\r\n",
+        b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: many\r\n\r\nbad length\r\n\r\n",
+        b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 900\r\n\r\ncut",
+    ]
+    parts = [good(1), bad[0], good(2), bad[1], good(3), bad[2]]
+    (tmp_path / "a.warc").write_bytes(b"".join(gzip.compress(p) for p in parts) if zipped else b"".join(parts))
+    warc.register(spark)
+    with pytest.raises(Exception, match="malformed"):
+        spark.read.format("warc").load(str(tmp_path)).collect()
+    rows = spark.read.format("warc").option("malformed", "mark").load(str(tmp_path)).collect()
+    assert Counter(r.record_type for r in rows) == {"resource": 3, "malformed": 3}
+    assert {r.record_id for r in rows if r.record_type == "resource"} == {"<urn:1>", "<urn:2>", "<urn:3>"}
+    kept = spark.read.format("warc").option("malformed", "mark").load(str(tmp_path)).where("record_type = 'resource'")
+    assert kept.count() == 3
+
+
 def test_warc_reads_plain_files_and_passes_over_other_records(spark, tmp_path):
     record = lambda kind, body: f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{kind}>\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
     data = record("warcinfo", b"a: b\r\n\r\n") + record("resource", b"\r\n\r\nhello") + record("metadata", b"")
@@ -143,6 +298,71 @@ def test_html_keeps_all_visible_text(page, words):
     assert sorted(html_to_text(page).split()) == sorted(words.split())
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr><td rowspan=2>A<td>B<tr><td>C<tr><td>D<td>E</table>", "A  B\n   C\nD  E"),
+        ("<table><tr><td colspan=2>A<td>B<tr><td>1<td>2<td>3</table>", "A     B\n1  2  3"),
+        ("<table><tr><td rowspan=0>A<td>B<tr><td>C<tbody><tr><td>D</table>", "A  B\n   C\nD"),
+        ("<table>loose<tr><td>a</table>", "loose\n\na"),
+        ("<ul><li><p>a</p><li><p>b</p><p>c</p></ul>", "- a\n- b\n\n  c"),
+        ("<ul><li><ul><li>x<li>y</ul></ul>", "- - x\n  - y"),
+        ("<form><input type=submit value='Send it'><input value=no></form>", "Send it"),
+        ("<p title=\"it's>a</p>b", "a\n\nb"),
+        ("a <b x", "a <b x"),
+    ],
+)
+def test_html_layout_of_tables_lists_and_forms(page, text):
+    assert html_to_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page", ["<a " * 30_000, '<a ">" ' * 30_000, "<b x='" * 30_000, "<" * 60_000, "<div>" * 30_000 + "deep", "<ul><li>" * 5_000 + "x", "<table><tr><td>" * 1_000 + "x", "<title" * 30_000]
+)
+def test_html_takes_time_in_proportion_to_its_length(page):
+    began = time.process_time()
+    html_to_text(page)
+    title_of(page)
+    assert time.process_time() - began < 20
+
+
+class VisibleWords(HTMLParser):
+    """Words of the text nodes of a page whose elements are all closed, without those in hidden elements."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.hidden: list[str] = []
+        self.words: Counter = Counter()
+
+    def handle_starttag(self, tag, attrs):
+        style = dict(attrs).get("style") or ""
+        unseen = tag in ("head", "script", "style", "template", "noscript", "title") or "hidden" in dict(attrs) or "display:none" in style.replace(" ", "")
+        if tag == "img":
+            self.words.update((dict(attrs).get("alt") or "").split())
+        elif tag not in ("br", "meta", "link", "hr", "input") and (self.hidden or unseen):
+            self.hidden.append(tag)
+
+    def handle_endtag(self, tag):
+        if self.hidden and tag in self.hidden:
+            while self.hidden.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.words.update(data.split())
+
+
+def test_html_text_has_the_visible_words_of_every_page(spark, sf):
+    mark = re.compile(r"^(-|[0-9]+\.)$")  # of list items
+    rows = queries.op10_html_text(spark, sf).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect()
+    for r in rows:
+        walk = VisibleWords()
+        walk.feed(r.html or "")
+        walk.close()
+        without = lambda words: Counter({w: n for w, n in words.items() if not mark.match(w)})
+        assert without(Counter(r.text.split())) == without(walk.words), r.page_id
+
+
 def test_html_of_odd_rows(spark, sf):
     rows = [(1, None), (2, ""), (2, ""), (None, "<p>x"), (3, "<" * 2000), (4, "<div>" * 3000 + "deep"), (5, "a < b & c &nope; &#0;"), (6, "<td>cell</p></table>")]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, html string, n_lines int")

@@ -108,6 +108,25 @@ def test_level_choice_minimises_the_sum_of_squares():
         assert int((windows.count[1:32] ** 2).sum()) == min(costs)
 
 
+@pytest.mark.parametrize("documents", [0, 1, 7, 300, 3000])
+def test_windows_are_filled_up_without_moving_more_than_their_gaps(documents):
+    rng = np.random.default_rng(documents)
+    windows = packing.Windows(256, 0, 500)
+    source = {i: rng.integers(0, 9, int(rng.integers(1, 400)), dtype=np.uint32) for i in range(documents)}
+    out = [p for i, ids in source.items() for p in windows.add(i, ids.tobytes())]
+    gaps = sum((256 - level) * n for level, n in enumerate(windows.count.tolist()))
+    before = windows.moved
+    out += list(windows.flush())
+    assert windows.moved - before <= gaps and windows.n_open == 0
+    fill = Counter()
+    for _, _, length, _, _, sequence, _ in out:
+        fill[sequence] += length
+    assert all(n == 256 or not n & (n - 1) for n in fill.values()) and sum(n < 256 for n in fill.values()) <= 8 * (1 + documents // 500)
+    for i, ids in source.items():
+        mine = sorted((start, part) for d, start, _, part, *_ in out if d == i)
+        assert b"".join(part for _, part in mine) == ids.tobytes()
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("aAé'’sSltdT  \n\t09-.<|>")), max_size=60))
 def test_tokens_equal_the_library(text):
@@ -151,36 +170,45 @@ def test_exact_duplicates_of_odd_rows(odd):
     assert drop_exact_duplicates(odd.limit(0)).count() == 0
 
 
-def brute_scores(rows: list, prior: float) -> dict:
+def brute_scores(rows: list, weights: tuple[float, float]) -> dict:
     tokens = {i: (text or "").encode().lower().split() for i, text in rows}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
-    c1, c2 = Counter(), Counter()
+    c1, c2, c3 = Counter(), Counter(), Counter()
     for i, ws in tokens.items():
         if not held[i]:
-            c1.update([*ws, "END"])
-            c2.update(zip(["START", *ws], [*ws, "END"], strict=True))
-            c1["START"] += 1
+            s = ["START", *ws, "END"]
+            c1.update(s)
+            c2.update(zip(s, s[1:], strict=False))
+            c3.update(zip(s, s[1:], s[2:], strict=False))
     n = sum(v for k, v in c1.items() if k != "START")
     v = sum(k != "START" for k in c1)
     unknown = (sum(x == 1 for k, x in c1.items() if k != "START") + 1) / (n + 2)
     out = {}
     for i, ws in tokens.items():
         base = score = 0.0
-        for h, w in zip(["START", *ws], [*ws, "END"], strict=True):
+        s = ["START", *ws, "END"]
+        for j, w in enumerate(s[1:], 1):
             base += math.log10((c1[w] + 1) / (n + v + 1))
             p = (1 - unknown) * c1[w] / n if c1[w] else unknown
-            score += math.log10((c2[h, w] + prior * p) / (c1[h] + prior))
+            a = weights[0] * c1[s[j - 1]] / (c1[s[j - 1]] + 1)
+            p = a * c2[s[j - 1], w] / max(c1[s[j - 1]], 1) + (1 - a) * p
+            if j > 1:
+                h = c2[s[j - 2], s[j - 1]]
+                a = weights[1] * h / (h + 1)
+                p = a * c3[s[j - 2], s[j - 1], w] / max(h, 1) + (1 - a) * p
+            score += math.log10(p)
         out[i] = (held[i], len(ws) + 1, sum(c1[w] > 0 for w in [*ws, "END"]), n, base, score)
     return out
 
 
 def test_lm_scores_equal_brute_force_and_beat_the_base(spark, sf, texts):
-    rows = queries.op3_lm_score(spark, sf).collect()
-    expected = brute_scores(texts, 2000.0)
-    assert len(rows) == len(texts)
-    for r in rows:
-        assert tuple(r)[1:5] == expected[r.doc_id][:4]
-        assert tuple(r)[5:] == pytest.approx(expected[r.doc_id][4:], rel=1e-9)
+    expected = brute_scores(texts, (0.2, 0.6))
+    small = lm_scores(spark.read.parquet(f"{sf}/documents.parquet"), block_bytes=20_000, bucket_bytes=30_000)
+    for rows in (queries.op3_lm_score(spark, sf).collect(), small.collect()):  # whatever the blocks and buckets
+        assert len(rows) == len(texts)
+        for r in rows:
+            assert tuple(r)[1:5] == expected[r.doc_id][:4]
+            assert tuple(r)[5:] == pytest.approx(expected[r.doc_id][4:], rel=1e-9)
     unseen = [r for r in rows if r.held_out]
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
@@ -268,16 +296,31 @@ def test_simhash_components_equal_brute_force(spark, sf, texts, odd):
 def test_forest_connects_what_all_pairs_connect(size):
     rng = np.random.default_rng(size)
     base = rng.integers(0, 2**63, (max(1, size // 8), 1)).astype(np.uint64)
-    values = base[rng.integers(0, len(base), size)]
+    values = base[rng.integers(0, len(base), size)][:, 0]
     for _ in range(3):
-        values[:, 0] ^= np.uint64(1) << rng.integers(0, 64, size).astype(np.uint64)
+        values ^= np.uint64(1) << rng.integers(0, 64, size).astype(np.uint64)
     keys = np.sort(rng.integers(0, 3, size))
-    pairs = simhash.forest(values, keys, 4, np.arange(size))
-    near = [(i, j) for i in range(size) for j in range(i) if keys[i] == keys[j] and int(values[i, 0] ^ values[j, 0]).bit_count() <= 4]
+    pairs = simhash.forest(values, keys, 4, simhash.reference_distances(values))
+    near = [(i, j) for i in range(size) for j in range(i) if keys[i] == keys[j] and int(values[i] ^ values[j]).bit_count() <= 4]
     assert components(size, pairs) == components(size, near)
     assert len(pairs) == size - len(set(components(size, near))) and set(pairs) <= {(j, i) for i, j in near}
 
 
+def test_crowded_buckets_are_split_and_lose_no_link(spark):
+    rng = np.random.default_rng(9)
+    values = np.repeat(rng.integers(0, 2**63, 3, dtype=np.uint64), 120)
+    for _ in range(6):
+        values ^= np.uint64(1) << rng.integers(0, 64, len(values)).astype(np.uint64)
+    values = np.unique(values).view(np.int64)
+    nodes = spark.createDataFrame([(v,) for v in values.tolist()], "fingerprint long")
+    near = np.bitwise_count(values.view(np.uint64)[:, None] ^ values.view(np.uint64)[None, :]) <= 4
+    place = {v: i for i, v in enumerate(values.tolist())}
+    for rows_ in (10, 1_000_000):
+        found = [(place[r.a], place[r.b]) for r in simhash.fingerprint_links(nodes, bucket_rows=rows_).collect()]
+        assert all(near[i, j] for i, j in found)
+        assert components(len(values), found) == components(len(values), zip(*np.nonzero(near), strict=True))
+
+
 def test_near_copies_go_and_others_stay(spark):
     rng = np.random.default_rng(1)
     words = [f"w{i}" for i in range(5000)]
