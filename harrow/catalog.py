@@ -1,5 +1,6 @@
 """All queries of the library by name, with their SQL."""
 
-from harrow.plans.queries import ORACLE_SQL, QUERIES
+from harrow.plans import crop_queries, queries  # noqa: F401  # they register their queries
+from harrow.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

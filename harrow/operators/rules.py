@@ -9,38 +9,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Kinds of values that can be compared with each other, by the type of a column.
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
 def condition(tree: dict | str | None, columns: dict[str, str]) -> Column:
     """A condition tree ``{"all": [{field, op, value}]}`` as a boolean column, never null.
 
-    ``columns``: name -> type of the context. An empty tree is true; a clause on a missing field, a null one, or a value of
-    another kind is false, also for ``nin``.
+    ``columns``: name -> type of the context. An empty tree is true. A clause is false, whatever its operator, if its field
+    is not named, not in the context or null (a null is a missing observation, also for ``nin``), if the operator is not
+    known, or if the value can't be compared with the field: a list with ``eq`` or an order, no list or text with ``in``.
+    Values of another kind (text, number, boolean) are equal to nothing, so they are in no list and ``nin`` passes them by.
+    A text with ``in`` is searched for the field's text.
     """
     parsed = json.loads(tree) if isinstance(tree, str) else tree or {}
-    return reduce(lambda a, b: a & b, (_clause(c, columns) for c in parsed.get("all", [])), F.lit(True))
+    return reduce(lambda a, b: a & b, (_clause(c, columns) for c in parsed.get("all") or []), F.lit(True))
+
+
+def _kind(value: object) -> str | None:
+    return "boolean" if isinstance(value, bool) else "number" if isinstance(value, int | float) else "string" if isinstance(value, str) else None
 
 
 def _clause(clause: dict, columns: dict[str, str]) -> Column:
-    name, op, value = clause["field"], clause["op"], clause.get("value")
+    name, op, value = clause.get("field"), clause.get("op"), clause.get("value")
     if name not in columns:
         return F.lit(False)
-    field = F.col(f"`{name}`")
-    textual = columns[name] == "string"
-    values = value if isinstance(value, list) else [value]
-    if any(v is not None and isinstance(v, str) != textual for v in values) and op not in ("nin",):
-        return F.lit(False)
-    tests = {
-        "eq": lambda: field == F.lit(value), "lte": lambda: field <= F.lit(value), "gte": lambda: field >= F.lit(value), "gt": lambda: field > F.lit(value),
-        "lt": lambda: field < F.lit(value), "in": lambda: field.isin(values), "nin": lambda: ~field.isin([v for v in values if isinstance(v, str) == textual]),
-    }
-    if op not in tests:
-        return F.lit(False)
-    return field.isNotNull() & F.coalesce(tests[op](), F.lit(False))
+    field, kind = F.col(f"`{name}`"), columns[name].split("(")[0]
+    kind = "number" if kind in NUMBERS else kind
+    test: Column | None = None
+    if op in ("in", "nin"):
+        if isinstance(value, list):
+            test = field.isin([v for v in value if _kind(v) == kind])
+        elif isinstance(value, str) and kind == "string":
+            test = F.lit(value).contains(field)
+        if test is not None and op == "nin":
+            test = ~test
+    elif _kind(value) == kind:
+        compare = {"eq": field.__eq__, "lte": field.__le__, "gte": field.__ge__, "gt": field.__gt__, "lt": field.__lt__}.get(op)
+        test = compare(F.lit(value)) if compare else None
+    return F.lit(False) if test is None else field.isNotNull() & F.coalesce(test, F.lit(False))
+
+
+RULE_DDL = "struct<rule_id:string,priority:int,urgency:string,template:string>"
 
 
 def match_rules(contexts: DataFrame, rules: list[dict], species_column: str = "species") -> DataFrame:
     """contexts x rules that hold: an active rule without species links is generic, else it holds for its species only.
 
-    The rules are few and compiled; each context row is read once and exploded to the rules that match.
+    The rules are few and compiled; each context row is read once and exploded to the rules that match. No rules, or none
+    that is active, give no rows.
     """
     columns = dict(contexts.dtypes)
     found = []
@@ -49,13 +66,14 @@ def match_rules(contexts: DataFrame, rules: list[dict], species_column: str = "s
             continue
         fits = condition(rule.get("conditions"), columns)
         if links := rule.get("species_links"):
-            fits = fits & F.coalesce(F.col(species_column).isin(links), F.lit(False))
-        action = rule.get("action", {})
+            fits = fits & (F.coalesce(F.col(species_column).isin(links), F.lit(False)) if species_column in columns else F.lit(False))
+        action = rule.get("action") or {}
         found.append(F.when(fits, F.struct(
-            F.lit(rule["id"]).alias("rule_id"), F.lit(rule.get("priority", 0)).alias("priority"), F.lit(action.get("urgency")).cast("string").alias("urgency"),
-            F.lit(action.get("description_template", "")).alias("template"),
+            F.lit(rule["id"]).alias("rule_id"), F.lit(rule.get("priority", 0)).cast("int").alias("priority"),
+            F.lit(action.get("urgency")).cast("string").alias("urgency"), F.lit(action.get("description_template", "")).alias("template"),
         )))
-    return contexts.withColumn("rule", F.explode(F.array_compact(F.array(*found)))).select(*contexts.columns, "rule.*")
+    held = F.array(*found).cast(f"array<{RULE_DDL}>")
+    return contexts.withColumn("rule", F.explode(F.array_compact(held))).select(*contexts.columns, "rule.*")
 
 
 def render(template: Column, values: dict[str, Column]) -> Column:

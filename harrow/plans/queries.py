@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,27 +12,16 @@ from harrow.operators import hygiene as H
 from harrow.operators import rules as R
 from harrow.operators import varieties as V
 from harrow.plans.backtest import backtest, meets_slo
+from harrow.plans.registry import query
 from harrow.sources.tables import LINK_SQL, SITE_SQL, TRIAL_SQL, table, trial_links, trial_sites, variety_trials
 from harrow.streaming import advisories as S
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 DOMAIN = f"WITH {SITE_SQL}, {TRIAL_SQL}, {LINK_SQL}"
 NOW = 2026
 TARGET = V.Target(rainfall=700.0, et0=1000.0, frost=30.0, elevation=500.0, climate_class="EUROPE")
 CROP = "STANDARD"
 
 
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _domain(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     trials = variety_trials(spark, d)
     return trials, trial_links(trials), trial_sites(spark, d)
@@ -215,46 +202,45 @@ def soil_types(spark: SparkSession, d: str) -> DataFrame:
 
 
 BACKTEST_SQL = f"""{DOMAIN}, {VECTORS},
-    sp AS (SELECT max(aridity) - min(aridity) AS sa, max(CASE WHEN aridity IS NOT NULL THEN rainfall END) - min(CASE WHEN aridity IS NOT NULL THEN rainfall END) AS sr,
-        max(CASE WHEN aridity IS NOT NULL THEN frost_days END) - min(CASE WHEN aridity IS NOT NULL THEN frost_days END) AS sf,
-        max(CASE WHEN aridity IS NOT NULL THEN elevation END) - min(CASE WHEN aridity IS NOT NULL THEN elevation END) AS se FROM vec),
-    pairs AS (SELECT a.site_id AS fold_id, b.site_id, b.name, round(CASE WHEN b.aridity IS NOT NULL THEN sqrt((2 * pow((b.aridity - a.aridity) / sa, 2)
-        + pow((b.rainfall - a.rainfall) / CAST(sr AS DOUBLE), 2) + pow((b.frost_days - a.frost_days) / CAST(sf AS DOUBLE), 2)
-        + 0.5 * pow((b.elevation - a.elevation) / CAST(se AS DOUBLE), 2)) / 4.5) WHEN a.climate_class = b.climate_class THEN 2.0 END, 4) AS distance
-        FROM vec a, vec b, sp WHERE a.aridity IS NOT NULL),
-    near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold_id ORDER BY distance, name, site_id) AS r FROM pairs WHERE distance IS NOT NULL) t WHERE r <= 50),
-    obs AS (SELECT fold_id, crop, variety, avg(yield_kg_ha) AS observed FROM (
-        SELECT DISTINCT l.site_id AS fold_id, crop, variety_norm AS variety, v.trial_id, yield_kg_ha FROM variety_trial v JOIN trial_at l ON v.trial_id = l.trial_id
-        WHERE {USABLE} AND yield_kg_ha IS NOT NULL AND NOT derived AND l.site_id IN (SELECT fold_id FROM near)) t GROUP BY ALL),
-    pt AS (SELECT fold_id, crop, variety_norm AS variety, v.trial_id, year, yield_kg_ha, max(1.0 / (1.0 + distance)) AS ws
-        FROM variety_trial v JOIN trial_at l ON v.trial_id = l.trial_id JOIN near n ON n.site_id = l.site_id
-        WHERE {USABLE} AND yield_kg_ha IS NOT NULL AND n.fold_id <> n.site_id
-          AND NOT EXISTS (SELECT 1 FROM trial_at x WHERE x.trial_id = v.trial_id AND x.site_id = n.fold_id) GROUP BY ALL),
-    w AS (SELECT *, ws * CASE WHEN {NOW} - year > 0 THEN pow(0.5, ({NOW} - year) / 8.0) ELSE 1.0 END AS w FROM pt),
-    pred AS (SELECT fold_id, crop, variety, sum(w * yield_kg_ha) / sum(w) AS predicted FROM w GROUP BY ALL),
-    err AS (SELECT o.fold_id, o.crop, abs(observed - predicted) AS error FROM obs o LEFT JOIN pred USING (fold_id, crop, variety)),
-    po AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold_id, crop ORDER BY round(observed, 4) DESC, variety) AS r FROM obs) t WHERE r <= 3),
-    pp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold_id, crop ORDER BY round(predicted, 4) DESC, variety) AS r FROM pred) t WHERE r <= 3),
-    ov AS (SELECT po.fold_id, po.crop, count(pp.variety) / CAST(count(*) AS DOUBLE) AS overlap FROM po LEFT JOIN pp USING (fold_id, crop, variety) GROUP BY ALL),
-    facts AS (SELECT fold_id, crop, error, NULL AS overlap, 1 AS pair FROM err UNION ALL SELECT fold_id, crop, NULL, overlap, NULL FROM ov),
-    named AS (SELECT f.*, climate_class FROM facts f JOIN trial_site s ON s.site_id = f.fold_id)"""
-
-
-@query(BACKTEST_SQL + """ SELECT crop, climate_class, count(overlap) AS folds, count(error) AS pairs, round(median(error), 2) AS median_abs_error, round(avg(overlap), 4) AS top3_overlap,
-    round(count(error) / CAST(count(pair) AS DOUBLE), 4) AS coverage FROM named GROUP BY GROUPING SETS ((), (crop), (climate_class))""")
+    sp AS (SELECT max(aridity) - min(aridity) AS sa, max(rainfall) - min(rainfall) AS sr, max(frost_days) - min(frost_days) AS sf, max(elevation) - min(elevation) AS se FROM vec WHERE aridity IS NOT NULL),
+    fold AS (SELECT * FROM vec WHERE climate_class IS NOT NULL),
+    pairs AS (SELECT a.site_id AS fold_id, a.name AS fold_name, b.site_id, b.name, CASE WHEN a.aridity IS NULL THEN 0.0 WHEN b.aridity IS NULL THEN 2.0
+            ELSE round(sqrt((2 * pow((b.aridity - a.aridity) / sa, 2) + pow((b.rainfall - a.rainfall) / CAST(sr AS DOUBLE), 2)
+                + pow((b.frost_days - a.frost_days) / CAST(sf AS DOUBLE), 2) + 0.5 * pow((b.elevation - a.elevation) / CAST(se AS DOUBLE), 2)) / 4.5), 4) END AS distance
+        FROM fold a, vec b, sp WHERE a.climate_class = b.climate_class OR (a.aridity IS NOT NULL AND b.aridity IS NOT NULL)),
+    near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold_id ORDER BY distance, name, site_id) AS r FROM pairs) t WHERE r <= 50 AND lower(name) <> lower(fold_name)),
+    trial AS (SELECT DISTINCT trial_id, crop, variety_norm AS variety, year, yield_kg_ha, derived FROM variety_trial WHERE {USABLE} AND yield_kg_ha IS NOT NULL),
+    obs AS (SELECT f.site_id AS fold_id, climate_class, crop, variety, avg(yield_kg_ha) AS observed FROM trial t JOIN trial_at l USING (trial_id) JOIN fold f ON f.site_id = l.site_id WHERE NOT derived GROUP BY ALL),
+    pt AS (SELECT fold_id, fold_name, crop, variety, t.trial_id, year, yield_kg_ha, max(1.0 / (1.0 + distance)) AS ws
+        FROM trial t JOIN trial_at l ON t.trial_id = l.trial_id JOIN near n ON n.site_id = l.site_id GROUP BY ALL),
+    w AS (SELECT *, ws * CASE WHEN {NOW} - year > 0 THEN pow(0.5, ({NOW} - year) / 8.0) ELSE 1.0 END AS w FROM pt
+        WHERE NOT EXISTS (SELECT 1 FROM trial_at x JOIN trial_site s ON s.site_id = x.site_id WHERE x.trial_id = pt.trial_id AND lower(s.name) = lower(fold_name))),
+    pred AS (SELECT *, row_number() OVER (PARTITION BY fold_id, crop ORDER BY predicted DESC, variety) AS place
+        FROM (SELECT fold_id, crop, variety, round(sum(w * yield_kg_ha) / sum(w), 1) AS predicted FROM w GROUP BY ALL) t),
+    per AS (SELECT o.*, predicted, place, row_number() OVER (PARTITION BY o.fold_id, o.crop ORDER BY round(observed, 4) DESC, o.variety) AS top
+        FROM obs o LEFT JOIN (SELECT * FROM pred WHERE place <= 500) p ON p.fold_id = o.fold_id AND p.crop = o.crop AND p.variety = o.variety),
+    folds AS (SELECT fold_id, climate_class, crop, count(CASE WHEN top <= 3 AND place <= 3 THEN 1 END) / CAST(count(CASE WHEN top <= 3 THEN 1 END) AS DOUBLE) AS hit,
+        EXISTS (SELECT 1 FROM pred p WHERE p.fold_id = per.fold_id AND p.crop = per.crop) AS covered FROM per GROUP BY fold_id, climate_class, crop),
+    shares AS (SELECT crop, climate_class, round(coalesce(avg(CASE WHEN covered THEN hit END), 0.0), 3) AS top3_overlap, round(count(CASE WHEN covered THEN 1 END) / CAST(count(*) AS DOUBLE), 3) AS coverage,
+        count(*) AS folds FROM folds GROUP BY GROUPING SETS ((), (crop), (climate_class))),
+    errors AS (SELECT crop, climate_class, round(median(abs(predicted - observed)), 1) AS median_abs_error, count(predicted) AS error_pairs FROM per GROUP BY GROUPING SETS ((), (crop), (climate_class))),
+    report AS (SELECT s.crop, s.climate_class, median_abs_error, top3_overlap, coverage, folds, error_pairs
+        FROM shares s JOIN errors e ON s.crop IS NOT DISTINCT FROM e.crop AND s.climate_class IS NOT DISTINCT FROM e.climate_class)"""
+
+
+@query(BACKTEST_SQL + " SELECT * FROM report")
 def backtest_by_level(spark: SparkSession, d: str) -> DataFrame:
     """Leave-one-site-out accuracy over all, by crop and by climate."""
     trials, links, sites = _domain(spark, d)
     return backtest(trials, links, sites, NOW)
 
 
-@query(BACKTEST_SQL + """ SELECT CAST(NULL AS STRING) AS crop, CAST(NULL AS STRING) AS climate_class, count(overlap) AS folds, count(error) AS pairs, round(median(error), 2) AS median_abs_error,
-    round(avg(overlap), 4) AS top3_overlap, round(count(error) / CAST(count(pair) AS DOUBLE), 4) AS coverage,
-    round(avg(overlap), 4) >= 0.01 AND round(median(error), 2) <= 2000 AND round(count(error) / CAST(count(pair) AS DOUBLE), 4) >= 0.5 AS ok FROM named""")
+@query(BACKTEST_SQL + """ SELECT *, top3_overlap >= 0.193 AND median_abs_error <= 857.0 AND coverage >= 0.906 AS gate_ok,
+    top3_overlap >= 0.25 AND median_abs_error <= 800.0 AND coverage >= 0.90 AS owner_ok FROM report WHERE crop IS NULL AND climate_class IS NULL""")
 def backtest_slo(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the overall accuracy meets thresholds."""
+    """Whether the overall accuracy passes the gate and meets the owner's target."""
     trials, links, sites = _domain(spark, d)
-    return meets_slo(backtest(trials, links, sites, NOW), 0.01, 2000.0, 0.5)
+    return meets_slo(backtest(trials, links, sites, NOW))
 
 
 STAGE_SQL = """stages AS (SELECT DISTINCT p_type AS species, concat('stage', CAST(p_size % 5 AS STRING)) AS stage, CASE WHEN p_size % 5 = 4 THEN NULL ELSE (p_size % 5) * 300 END AS gdd_min,

@@ -9,6 +9,7 @@ import pytest
 from harrow.operators import hygiene as H
 from harrow.operators import rules as R
 from harrow.operators import varieties as V
+from harrow.plans.backtest import exact_median, nearest_by_features
 from harrow.plans.queries import TARGET
 from harrow.sources import bundles as B
 from harrow.streaming import advisories as S
@@ -77,6 +78,53 @@ def test_conditions_fail_safe(spark):
     assert not held(clause("stage", "nin", ["a"])) and not held(clause("none", "nin", ["a"])) and not held(clause("value", "gt", "x")) and not held(clause("value", "odd", 1))
 
 
+@pytest.mark.parametrize(
+    ("clause", "held"),
+    [
+        ({"field": "value", "op": "gt", "value": [1]}, False),
+        ({"field": "value", "op": "eq", "value": True}, False),
+        ({"field": "on", "op": "eq", "value": True}, True),
+        ({"field": "on", "op": "eq", "value": 1}, False),
+        ({"op": "eq", "value": 1}, False),
+        ({"field": "value", "op": "in", "value": 5}, False),
+        ({"field": "value", "op": "in", "value": ["5", True, 5]}, True),
+        ({"field": "value", "op": "nin", "value": ["5"]}, True),
+        ({"field": "value", "op": "nin", "value": None}, False),
+        ({"field": "name", "op": "in", "value": "a long name"}, True),
+        ({"field": "name", "op": "nin", "value": "a long name"}, False),
+        ({"field": "name", "op": "lt", "value": "zz"}, True),
+        ({"field": "none", "op": "nin", "value": ["a"]}, False),
+        ({"field": "list", "op": "eq", "value": [1]}, False),
+    ],
+)
+def test_clauses_never_raise(spark, clause, held):
+    row = spark.createDataFrame([(5.0, True, "long", None, [1])], "value double, on boolean, name string, none string, list array<int>")
+    assert row.select(R.condition({"all": [clause]}, dict(row.dtypes)).alias("x")).first().x is held
+
+
+def test_rules_that_are_absent_or_inactive_give_no_rows(spark):
+    row = spark.createDataFrame([(5.0,)], "value double")
+    for rules in ([], [{"id": "a", "active": False}], [{"id": "b", "species_links": ["wheat"]}]):
+        matched = R.match_rules(row, rules)
+        assert matched.columns == ["value", "rule_id", "priority", "urgency", "template"] and matched.count() == 0
+    assert R.match_rules(row, [{"id": "c"}]).first().rule_id == "c"
+
+
+def test_grid_of_features_finds_the_nearest_sites(spark):
+    rows = [(i, f"s{i % 37}", "X" if i % 3 else None, None if i % 11 == 0 else (i * 37) % 900, 600 + (i * 53) % 800, (i * 7) % 90, (i * 131) % 1800) for i in range(150)]
+    sites = spark.createDataFrame(rows, "site_id long, name string, climate_class string, rainfall int, et0 int, frost_days int, elevation int")
+    whole = {(r.fold_id, r.site_id, r.distance) for r in nearest_by_features(sites, 5, cell_rows=1_000).collect()}
+    for cell_rows in (1, 4):
+        assert {(r.fold_id, r.site_id, r.distance) for r in nearest_by_features(sites, 5, cell_rows=cell_rows).collect()} == whole
+    assert len(whole) == 5 * sum(r[3] is not None for r in rows)
+
+
+def test_exact_median_equals_the_sorted_middle(spark):
+    values = [("a", float(v)) for v in (5, 1, 1, 9)] + [("b", 2.5), ("b", None), ("b", 2.25), ("b", 2.75), (None, 7.0), ("c", None)]
+    got = {r.k: r.median for r in exact_median(spark.createDataFrame(values, "k string, x double"), ["k"], "x", 2).collect()}
+    assert got == {"a": 3.0, "b": 2.5, None: 7.0}
+
+
 def test_stream_gives_the_changes_of_the_batch_and_replays_safely(spark, tmp_path):
     source, sink, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
     rows = [("t", "CropStatus", p, st, f"2024-01-{d:02d}T00:00:00Z", 60.0, "wheat") for d, (p, st) in enumerate([(1, "a"), (1, "a"), (2, "a"), (1, "b"), (2, None), (2, "a"), (1, "a")], 1)]
