@@ -109,25 +109,25 @@ def drainage_class(group: Column, ksat: Column) -> Column:
 
 
 def koppen(temp: Column, rain: Column, coldest: Column, warmest: Column, driest: Column, wettest: Column) -> Column:
-    """Main climate groups from annual and seasonal figures; nulls mean that a figure is not known."""
-    dry = F.lit(20) * (temp + 7)
-    hot = temp >= 18
-    polar = F.when(coldest > 0, "ET").otherwise("EF")
-    arid = F.when(rain < dry / 2, F.when(hot, "BWh").otherwise("BWk")).otherwise(F.when(hot, "BSh").otherwise("BSk"))
-    tropical = F.when(driest >= 60, "Af").when(driest.isNotNull() & (rain >= F.lit(25) * (F.lit(100) - driest)), "Am").otherwise("Aw")
-    winter = F.coalesce(wettest == "winter", F.lit(False))
-    warm = F.when(winter, "Csa").when(driest < 30, "Cwa").otherwise("Cfa")
-    mild = F.when(winter, "Csb").otherwise("Cfb")
-    cold = (
-        F.when(warmest >= 22, F.when(winter, "Dwa").otherwise("Dfa"))
-        .when(warmest >= 10, F.when(winter, "Dwb").otherwise("Dfb"))
-        .when(warmest.isNotNull(), "Dfc")
-        .otherwise("Dfb")
-    )
-    return (
-        F.when(temp.isNull() | rain.isNull(), "Unknown").when(warmest < 10, polar).when(rain < dry, arid).when(coldest >= 18, tropical)
-        .when((coldest > -3) | (coldest == -3), F.when(warmest >= 22, warm).otherwise(mild)).when(coldest < -3, cold).otherwise("Unknown")
-    )
+    """Main climate groups from annual and seasonal figures; nulls mean that a figure is not known.
+
+    The classes are tried in this order; a condition on a figure that is not known doesn't hold.
+    """
+    dry, hot, winter = 20 * (temp + 7), temp >= 18, wettest == "winter"
+    desert, steppe = (rain < dry) & (rain < dry / 2), rain < dry
+    tropical, temperate, continental = coldest >= 18, coldest >= -3, coldest < -3
+    classes = [
+        ("Unknown", temp.isNull() | rain.isNull()),
+        ("ET", (warmest < 10) & (coldest > 0)), ("EF", warmest < 10),
+        ("BWh", desert & hot), ("BWk", desert), ("BSh", steppe & hot), ("BSk", steppe),
+        ("Af", tropical & (driest >= 60)), ("Am", tropical & (rain >= 25 * (100 - driest))), ("Aw", tropical),
+        ("Csa", temperate & (warmest >= 22) & winter), ("Cwa", temperate & (warmest >= 22) & (driest < 30)), ("Cfa", temperate & (warmest >= 22)),
+        ("Csb", temperate & winter), ("Cfb", temperate),
+        ("Dwa", continental & (warmest >= 22) & winter), ("Dfa", continental & (warmest >= 22)),
+        ("Dwb", continental & (warmest >= 10) & winter), ("Dfb", continental & (warmest >= 10)),
+        ("Dfc", continental & warmest.isNotNull()), ("Dfb", continental),
+    ]
+    return F.coalesce(*(F.when(condition, name) for name, condition in classes), F.lit("Unknown"))
 
 
 def photoperiod_hours(latitude: Column, day: int = 172) -> Column:
@@ -145,14 +145,14 @@ def saxton_rawls(sand_pct: Column, clay_pct: Column, om_pct: Column) -> dict[str
     """Soil water by the Saxton-Rawls regressions: wilting point, field capacity, saturation, conductivity, capacity."""
     clamp = lambda c, top: F.greatest(F.lit(0.1), F.least(F.lit(top), c)) / 100
     s, c, o = clamp(sand_pct, 99.9), clamp(clay_pct, 99.9), clamp(om_pct, 10.0)
-    poly = lambda a, b, d, so, co, sc, k: s * a + c * b + o * d + s * o * so + c * o * co + s * c * sc + k
+    poly = lambda a, b, d, so, co, sc, k: a * s + b * c + d * o + so * s * o + co * c * o + sc * s * c + k
     wp = poly(-0.024, 0.487, 0.006, 0.005, -0.013, 0.068, 0.031)
-    wp = wp + (wp * 0.14 - 0.02)
+    wp = wp + (0.14 * wp - 0.02)
     fc = poly(-0.251, 0.195, 0.011, 0.006, -0.027, 0.452, 0.299)
-    fc = fc + (fc * fc * 1.283 - fc * 0.374 - 0.015)
+    fc = fc + (1.283 * fc * fc - 0.374 * fc - 0.015)
     extra = poly(0.278, 0.034, 0.022, -0.018, -0.027, -0.584, 0.078)
-    extra = extra + (extra * 0.636 - 0.107)
-    sat = fc + extra - s * 0.097 + 0.043
+    extra = extra + (0.636 * extra - 0.107)
+    sat = fc + extra - 0.097 * s + 0.043
     slope = (F.log(fc) - F.log(wp)) / (F.log(F.lit(1500.0)) - F.log(F.lit(33.0)))
     ksat = F.when(sat > fc, F.lit(1930.0 * 24) * F.pow(sat - fc, F.lit(3.0) - slope))
     return {"theta_wp": wp, "theta_fc": fc, "theta_sat": sat, "k_sat_mm_d": ksat, "awc_mm_m": F.greatest(F.lit(0.01), fc - wp) * 1000}

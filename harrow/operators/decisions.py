@@ -14,29 +14,30 @@ def phenology_cascade(asked: DataFrame, stages: DataFrame, params: DataFrame) ->
     """For each question (query_id, species, stage?, gdd?, cultivar?, management?) the stage and its best parameters.
 
     Stage: by name, else the one whose half-open degree-day range holds gdd, else the first that has parameters.
-    Parameters: exact cultivar and management, then management alone, then the default, then any other. Questions of
-    unknown species keep a row of nulls.
+    Parameters: exact cultivar and management, then management alone, then the default, then any other; of several of a
+    kind the one with the smallest kc. Questions of unknown species keep a row of nulls.
+
+    A species' stages are one array, and parameters are reduced to the best of each kind before a question meets them, so
+    each question stays one row and no window is needed.
     """
     has = stages.join(params.select("species", "stage").distinct(), ["species", "stage"], "left_semi")
-    s = has.select("species", F.col("stage").alias("s_stage"), "gdd_min", "gdd_max")
-    rank = (
-        F.when(F.lower("stage") == F.lower("s_stage"), 0)
-        .when((F.col("gdd") >= F.col("gdd_min")) & (F.col("gdd") < F.col("gdd_max")), 1)
-        .otherwise(2)
-    )
-    staged = asked.join(s, "species", "left").withColumn("__rank", rank)
-    first = Window.partitionBy("query_id").orderBy("__rank", F.col("gdd_min").asc_nulls_last(), "s_stage")
-    chosen = staged.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "__rank", "gdd_min", "gdd_max")
-    p = params.select("species", F.col("stage").alias("s_stage"), F.col("cultivar").alias("p_cultivar"), F.col("management").alias("p_management"), "is_default", "kc")
-    fit = (
-        F.when((F.col("p_cultivar") == F.col("cultivar")) & (F.col("p_management") == F.col("management")), 0)
-        .when(F.col("p_cultivar").isNull() & (F.col("p_management") == F.col("management")), 1)
-        .when(F.col("is_default"), 2)
-        .otherwise(3)
-    )
-    ranked = chosen.join(p, ["species", "s_stage"], "left").withColumn("priority", fit)
-    best = Window.partitionBy("query_id").orderBy("priority", F.col("kc").asc_nulls_last())
-    return ranked.withColumn("__n", F.row_number().over(best)).where("__n = 1").select("query_id", F.col("s_stage").alias("matched_stage"), "priority", "kc")
+    of_species = has.groupBy("species").agg(F.collect_list(F.struct("stage", "gdd_min", "gdd_max")).alias("stages"))
+    asked = asked.select("query_id", "species", F.lower("stage").alias("named"), "gdd", "cultivar", "management")
+    staged = asked.join(of_species, "species", "left")
+    held = lambda s: (F.col("gdd") >= s["gdd_min"]) & (F.col("gdd") < s["gdd_max"])
+    rank = lambda s: F.when(F.col("named") == F.lower(s["stage"]), 0).when(held(s), 1).otherwise(2)
+    order = F.transform("stages", lambda s: F.struct(rank(s).alias("rank"), s["gdd_min"].isNull().alias("open"), s["gdd_min"].alias("gdd_min"), s["stage"].alias("stage")))
+    chosen = staged.select("query_id", "species", "cultivar", "management", F.array_min(order)["stage"].alias("stage"))
+    kc = F.struct(F.lit(True).alias("known"), F.min("kc").alias("kc"))
+    stage = ["species", "stage"]
+    exact = params.where("cultivar IS NOT NULL AND management IS NOT NULL").groupBy(*stage, "cultivar", "management").agg(kc.alias("exact"))
+    managed = params.where("cultivar IS NULL AND management IS NOT NULL").groupBy(*stage, "management").agg(kc.alias("managed"))
+    usual = params.where("is_default").groupBy(*stage).agg(kc.alias("usual"))
+    other = params.groupBy(*stage).agg(kc.alias("other"))
+    met = chosen.join(exact, [*stage, "cultivar", "management"], "left").join(managed, [*stage, "management"], "left").join(usual, stage, "left").join(other, stage, "left")
+    priority = F.when(F.col("exact.known"), 0).when(F.col("managed.known"), 1).when(F.col("usual.known"), 2).otherwise(3)
+    best = F.coalesce("exact", "managed", "usual", "other")
+    return met.select("query_id", F.col("stage").alias("matched_stage"), priority.alias("priority"), best["kc"].alias("kc"))
 
 
 def next_crops(crops: DataFrame, rules: DataFrame) -> DataFrame:

@@ -76,6 +76,26 @@ def similar_sites(sites: DataFrame, target: Target, limit: int | None = 50) -> D
     return ranked.orderBy("distance", "name", "site_id").limit(limit) if limit else ranked
 
 
+def environment_of(sites: DataFrame, name: str) -> Target | None:
+    """The environment of a site known by its name or municipality (the first by id), or None if there is none."""
+    wanted = F.lit(name.lower())
+    row = sites.where((F.lower("name") == wanted) | (F.lower("municipality") == wanted)).orderBy("site_id").first()
+    if row is None:
+        return None
+    return Target(row["rainfall"], row["et0"], row["frost_days"], row["elevation"], row["climate_class"])
+
+
+def soil_gate(asked: DataFrame, ranked: DataFrame, tolerance: DataFrame, soils: DataFrame) -> DataFrame:
+    """The ranking (crop, variety, ...) for each asked parcel_id and crop, with the soil's verdict and whether it excludes the variety.
+
+    ``tolerance``: crop, ph_min, ph_max, textures, drainages. ``soils``: parcel_id, ph, texture, drainage. A crop without
+    tolerance and a parcel without soil give ``unknown``, which excludes nothing; only ``unsuitable`` does.
+    """
+    parts = A.soil_verdict(*(F.col(c) for c in ("ph", "ph_min", "ph_max", "texture", "textures", "drainage", "drainages")))
+    judged = asked.join(tolerance, "crop", "left").join(soils, "parcel_id", "left").select("parcel_id", "crop", parts["verdict"].alias("soil_verdict"))
+    return judged.join(ranked, "crop").withColumn("excluded_by_soil", F.col("soil_verdict") == "unsuitable")
+
+
 def trial_weights(trials: DataFrame, links: DataFrame, sites: DataFrame, now_year: int, half_life: float = 8.0,
                   regime: str | None = None, regime_penalty: float = 0.4, keys: tuple[str, ...] = ()) -> DataFrame:
     """One row per trial (and key) with weight w: nearest site x recency x match of the water regime.

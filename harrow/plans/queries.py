@@ -11,6 +11,7 @@ from harrow.operators import decisions as D
 from harrow.operators import hygiene as H
 from harrow.operators import rules as R
 from harrow.operators import varieties as V
+from harrow.operators.backfills import first_per_key
 from harrow.plans.backtest import backtest, meets_slo
 from harrow.plans.registry import query
 from harrow.sources.tables import LINK_SQL, SITE_SQL, TRIAL_SQL, table, trial_links, trial_sites, variety_trials
@@ -100,11 +101,59 @@ def extrapolate_varieties(spark: SparkSession, d: str) -> DataFrame:
     return _flat(V.extrapolate(trials, links, sites, CROP, TARGET, NOW))
 
 
-@query(_extrapolate_sql("supplier#7"))
+@query(_extrapolate_sql("supplier#000000007"))
 def extrapolate_holdout(spark: SparkSession, d: str) -> DataFrame:
     """J4 without any trial seen at one site."""
     trials, links, sites = _domain(spark, d)
-    return _flat(V.extrapolate(trials, links, sites, CROP, TARGET, NOW, exclude_sites=["supplier#7"]))
+    return _flat(V.extrapolate(trials, links, sites, CROP, TARGET, NOW, exclude_sites=["supplier#000000007"]))
+
+
+REFERENCE_SITE = "Supplier#000000001"
+
+
+@query(f"""{DOMAIN}, {VECTORS}, sp AS (SELECT max(aridity) - min(aridity) AS sa, max(rainfall) - min(rainfall) AS sr, max(frost_days) - min(frost_days) AS sf, max(elevation) - min(elevation) AS se FROM vec WHERE aridity IS NOT NULL),
+    t AS (SELECT * FROM vec WHERE lower(name) = lower('{REFERENCE_SITE}')),
+    near AS (SELECT s.site_id, s.name, round(CASE WHEN s.aridity IS NULL THEN 2.0 ELSE sqrt((2 * pow((s.aridity - t.aridity) / sa, 2) + pow((s.rainfall - t.rainfall) / CAST(sr AS DOUBLE), 2)
+            + pow((s.frost_days - t.frost_days) / CAST(sf AS DOUBLE), 2) + 0.5 * pow((s.elevation - t.elevation) / CAST(se AS DOUBLE), 2)) / 4.5) END, 4) AS distance
+        FROM vec s, t, sp WHERE s.aridity IS NOT NULL OR s.climate_class = t.climate_class ORDER BY distance, s.name, s.site_id LIMIT 50),
+    per AS (SELECT v.trial_id, variety_norm AS variety, year, yield_kg_ha, regime, production, derived, confidence, max(1.0 / (1.0 + distance)) AS ws
+        FROM variety_trial v JOIN trial_at l ON v.trial_id = l.trial_id JOIN near n ON n.site_id = l.site_id WHERE {USABLE} AND crop = '{CROP}' GROUP BY ALL),
+    w AS (SELECT *, ws * CASE WHEN {NOW} - year > 0 THEN pow(0.5, ({NOW} - year) / 8.0) ELSE 1.0 END AS w FROM per)
+    SELECT variety, round(sum(w * yield_kg_ha) / sum(CASE WHEN yield_kg_ha IS NOT NULL THEN w END), 1) AS mean_yield, count(*) AS trial_count FROM w GROUP BY variety ORDER BY mean_yield DESC NULLS LAST, variety LIMIT 10""")
+def extrapolate_reference_site(spark: SparkSession, d: str) -> DataFrame:
+    """The best varieties for the environment of a known site."""
+    trials, links, sites = _domain(spark, d)
+    return V.extrapolate(trials, links, sites, CROP, V.environment_of(sites, REFERENCE_SITE), NOW).select("variety", "mean_yield", "trial_count")
+
+
+@query(f"""{DOMAIN}, t AS (SELECT DISTINCT trial_id, variety_norm AS variety, note, year, yield_kg_ha FROM variety_trial),
+    e AS (SELECT variety, year, trial_id, yield_kg_ha, note, unnest(['note', 'year']) AS name, unnest([CAST(note AS DOUBLE), CAST(year AS DOUBLE)]) AS value FROM t)
+    SELECT variety, name, value FROM (SELECT *, row_number() OVER (PARTITION BY variety, name ORDER BY year, trial_id, yield_kg_ha NULLS FIRST, note NULLS FIRST) AS r FROM e WHERE value IS NOT NULL) x WHERE r = 1""")
+def first_trait_values(spark: SparkSession, d: str) -> DataFrame:
+    """Of each variety's maps of traits the first value of each name, by year and trial."""
+    rows = variety_trials(spark, d).select("trial_id", F.col("variety_norm").alias("variety"), "note", "year", "yield_kg_ha").distinct()
+    pairs = F.map_filter(F.create_map(F.lit("note"), F.col("note").cast("double"), F.lit("year"), F.col("year").cast("double")), lambda _, v: v.isNotNull())
+    return first_per_key(rows.withColumn("traits", pairs), ["variety"], "traits", [F.col("year"), F.col("trial_id"), F.col("yield_kg_ha"), F.col("note")])
+
+
+@query(f"""{DOMAIN}, need AS (SELECT 'STANDARD' AS crop, 6.0 AS ph_min, 7.5 AS ph_max, 2 AS lo, 3 AS hi UNION ALL SELECT 'SMALL', 5.0, 6.5, 5, 6 UNION ALL SELECT 'LARGE', 5.5, 7.0, 0, 2),
+    r AS (SELECT crop, variety_norm AS variety, round(avg(yield_kg_ha), 1) AS mean_yield FROM (SELECT DISTINCT crop, variety_norm, trial_id, yield_kg_ha FROM variety_trial WHERE {USABLE}) t GROUP BY crop, variety_norm),
+    c AS (SELECT a.site_id, a.crop, ph_min, ph_max, lo, hi FROM (SELECT site_id, CASE site_id % 4 WHEN 0 THEN 'STANDARD' WHEN 1 THEN 'SMALL' WHEN 2 THEN 'LARGE' ELSE 'PROMO' END AS crop FROM trial_site) a LEFT JOIN need ON need.crop = a.crop),
+    g AS (SELECT site_id AS parcel_id, crop, greatest(ph_min - soil_ph, soil_ph - ph_max) AS ph_gap, CASE WHEN o IS NULL OR lo IS NULL THEN NULL ELSE least(abs(o - lo), abs(o - hi)) END AS t_gap
+        FROM (SELECT *, CASE soil_texture WHEN 'clay' THEN 6 WHEN 'loam' THEN 3 WHEN 'sandy_loam' THEN 2 WHEN 'Silty-Clay' THEN 5 END AS o FROM trial_site) s JOIN c USING (site_id)),
+    v AS (SELECT *, CASE WHEN ph_gap <= 0 THEN 0 WHEN ph_gap <= 0.5 THEN 1 WHEN ph_gap > 0.5 THEN 2 END AS p, CASE WHEN t_gap <= 1 THEN 0 WHEN t_gap <= 3 THEN 1 WHEN t_gap > 3 THEN 2 END AS t FROM g),
+    w AS (SELECT parcel_id, crop, CASE greatest(coalesce(p, -1), coalesce(t, -1)) WHEN 0 THEN 'suitable' WHEN 1 THEN 'marginal' WHEN 2 THEN 'unsuitable' ELSE 'unknown' END AS soil_verdict FROM v)
+    SELECT parcel_id, w.crop, variety, mean_yield, soil_verdict, soil_verdict = 'unsuitable' AS excluded_by_soil FROM r JOIN w ON w.crop = r.crop""")
+def soil_gated_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """Rankings of the crop asked for on each parcel, with the varieties that its soil excludes."""
+    rows = V.usable(variety_trials(spark, d)).select("crop", F.col("variety_norm").alias("variety"), "trial_id", "yield_kg_ha").distinct()
+    ranked = rows.groupBy("crop", "variety").agg(F.round(F.avg("yield_kg_ha"), 1).alias("mean_yield"))
+    need = [("STANDARD", 6.0, 7.5, ["sandy loam", "loam"]), ("SMALL", 5.0, 6.5, ["silty clay", "clay"]), ("LARGE", 5.5, 7.0, ["sand", "sandy loam"])]
+    tolerance = spark.createDataFrame([(*n, None) for n in need], "crop string, ph_min double, ph_max double, textures array<string>, drainages array<string>")
+    sites = trial_sites(spark, d)
+    asked = sites.selectExpr("site_id AS parcel_id", "CASE site_id % 4 WHEN 0 THEN 'STANDARD' WHEN 1 THEN 'SMALL' WHEN 2 THEN 'LARGE' ELSE 'PROMO' END AS crop")
+    soils = sites.select(F.col("site_id").alias("parcel_id"), F.col("soil_ph").cast("double").alias("ph"), F.col("soil_texture").alias("texture"), F.lit(None).cast("string").alias("drainage"))
+    return V.soil_gate(asked, ranked, tolerance, soils).select("parcel_id", "crop", "variety", "mean_yield", "soil_verdict", "excluded_by_soil")
 
 
 @query(f"""{DOMAIN} SELECT crop, CAST(sum(n) AS BIGINT) AS numeric_yields, CASE WHEN coalesce(sum(n), 0) = 0 THEN 'none' WHEN sum(n) < 5 THEN 'sparse' ELSE 'direct' END AS evidence
