@@ -159,7 +159,7 @@ def test_query_matches_sql(spark, sf, name):
 
 
 def test_exact_duplicates_of_odd_rows(odd):
-    rows = exact_duplicates(odd, fan_in=2).collect()
+    rows = exact_duplicates(odd).collect()
     assert len(rows) == len(ODD) and sum(r.kept for r in rows) == 5
     same = [r for r in rows if r.doc_id in (1, 2, None)]
     assert {(r.keep_id, r.group_size) for r in same} == {(2, 4)} and sum(r.kept for r in same) == 1
@@ -170,6 +170,25 @@ def test_exact_duplicates_of_odd_rows(odd):
     assert drop_exact_duplicates(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("slice_rows", [1, 20, 100_000])
+def test_exact_duplicates_over_many_runs_and_slices(spark, slice_rows):
+    rng = np.random.default_rng(slice_rows)
+    rows = [(int(i) if i % 9 else None, f"text {rng.integers(120)}" + " " * int(rng.integers(4))) for i in range(900)]
+    rows += [(5000 + i, "hot text") for i in range(450)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(70)
+    got = exact_duplicates(docs, slice_rows=slice_rows).collect()
+    groups = defaultdict(list)
+    for doc_id, text in rows:
+        groups["".join(text.split())].append((-len(text), doc_id is None, doc_id or 0))
+    expected = Counter()
+    for bare, some in groups.items():
+        _, no_id, keep = min(some)
+        digest = hashlib.sha256(bare.encode()).hexdigest()
+        expected.update((None if n else d, None if no_id else keep, len(some), digest) for _, n, d in some)
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == expected
+    assert sum(r.kept for r in got) == len(groups) and all(r.doc_id == r.keep_id for r in got if r.kept)
+
+
 def brute_scores(rows: list, weights: tuple[float, float]) -> dict:
     tokens = {i: (text or "").encode().lower().split() for i, text in rows}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
