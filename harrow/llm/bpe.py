@@ -51,7 +51,7 @@ def forced_cuts(tokens: list[bytes]) -> np.ndarray:
 class ForcedBoundaryBPE(Memory):
     """Maps a fragment between two forced boundaries to its ids (little-endian unsigned 32-bit); bounded memory."""
 
-    def __init__(self, tokenizer_file: str, max_bytes: int = 64 << 20):
+    def __init__(self, tokenizer_file: str, max_bytes: int = 96 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
