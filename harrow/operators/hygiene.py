@@ -174,14 +174,20 @@ def canonical_sites(sites: DataFrame, radius_km: float = 15.0) -> DataFrame:
 
     Within a name the order of site_id counts: a site joins the first cluster whose first member is within the radius,
     sites without coordinates join the first cluster. One cluster keeps the name's key; more get the key with
-    rounded coordinates. The survivor is the member with most known attributes, then the largest id. The sites of
-    one name are few by nature; names that repeat are the only ones that leave the JVM.
+    rounded coordinates. The survivor is the member with most known attributes, then the largest id.
+
+    Only names that repeat leave the JVM, and of those each different pair of coordinates once, at its smallest site_id:
+    a later site of the same place joins the same cluster. So a task holds the different places of one name.
     """
     keyed = sites.withColumn("site_key", A.site_key(F.col("name")))
     known = sum((F.col(c).isNotNull().cast("int") for c in sites.columns if c not in ("site_id", "name")), F.lit(0))
     keyed = keyed.select("site_id", "site_key", "latitude", "longitude", known.alias("richness"))
+    # A site with one coordinate missing has no place.
+    whole = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    keyed = keyed.withColumns({"latitude": F.when(whole, F.col("latitude")), "longitude": F.when(whole, F.col("longitude"))})
     repeated = keyed.groupBy("site_key").agg(F.count(F.lit(1)).alias("n"))
     marked = keyed.join(repeated, "site_key")
+    places = marked.where("n > 1").groupBy("site_key", "latitude", "longitude").agg(F.min("site_id").alias("site_id"))
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
         from math import asin, cos, radians, sin, sqrt
@@ -208,9 +214,11 @@ def canonical_sites(sites: DataFrame, radius_km: float = 15.0) -> DataFrame:
             places.append(place)
         many = len(centers) > 1
         keys = [f"{k}#{centers[p][0]:.2f},{centers[p][1]:.2f}" if many and centers[p] else k for k, p in zip(group["site_key"], places, strict=True)]
-        return pd.DataFrame({"site_id": group["site_id"], "canonical_key": keys, "richness": group["richness"]})
+        return pd.DataFrame({"site_key": group["site_key"], "latitude": group["latitude"], "longitude": group["longitude"], "canonical_key": keys})
 
-    merged = marked.where("n > 1").groupBy("site_key").applyInPandas(cluster, "site_id long, canonical_key string, richness int")
+    named = places.groupBy("site_key").applyInPandas(cluster, "site_key string, latitude double, longitude double, canonical_key string")
+    same = [F.col("m.site_key") == F.col("c.site_key"), *(F.col(f"m.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("latitude", "longitude"))]
+    merged = marked.where("n > 1").alias("m").join(named.alias("c"), same).select("m.site_id", "c.canonical_key", "m.richness")
     alone = marked.where("n = 1").select("site_id", F.col("site_key").alias("canonical_key"), "richness")
     every = merged.unionAll(alone)
     best = every.groupBy("canonical_key").agg(F.max_by("site_id", F.struct("richness", "site_id")).alias("survivor_id"))

@@ -13,7 +13,7 @@ from harrow.operators import rules as R
 from harrow.operators import varieties as V
 from harrow.operators.backfills import first_per_key
 from harrow.plans.backtest import backtest, meets_slo
-from harrow.plans.registry import query
+from harrow.plans.registry import plain, query
 from harrow.sources.tables import LINK_SQL, SITE_SQL, TRIAL_SQL, table, trial_links, trial_sites, variety_trials
 from harrow.streaming import advisories as S
 
@@ -28,6 +28,11 @@ def _domain(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     return trials, trial_links(trials), trial_sites(spark, d)
 
 
+def _known_places(links: DataFrame, sites: DataFrame) -> DataFrame:
+    """Links to sites whose rainfall is known; trials at other sites alone count as orphans in the quality queries."""
+    return links.join(sites.where("rainfall IS NOT NULL").select("site_id"), "site_id", "left_semi")
+
+
 USABLE = "(yield_kg_ha IS NOT NULL OR note IS NOT NULL) AND coalesce(eligible, TRUE)"
 VECTORS = """vec AS (
     SELECT *, CASE WHEN rainfall IS NOT NULL AND frost_days IS NOT NULL AND elevation IS NOT NULL AND coalesce(et0, 0) <> 0
@@ -228,14 +233,14 @@ def graph_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{DOMAIN}, ids AS (SELECT trial_id, max(yield_kg_ha) AS y FROM variety_trial GROUP BY trial_id)
     SELECT (SELECT count(*) FROM ids) AS trials, (SELECT count(y) FROM ids) AS with_yield,
-      (SELECT count(*) FROM ids WHERE trial_id NOT IN (SELECT trial_id FROM trial_at WHERE site_id % 10 <> 0)) AS orphans,
-      (SELECT count(*) FROM trial_at WHERE site_id % 10 <> 0) AS links, (SELECT count(*) FROM trial_site) AS sites, (SELECT count(*) FROM trial_site WHERE climate_class IS NULL) AS unclassified,
+      (SELECT count(*) FROM ids WHERE trial_id NOT IN (SELECT trial_id FROM trial_at WHERE site_id IN (SELECT site_id FROM trial_site WHERE rainfall IS NOT NULL))) AS orphans,
+      (SELECT count(*) FROM trial_at WHERE site_id IN (SELECT site_id FROM trial_site WHERE rainfall IS NOT NULL)) AS links, (SELECT count(*) FROM trial_site) AS sites, (SELECT count(*) FROM trial_site WHERE climate_class IS NULL) AS unclassified,
       (SELECT count(*) FROM (SELECT 1 FROM trial_site GROUP BY lower(trim(municipality)) HAVING count(*) > 1)) AS repeated_names,
       (SELECT count(DISTINCT source_id) FROM variety_trial) AS sources, (SELECT round(100.0 * count(y) / count(*), 1) FROM ids) AS yield_pct""")
 def graph_quality(spark: SparkSession, d: str) -> DataFrame:
     """Completeness of trials, sites and links."""
     trials, links, sites = _domain(spark, d)
-    return C.quality(trials, sites, links.where("site_id % 10 <> 0"))
+    return C.quality(trials, sites, _known_places(links, sites))
 
 
 @query(f"WITH {SITE_SQL} SELECT DISTINCT climate_class FROM trial_site WHERE climate_class <> ''")
@@ -302,11 +307,8 @@ STAGE_SQL = """stages AS (SELECT DISTINCT p_type AS species, concat('stage', CAS
 
 
 def _phenology(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    part, events = table(spark, d, "part"), table(spark, d, "events")
-    part.createOrReplaceTempView("part")
-    events.createOrReplaceTempView("events")
     views = f"WITH {STAGE_SQL}"
-    return tuple(spark.sql(f"{views} SELECT * FROM {name}") for name in ("asked", "stages", "params"))
+    return tuple(plain(spark, d, f"{views} SELECT * FROM {name}") for name in ("asked", "stages", "params"))
 
 
 @query(f"""WITH {STAGE_SQL},
@@ -464,10 +466,8 @@ ROTATION_SQL = """crops AS (SELECT DISTINCT p_type AS crop FROM part), sc AS (SE
 
 
 def _rotation(spark: SparkSession, d: str, years: int) -> DataFrame:
-    for name in ("part", "supplier"):
-        table(spark, d, name).createOrReplaceTempView(name)
-    scores = spark.sql(f"WITH {ROTATION_SQL} SELECT previous, crop, score FROM sc")
-    return D.optimise_rotation(spark.sql(f"WITH {ROTATION_SQL} SELECT * FROM parcels"), scores, years)
+    scores = plain(spark, d, f"WITH {ROTATION_SQL} SELECT previous, crop, score FROM sc")
+    return D.optimise_rotation(plain(spark, d, f"WITH {ROTATION_SQL} SELECT * FROM parcels"), scores, years)
 
 
 @query(f"""WITH RECURSIVE {ROTATION_SQL}, plan AS (SELECT parcel_id, 1 AS year_no, k.crop, k.score, k.previous FROM parcels p JOIN rk k ON k.previous = p.previous AND k.r = 1
@@ -558,8 +558,7 @@ SEASON_SQL = """w AS (SELECT s_suppkey AS parcel_id, d AS day, CAST((s_suppkey +
     SELECT parcel_id, days, round(gdd, 1) AS gdd, round(stress, 3) AS stress FROM sim WHERE day = 200""")
 def season_simulation(spark: SparkSession, d: str) -> DataFrame:
     """Daily soil water and yield stress of a season."""
-    table(spark, d, "supplier").createOrReplaceTempView("supplier")
-    return D.season_simulation(spark.sql(f"WITH days AS (SELECT explode(sequence(1, 200)) AS d), {SEASON_SQL} SELECT * FROM w"))
+    return D.season_simulation(plain(spark, d, f"WITH days AS (SELECT explode(sequence(1, 200)) AS d), {SEASON_SQL} SELECT * FROM w"))
 
 
 @query("""WITH p AS (SELECT DISTINCT p_brand AS crop, p_name AS pest FROM part), j AS (SELECT a.crop AS crop_a, b.crop AS crop_b, a.pest FROM p a JOIN p b ON a.pest = b.pest AND a.crop < b.crop)
@@ -638,8 +637,7 @@ POINT = "SELECT c_custkey AS point_id, CAST(-75 + (c_custkey * 13) % 150 AS DOUB
     SELECT p.point_id, b.site_id, b.km FROM p LEFT JOIN b ON b.point_id = p.point_id""")
 def site_nearest(spark: SparkSession, d: str) -> DataFrame:
     """C11: each point's nearest site within a distance."""
-    table(spark, d, "customer").createOrReplaceTempView("customer")
-    return H.nearest_within(spark.sql(POINT), trial_sites(spark, d), 150.0)
+    return H.nearest_within(plain(spark, d, POINT), trial_sites(spark, d), 150.0)
 
 
 @query()
@@ -652,15 +650,12 @@ def site_canonical_groups(spark: SparkSession, d: str) -> DataFrame:
 DUP = "SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS k, CASE WHEN l_linenumber IN (1, 2) THEN NULL ELSE l_quantity END AS y, l_tax, l_shipdate, l_partkey, l_suppkey, l_extendedprice FROM lineitem"
 
 
-@query(f"""WITH t AS ({DUP}), g AS (SELECT k, count(DISTINCT y) AS kinds FROM t GROUP BY k)
-    SELECT count(*) AS rows_n, CAST(sum(CASE WHEN c > 1 THEN 1 ELSE 0 END) AS BIGINT) AS left_apart FROM (SELECT t.k, count(*) OVER (PARTITION BY t.k) AS c FROM t JOIN g ON g.k = t.k WHERE kinds > 1 UNION ALL SELECT k, 1 FROM g WHERE kinds <= 1) u""")
+@query(f"""WITH t AS ({DUP}), r AS (SELECT *, min(y) OVER w AS lo, max(y) OVER w AS hi, row_number() OVER (PARTITION BY k ORDER BY y IS NULL, l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_tax DESC) AS place FROM t WINDOW w AS (PARTITION BY k))
+    SELECT k, CASE WHEN coalesce(lo = hi, TRUE) THEN hi ELSE y END AS y, l_tax, l_partkey, l_suppkey FROM r WHERE NOT coalesce(lo = hi, TRUE) OR place = 1""")
 def trial_dedupe_safe(spark: SparkSession, d: str) -> DataFrame:
-    """K6: duplicates merged unless their yields disagree."""
-    table(spark, d, "lineitem").createOrReplaceTempView("lineitem")
-    rank = [F.col("y").isNull(), F.desc("l_shipdate"), F.desc("l_partkey"), F.desc("l_suppkey"), F.desc("l_extendedprice")]
-    rows = H.safe_trial_merge(spark.sql(DUP), "k", "y", rank, ["y", "l_tax"])
-    per = rows.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
-    return per.agg(F.sum("c").alias("rows_n"), F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)).alias("left_apart"))
+    """K6: duplicates merged and filled up unless their yields disagree."""
+    rank = [F.col("y").isNull(), *(F.desc(c) for c in ("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_tax"))]
+    return H.safe_trial_merge(plain(spark, d, DUP), "k", "y", rank, ["y", "l_tax"]).select("k", "y", "l_tax", "l_partkey", "l_suppkey")
 
 
 KEYED = "SELECT DISTINCT concat(p_type, '|', p_brand, CASE WHEN p_size % 3 = 0 THEN '' ELSE concat('|', substring(md5(CAST(p_partkey AS STRING)), 1, 12)) END) AS k FROM part"
@@ -669,8 +664,7 @@ KEYED = "SELECT DISTINCT concat(p_type, '|', p_brand, CASE WHEN p_size % 3 = 0 T
 @query(f"""WITH t AS ({KEYED}), b AS (SELECT k, regexp_replace(k, '\\|[0-9a-f]{{12}}$', '') AS base_key FROM t) SELECT base_key, min(k) AS kept_key, count(*) AS copies FROM b GROUP BY base_key""")
 def hash_suffix_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """K7: keys that differ only in a hash suffix."""
-    table(spark, d, "part").createOrReplaceTempView("part")
-    return H.strip_hash_suffix(spark.sql(KEYED), "k")
+    return H.strip_hash_suffix(plain(spark, d, KEYED), "k")
 
 
 LOCATED = """l AS (SELECT c_custkey AS trial_id, CASE c_custkey % 4 WHEN 0 THEN lower(n_name) WHEN 1 THEN concat('supplier#', CAST(c_custkey % 120 AS STRING)) WHEN 2 THEN '' ELSE concat('alt', CAST(c_custkey % 60 AS STRING)) END AS location_key FROM customer JOIN nation ON n_nationkey = c_nationkey),
@@ -680,9 +674,7 @@ LOCATED = """l AS (SELECT c_custkey AS trial_id, CASE c_custkey % 4 WHEN 0 THEN
 @query(f"WITH {LOCATED} SELECT DISTINCT trial_id, site_id FROM l JOIN s ON location_key <> '' AND (location_key = site_key OR location_key = municipality_key OR location_key = other_key)")
 def trial_site_link(spark: SparkSession, d: str) -> DataFrame:
     """Trials linked to sites by any of three keys."""
-    for name in ("customer", "nation", "supplier"):
-        table(spark, d, name).createOrReplaceTempView(name)
-    return H.link_trials(spark.sql(f"WITH {LOCATED} SELECT * FROM l"), spark.sql(f"WITH {LOCATED} SELECT * FROM s"))
+    return H.link_trials(plain(spark, d, f"WITH {LOCATED} SELECT * FROM l"), plain(spark, d, f"WITH {LOCATED} SELECT * FROM s"))
 
 
 @query(f"""{DOMAIN}, t AS (SELECT DISTINCT trial_id, source_id, crop, yield_kg_ha, note FROM variety_trial),
@@ -696,13 +688,13 @@ def derived_yield(spark: SparkSession, d: str) -> DataFrame:
     return H.derived_yields(rows, "crop").select("trial_id", "yield_filled", "derivation")
 
 
-@query(f"""{DOMAIN}, n AS (SELECT trial_id, count(DISTINCT site_id) AS k FROM trial_at WHERE site_id % 10 <> 0 GROUP BY trial_id)
-    SELECT scope, count(*) AS n FROM (SELECT DISTINCT v.trial_id, CASE WHEN lower(crop) = 'promo' THEN 'regional' WHEN k > 1 THEN 'regional' WHEN k IS NULL THEN 'unlocated' ELSE 'site' END AS scope FROM variety_trial v LEFT JOIN n ON n.trial_id = v.trial_id) t GROUP BY scope""")
+@query(f"""{DOMAIN}, n AS (SELECT trial_id, count(DISTINCT site_id) AS k FROM trial_at WHERE site_id IN (SELECT site_id FROM trial_site WHERE rainfall IS NOT NULL) GROUP BY trial_id)
+    SELECT DISTINCT v.trial_id, CASE WHEN lower(crop) = 'promo' THEN 'regional' WHEN k > 1 THEN 'regional' WHEN k IS NULL THEN 'unlocated' ELSE 'site' END AS scope FROM variety_trial v LEFT JOIN n ON n.trial_id = v.trial_id""")
 def aggregation_scope(spark: SparkSession, d: str) -> DataFrame:
     """Scope of each trial's figure."""
-    trials, links, _ = _domain(spark, d)
+    trials, links, sites = _domain(spark, d)
     rows = trials.select("trial_id", F.when(F.col("crop") == "PROMO", "Region north").otherwise(F.col("crop")).alias("place")).distinct()
-    return H.aggregation_scope(rows, links.where("site_id % 10 <> 0"), "place").groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
+    return H.aggregation_scope(rows, _known_places(links, sites), "place").select("trial_id", "scope")
 
 
 @query("SELECT p_brand, p_name, min(p_size % 2) AS cycle FROM part GROUP BY p_brand, p_name HAVING min(p_size % 2) = max(p_size % 2)")
@@ -711,11 +703,11 @@ def cycle_votes(spark: SparkSession, d: str) -> DataFrame:
     return H.unanimous(table(spark, d, "part").select("p_brand", "p_name", (F.col("p_size") % 2).alias("cycle")), ["p_brand", "p_name"], "cycle")
 
 
-@query(f"{DOMAIN} SELECT DISTINCT trial_id FROM variety_trial WHERE trial_id NOT IN (SELECT trial_id FROM trial_at WHERE site_id % 10 <> 0)")
+@query(f"{DOMAIN} SELECT DISTINCT trial_id FROM variety_trial WHERE trial_id NOT IN (SELECT trial_id FROM trial_at WHERE site_id IN (SELECT site_id FROM trial_site WHERE rainfall IS NOT NULL))")
 def orphan_trials(spark: SparkSession, d: str) -> DataFrame:
-    """Trials without a site."""
-    trials, links, _ = _domain(spark, d)
-    return trials.select("trial_id").distinct().join(links.where("site_id % 10 <> 0"), "trial_id", "left_anti")
+    """Trials without a site of known rainfall."""
+    trials, links, sites = _domain(spark, d)
+    return trials.select("trial_id").distinct().join(_known_places(links, sites), "trial_id", "left_anti")
 
 
 BUNDLE = """r AS (SELECT c_custkey AS id, CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'eppo:TRZ' ELSE 'eppo:TRZAX' END AS crop_eppo, CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE c_mktsegment END AS variety, CASE WHEN c_custkey % 13 = 0 THEN 1900 WHEN c_custkey % 17 = 0 THEN NULL ELSE 2010 END AS year,
@@ -723,7 +715,7 @@ BUNDLE = """r AS (SELECT c_custkey AS id, CASE c_custkey % 7 WHEN 0 THEN NULL WH
     FROM customer JOIN nation ON n_nationkey = c_nationkey)"""
 
 
-@query(f"""WITH {BUNDLE}, known AS (SELECT DISTINCT n_name AS name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 3 = 0)
+@query(f"""WITH {BUNDLE}, known AS (SELECT DISTINCT n_name AS name FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name IN ('ASIA', 'EUROPE'))
     SELECT id, 'ERROR' AS severity, 'crop missing' AS issue FROM r WHERE crop_eppo IS NULL UNION ALL SELECT id, 'ERROR', 'crop malformed' FROM r WHERE crop_eppo = 'eppo:TRZ'
     UNION ALL SELECT id, 'ERROR', 'variety missing' FROM r WHERE trim(variety) = '' UNION ALL SELECT id, 'ERROR', 'year implausible' FROM r WHERE coalesce(year, 0) <= 1900
     UNION ALL SELECT id, 'ERROR', 'location missing' FROM r WHERE location = '' UNION ALL SELECT id, 'ERROR', 'yield made from note' FROM r WHERE yield_kg_ha = note * 1000
@@ -731,10 +723,8 @@ BUNDLE = """r AS (SELECT c_custkey AS id, CASE c_custkey % 7 WHEN 0 THEN NULL WH
     UNION ALL SELECT id, 'ERROR', 'location unknown' FROM r WHERE location <> '' AND location NOT IN (SELECT name FROM known)""")
 def bundle_gate(spark: SparkSession, d: str) -> DataFrame:
     """Findings of the validation gate."""
-    for name in ("customer", "nation"):
-        table(spark, d, name).createOrReplaceTempView(name)
-    known = trial_sites(spark, d).where("site_id % 3 = 0").select(F.col("municipality").alias("name"))
-    return H.bundle_issues(spark.sql(f"WITH {BUNDLE} SELECT * FROM r"), known)
+    known = trial_sites(spark, d).where("climate_class IN ('ASIA', 'EUROPE')").select(F.col("municipality").alias("name"))
+    return H.bundle_issues(plain(spark, d, f"WITH {BUNDLE} SELECT * FROM r"), known)
 
 
 @query("""WITH raw AS (SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 'Heights' WHEN 1 THEN 'mildew' ELSE 'Lodgings' END AS raw_key, CASE WHEN p_size % 10 = 0 THEN NULL ELSE CAST(p_size % 10 AS DOUBLE) END AS v FROM part)
@@ -763,13 +753,13 @@ def score_merge(spark: SparkSession, d: str) -> DataFrame:
     return H.merge_scores(rows, ["k"], "scores")
 
 
-@query("""WITH old AS (SELECT o_orderkey AS k, o_totalprice AS a, o_orderstatus AS b, o_orderpriority AS c FROM orders WHERE o_orderkey % 3 <> 0), new AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice + 1 END AS a, 'X' AS b, 'new' AS c FROM orders WHERE o_orderkey % 2 = 0)
+@query("""WITH old AS (SELECT o_orderkey AS k, o_totalprice AS a, o_orderstatus AS b, o_orderpriority AS c FROM orders WHERE o_orderstatus <> 'P'), new AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice + 1 END AS a, 'X' AS b, 'new' AS c FROM orders WHERE o_totalprice > 100000)
     SELECT coalesce(o.k, n.k) AS k, CASE WHEN n.k IS NOT NULL THEN n.a ELSE o.a END AS a, coalesce(n.b, o.b) AS b, coalesce(o.c, n.c) AS c FROM old o FULL JOIN new n ON o.k = n.k""")
 def keyed_upsert(spark: SparkSession, d: str) -> DataFrame:
     """A keyed merge with a policy per column."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("a"), F.col("o_orderstatus").alias("b"), F.col("o_orderpriority").alias("c"))
-    new = o.where("k % 2 = 0").select("k", F.when(F.col("k") % 4 != 0, F.col("a") + 1).alias("a"), F.lit("X").alias("b"), F.lit("new").alias("c"))
-    return H.upsert(o.where("k % 3 <> 0"), new, ["k"], {"a": "overwrite", "b": "prefer_new", "c": "prefer_old"})
+    new = o.where("a > 100000").select("k", F.when(F.col("k") % 4 != 0, F.col("a") + 1).alias("a"), F.lit("X").alias("b"), F.lit("new").alias("c"))
+    return H.upsert(o.where("b <> 'P'"), new, ["k"], {"a": "overwrite", "b": "prefer_new", "c": "prefer_old"})
 
 
 @query("""WITH k AS (SELECT DISTINCT p_type AS entity, p_brand AS attribute FROM part), p AS (SELECT DISTINCT p_type AS entity, p_brand AS attribute FROM part WHERE p_size > 45) SELECT * FROM k EXCEPT SELECT * FROM p""")

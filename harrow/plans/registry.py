@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,3 +34,8 @@ def bound(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 def oracle(text: str) -> str:
     """The same SQL for an engine that has the tables under their names."""
     return text.format_map({t: t for t in TABLES})
+
+
+def plain(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """SQL that names the folder's tables as they are; no view is left in the session."""
+    return bound(spark, sf_dir, re.sub(r"\b(FROM|JOIN) (" + "|".join(TABLES) + r")\b", r"\1 {\2}", text))
