@@ -53,6 +53,33 @@ def trials_of(nodes: DataFrame, mapping: dict[str, str] | None = None, source_id
     )
 
 
+#: Columns of the reference tables that come as CSV with a header, by the name of the table.
+REFERENCE_CSV = {
+    "growing_cycles": "ScientificName string, CycleLow int, CycleHigh int, LifeForm string, Family string",
+    "feeds": "eppo_code string, crude_protein_pct double, organic_matter_digestibility_pct double",
+    "permitted_inputs": "product_name string, active_substance string, category string, target_pests string",
+}
+#: The library's names of their columns.
+REFERENCE_NAMES = {
+    "growing_cycles": {"ScientificName": "scientific_name", "CycleLow": "cycle_min", "CycleHigh": "cycle_max"}, "feeds": {}, "permitted_inputs": {"product_name": "product"},
+}
+
+
+def read_reference(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """One of the tables of :data:`REFERENCE_CSV` under the library's names."""
+    return read_reference_csv(spark, path, REFERENCE_CSV[kind]).withColumnsRenamed(REFERENCE_NAMES[kind])
+
+
+def capabilities(manifests: DataFrame) -> DataFrame:
+    """A row per attribute that a module publishes: module_id, version, entity_type, attribute, unit, sources.
+
+    ``manifests``: moduleId, version, publishes (array of entityType and attributes). Modules that publish nothing have none.
+    """
+    published = manifests.select(F.col("moduleId").alias("module_id"), "version", F.explode("publishes").alias("p"))
+    attributes = published.select("module_id", "version", F.col("p.entityType").alias("entity_type"), F.explode("p.attributes").alias("a"))
+    return attributes.select("module_id", "version", "entity_type", F.col("a.name").alias("attribute"), F.col("a.unitCode").alias("unit"), F.col("a.sources").alias("sources"))
+
+
 def read_reference_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV reference table with a header; what doesn't parse is null."""
     return spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE", enforceSchema=False)
@@ -64,11 +91,18 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, schema=ddl, multiLine=True)
 
 
-def read_yaml_seed(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
-    """One list of a YAML seed file. Seeds are small files of constants, parsed on the driver; needs a YAML parser installed."""
+def read_yaml_seed(spark: SparkSession, path: str, key: str, schema: str, max_bytes: int = 16 << 20) -> DataFrame:
+    """One list of a YAML seed file. Seeds are files of constants, parsed on the driver: more than ``max_bytes`` are an error.
+
+    Needs a YAML parser installed.
+    """
     import yaml
 
-    text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+    files = spark.read.format("binaryFile").load(path)
+    size = files.agg(F.sum("length")).first()[0] or 0
+    if size > max_bytes:
+        raise ValueError(f"{path} has {size} bytes; a seed has {max_bytes} at most")
+    text = "\n".join(bytes(r["content"]).decode("utf-8") for r in files.select("content").collect())
     fields = StructType.fromDDL(schema).names
     return spark.createDataFrame([tuple(row.get(f) for f in fields) for row in yaml.safe_load(text)[key]], schema)
 

@@ -54,6 +54,17 @@ def stage_changes(rows: DataFrame, ttl: str = "400 days", lateness: str = "1 day
     )
 
 
+def enriched(rows: DataFrame, crops: DataFrame, today: str | None = None) -> DataFrame:
+    """Notifications (a stream or a table) with what is known of their parcel's crop; parcels without a crop keep nulls.
+
+    ``crops``: parcel_id, role, status, termination_method, sowing_start; one row a parcel. Spark reads the static side
+    again for each micro-batch. days_until_sowing counts from ``today``, the current date by default.
+    """
+    now = F.lit(today).cast("date") if today else F.current_date()
+    named = crops.select("parcel_id", "role", "status", "termination_method", F.datediff(F.col("sowing_start"), now).alias("days_until_sowing"))
+    return rows.join(named, "parcel_id", "left")
+
+
 def batch_stage_changes(rows: DataFrame, keys: list[str], order: list[str], stage: str = "stage") -> DataFrame:
     """The same over a whole table: rows whose stage differs from the one before."""
     from pyspark.sql import Window

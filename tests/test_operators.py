@@ -154,3 +154,81 @@ def test_keys_must_be_unique(spark):
     assert B.assert_unique(spark.createDataFrame([(1,), (2,)], "k int"), ["k"]).count() == 2
     with pytest.raises(Exception, match="not unique"):
         B.assert_unique(spark.createDataFrame([(1,), (1,)], "k int"), ["k"]).collect()
+
+
+def test_places_of_a_name_cluster_as_in_plain_python(spark):
+    import random
+    from math import asin, cos, radians, sin, sqrt
+
+    pick = random.Random(4)
+    spots = [(None, None), *((round(pick.uniform(0, 1), 2), round(pick.uniform(0, 1), 2)) for _ in range(25))]
+    rows = [(i, pick.choice(["a", "b", "c"]), *pick.choice(spots), pick.choice([None, 1.0])) for i in range(300)]
+
+    def km(a, b):
+        x = sin(radians(a[0] - b[0]) / 2) ** 2 + cos(radians(a[0])) * cos(radians(b[0])) * sin(radians(a[1] - b[1]) / 2) ** 2
+        return 2 * 6371.0 * asin(sqrt(x))
+
+    clusters, place = {}, {}
+    for i, name, lat, lon, _ in rows:
+        centers = clusters.setdefault(name, [])
+        if lat is None:
+            if not centers:
+                centers.append(None)
+            place[i] = (name, 0)
+            continue
+        near = next((n for n, c in enumerate(centers) if c is None or km(c, (lat, lon)) <= 30.0), len(centers))
+        if near == len(centers):
+            centers.append((lat, lon))
+        elif centers[near] is None:
+            centers[near] = (lat, lon)
+        place[i] = (name, near)
+    sites = spark.createDataFrame(rows, "site_id long, name string, latitude double, longitude double, ph double").repartition(3)
+    got = {r.site_id: r.canonical_key for r in H.canonical_sites(sites, 30.0).collect()}
+    assert len(got) == len(rows) and len(set(place.values())) == len(set(got.values())) > 3
+    assert len({(place[i], got[i]) for i in place}) == len(set(got.values()))
+
+
+def test_reference_readers(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("eppo_code,crude_protein_pct,organic_matter_digestibility_pct\nMEDSA,18.5,x\nTRFPR,,70\n")
+    assert [tuple(r) for r in B.read_reference(spark, str(tmp_path / "f.csv"), "feeds").collect()] == [("MEDSA", 18.5, None), ("TRFPR", None, 70.0)]
+    (tmp_path / "g.csv").write_text("ScientificName,CycleLow,CycleHigh,LifeForm,Family\nVicia faba,90,220,herb,Fabaceae\n")
+    assert B.read_reference(spark, str(tmp_path / "g.csv"), "growing_cycles").first().asDict()["cycle_max"] == 220
+    (tmp_path / "o.json").write_text(json.dumps([{"species_eppo": "VICFX", "yield_kg_ha": 2100, "other": 1}, {"variety": "v"}]))
+    assert [(r.species_eppo, r.yield_kg_ha, r.variety) for r in B.read_observations(spark, str(tmp_path / "o.json")).collect()] == [("VICFX", 2100.0, None), (None, None, "v")]
+
+
+def test_yaml_seed(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "s.yaml").write_text("species:\n- name: wheat\n  kc: 1.1\n- name: oat\n")
+    assert [tuple(r) for r in B.read_yaml_seed(spark, str(tmp_path / "s.yaml"), "species", "name string, kc double").collect()] == [("wheat", 1.1), ("oat", None)]
+    with pytest.raises(ValueError, match="at most"):
+        B.read_yaml_seed(spark, str(tmp_path / "s.yaml"), "species", "name string", max_bytes=3)
+
+
+def test_capabilities_are_exploded(spark):
+    ddl = "moduleId string, version string, publishes array<struct<entityType:string,attributes:array<struct<name:string,unitCode:string,sources:array<string>>>>>"
+    rows = [("m", "1", [("Soil", [("ph", None, ["a"]), ("oc", "P1", None)]), ("Empty", [])]), ("n", "2", None)]
+    got = B.capabilities(spark.createDataFrame(rows, ddl)).collect()
+    assert [(r.module_id, r.entity_type, r.attribute, r.unit, r.sources) for r in got] == [("m", "Soil", "ph", None, ["a"]), ("m", "Soil", "oc", "P1", None)]
+
+
+def test_notifications_are_enriched(spark):
+    rows = spark.createDataFrame([(1, "flowering"), (2, "sown")], "parcel_id long, stage string")
+    crops = spark.createDataFrame([(1, "cover_crop", "active", "mowing", "2026-10-20")], "parcel_id long, role string, status string, termination_method string, sowing_start string")
+    got = {r.parcel_id: (r.role, r.days_until_sowing) for r in S.enriched(rows, crops, "2026-10-15").collect()}
+    assert got == {1: ("cover_crop", 5), 2: (None, None)}
+
+
+def test_content_keys_drainage_and_nodata(spark):
+    from pyspark.sql import functions as F
+
+    from harrow.functions import agronomy as A
+
+    rows = spark.createDataFrame([(1, "a", 2.0), (1, "a", 3.0), (1, "a", 2.0)], "k int, a string, b double")
+    keys = [r.merge_key for r in H.content_key(rows, F.col("k").cast("string"), ["b", "a"]).collect()]
+    assert keys[0] == keys[2] != keys[1] and all(len(k) == 14 and k.startswith("1|") for k in keys)
+    wet = spark.createDataFrame([(" b", None), (None, 1.0), (None, None), ("D", 99.0)], "g string, k double")
+    assert [r.d for r in wet.select(A.drainage_class(F.col("g"), F.col("k")).alias("d")).collect()] == ["well_drained", "moderate", None, "poor"]
+    soil = spark.createDataFrame([(-9999.0,), (6.5,), (15.0,), (None,)], "ph double")
+    assert [r.v for r in soil.select(A.nodata(F.col("ph"), 0.0, 14.0).alias("v")).collect()] == [None, 6.5, None, None]
+    assert sum(part.count() for part in H.in_batches(rows.withColumn("n", F.monotonically_increasing_id()), 2)) == 3
