@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions import agronomy as A
 from harrow.operators import varieties as V
+from harrow.sources.scratch import written
 
 #: Thresholds of the report (fixed values): the gate that no change may fall below, and the owner's target.
 GATE = {"min_overlap": 0.193, "max_error": 857.0, "min_coverage": 0.906}
@@ -103,40 +104,43 @@ def backtest(trials: DataFrame, links: DataFrame, sites: DataFrame, now_year: in
     without any predicted variety are not covered: they count in ``coverage`` alone. Errors are of varieties that have both.
 
     Trials with the same sites weigh the same in a fold but for their recency, so they are summed by set of sites, crop and
-    variety before they meet the folds.
+    variety before they meet the folds. Sets, and pairs of crop and variety, go by 64-bit hashes; there are far too few for two to agree.
     """
     usable = V.usable(trials).where(F.col("yield_kg_ha").isNotNull()).select(
         "trial_id", "crop", F.col("variety_norm").alias("variety"), "year", "yield_kg_ha", "derived"
-    ).distinct()
+    ).distinct().withColumn("kind", F.xxhash64("crop", "variety"))
     fold_sites = sites.where("climate_class IS NOT NULL").select(F.col("site_id").alias("fold_id"), "name", "climate_class", "rainfall", "et0", "frost_days", "elevation")
     environment = ["name", "climate_class", "rainfall", "et0", "frost_days", "elevation"]
     own = Window.partitionBy(*environment)
     folds = fold_sites.withColumn("site_id", F.col("fold_id")).withColumn("fold_id", F.min("fold_id").over(own)).select("fold_id", "site_id", "name", "climate_class")
-    observed = (
-        usable.where("NOT derived AND crop IS NOT NULL AND variety IS NOT NULL").join(links, "trial_id").join(folds, "site_id")
-        .groupBy("fold_id", "climate_class", "crop", "variety").agg(F.avg("yield_kg_ha").alias("observed"))
-    )
+    sets = links.groupBy("trial_id").agg(F.sort_array(F.collect_set("site_id")).alias("sites")).withColumn("set_id", F.xxhash64("sites"))
+    placed = written(usable.join(sets, "trial_id"), "placed-trials")
     age = F.lit(now_year) - F.col("year")
     recency = F.when(age > 0, F.pow(F.lit(0.5), age / F.lit(8.0))).otherwise(1.0)
-    sets = links.groupBy("trial_id").agg(F.sort_array(F.collect_set("site_id")).alias("sites"))
     sums = (
-        usable.join(sets, "trial_id").withColumn("recency", recency)
-        .groupBy("sites", "crop", "variety").agg(F.sum("recency").alias("w"), F.sum(F.col("recency") * F.col("yield_kg_ha")).alias("wy"))
+        placed.withColumn("recency", recency).groupBy("set_id", "kind")
+        .agg(F.sum("recency").alias("w"), F.sum(F.col("recency") * F.col("yield_kg_ha")).alias("wy"))
+    )
+    members = written(placed.select("set_id", "sites").distinct().select("set_id", F.explode("sites").alias("site_id")), "site-sets")
+    observed = (
+        placed.where("NOT derived AND crop IS NOT NULL AND variety IS NOT NULL").join(members, "set_id").join(folds, "site_id")
+        .groupBy("fold_id", "climate_class", "crop", "variety").agg(F.avg("yield_kg_ha").alias("observed"))
     )
-    members = sets.select("sites").distinct().select("sites", F.explode("sites").alias("site_id"))
     names = folds.select("fold_id", F.lower("name").alias("held")).distinct()
     near = site_distances(sites, site_limit).join(names, "fold_id").where(F.lower("name") != F.col("held"))
     by_name = near.groupBy("fold_id", "name").agg(F.min("weight").alias("weight"))
     near = near.select("fold_id", "site_id", "name").join(by_name, ["fold_id", "name"])
-    reached = members.join(near, "site_id").groupBy("fold_id", "sites").agg(F.max("weight").alias("weight"))
+    reached = members.join(near, "site_id").groupBy("fold_id", "set_id").agg(F.max("weight").alias("weight"))
     same_name = sites.select("site_id", F.lower("name").alias("held")).join(names, "held").select("fold_id", "site_id")
-    seen = members.join(same_name, "site_id").select("fold_id", "sites").distinct()
-    weights = reached.join(seen, ["fold_id", "sites"], "left_anti")
+    seen = members.join(same_name, "site_id").select("fold_id", "set_id").distinct()
+    weights = reached.join(seen, ["fold_id", "set_id"], "left_anti")
     mean = F.round(F.sum(F.col("weight") * F.col("wy")) / F.sum(F.col("weight") * F.col("w")), 1)
-    predicted = weights.join(sums, "sites").groupBy("fold_id", "crop", "variety").agg(mean.alias("predicted")).where("predicted IS NOT NULL")
+    predicted = weights.join(sums, "set_id").groupBy("fold_id", "kind").agg(mean.alias("predicted")).where("predicted IS NOT NULL")
+    predicted = predicted.join(placed.select("kind", "crop", "variety").distinct(), "kind").drop("kind")
     predicted = V.top_per_group(predicted, ["fold_id", "crop"], [F.col("predicted").desc(), F.col("variety")], top_n, "place")
+    predicted = written(predicted, "predicted")
     fold_key = ["fold_id", "climate_class", "crop"]
-    both = observed.join(predicted, ["fold_id", "crop", "variety"], "left")
+    both = written(observed.join(predicted, ["fold_id", "crop", "variety"], "left"), "folds")
     by_observed = Window.partitionBy(*fold_key).orderBy(F.round("observed", 4).desc(), F.col("variety"))
     ranked = both.withColumn("top", F.row_number().over(by_observed) <= 3)
     covered = predicted.select("fold_id", "crop", F.lit(True).alias("covered")).distinct()
