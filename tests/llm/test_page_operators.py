@@ -387,6 +387,20 @@ def test_language_stage_drops_only_texts_without_letters(spark, sf):
     assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, sf).collect()) == [0, 1, 2, 10]
 
 
+def test_pipeline_stages_take_odd_rows_and_empty_tables(spark, sf):
+    text = "the cat sat on the mat and then the dog ran to the house "
+    rows = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (2, text + " ", None, "b", 2), (None, text, "en", None, None), (3, None, "en", "c", 0), (4, "", None, "c", 0), (5, "a wholly different sentence that shares no run of words with others " + "x" * 50_000, "en", "d", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, row_id string, size int")
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, sf)
+        assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 5]
+    assert {r.doc_id for r in corpus_pipeline.packing(spark, kept, sf).collect()} == {2, 5}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+
+
 def test_pipeline_stages_equal_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     folder = f"{shared_dir(spark)}/stages"
