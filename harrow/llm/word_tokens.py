@@ -24,7 +24,7 @@ class WordTokens(Memory):
     encodes; every other word goes through the whole tokenizer.
     """
 
-    def __init__(self, tokenizer_file: str, max_bytes: int = 128 << 20):
+    def __init__(self, tokenizer_file: str, max_bytes: int = 256 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
