@@ -17,6 +17,7 @@ from harrow.llm.html_text import extract
 from harrow.llm.lm import lm_scores
 from harrow.llm.packing import pack
 from harrow.llm.simhash import near_duplicates
+from harrow.llm.token_counts import token_counts
 from harrow.llm.url_filter import judge_urls
 
 
@@ -91,6 +92,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_url_filter": op2_url_filter,
@@ -102,6 +108,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_language": op9_language,
     "op10_html_text": op10_html_text,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLE_SQL = {
