@@ -13,6 +13,7 @@ from harrow.llm.ann import nearest
 from harrow.llm.bpe import encode_decode
 from harrow.llm.common import crc_bucket, shared_dir
 from harrow.llm.dedup import exact_duplicates
+from harrow.llm.divergence import source_divergence
 from harrow.llm.html_text import extract
 from harrow.llm.lm import lm_scores
 from harrow.llm.packing import pack
@@ -92,6 +93,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -108,10 +113,44 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_language": op9_language,
     "op10_html_text": op10_html_text,
+    "op12_divergence": op12_divergence,
     "op13_token_counts": op13_token_counts,
 }
 
 ORACLE_SQL = {
+    "op12_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        w AS (SELECT row_id, lang, source, unnest(terms) AS term FROM d),
+        kept AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT row_id) >= 3),
+        types AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        found AS (SELECT lang, source, term, count(*) AS c FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        cell AS (
+            SELECT g.lang, g.source, k.term, coalesce(f.c, 0) AS c, types.v,
+                   sum(coalesce(f.c, 0)) OVER (PARTITION BY g.lang, g.source) AS n,
+                   sum(coalesce(f.c, 0)) OVER (PARTITION BY g.lang, k.term) AS lc,
+                   sum(coalesce(f.c, 0)) OVER (PARTITION BY g.lang) AS ln
+            FROM g JOIN kept k USING (lang) JOIN types USING (lang) LEFT JOIN found f ON f.lang = g.lang AND f.source = g.source AND f.term = k.term),
+        p AS (
+            SELECT lang, source, term, c, (1 + (1000000000::HUGEINT * (c + 1)) // (n + v))::BIGINT AS p,
+                   (1 + (1000000000::HUGEINT * (lc + 1)) // (ln + v))::BIGINT AS q
+            FROM cell),
+        pair AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        item AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pair.value, 0)::BIGINT AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE c > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM item)
+        SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
     "op8_warc": """
         WITH t AS (
             SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter, defaultdict
+
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -9,7 +12,9 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from harrow.llm import queries
+from harrow.llm.divergence import source_divergence
 from harrow.llm.token_counts import PrefixCounts, longest_prefix, prefix_tokens, stored_counts, token_counts, total, truncations
+from tests.oracle import spark_rows, sql_rows
 
 BYTE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
@@ -81,3 +86,54 @@ def test_stored_counts_answer_later_questions(spark, odd):
         got = {r.doc_id: r.prefix_tokens for r in prefix_tokens(stored, chars).collect()}
         assert got[6] == library_counts([text[: max(chars, 0)]])[0] and got[3] == 0
     assert truncations(stored.limit(0), 5).collect() == []
+
+
+def plain_divergence(rows: list[tuple], min_docs: int, top: int) -> set[tuple]:
+    """(lang, source, part, item, value, rank) by the definitions, over every term of every group."""
+    counts, found, groups = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    for lang, source, text in rows:
+        lang, source = lang or "", source or ""
+        words = re.findall("[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        counts[lang, source].update(words)
+        found[lang].update(set(words))
+        groups[lang].add(source)
+    out = set()
+    for lang, sources in groups.items():
+        kept = [t for t, n in found[lang].items() if n >= min_docs]
+        whole = Counter()
+        for s in sources:
+            whole.update(counts[lang, s])
+
+        def shares(c: Counter) -> dict[str, int]:
+            n = sum(c[t] for t in kept)
+            return {t: 1 + 10**9 * (c[t] + 1) // (n + len(kept)) for t in kept}
+
+        p = {s: shares(counts[lang, s]) for s in sources}
+        q = shares(whole)
+        for s in sources:
+            pairs = [(o, sum((p[s][t] - p[o][t]) ** 2 // p[o][t] for t in kept)) for o in sources - {s}]
+            terms = [(t, (p[s][t] - q[t]) ** 2 // q[t]) for t in kept if counts[lang, s][t] and p[s][t] > q[t]]
+            for part, items in (("pair", pairs), ("term", terms)):
+                ranked = sorted(items, key=lambda x: (-x[1], x[0].encode()))
+                out |= {(lang, s, part, t, v, i) for i, (t, v) in enumerate(ranked, 1) if part == "pair" or i <= top}
+    return out
+
+
+DIVERGENT = [
+    ("en", "a", "The cat the dog"), ("en", "a", "the THE cat"), ("en", "b", "the fox the fox"), ("en", "b", "fox cat The"), ("en", None, "the cat"),
+    ("en", "c", None), ("en", "d", "9 + 9"), (None, "a", "the \xa0 the"), (None, "", "über Über the"), (None, "a", "the"), (None, None, "the"), ("fr", "a", "un"), ("fr", "b", ""),
+    ("de", "a", "Ähre ähre x" * 500), ("de", "a", "Ähre ähre x" * 500), ("de", "b", "Ähre " * 4000), ("de", "b", "x y z z"), ("de", "c", "x x z"), ("de", "c", "z"),
+]
+
+
+def test_divergence_equals_the_definitions(spark, odd):
+    docs = spark.createDataFrame([(*r, "t", 1) for r in DIVERGENT], "lang string, source string, text string, term string, n int").repartition(5)
+    for min_docs, top, most in ((3, 200, 1000), (1, 2, 2)):
+        got = source_divergence(docs, min_docs=min_docs, top=top, most=most).collect()
+        assert {(r.lang, r.source, r.part, r.item, r.value, r.rank) for r in got} == plain_divergence(DIVERGENT, min_docs, top)
+        assert len(got) == len(set(got))
+    assert source_divergence(docs.limit(0)).collect() == []
+
+
+def test_divergence_query_matches_sql(spark, sf):
+    assert spark_rows(queries.op12_divergence(spark, sf)) == sql_rows(queries.ORACLE_SQL["op12_divergence"], sf)
