@@ -20,6 +20,7 @@ from harrow.llm.packing import pack
 from harrow.llm.simhash import near_duplicates
 from harrow.llm.token_counts import token_counts
 from harrow.llm.url_filter import judge_urls
+from harrow.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +94,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(_table(spark, sf_dir, "documents"))
 
@@ -113,6 +118,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_language": op9_language,
     "op10_html_text": op10_html_text,
+    "op11_whiten": op11_whiten,
     "op12_divergence": op12_divergence,
     "op13_token_counts": op13_token_counts,
 }

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -14,6 +17,7 @@ from tokenizers import Tokenizer
 from harrow.llm import queries
 from harrow.llm.divergence import source_divergence
 from harrow.llm.token_counts import PrefixCounts, longest_prefix, prefix_tokens, stored_counts, token_counts, total, truncations
+from harrow.llm.whitening import BLOCK_ROWS, primes_above, remaindered, whiten
 from tests.oracle import spark_rows, sql_rows
 
 BYTE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -137,3 +141,80 @@ def test_divergence_equals_the_definitions(spark, odd):
 
 def test_divergence_query_matches_sql(spark, sf):
     assert spark_rows(queries.op12_divergence(spark, sf)) == sql_rows(queries.ORACLE_SQL["op12_divergence"], sf)
+
+
+def check_whitening(rows: list, source: list[tuple], components: int = 16) -> None:
+    """Exact figures against whole numbers, components against the covariance, over all rows."""
+    usable = [(i, [math.floor(64 * float(c)) + 1_000_000 for c in v]) for i, v in source if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    fit = sorted({tuple(x) for _, x in usable})
+    n, dims = len(fit), len(fit[0])
+    sums = [sum(col) for col in zip(*fit, strict=True)]
+    y = np.array([[n * v - s for v, s in zip(x, sums, strict=True)] for x in fit], object)
+    scatter = y.T @ y
+    trace = Fraction(sum(scatter[i][i] for i in range(dims)), n**3)
+    covariance = np.array([[float(Fraction(v, n**3)) for v in row] for row in scatter])
+    values = np.linalg.eigvalsh(covariance)[::-1]
+    k = min(components, dims)
+    got = defaultdict(list)
+    for r in rows:
+        assert r.n == n and r.identity_error <= 1e-4 and 1 <= r.component <= k
+        got[r.vec_id].append(r)
+    wanted = defaultdict(list)
+    for i, x in usable:
+        wanted[i].append(x)
+    assert {i: len(v) for i, v in got.items()} == {i: k * len(v) for i, v in wanted.items()}
+    deviation = {i: sorted(sum((n * v - s) ** 2 for v, s in zip(x, sums, strict=True)) for x in xs for _ in range(k)) for i, xs in wanted.items()}
+    assert {i: sorted(int(r.deviation) for r in v) for i, v in got.items()} == deviation
+    for c in range(k):
+        shares = {r.explained for r in rows if r.component == c + 1}
+        assert len(shares) == 1 and shares.pop() == pytest.approx(float(Fraction(values[c]) / trace) if values[c] > 1e-12 * values[0] else 0.0, rel=1e-6, abs=1e-12)
+    live = [c for c in range(k) if values[c] > 1e-12 * values[0]]
+    single = {i: xs[0] for i, xs in wanted.items() if len(xs) == 1}
+    whitened = {tuple(x): np.array([r.whitened for r in sorted(got[i], key=lambda r: r.component)], float) for i, x in single.items()}
+    if len(whitened) < n:
+        return
+    w = np.array([whitened[x] for x in fit])[:, live]
+    assert np.abs(np.cov(w.T, bias=True) - np.eye(len(live))).max() < 1e-6
+    x = np.array([[float(Fraction(v, n)) for v in row] for row in y])
+    columns = np.linalg.lstsq(x, w, rcond=None)[0] if n > dims else None
+    if columns is not None:  # what whitens is an eigenvector over the root of its variance
+        turned = covariance @ columns
+        assert np.abs(turned - columns * values[live]).max() < 1e-6 * np.abs(turned).max()
+
+
+def test_whitening_query(spark, sf):
+    source = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    rows = queries.op11_whiten(spark, sf).collect()
+    check_whitening(rows, source)
+    assert dict(queries.op11_whiten(spark, sf).dtypes)["deviation"] == "bigint"
+
+
+def test_whitening_of_odd_rows(spark):
+    random = np.random.default_rng(7)
+    source = [(i, (random.normal(size=5) * [1e4, 1e3, 1.0, 0.3, 0.01]).tolist()) for i in range(60)]
+    source += [(100 + i, source[3][1]) for i in range(40)] + [(100, source[4][1]), (None, source[5][1])]
+    odd = [(200, None), (201, [1.0, None, 0.0, 0.0, 0.0]), (202, [math.nan, 0.0, 0.0, 0.0, 0.0]), (203, [math.inf, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(*r, "t", 1) for r in source + odd], "vec_id long, embedding array<double>, x string, n int").repartition(4)
+    check_whitening(whiten(df).collect(), source)
+    check_whitening(whiten(df, components=2).collect(), source, 2)
+    assert whiten(df.limit(0)).collect() == [] and whiten(df.where("vec_id >= 200")).collect() == []
+    lone = whiten(df.where("vec_id BETWEEN 101 AND 139")).collect()
+    assert len(lone) == 39 * 5 and {(r.n, int(r.deviation), r.whitened, r.explained, r.identity_error) for r in lone} == {(1, 0, None, 0.0, 0.0)}
+    flat = whiten(spark.createDataFrame([(i, [float(i), 2.0 * i, 5.0]) for i in range(9)], "vec_id long, embedding array<float>")).collect()
+    assert {r.component for r in flat if r.whitened is None} == {2, 3} and max(r.identity_error for r in flat) < 1e-9
+    with pytest.raises(ValueError, match="entries"):
+        whiten(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>"))
+
+
+def test_whitening_is_exact_far_from_zero(spark):
+    random = np.random.default_rng(8)
+    source = [(i, [float(a * 2**45 + b) for a, b in zip(random.integers(-9, 9, 4), random.integers(0, 9, 4), strict=True)]) for i in range(50)]
+    rows = whiten(spark.createDataFrame(source, "vec_id long, embedding array<double>")).collect()
+    check_whitening(rows, source)
+
+
+@given(st.lists(st.integers(-(10**40), 10**40), min_size=1, max_size=5))
+def test_remaindering_gives_back_numbers(values):
+    primes = primes_above(2 * 10**40)
+    assert math.prod(primes) > 2 * 10**40 and (max(primes) // 2) ** 2 * BLOCK_ROWS < 1 << 53
+    assert remaindered({p: np.array([v % p for v in values]) for p in primes}) == values
