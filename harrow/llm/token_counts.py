@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm.bpe import byte_alphabet, forced_cuts
-from harrow.llm.common import Memory, documents, portions, worker_memory
+from harrow.llm.common import Frequent, documents, portions, worker_memory
 
 COUNTED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("fitting_chars", pa.int64())])
 COUNTED_DDL = "doc_id long, n_bytes long, n_tokens long, fitting_chars long"
@@ -31,7 +31,7 @@ WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u
 WORD = re.compile(b" ?[A-Za-z]+")
 
 
-class PrefixCounts(Memory):
+class PrefixCounts(Frequent):
     """Maps a fragment between two forced boundaries (UTF-8) to the change of the token count with each of its characters.
 
     A prefix of a piece has one encoding, and it ends with the one token t such that the encoding of what is before t ends
@@ -141,6 +141,10 @@ class PrefixCounts(Memory):
             self.shared.clear()
         return self.remember(fragment, self.shared.setdefault(steps, steps))
 
+    @staticmethod
+    def size_of(value: bytes) -> int:
+        return 0
+
     def steps(self, data: bytes) -> bytes:
         """Change of the token count with each character of a text (UTF-8).
 

@@ -7,7 +7,7 @@ import re
 from array import array
 
 from harrow.llm.bpe import byte_alphabet
-from harrow.llm.common import Memory, worker_memory
+from harrow.llm.common import Frequent, worker_memory
 
 #: Splits a lower-case word of printable ASCII and accented Latin letters as the vocabulary file's own pattern
 #: does; fixed by the vocabulary.
@@ -16,7 +16,7 @@ PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u012f\u013
 PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
 
 
-class WordTokens(Memory):
+class WordTokens(Frequent):
     """Maps a white-space delimited word (UTF-8) to its ids as little-endian unsigned 32-bit integers.
 
     No token spans white space and normalisation works inside a word, so a text's ids are those of its
@@ -24,7 +24,7 @@ class WordTokens(Memory):
     encodes; every other word goes through the whole tokenizer.
     """
 
-    def __init__(self, tokenizer_file: str, max_bytes: int = 256 << 20):
+    def __init__(self, tokenizer_file: str, max_bytes: int = 64 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -33,21 +33,20 @@ class WordTokens(Memory):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.pieces = Memory(max_bytes // 2)
         self.byte_names = {byte: name for name, byte in byte_alphabet().items()}
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         if "<|" not in text and PLAIN.fullmatch(text):
-            ids = b"".join([self.pieces.get(p) or self._piece(p) for p in PIECES.findall(text.lower())])
+            tokenize, named = self.model.tokenize, self._named
+            ids = array("I", [t.id for p in PIECES.findall(text.lower()) for t in tokenize(p if p.isascii() else named(p))]).tobytes()
         else:
             ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return self.remember(word, ids, len(ids))
 
-    def _piece(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_names)
-        ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        return self.pieces.remember(piece, ids, len(ids))
+    def _named(self, piece: str) -> str:
+        """A piece's bytes as the vocabulary writes them."""
+        return piece.encode().decode("latin-1").translate(self.byte_names)
 
     def encode(self, text: str | None) -> bytes:
         data = (text or "").encode("utf-8", "replace")
