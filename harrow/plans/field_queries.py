@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from harrow.operators import changes as G
 from harrow.operators import lifecycle as L
 from harrow.operators import nearby as N
+from harrow.operators import rotations as R
 from harrow.operators import soils as S
 from harrow.operators import varieties as V
 from harrow.operators.asof import crop_context as context
@@ -169,3 +170,53 @@ def catalogue_after_feed(spark: SparkSession, d: str) -> DataFrame:
     empty = first.select("uri", "row", F.lit(False).alias("deleted"), "version").limit(0)
     after = G.applied(G.applied(G.applied(empty, second, ["uri"]), first, ["uri"]), second, ["uri"])
     return after.select("uri", "deleted", "row.*", "version")
+
+
+ZONE_FIGURES = f"""{DOMAIN}, y AS (SELECT climate_class AS zone, crop, round(avg(yield_kg_ha), 1) AS yield FROM (SELECT DISTINCT s.climate_class, v.crop, v.trial_id, v.yield_kg_ha
+        FROM variety_trial v JOIN trial_at l ON v.trial_id = l.trial_id JOIN trial_site s ON s.site_id = l.site_id WHERE v.yield_kg_ha IS NOT NULL AND NOT v.derived) t GROUP BY climate_class, crop)
+    SELECT zone, crop, yield * CASE crop WHEN 'PROMO' THEN 0.22 WHEN 'SMALL' THEN 0.12 ELSE 0.09 END AS protein, CASE crop WHEN 'LARGE' THEN 3.1 WHEN 'STANDARD' THEN 2.4 ELSE 1.7 END AS carbon,
+        CASE crop WHEN 'PROMO' THEN 80.0 WHEN 'MEDIUM' THEN 25.0 ELSE 0.0 END AS n_fixation, yield * CASE crop WHEN 'ECONOMY' THEN 0.31 WHEN 'LARGE' THEN 0.26 ELSE 0.2 END - 420.0 AS margin, yield, yield / 40 AS n_requirement FROM y"""
+ZONE_PARCEL = "SELECT c_custkey AS parcel_id, r_name AS zone, CASE c_custkey % 7 WHEN 0 THEN 'STANDARD' WHEN 1 THEN 'SMALL' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'LARGE' WHEN 4 THEN 'PROMO' WHEN 5 THEN 'FALLOW' END AS previous, CASE WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE 12.5 END AS cover_n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+LOCKED = "SELECT c_custkey AS parcel_id, 2 AS year_no, 'SMALL' AS crop FROM customer WHERE c_mktsegment = 'BUILDING'"
+FOLLOWS = [("STANDARD", "PROMO"), ("STANDARD", "SMALL"), ("STANDARD", "LARGE"), ("SMALL", "MEDIUM"), ("SMALL", "STANDARD"), ("MEDIUM", "LARGE"), ("MEDIUM", "ECONOMY"), ("LARGE", "PROMO"), ("LARGE", "SMALL"), ("PROMO", "STANDARD"), ("PROMO", "ECONOMY")]
+PRIORITIES = [(1, 3.0, 1.0, 1.0, 2.0, 3.0), (3, 0.0, 2.0, 6.0, 1.0, 1.0)]
+
+
+def _greedy_sql() -> str:
+    follows = ", ".join(f"('{a}', '{b}')" for a, b in FOLLOWS)
+    weights = ", ".join(f"({y}, " + ", ".join(repr(w / sum(row) * 100) for w in row) + ")" for y, row in ((y, next((r[1:] for r in PRIORITIES if r[0] == y), PRIORITIES[0][1:])) for y in range(1, 5)))
+    sql = f"""WITH fig AS ({ZONE_FIGURES}), parcel AS ({ZONE_PARCEL}), follows(previous, crop) AS (VALUES {follows}), weight(year_no, w1, w2, w3, w4, w5) AS (VALUES {weights}), lock AS ({LOCKED}),
+    prior AS (SELECT zone, previous FROM parcel UNION SELECT zone, crop FROM fig),
+    named AS (SELECT p.zone, p.previous, f.* EXCLUDE (zone), fo.crop IS NOT NULL AS named, max(CASE WHEN fo.crop IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY p.zone, p.previous) = 1 AS any_named
+        FROM prior p JOIN fig f ON f.zone = p.zone AND f.crop IS DISTINCT FROM p.previous LEFT JOIN follows fo ON fo.previous = p.previous AND fo.crop = f.crop),
+    share AS (SELECT zone, previous, crop, n_fixation, n_requirement, {', '.join(f"CASE WHEN {d} > 0 THEN {d} / max({d}) OVER w ELSE 0.0 END AS s{i}" for i, d in enumerate(R.DIMENSIONS, 1))} FROM named WHERE named OR NOT any_named WINDOW w AS (PARTITION BY zone, previous)),
+    arc AS (SELECT zone, previous, year_no, crop, n_fixation, n_requirement, round({' + '.join(f"w{i} * s{i}" for i in range(1, 6))}, 1) AS gain FROM share, weight),
+    y0 AS (SELECT parcel_id, zone, coalesce(cover_n, 0) AS cover_n, previous, CAST([] AS VARCHAR[]) AS crops, CAST([] AS DOUBLE[]) AS scores, 50.0::DOUBLE AS soil_n FROM parcel)"""
+    for y in range(1, 5):
+        sql += f""",
+    y{y} AS (SELECT parcel_id, zone, cover_n, crop AS previous, list_append(crops, crop) AS crops, list_append(scores, gain) AS scores, round(greatest(0, soil_n + n_fixation - n_requirement) + cover_n, 3) AS soil_n
+        FROM (SELECT p.*, a.crop, a.gain, a.n_fixation, a.n_requirement, row_number() OVER (PARTITION BY p.parcel_id ORDER BY a.gain DESC, a.crop) AS r FROM y{y - 1} p JOIN arc a ON a.zone = p.zone AND a.previous IS NOT DISTINCT FROM p.previous AND a.year_no = {y}
+                WHERE p.parcel_id NOT IN (SELECT parcel_id FROM lock WHERE year_no = {y})
+              UNION ALL SELECT p.*, l.crop, 0.0, f.n_fixation, f.n_requirement, 1 FROM y{y - 1} p JOIN lock l ON l.parcel_id = p.parcel_id AND l.year_no = {y} JOIN fig f ON f.zone = p.zone AND f.crop = l.crop) t WHERE r = 1)"""
+    return sql + " SELECT parcel_id, array_to_string(crops, ',') AS crops, round(list_sum(scores), 1) AS score, round(soil_n, 2) AS soil_n FROM y4"
+
+
+def _rotations(spark: SparkSession, d: str, **how: float) -> DataFrame:
+    crops = "previous string, crop string"
+    weights = spark.createDataFrame(PRIORITIES, "year_no int, " + ", ".join(f"{x} double" for x in R.DIMENSIONS))
+    figures = R.written(plain(spark, d, ZONE_FIGURES), "zone-figures")
+    return R.best_rotations(plain(spark, d, ZONE_PARCEL), figures, spark.createDataFrame(FOLLOWS, crops), weights, plain(spark, d, LOCKED), **how)
+
+
+@query(_greedy_sql())
+def rotation_greedy(spark: SparkSession, d: str) -> DataFrame:
+    """Each year the best allowed crop by that year's weights, with locked years and cover crops, over four years."""
+    rows = _rotations(spark, d)
+    return rows.select("parcel_id", F.array_join("crops", ",").alias("crops"), F.round("score", 1).alias("score"), F.round("soil_n", 2).alias("soil_n"))
+
+
+@query()
+def rotation_search(spark: SparkSession, d: str) -> DataFrame:
+    """The best four years that a search over states finds, if a lack of nitrogen costs and a crop returns after two years at the earliest."""
+    rows = _rotations(spark, d, beam=200, gap=2, shortage_cost=0.5)
+    return rows.select("parcel_id", F.array_join("crops", ",").alias("crops"), F.round("score", 3).alias("score"), F.round("soil_n", 2).alias("soil_n"))

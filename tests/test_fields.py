@@ -178,6 +178,64 @@ def test_crop_entities_as_records(spark):
     assert sorted(tuple(r) for r in G.sub_crops(df).collect()) == [("a", "x"), ("a", "y")]
 
 
+def plain_rotations(parcel: tuple, figures: dict, follows: set, weights: dict, locks: dict, years: int, gap: int, cost: float) -> tuple:
+    """(score, crops) of the best of all rotations of a parcel."""
+    _, zone, previous, cover = parcel
+    dims = ("protein", "carbon", "n_fixation", "margin", "yield")
+    pool = {c: f for (z, c), f in figures.items() if z == zone}
+    plans = [(0.0, [], 50.0, previous)]
+    for year in range(1, years + 1):
+        after = []
+        for score, crops, soil, last in plans:
+            named = [c for c in pool if (last, c) in follows and c != last]
+            options = named or [c for c in pool if c != last]
+            top = {d: max([pool[c][d] for c in options if pool[c][d] > 0], default=1.0) for d in dims}
+            if year in locks:
+                options = [c for c in [locks[year]] if c in pool]
+            for c in options:
+                if year not in locks and c in crops[len(crops) - gap :][-gap:]:
+                    continue
+                gain = 0.0 if year in locks else round(sum(w * max(pool[c][d], 0.0) / top[d] for d, w in weights[year].items()) + 1e-9, 1)
+                left = soil + pool[c]["n_fixation"] - pool[c]["need"]
+                after.append((round(score + gain - cost * max(0.0, -left), 6), [*crops, c], round(max(0.0, left) + (cover or 0.0), 3), c))
+        plans = after
+    return min(((-p[0], p[1]) for p in plans), default=None)
+
+
+def test_rotation_search_equals_all_rotations(spark):
+    from harrow.operators.rotations import DIMENSIONS, best_rotations
+
+    random = np.random.default_rng(9)
+    crops = ["bean", "corn", "oats", "rape", "rye"]
+    figures = [(z, c, *random.uniform(-20, 90, 4).round(1).tolist(), float(random.integers(1, 9)), float(random.integers(20, 90))) for z in "AB" for c in crops]
+    follows = {("bean", "corn"), ("bean", "rye"), ("bean", "oats"), ("corn", "bean"), ("corn", "oats"), ("rye", "rape"), ("rye", "bean"), ("oats", "wheat")}
+    weights = [(1, 1.0, 2.0, 3.0, 1.0, 1.0), (3, 0.0, 0.0, 1.0, None, 3.0)]
+    parcels = [(i, "ABC"[int(random.integers(3)) if i % 9 == 0 else i % 2], [None, "bean", "fallow", "rye"][i % 4], [None, 10.0, 33.5][i % 3]) for i in range(200)]
+    locks = {i: {2: "rye"} if i % 5 else {1: "corn", 4: "wheat" if i % 10 else "corn"} for i in range(0, 200, 3)}
+    frames = (
+        spark.createDataFrame(parcels, "parcel_id long, zone string, previous string, cover_n double"),
+        spark.createDataFrame(figures, "zone string, crop string, " + ", ".join(f"{d} double" for d in DIMENSIONS) + ", n_requirement double"),
+        spark.createDataFrame(sorted(follows), "previous string, crop string"),
+        spark.createDataFrame(weights, "year_no int, " + ", ".join(f"{d} double" for d in DIMENSIONS)),
+        spark.createDataFrame([(i, y, c) for i, l in locks.items() for y, c in l.items() if c in crops], "parcel_id long, year_no int, crop string"),
+    )
+    table = {(f[0], f[1]): dict(zip((*DIMENSIONS, "need"), f[2:], strict=True)) for f in figures}
+    share = lambda row: {d: (w or 0.0) / sum(x or 0.0 for x in row) * 100 for d, w in zip(DIMENSIONS, row, strict=True)}
+    by_year = {y: share(weights[1 if y == 3 else 0][1:]) for y in range(1, 5)}
+    got = {r.parcel_id: (-r.score, r.crops) for r in best_rotations(*frames, years=4, beam=5000, gap=2, shortage_cost=0.7).collect()}
+    expected = {}
+    for p in parcels:
+        known = {y: c for y, c in locks.get(p[0], {}).items() if c in crops}
+        if best := plain_rotations(p, table, follows, by_year, known, 4, 2, 0.7):
+            expected[p[0]] = best
+    assert {i: round(v[0], 3) for i, v in got.items()} == {i: round(v[0], 3) for i, v in expected.items()}
+    assert sum(got[i][1] == v[1] for i, v in expected.items()) > 0.99 * len(expected)
+    narrow = {r.parcel_id: r.score for r in best_rotations(*frames, years=4, gap=2, shortage_cost=0.7).collect()}
+    assert narrow.keys() <= expected.keys() and all(s <= -expected[i][0] + 1e-6 for i, s in narrow.items())
+    with pytest.raises(ValueError, match="two to six"):
+        best_rotations(*frames, years=7)
+
+
 @pytest.mark.parametrize("name", ["nearest_sites_of_parcels", "extrapolate_for_parcels", "plan_lifecycle"])
 def test_queries_at_a_larger_scale(spark, name):
     from harrow.catalog import ORACLE_SQL, QUERIES
