@@ -15,7 +15,7 @@ from harrow.llm.common import batched, rows
 #: Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title meta link iframe object datalist audio video canvas textarea".split())
+HIDDEN = frozenset("head script style template noscript title meta link iframe object datalist audio video canvas".split())
 #: Parts of an svg or math element that are not drawn themselves.
 UNDRAWN = frozenset("defs desc metadata symbol clippath mask annotation annotation-xml".split())
 #: What may stand in a head; any other tag, and any text, ends it.
@@ -41,12 +41,15 @@ WALLS = frozenset(["td", "th", "caption", "table"])
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 TAG_NAME = re.compile(r"[A-Za-z][^\s/>]*")
 TAG_STOP = re.compile("[>\"']")
-UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+UNSEEN_STYLE = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 #: Spans beyond these count as so many (fixed by the HTML standard).
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
 #: Items nested deeper are not indented further.
 DEEPEST_INDENT = 80
+#: Table cells that would begin further right follow the cell before them.
+WIDEST_TABLE = 2000
 
 
 class Node:
@@ -188,7 +191,7 @@ def parse(source: str) -> Node:
                 tree.pop()
             elif tag in BLOCK and tree.within("head") and not tree.within("template"):
                 tree.close({"head"}, frozenset())
-            node = Node(tag, attributes_of(rest) if "=" in rest or "hidden" in rest.lower() or tag in ("dialog", "input") else {})
+            node = Node(tag, attributes_of(rest) if "=" in rest or "hidden" in rest.lower() or tag in ("dialog", "input", "details", "ol") else {})
             foreign = tree.within("svg", "math")
             if tag in UNDRAWN and foreign:
                 node.attributes["hidden"] = ""
@@ -197,7 +200,8 @@ def parse(source: str) -> Node:
                 pass
             elif tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, end)
-                node.children.append(source[end : close.start() if close else len(source)])
+                inside = source[end : close.start() if close else len(source)]
+                node.children.append(html.unescape(inside).removeprefix("\n") if tag == "textarea" else inside)
                 back = close.end() if close else len(source)
             else:
                 tree.push(node)
@@ -205,9 +209,25 @@ def parse(source: str) -> Node:
             token = walk.send(back)
         except StopIteration:
             token = None
+    if VISIBILITY.search(source):
+        blank_unseen(tree.root)
     return tree.root
 
 
+def blank_unseen(root: Node) -> None:
+    """Take the text out of elements that are not seen: an element is as its parent, unless its own style says otherwise."""
+    waiting = [(root, False)]
+    while waiting:
+        node, unseen = waiting.pop()
+        said = VISIBILITY.findall(node.attributes.get("style", ""))
+        unseen = said[-1].lower() != "visible" if said else unseen
+        if unseen:
+            node.children = [c for c in node.children if not isinstance(c, str)]
+            if node.tag in ("img", "input"):
+                node.attributes["hidden"] = ""
+        waiting += [(c, unseen) for c in node.children if not isinstance(c, str)]
+
+
 class Page:
     """Lines of text under way: inline text gathers in a line, a block starts a new one, with an empty line if spaced.
 
@@ -275,6 +295,10 @@ def number_of(text: str, most: int) -> int:
     return min(int(text), most) if text.isascii() and text.isdigit() and len(text) < 10 else 1
 
 
+def whole_number(text: str, otherwise: int) -> int:
+    return int(text) if re.fullmatch(r"-?[0-9]{1,9}", text) else otherwise
+
+
 def is_cell(child: Node | str) -> bool:
     return not isinstance(child, str) and child.tag in ("td", "th")
 
@@ -328,27 +352,39 @@ def placed(rows_: list[tuple[int, list[Cell]]]) -> list[dict[int, list[str]]]:
     """Each row's lines by column. A cell takes the first columns that no cell from a row above reaches into; only the
     first column of a span has text."""
     out: list[dict[int, list[str]]] = []
-    spans: list[tuple[int, int, int]] = []  # first column, column behind, rows left; in order
     group = None
-    for at, cells in rows_:
+    for number, (at, cells) in enumerate(rows_):
         if at != group:
-            group, spans = at, []
+            group, until, jumps = at, {}, {}
         line: dict[int, list[str]] = {}
-        after: list[tuple[int, int, int]] = [(a, b, n - 1) for a, b, n in spans if n > 1]
-        column = i = 0
+        column = 0
         for lines, width, height in cells:
-            while i < len(spans) and spans[i][0] <= column:
-                column = max(column, spans[i][1])
-                i += 1
+            column = free_column(column, number, until, jumps)
             line[column] = lines
             if height > 1:
-                after.append((column, column + width, height - 1))
+                until.update(dict.fromkeys(range(column, column + width), number + height))
             column += width
-        spans = sorted(after)
         out.append(line)
     return out
 
 
+def free_column(column: int, row: int, until: dict[int, int], jumps: dict[int, tuple[int, int]]) -> int:
+    """The first column from ``column`` on that no cell from above reaches into; ``until`` has the row at which each is free again.
+
+    ``jumps`` remembers, for columns that a search began at, how far all are taken and until which row, so that a long run of
+    taken columns is not walked again for each row.
+    """
+    start, first_free = column, None
+    while until.get(column, 0) > row:
+        ahead, row_free = jumps.get(column, (column, 0))
+        if row_free <= row:
+            ahead, row_free = column + 1, until[column]
+        column, first_free = ahead, row_free if first_free is None else min(first_free, row_free)
+    if first_free is not None:
+        jumps[start] = column, first_free
+    return column
+
+
 def render_table(node: Node, page: Page) -> Step:
     for child in node.children:
         if not isinstance(child, str) and child.tag == "caption" and child.visible():
@@ -367,7 +403,7 @@ def render_table(node: Node, page: Page) -> Step:
             widths[column] = max(widths.get(column, 0), *map(len, lines), 0)
     place, end = {}, 0
     for column in sorted(c for c, width in widths.items() if width):  # a column without text takes no room
-        place[column] = end
+        place[column] = min(end, WIDEST_TABLE)
         end += widths[column] + 2
     for row in grid:
         cells = [(place[c], lines) for c, lines in sorted(row.items()) if lines]
@@ -375,7 +411,7 @@ def render_table(node: Node, page: Page) -> Step:
             line = ""
             for left, lines in cells:
                 if i < len(lines):
-                    line = line.ljust(left) + lines[i]
+                    line = (line.ljust(left) if len(line) <= left else line + "  ") + lines[i]
             page.put(line)
             page.end_line()
 
@@ -418,20 +454,26 @@ def render(node: Node, page: Page, preserve: bool, marker: str | None = None) ->
     if tag in BLOCK:
         page.block(spaced)
     if tag in ("ul", "menu", "ol"):
-        start = node.attributes.get("start", "1")
-        number = int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1
+        step = -1 if "reversed" in node.attributes else 1
+        first = str(sum(isinstance(c, Node) and c.tag == "li" and c.visible() for c in node.children)) if step < 0 else "1"
+        number = whole_number(node.attributes.get("start", first), int(first))
         for child in node.children:
             item = isinstance(child, Node) and child.tag == "li"
+            if item and tag == "ol" and child.visible():
+                number = whole_number(child.attributes.get("value", ""), number)
             if not isinstance(child, str) or child.strip():
                 yield render_child(child, page, preserve, (f"{number}. " if tag == "ol" else "- ") if item else None)
-            number += item and child.visible()
+            number += step * (item and child.visible())
     else:
         if tag == "dd":
             page.put("    ")
         elif tag in ("select", "option"):
             page.text(" ", False)
-        for child in node.children:
-            yield render_child(child, page, preserve or tag == "pre", None)
+        shown = node.children
+        if tag == "details" and "open" not in node.attributes:  # closed: its summary alone
+            shown = [c for c in shown if isinstance(c, Node) and c.tag == "summary"][:1]
+        for child in shown:
+            yield render_child(child, page, preserve or tag in ("pre", "textarea"), None)
         if tag in ("td", "th", "select", "option"):
             page.text(" ", False)
     if tag in BLOCK:
@@ -441,8 +483,9 @@ def render(node: Node, page: Page, preserve: bool, marker: str | None = None) ->
 def html_to_text(source: str | None) -> str:
     """All visible text of a page, laid out: blocks on lines of their own, spaced ones with an empty line between,
     list items with marks and hanging indents, table cells in aligned columns (spans over columns and rows keep their
-    places). All options of a select and the labels of buttons are shown; a textarea's text and what stands in other
-    fields, which are a form's values, are not. Pages may be nested to any depth."""
+    places). All options of a select, the labels of buttons and a textarea's text are shown; what stands in other fields is not.
+    A closed details shows its summary; what a style attribute makes unseen may hold what another one shows again. Classes of a
+    page's own style sheet are not looked at. Pages may be nested to any depth."""
     if not source:
         return ""
     page = Page()
