@@ -196,9 +196,9 @@ def yield_projection(stages: DataFrame) -> DataFrame:
 def shared_pests(left: DataFrame, right: DataFrame, k: int = 10) -> DataFrame:
     """crop_a, crop_b, shared, n, risk for pairs of crops with a pest in common; joined by pest, so other pairs never meet."""
     both = left.select(F.col("crop").alias("crop_a"), "pest").distinct().join(right.select(F.col("crop").alias("crop_b"), "pest").distinct(), "pest").where("crop_a < crop_b")
-    rows = both.groupBy("crop_a", "crop_b").agg(F.sort_array(F.collect_set("pest")).alias("all"))
-    n = F.size("all")
-    return rows.select("crop_a", "crop_b", F.slice("all", 1, k).alias("shared"), n.alias("n"), F.when(n >= 5, "high").when(n >= 2, "medium").otherwise("low").alias("risk"))
+    first = both.withColumn("place", F.row_number().over(Window.partitionBy("crop_a", "crop_b").orderBy("pest")))
+    rows = first.groupBy("crop_a", "crop_b").agg(F.sort_array(F.collect_list(F.when(F.col("place") <= k, F.col("pest")))).alias("shared"), F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("risk", F.when(F.col("n") >= 5, "high").when(F.col("n") >= 2, "medium").otherwise("low"))
 
 
 def series_trend(points: DataFrame, dead_band: float = 0.02) -> DataFrame:
@@ -211,9 +211,16 @@ def series_trend(points: DataFrame, dead_band: float = 0.02) -> DataFrame:
 
 
 def plan_warnings(segments: DataFrame) -> DataFrame:
-    """plan_id, kind, seq_a, seq_b: unknown roles and methods, and segments of a plan whose sowing windows overlap."""
+    """plan_id, kind, seq_a, seq_b: unknown roles and methods, and segments of a plan whose sowing windows overlap.
+
+    Segments meet in the months that they share, each pair in its first one; so a plan of many segments is spread over its months.
+    A segment that ends before it starts overlaps nothing.
+    """
     role = segments.where(F.col("role").isNotNull() & ~F.col("role").isin("main", "cover", "catch", "companion")).select("plan_id", F.lit("invalid_role").alias("kind"), F.col("seq").alias("seq_a"), F.lit(None).cast("int").alias("seq_b"))
     how = segments.where(F.col("method").isNotNull() & ~F.col("method").isin("harvest", "roller_crimper", "mowing", "grazing", "incorporation")).select("plan_id", F.lit("invalid_termination_method"), "seq", F.lit(None).cast("int"))
-    a, b = segments.select("plan_id", *(F.col(c).alias(f"{c}_a") for c in ("seq", "start", "end"))), segments.select("plan_id", *(F.col(c).alias(f"{c}_b") for c in ("seq", "start", "end")))
-    overlap = a.join(b, "plan_id").where("seq_a < seq_b AND start_a <= end_b AND start_b <= end_a").select("plan_id", F.lit("window_overlap"), "seq_a", "seq_b")
+    months = lambda c: F.floor(F.unix_date(F.col(c).cast("date")) / 30)
+    whole = segments.where("start <= end").withColumn("first", months("start")).withColumn("month", F.explode(F.sequence("first", months("end"))))
+    a, b = (whole.select("plan_id", "month", *(F.col(c).alias(f"{c}_{side}") for c in ("seq", "start", "end", "first"))) for side in "ab")
+    overlap = a.join(b, ["plan_id", "month"]).where("seq_a < seq_b AND start_a <= end_b AND start_b <= end_a AND month = greatest(first_a, first_b)")
+    overlap = overlap.select("plan_id", F.lit("window_overlap"), "seq_a", "seq_b")
     return role.unionAll(how).unionAll(overlap)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -252,10 +250,3 @@ def nearest_within(points: DataFrame, sites: DataFrame, max_km: float = 50.0) ->
     hits = dealt.join(cells, ["row", "column"]).withColumn("km", F.round(km, 3)).where(F.col("km") <= max_km)
     best = hits.groupBy("point_id").agg(F.min(F.struct("km", "site_id")).alias("b"))
     return points.select("point_id").join(best, "point_id", "left").select("point_id", "b.site_id", "b.km")
-
-
-def in_batches(df: DataFrame, size: int) -> Iterator[DataFrame]:  # pragma: no cover - thin convenience
-    """Parts of a table of about ``size`` rows by hash of their content, for sinks that take bounded batches."""
-    parts = max(1, -(-df.count() // size))
-    for i in range(parts):
-        yield df.where(F.pmod(F.xxhash64(*df.columns), F.lit(parts)) == i)

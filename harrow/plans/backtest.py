@@ -35,6 +35,7 @@ def nearest_by_features(sites: DataFrame, limit: int, cell_rows: int = 50) -> Da
 
     marked = marked.select("*", *(cell(f).alias(f"c_{f}") for f in V.FEATURES))
     keys = [f"c_{f}" for f in V.FEATURES]
+    marked = written(marked, "grid")
     open_ = marked.select(F.col("site_id").alias("fold_id"), *(F.col(f).alias(f"f_{f}") for f in V.FEATURES), *(F.col(k).alias(f"f{k}") for k in keys))
     literal = {f: F.lit(s) for f, s in span.items()}
     distance = F.round(A.weighted_distance({f: F.col(f) for f in V.FEATURES}, {f: F.col(f"f_{f}") for f in V.FEATURES}, literal), 4)
@@ -47,7 +48,7 @@ def nearest_by_features(sites: DataFrame, limit: int, cell_rows: int = 50) -> Da
             around = F.sequence(F.greatest(F.col(f"f{k}") - reach, F.lit(0)), F.least(F.col(f"f{k}") + reach, F.lit(cells - 1)))
             met = met.withColumn(k, F.explode(around))
         pairs = met.join(marked, keys).select("fold_id", "site_id", "name", distance.alias("distance"))
-        near = V.top_per_group(pairs, ["fold_id"], [F.col("distance"), F.col("name"), F.col("site_id")], limit)
+        near = written(V.top_per_group(pairs, ["fold_id"], [F.col("distance"), F.col("name"), F.col("site_id")], limit), "near-round")
         if reach >= cells - 1:
             out.append(near)
             return reduce(DataFrame.unionByName, out).drop("rank")
@@ -129,7 +130,7 @@ def backtest(trials: DataFrame, links: DataFrame, sites: DataFrame, now_year: in
     names = folds.select("fold_id", F.lower("name").alias("held")).distinct()
     near = site_distances(sites, site_limit).join(names, "fold_id").where(F.lower("name") != F.col("held"))
     by_name = near.groupBy("fold_id", "name").agg(F.min("weight").alias("weight"))
-    near = near.select("fold_id", "site_id", "name").join(by_name, ["fold_id", "name"])
+    near = written(near.select("fold_id", "site_id", "name").join(by_name, ["fold_id", "name"]), "near")
     reached = members.join(near, "site_id").groupBy("fold_id", "set_id").agg(F.max("weight").alias("weight"))
     same_name = sites.select("site_id", F.lower("name").alias("held")).join(names, "held").select("fold_id", "site_id")
     seen = members.join(same_name, "site_id").select("fold_id", "set_id").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from harrow.operators import varieties as V
 from harrow.operators.asof import crop_context as context
 from harrow.plans.queries import DOMAIN, NOW, USABLE
 from harrow.plans.registry import oracle, plain, query
+from harrow.sources.publish import Gate, Versions
+from harrow.sources.scratch import shared_folder
 from harrow.sources.tables import trial_links, trial_sites, variety_trials
 
 PARCEL = """SELECT c_custkey AS target_id, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE CAST(250 + (c_custkey * 41) % 1000 AS DOUBLE) END AS rainfall,
@@ -220,3 +224,18 @@ def rotation_search(spark: SparkSession, d: str) -> DataFrame:
     """The best four years that a search over states finds, if a lack of nitrogen costs and a crop returns after two years at the earliest."""
     rows = _rotations(spark, d, beam=200, gap=2, shortage_cost=0.5)
     return rows.select("parcel_id", F.array_join("crops", ",").alias("crops"), F.round("score", 3).alias("score"), F.round("soil_n", 2).alias("soil_n"))
+
+
+GATES = [
+    ("rows", "count(*)", "new >= 0.5 * old"), ("repeated keys", "count(*) - count(DISTINCT uri)", "new = 0"), ("known thresholds", "count(heat_c) / count(*)", "new >= 0.9 * old"),
+    ("coefficients", "max(kc_ini)", "new BETWEEN 0 AND 7"), ("names lost", "count(*) - count(name)", "new <= old"),
+]
+
+
+@query(f"WITH a AS ({OLD}), b AS ({NEW}), m AS (" + " UNION ALL ".join(f"SELECT '{n}' AS gate, (SELECT CAST({m} AS DOUBLE) FROM a) AS old, (SELECT CAST({m} AS DOUBLE) FROM b) AS new" for n, m, _ in GATES) + ")"
+       " SELECT gate, old, new, CASE gate " + " ".join(f"WHEN '{n}' THEN {r}" for n, _, r in GATES) + " END AS passed FROM m")
+def reingest_gates(spark: SparkSession, d: str) -> DataFrame:
+    """A quarter's catalogue held against the published one of the quarter before."""
+    versions = Versions(spark, f"{shared_folder(spark)}/catalogue-{uuid.uuid4().hex}")
+    versions.publish(plain(spark, d, OLD), [])
+    return versions.report(plain(spark, d, NEW), [Gate(n, m, r) for n, m, r in GATES])
