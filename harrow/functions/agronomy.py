@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -43,11 +44,20 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(2 * 6371.0) * F.asin(F.sqrt(half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2)))
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Lower-case Latin letters with marks and what is left of them without, by Unicode's decomposition."""
+    marked = [c for c in map(chr, range(0xC0, 0x250)) if c == c.lower() and len(base := unicodedata.normalize("NFD", c)) > 1 and base[0].isascii()]
+    return "".join(marked) + "".join(STROKED), "".join(unicodedata.normalize("NFD", c)[0] for c in marked) + "".join(STROKED.values())
+
+
+#: Letters that Unicode doesn't take apart (fixed values).
+STROKED = {"ł": "l", "ø": "o", "đ": "d", "ħ": "h", "ŧ": "t", "ı": "i"}
+PLAIN_LETTERS = _plain_letters()
+
+
 def site_key(name: Column) -> Column:
     """Identity of a site by name: accents folded, one trailing parenthesis off, spaces collapsed, lower case."""
-    folded = F.translate(
-        F.lower(F.coalesce(name, F.lit(""))), "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy"
-    )
+    folded = F.translate(F.lower(F.coalesce(name, F.lit(""))), *PLAIN_LETTERS)
     return F.trim(F.regexp_replace(F.regexp_replace(folded, r"\s*\([^)]*\)\s*$", ""), r"\s+", " "))
 
 

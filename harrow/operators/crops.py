@@ -18,7 +18,7 @@ CONTAINS_GLUTEN = "TRZAX TRZDU TRZAW HORVX HORVW SECCE TTLSS".split()
 GLUTEN_CAVEAT = ["AVESA"]
 GLUTEN_FREE = (
     "ZEAXX ZEAMX SORVU ORYSA CIEAR PIBSX PISSA VICFX VICSA VICER LENCU LTHSA GLXMA LUPAL LUPAN PHVUX BRSNW BRSNN BRPNA HELAN SOLTU BETVU "
-    "SOLLC SOLME CAPAN CPSAN CUMSA CUCUM ALLCE ALLPO LYPES CUMME FRAAN OLEU VITIS PRMDO PRNAR PRNDU MABSD BRUn CITRU PRMPE MEDSA MEDLU TRFPR"
+    "SOLLC SOLME CAPAN CPSAN CUMSA CUCUM ALLCE ALLPO LYPES CUMME FRAAN OLEU VITIS PRMDO PRNAR PRNDU MABSD CITRU PRMPE MEDSA MEDLU TRFPR"
 ).split()
 #: Month of cover termination, degree days a spring day, and first sowing days by climate class (fixed values).
 TERMINATION_MONTH = {"Csa": 5, "BSk": 6, "Cfb": 6, "BSh": 4, "Dfa": 6, "Dfb": 6}

@@ -40,7 +40,7 @@ def nearest_sites(targets: DataFrame, sites: DataFrame, k: int = 50, rain_window
         across = max(1, int((bounds.n / k) ** 0.5))
         parts.append(_by_grid(targets, sites, {x: (bounds[f"lo_{x}"], bounds[f"hi_{x}"]) for x in FEATURES}, across, k))
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return top_per_group(found, ["target_id"], [F.col("distance"), F.col("name"), F.col("site_id")], k)
+    return written(top_per_group(found, ["target_id"], [F.col("distance"), F.col("name"), F.col("site_id")], k), "nearest")
 
 
 def _by_class(targets: DataFrame, sites: DataFrame, window: float) -> DataFrame:
@@ -102,33 +102,30 @@ def rank_for_targets(asked: DataFrame, near: DataFrame, trials: DataFrame, links
     ``asked``: target_id, crop. ``trials`` are usable records with variety_norm, year, yield_kg_ha and ``scores``, a map. A record
     counts once for a target, with the weight of its nearest site among the target's. Scores are the highest of each name.
 
-    Records are first added up by crop, variety, year and the sites they link to; so targets meet a row for each such
-    group, not for each record.
+    Records are first added up, by their age, by crop, variety and the sites they link to; so targets meet a row for each such
+    group, not for each record. Crop, variety and sites of a record are known; records without crop or variety rank nowhere.
     """
     at = links.groupBy("trial_id").agg(F.sort_array(F.collect_set("site_id")).alias("site_ids"))
-    known = F.col("yield_kg_ha")
-    records = trials.select("trial_id", "crop", "variety_norm", "year", "yield_kg_ha", F.to_json("scores").alias("scores")).distinct().join(at, "trial_id")
-    score_map = F.from_json("scores", "map<string,double>")
-    by = ["crop", "variety_norm", "year", "site_ids"]
-    sums = records.groupBy(*by).agg(
-        F.sum(known).alias("y"), F.count(known).alias("n_y"), F.count(F.lit(1)).alias("n"), F.min(known).alias("y_min"), F.max(known).alias("y_max")
-    )
-    best = records.select(*by, F.explode(score_map)).groupBy(*by, "key").agg(F.max("value").alias("value"))
-    best = best.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("scores"))
-    equal = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
-    condition = equal[0] & equal[1] & equal[2] & equal[3]
-    groups = written(sums.alias("a").join(best.alias("b"), condition, "left").select("a.*", "b.scores").withColumn("group_id", F.monotonically_increasing_id()), "trial-groups")
-    weighted = near.join(asked, "target_id").withColumn("w_site", F.coalesce(F.lit(1.0) / (F.lit(1.0) + F.col("distance")), F.lit(1.0)))
-    met = groups.select("crop", "group_id", F.explode("site_ids").alias("site_id")).join(weighted, ["crop", "site_id"])
-    met = met.groupBy("target_id", "crop", "group_id").agg(F.max("w_site").alias("w_site")).join(groups, ["crop", "group_id"])
+    known, by = F.col("yield_kg_ha"), ["crop", "variety", "site_ids"]
+    records = trials.dropna(subset=["crop", "variety_norm"]).select("trial_id", "crop", F.col("variety_norm").alias("variety"), "year", "yield_kg_ha", F.to_json("scores").alias("scores")).distinct().join(at, "trial_id")
     age = F.lit(now_year) - F.col("year")
-    met = met.withColumn("w", F.col("w_site") * F.when(age > 0, F.pow(F.lit(0.5), age / half_life)).otherwise(1.0))
-    rows = met.groupBy("target_id", "crop", F.col("variety_norm").alias("variety")).agg(
-        F.round(F.round(F.try_divide(F.sum(F.col("w") * F.col("y")), F.nullif(F.sum(F.col("w") * F.col("n_y")), F.lit(0.0))), 6), 1).alias("mean_yield"),
+    recency = F.when(age > 0, F.pow(F.lit(0.5), age / half_life)).otherwise(1.0)
+    groups = records.groupBy(*by).agg(
+        F.sum(recency * known).alias("wy"), F.sum(F.when(known.isNotNull(), recency)).alias("w"), F.count(known).alias("n_y"), F.count(F.lit(1)).alias("n"),
+        F.min(known).alias("y_min"), F.max(known).alias("y_max"),
+    )
+    groups = written(groups.withColumn("group_id", F.monotonically_increasing_id()), "trial-groups")
+    weighted = near.join(asked, "target_id").select("target_id", "crop", "site_id", F.coalesce(F.lit(1.0) / (F.lit(1.0) + F.col("distance")), F.lit(1.0)).alias("w_site"))
+    met = groups.select("crop", "group_id", F.explode("site_ids").alias("site_id")).join(weighted, ["crop", "site_id"]).groupBy("target_id", "group_id").agg(F.max("w_site").alias("w_site"))
+    met = written(met, "met")
+    rows = met.join(groups.drop("site_ids"), "group_id").groupBy("target_id", "crop", "variety").agg(
+        F.round(F.round(F.try_divide(F.sum(F.col("w_site") * F.col("wy")), F.nullif(F.sum(F.col("w_site") * F.col("w")), F.lit(0.0))), 6), 1).alias("mean_yield"),
         F.min("y_min").alias("min_yield"), F.max("y_max").alias("max_yield"), F.sum("n_y").alias("yield_count"), F.sum("n").alias("trial_count"),
     )
-    ranked = top_per_group(rows, ["target_id", "crop"], [F.col("mean_yield").desc_nulls_last(), F.col("variety")], top_n)
-    shown = met.join(ranked.select("target_id", "crop", F.col("variety").alias("variety_norm")), ["target_id", "crop", "variety_norm"], "left_semi")
-    highest = shown.select("target_id", "crop", F.col("variety_norm").alias("variety"), F.explode("scores")).groupBy("target_id", "crop", "variety", "key").agg(F.max("value").alias("value"))
+    ranked = written(top_per_group(rows, ["target_id", "crop"], [F.col("mean_yield").desc_nulls_last(), F.col("variety")], top_n), "ranked")
+    best = records.select(*by, F.explode(F.from_json("scores", "map<string,double>"))).groupBy(*by, "key").agg(F.max("value").alias("value"))
+    best = best.join(groups.select(*by, "group_id"), by)
+    shown = met.join(groups.select("group_id", "crop", "variety"), "group_id").join(ranked.select("target_id", "crop", "variety"), ["target_id", "crop", "variety"], "left_semi")
+    highest = shown.join(best.select("group_id", "key", "value"), "group_id").groupBy("target_id", "crop", "variety", "key").agg(F.max("value").alias("value"))
     highest = highest.groupBy("target_id", "crop", "variety").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("scores"))
     return ranked.join(highest, ["target_id", "crop", "variety"], "left")

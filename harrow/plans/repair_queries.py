@@ -31,12 +31,12 @@ TAGGED = """tagged AS (SELECT l_orderkey, l_linenumber, l_partkey, concat(p_mfgr
 MANAGEMENT_RULES = [("Alpha", None, "conventional"), ("Beta", "PROMO", "organic"), ("Beta", None, "mixed")]
 
 
-@query(f"""WITH {oracle(TAGGED)}, t AS (SELECT crop_group, source_name, coalesce(management, CASE WHEN contains(source_name, 'Alpha') THEN 'conventional' WHEN contains(source_name, 'Beta') AND contains(crop_group, 'PROMO') THEN 'organic'
-        WHEN contains(source_name, 'Beta') THEN 'mixed' ELSE 'conventional' END) AS management FROM tagged) SELECT crop_group, source_name, management, count(*) AS trials FROM t GROUP BY ALL""")
+@query(f"""WITH {oracle(TAGGED)}, t AS (SELECT l_orderkey, l_linenumber, crop_group, source_name, coalesce(management, CASE WHEN contains(source_name, 'Alpha') THEN 'conventional' WHEN contains(source_name, 'Beta') AND contains(crop_group, 'PROMO') THEN 'organic'
+        WHEN contains(source_name, 'Beta') THEN 'mixed' ELSE 'conventional' END) AS management FROM tagged) SELECT l_orderkey, l_linenumber, crop_group, source_name, management FROM t""")
 def management_tags(spark: SparkSession, d: str) -> DataFrame:
-    """Management by ordered source rules; trials by crop, source and tag."""
+    """Management of each trial by ordered source rules."""
     rows = B.tag_management(rows_of(spark, d, TAGGED, "tagged")[0], MANAGEMENT_RULES)
-    return rows.groupBy("crop_group", "source_name", "management").agg(F.count(F.lit(1)).alias("trials"))
+    return rows.select("l_orderkey", "l_linenumber", "crop_group", "source_name", "management")
 
 
 TITLES = """titled AS (SELECT p_partkey AS param_id, CASE WHEN p_size % 10 = 0 THEN NULL ELSE concat(CASE p_size % 6 WHEN 0 THEN 'Wine and GRAPE' WHEN 1 THEN 'Wheat of' WHEN 2 THEN 'Chickpea,' WHEN 3 THEN 'Corn' WHEN 4 THEN 'Vicia' ELSE 'On' END, ' ', p_brand) END AS source_short,
@@ -102,11 +102,11 @@ NATURAL = """trials AS (SELECT l_orderkey, l_linenumber, p_brand AS source, uppe
 
 
 @query(f"""WITH {oracle(NATURAL)}, u AS (SELECT lower(trim(source)) AS s, lower(trim(crop)) AS c, lower(trim(variety)) AS v, lower(trim(location)) AS l, year AS y, max(cycle) AS n FROM cycles GROUP BY ALL)
-    SELECT crop, year, coalesce(n, cycle) AS cycle, count(*) AS trials FROM trials LEFT JOIN u ON s = lower(trim(source)) AND c = lower(trim(crop)) AND v = lower(trim(variety)) AND l = lower(trim(location)) AND y = year GROUP BY ALL""")
+    SELECT l_orderkey, l_linenumber, crop, year, coalesce(n, cycle) AS cycle FROM trials LEFT JOIN u ON s = lower(trim(source)) AND c = lower(trim(crop)) AND v = lower(trim(variety)) AND l = lower(trim(location)) AND y = year""")
 def cycle_update(spark: SparkSession, d: str) -> DataFrame:
-    """Cycles written to trials by a key of five columns; trials by crop, year and cycle."""
+    """The cycle of each trial by a key of five columns."""
     rows = B.update_by_natural_key(*rows_of(spark, d, NATURAL, "trials", "cycles"), ["source", "crop", "variety", "location", "year"], "cycle")
-    return rows.groupBy("crop", "year", "cycle").agg(F.count(F.lit(1)).alias("trials"))
+    return rows.select("l_orderkey", "l_linenumber", "crop", "year", "cycle")
 
 
 GRAFTS = """grafts AS (SELECT o_orderkey AS trial_id, CASE WHEN o_orderstatus = 'F' THEN concat(' ', o_orderpriority, ' ') WHEN o_orderstatus = 'O' THEN upper(o_orderpriority) END AS rootstock, CASE WHEN o_orderkey % 2 = 0 THEN 'PRNDU' END AS crop_eppo, 'Prunus dulcis' AS crop_scientific FROM {orders}),

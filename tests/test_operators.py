@@ -6,6 +6,9 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from harrow.functions import agronomy as A
 from harrow.operators import hygiene as H
 from harrow.operators import rules as R
 from harrow.operators import varieties as V
@@ -33,20 +36,20 @@ def ranked(spark, trials, links, sites, **options):
 
 
 def test_trial_with_two_sites_of_one_name_counts_once(spark):
-    got = ranked(spark, [("a", "v", 9000.0, None), ("b", "v", 3000.0, None)], [("a", 1), ("a", 2), ("b", 1)], [(1, "DupSite"), (2, "DupSite")])
-    assert got == {"V": (6000.0, 2, 2)}
+    got = ranked(spark, [("a", "v", 7300.0, None), ("b", "v", 4100.0, None)], [("a", 1), ("a", 2), ("b", 1)], [(1, "Twin Hill"), (2, "Twin Hill")])
+    assert got == {"V": (5700.0, 2, 2)}
 
 
 def test_trial_with_a_note_alone_never_enters_the_mean(spark):
-    got = ranked(spark, [("a", "v", 9000.0, None), ("b", "v", 8000.0, None), ("c", "v", None, 9)], [("a", 1), ("b", 1), ("c", 1)], [(1, "S")])
-    assert got == {"V": (8500.0, 2, 3)}
+    got = ranked(spark, [("a", "v", 6400.0, None), ("b", "v", 5200.0, None), ("c", "v", None, 4)], [("a", 1), ("b", 1), ("c", 1)], [(1, "S")])
+    assert got == {"V": (5800.0, 2, 3)}
 
 
 def test_held_out_site_removes_every_trial_seen_there(spark):
-    trials = [("a", "v", 9000.0, None), ("b", "v", 5000.0, None), ("c", "v", 1000.0, None)]
+    trials = [("a", "v", 8800.0, None), ("b", "v", 5600.0, None), ("c", "v", 2400.0, None)]
     links = [("a", 1), ("b", 2), ("c", 1), ("c", 2)]
-    assert ranked(spark, trials, links, [(1, "A"), (2, "B")])["V"][0] == 5000.0
-    assert ranked(spark, trials, links, [(1, "A"), (2, "B")], exclude_sites=["A"])["V"] == (5000.0, 1, 1)
+    assert ranked(spark, trials, links, [(1, "A"), (2, "B")])["V"][0] == 5600.0
+    assert ranked(spark, trials, links, [(1, "A"), (2, "B")], exclude_sites=["A"])["V"] == (5600.0, 1, 1)
 
 
 def test_upsert_twice_changes_nothing_more(spark):
@@ -220,10 +223,6 @@ def test_notifications_are_enriched(spark):
 
 
 def test_content_keys_drainage_and_nodata(spark):
-    from pyspark.sql import functions as F
-
-    from harrow.functions import agronomy as A
-
     rows = spark.createDataFrame([(1, "a", 2.0), (1, "a", 3.0), (1, "a", 2.0)], "k int, a string, b double")
     keys = [r.merge_key for r in H.content_key(rows, F.col("k").cast("string"), ["b", "a"]).collect()]
     assert keys[0] == keys[2] != keys[1] and all(len(k) == 14 and k.startswith("1|") for k in keys)
@@ -232,3 +231,9 @@ def test_content_keys_drainage_and_nodata(spark):
     soil = spark.createDataFrame([(-9999.0,), (6.5,), (15.0,), (None,)], "ph double")
     assert [r.v for r in soil.select(A.nodata(F.col("ph"), 0.0, 14.0).alias("v")).collect()] == [None, 6.5, None, None]
     assert sum(part.count() for part in H.in_batches(rows.withColumn("n", F.monotonically_increasing_id()), 2)) == 3
+
+
+def test_site_keys_fold_letters_of_all_latin_alphabets(spark):
+    names = ["Kraków  Żółty (PL)", "Győr", "Žďár nad Sázavou", "Århus Ø", "İzmir", "São  João", None, "", "Plain (a) (b)"]
+    got = [r.k for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").select("i", A.site_key(F.col("n")).alias("k")).orderBy("i").collect()]
+    assert got[:4] == ["krakow zolty", "gyor", "zdar nad sazavou", "arhus o"] and got[5:] == ["sao joao", "", "", "plain (a)"]
