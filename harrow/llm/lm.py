@@ -13,19 +13,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import crc_bucket, documents, materialise, mixed, portions, words_of
+from harrow.llm.common import crc_bucket, discard, documents, materialise, mixed, portions, words_of
 
 #: Marks of a text's start and end; words never contain the line feed that keeps these apart from them.
 START, END = b"\nstart", b"\nend"
 START_KEY = np.uint64(xxhash.xxh64_intdigest(START))
 
-COUNT_SCHEMA = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("sizes", pa.list_(pa.int64())), ("keys", pa.binary()), ("counts", pa.binary())])
-COUNT_DDL = "bucket long, block long, sizes array<long>, keys binary, counts binary"
+COUNT_SCHEMA = pa.schema([
+    ("bundle", pa.int64()), ("bucket", pa.int64()), ("member", pa.int64()), ("sizes", pa.list_(pa.int64())), ("keys", pa.binary()), ("counts", pa.binary()),
+])
+COUNT_DDL = "bundle long, bucket long, member long, sizes array<long>, keys binary, counts binary"
 REPLY_SCHEMA = pa.schema([
-    ("block", pa.int64()), ("bucket", pa.int64()), ("sizes", pa.list_(pa.int64())), ("totals", pa.binary()),
+    ("member", pa.int64()), ("bucket", pa.int64()), ("sizes", pa.list_(pa.int64())), ("totals", pa.binary()),
     ("tokens", pa.int64()), ("types", pa.int64()), ("singles", pa.int64()),
 ])
-REPLY_DDL = "block long, bucket long, sizes array<long>, totals binary, tokens long, types long, singles long"
+REPLY_DDL = "member long, bucket long, sizes array<long>, totals binary, tokens long, types long, singles long"
 BLOCK_SCHEMA = pa.schema([
     ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())),
     ("tokens", pa.binary()), ("keys", pa.binary()),
@@ -104,49 +106,89 @@ def numbered_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.
     return tokens, keys[order], np.fromiter(map(len, parts), np.int64, len(parts))
 
 
-def count_rows(number: int, block: Block, buckets: int) -> Iterator[tuple]:
-    """A row per bucket that some of the block's n-grams fall into: their sorted keys by order, and their counts in training texts."""
-    edges = np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64)  # equal ranges of the key space
-    orders = []
-    for n in range(1, len(block.keys) + 1):
-        by_key, keys = block.sorted_keys(n)
-        orders.append((keys, block.counts[n - 1][by_key], [0, *np.searchsorted(keys, edges).tolist(), len(keys)]))
-    for bucket in range(buckets):
-        parts = [(keys[cuts[bucket] : cuts[bucket + 1]], counts[cuts[bucket] : cuts[bucket + 1]]) for keys, counts, cuts in orders]
-        sizes = [len(keys) for keys, _ in parts]
-        if any(sizes):
-            yield bucket, number, sizes, packed(np.concatenate([k for k, _ in parts])), packed(np.concatenate([c for _, c in parts]))
-
+class Levels:
+    """Paths of n-grams from blocks to key ranges in ``depth`` hops of ``fan`` ways each, so that rows grow with the text.
 
-def total_bucket(table: pa.Table) -> pa.Table:
-    """For every block that sent keys to this bucket: the total of each key over all blocks, in the block's own order.
-
-    A row of block -1 has the bucket's tokens, types and types seen once.
+    On level l a group holds one of fan^l equal key ranges of one of fan^(depth - l) bundles of blocks; its members are about
+    fan blocks (level 1) or bundles of the level before, and each sends it what it has in that range. On the last level there
+    is one bundle, whose groups have the corpus's totals. Every member sends at most ``fan`` rows a level.
     """
-    bucket = table.column("bucket")[0].as_py()
-    blocks, sizes = table.column("block").to_pylist(), np.array(table.column("sizes").to_pylist(), np.int64)
+
+    def __init__(self, buckets: int, max_fan: int):
+        self.depth = 1
+        while max_fan**self.depth < buckets:
+            self.depth += 1
+        self.fan = 1
+        while self.fan**self.depth < buckets:
+            self.fan += 1
+
+    def bundle(self, member: int, level: int) -> int:
+        """The bundle on ``level`` of a block (level 1) or of a bundle of the level before."""
+        number = xxhash.xxh64_intdigest(member.to_bytes(8, "little")) if level == 1 else member
+        return number % self.fan ** (self.depth - level)
+
+    def rows(self, level: int, member: int, above: int, orders: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple]:
+        """The rows that ``member`` sends to ``level``: sorted keys and counts of all orders, cut by the key ranges in range ``above``."""
+        ranges = range(above * self.fan, (above + 1) * self.fan)
+        edges = np.array([(i << 64) // self.fan**level for i in ranges[1:]], dtype=np.uint64)
+        cuts = [[0, *np.searchsorted(keys, edges).tolist(), len(keys)] for keys, _ in orders]
+        for i, bucket in enumerate(ranges):
+            parts = [slice(c[i], c[i + 1]) for c in cuts]
+            sizes = [s.stop - s.start for s in parts]
+            if any(sizes):
+                keys, counts = (np.concatenate([o[side][s] for o, s in zip(orders, parts, strict=True)]) for side in (0, 1))
+                yield self.bundle(member, level), bucket, member, sizes, packed(keys), packed(counts)
+
+
+def merged(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a group's rows, for each order: the distinct keys, their sums, each member's keys as places in them, and the members' cuts."""
+    sizes = np.array(table.column("sizes").to_pylist(), np.int64)
     ends = np.cumsum(sizes, axis=1)
     keys = [unpacked(k) for k in table.column("keys").to_pylist()]
     counts = [unpacked(c).astype(np.int64) for c in table.column("counts").to_pylist()]
-    totals: list[list[np.ndarray]] = [[] for _ in blocks]
-    stats = (0, 0, 0)
+    out = []
     for n in range(sizes.shape[1]):
         spans = [slice(int(e[n] - s[n]), int(e[n])) for e, s in zip(ends, sizes, strict=True)]
         distinct, place = np.unique(np.concatenate([k[s] for k, s in zip(keys, spans, strict=True)]), return_inverse=True)
         total = np.bincount(place, np.concatenate([c[s] for c, s in zip(counts, spans, strict=True)]), len(distinct)).astype(np.int64)
-        if not n:
-            words = total[distinct != START_KEY]
-            stats = int(words.sum()), int((words > 0).sum()), int((words == 1).sum())
-        at = 0
-        for i, s in enumerate(spans):
-            size = s.stop - s.start
-            totals[i].append(total[place[at : at + size]])
-            at += size
-    rows = [(b, bucket, s, packed(np.concatenate(t)), None, None, None) for b, s, t in zip(blocks, sizes.tolist(), totals, strict=True)]
-    rows.append((-1, bucket, [], b"", *stats))
+        out.append((distinct, total, place, np.cumsum(sizes[:, n])[:-1]))
+    return out
+
+
+def reply_rows(table: pa.Table, totals: list[np.ndarray], orders: list[tuple], stats: tuple[int, int, int] | None = None) -> pa.Table:
+    """A group's answer to each member: the totals of its keys in its own order. With ``stats``, a row of member -1 has them."""
+    bucket = table.column("bucket")[0].as_py()
+    answers = zip(*(np.split(total[place], cuts) for total, (_, _, place, cuts) in zip(totals, orders, strict=True)), strict=True)
+    members, sizes = (table.column(c).to_pylist() for c in ("member", "sizes"))
+    rows = [(m, bucket, s, packed(np.concatenate(a)), None, None, None) for m, s, a in zip(members, sizes, answers, strict=True)]
+    if stats is not None:
+        rows.append((-1, bucket, [], b"", *stats))
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), REPLY_SCHEMA.types, strict=True)], schema=REPLY_SCHEMA)
 
 
+def total_bucket(table: pa.Table) -> pa.Table:
+    """On the last level: totals for every member that sent keys to this range, and its tokens, types and types seen once."""
+    orders = merged(table)
+    words = orders[0][1][orders[0][0] != START_KEY]
+    return reply_rows(table, [o[1] for o in orders], orders, (int(words.sum()), int((words > 0).sum()), int((words == 1).sum())))
+
+
+def passed_on(table: pa.Table, answers: pa.Table) -> pa.Table:
+    """On a level before the last: the answers to this group's merged keys, handed to each of its members."""
+    orders = merged(table)
+    return reply_rows(table, joined_totals(answers, [len(o[0]) for o in orders]), orders)
+
+
+def joined_totals(answers: pa.Table, sizes: list[int]) -> list[np.ndarray]:
+    """The totals of each order, in the order of keys, from the answers of all key ranges."""
+    rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("bucket", "sizes", "totals")), strict=True), key=lambda r: r[0])
+    parts = [np.split(unpacked(t).astype(np.int64), np.cumsum(s)[:-1]) for _, s, t in rows]
+    out = [np.concatenate([p[n] for p in parts]) if parts else np.zeros(0, np.int64) for n in range(len(sizes))]
+    if [len(o) for o in out] != sizes:
+        raise RuntimeError("the documents have changed since their n-grams were counted")
+    return out
+
+
 class Automaton:
     """Backoff automaton of the n-grams that a block needs.
 
@@ -199,17 +241,10 @@ def score_block(texts: pa.Table, replies: pa.Table, tokens: int, types: int, sin
     numbers = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["tokens"]), "<i4")
     held = np.array(row["held_out"], dtype=bool)
     block = Block(numbers, unpacked(row["keys"]), np.array(row["lengths"], np.int64), ~held, order)
-    answers = sorted(zip(*(replies.column(c).to_pylist() for c in ("bucket", "sizes", "totals")), strict=True), key=lambda r: r[0])
-    totals = [unpacked(t).astype(np.int64) for _, _, t in answers]
     counts = []
-    for n in range(order):
-        parts = [t[sum(s[:n]) : sum(s[: n + 1])] for (_, s, _), t in zip(answers, totals, strict=True)]
-        by_key, _ = block.sorted_keys(n + 1)
-        found = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        if len(found) != len(by_key):
-            raise RuntimeError("the documents have changed since their n-grams were counted")
-        count = np.empty(len(by_key), np.int64)
-        count[by_key] = found
+    for n, found in enumerate(joined_totals(replies, [len(k) for k in block.keys])):
+        count = np.empty(len(found), np.int64)
+        count[block.sorted_keys(n + 1)[0]] = found
         counts.append(count)
     automaton = Automaton(block, counts, tokens, singles, weights)
     inner = numbers != block.start
@@ -221,7 +256,13 @@ def score_block(texts: pa.Table, replies: pa.Table, tokens: int, types: int, sin
 
 
 def lm_scores(
-    docs: DataFrame, modulus: int = 7, held_out: int = 2, weights: tuple[float, ...] = (0.2, 0.6), block_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20
+    docs: DataFrame,
+    modulus: int = 7,
+    held_out: int = 2,
+    weights: tuple[float, ...] = (0.2, 0.6),
+    block_bytes: int = 8 << 20,
+    bucket_bytes: int = 8 << 20,
+    max_fan: int = 128,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, one row per document.
 
@@ -231,16 +272,16 @@ def lm_scores(
     scored once each; an empty table gives no rows; other columns are left out.
 
     No table of n-grams is broadcast or collected, and texts are not shuffled. Each task cuts its documents into blocks of
-    ``block_bytes`` of text. A block sends its distinct n-grams with counts to buckets by key range, as many as the corpus
-    has ``bucket_bytes``; a bucket adds them up and answers each block for its own n-grams, and the block, now sent as
-    numbers, builds the part of the automaton that its texts reach. A frequent n-gram is one entry per block, so no bucket
-    grows with its frequency, and memory doesn't grow with the corpus. Rows must come in the same order when read again, as
-    files do; else the job fails.
+    ``block_bytes`` of text. A block's distinct n-grams with counts go to key ranges, as many as the corpus has
+    ``bucket_bytes``, by the hops of :class:`Levels`: one up to ``max_fan`` ranges (1 GB), two up to their square (128 GB), three up to
+    16 TB. Totals come back the same way, and the block, now sent as numbers, builds the part of the automaton that its texts
+    reach. Rows are at most ``max_fan`` a member and hop, so they grow with the text; a frequent n-gram is one entry a member, so no
+    group grows with its frequency. Rows must come in the same order when read again, as files do; else the job fails.
     """
     order = len(weights) + 1
     whole = documents(docs).withColumn("held_out", crc_bucket("doc_id", modulus) == held_out)
     size = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, math.ceil(size / bucket_bytes))
+    levels = Levels(math.ceil(size / bucket_bytes), max_fan)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
         number = TaskContext.get().partitionId() << 32
@@ -260,8 +301,12 @@ def lm_scores(
         for number, table in blocks(batches):
             train = ~table.column("held_out").to_numpy()
             tokens, keys, lengths = numbered_words(table.column("text").to_pylist())
-            found = count_rows(number, Block(tokens, keys, lengths, train, order), buckets)
-            for row in found:
+            block = Block(tokens, keys, lengths, train, order)
+            found = []
+            for n in range(1, order + 1):
+                by_key, ordered = block.sorted_keys(n)
+                found.append((ordered, block.counts[n - 1][by_key]))
+            for row in levels.rows(1, number, 0, found):
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, COUNT_SCHEMA.types, strict=True)], schema=COUNT_SCHEMA)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,11 +318,34 @@ def lm_scores(
             )
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, BLOCK_SCHEMA.types, strict=True)], schema=BLOCK_SCHEMA)
 
+    def onward(level: int):
+        def forward(key: tuple, table: pa.Table) -> pa.Table:
+            bundle, bucket = (k.as_py() for k in key)
+            rows = levels.rows(level, bundle, bucket, [(keys, total) for keys, total, _, _ in merged(table)])
+            columns = list(zip(*rows, strict=True)) or [()] * len(COUNT_SCHEMA)
+            return pa.table([pa.array(c, t) for c, t in zip(columns, COUNT_SCHEMA.types, strict=True)], schema=COUNT_SCHEMA)
+
+        return forward
+
     def total(key: tuple, table: pa.Table) -> pa.Table:
         return total_bucket(table)
 
-    replies = materialise(whole.mapInArrow(count, COUNT_DDL).groupBy("bucket").applyInArrow(total, REPLY_DDL), "n-grams")
-    tokens, types, singles = (v or 0 for v in replies.where("block = -1").agg(*(F.sum(c) for c in ("tokens", "types", "singles"))).first())
+    def back(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        return passed_on(table, answers)
+
+    sent = whole.mapInArrow(count, COUNT_DDL)
+    held = []
+    for level in range(2, levels.depth + 1):
+        held.append(materialise(sent, "n-grams-sent"))
+        sent = held[-1].groupBy("bundle", "bucket").applyInArrow(onward(level), COUNT_DDL)
+    replies = materialise(sent.groupBy("bundle", "bucket").applyInArrow(total, REPLY_DDL), "n-grams")
+    tokens, types, singles = (v or 0 for v in replies.where("member = -1").agg(*(F.sum(c) for c in ("tokens", "types", "singles"))).first())
+    for below in reversed(held):  # an answer's range lies in the range of the group that asked
+        above = replies.where("member >= 0").withColumn("range", F.expr(f"bucket div {levels.fan}"))
+        groups = below.groupBy("bundle", "bucket").cogroup(above.groupBy("member", "range"))
+        answered = materialise(groups.applyInArrow(back, REPLY_DDL), "n-grams")
+        discard(below, replies)
+        replies = answered
 
     def score(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(texts):
@@ -285,4 +353,4 @@ def lm_scores(
         return score_block(texts, answers, tokens, types, singles, weights)
 
     packs = whole.mapInArrow(pack, BLOCK_DDL)
-    return packs.groupBy("block").cogroup(replies.where("block >= 0").groupBy("block")).applyInArrow(score, SCORE_DDL)
+    return packs.groupBy("block").cogroup(replies.where("member >= 0").groupBy("member")).applyInArrow(score, SCORE_DDL)

@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from harrow.llm import langid, packing, queries, simhash
 from harrow.llm.bpe import ForcedBoundaryBPE
 from harrow.llm.dedup import drop_exact_duplicates, exact_duplicates
-from harrow.llm.lm import lm_scores
+from harrow.llm.lm import Levels, lm_scores, unpacked
 from harrow.llm.word_tokens import WordTokens
 from tests.oracle import spark_rows, sql_rows
 
@@ -223,7 +223,8 @@ def brute_scores(rows: list, weights: tuple[float, float]) -> dict:
 def test_lm_scores_equal_brute_force_and_beat_the_base(spark, sf, texts):
     expected = brute_scores(texts, (0.2, 0.6))
     small = lm_scores(spark.read.parquet(f"{sf}/documents.parquet"), block_bytes=20_000, bucket_bytes=30_000)
-    for rows in (queries.op3_lm_score(spark, sf).collect(), small.collect()):  # whatever the blocks and buckets
+    hops = lm_scores(spark.read.parquet(f"{sf}/documents.parquet"), block_bytes=20_000, bucket_bytes=30_000, max_fan=3)
+    for rows in (queries.op3_lm_score(spark, sf).collect(), small.collect(), hops.collect()):  # whatever the blocks, buckets and hops
         assert len(rows) == len(texts)
         for r in rows:
             assert tuple(r)[1:5] == expected[r.doc_id][:4]
@@ -232,6 +233,27 @@ def test_lm_scores_equal_brute_force_and_beat_the_base(spark, sf, texts):
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
 
+def test_rows_of_n_grams_grow_with_the_text():
+    def sent(blocks: int, fan: int) -> int:
+        """Rows on all levels for blocks of 40 n-grams each, and as many key ranges as blocks."""
+        draw, levels, rows = np.random.default_rng(blocks), Levels(blocks, fan), 0
+        members = [(b, 0, np.sort(draw.integers(0, 1 << 64, 40, np.uint64, endpoint=False))) for b in range(blocks)]
+        for level in range(1, levels.depth + 1):
+            groups = {}
+            for member, above, keys in members:
+                for bundle, bucket, _, sizes, data, _ in levels.rows(level, member, above, [(keys, np.ones(len(keys), np.int64))]):
+                    rows += 1
+                    assert bucket // levels.fan == above and 0 < sizes[0] == len(unpacked(data))
+                    groups.setdefault((bundle, bucket), []).append(unpacked(data))
+            members = [(bundle, bucket, np.unique(np.concatenate(parts))) for (bundle, bucket), parts in groups.items()]
+        assert {bundle for bundle, _, _ in members} == {0}  # on the last level every range is whole
+        return rows
+
+    rows = [sent(blocks, 8) for blocks in (64, 512, 4096)]  # two, three and four hops of eight ways
+    assert rows[1] < 8 * rows[0] * 2 and rows[2] < 8 * rows[1] * 2
+    assert rows[2] < sent(4096, 4096) / 2 and rows[2] < 4096 * 8 * 4
+
+
 def test_lm_scores_of_odd_rows(odd):
     rows = lm_scores(odd).collect()
     assert len(rows) == len(ODD) and {r.n_tokens for r in rows if r.doc_id in (3, 4, 5)} == {1}
