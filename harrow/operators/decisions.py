@@ -71,17 +71,16 @@ def gdd_from_normals(species: DataFrame, climates: DataFrame) -> DataFrame:
     return grid.groupBy("species", "climate").agg(F.round(F.sum(heat), 0).alias("gdd"))
 
 
-def cover_crops(crops: DataFrame, management: str = "any", min_biomass: float = 2.0, max_cn: float | None = 20.0, frost_days: str = "frost_days") -> DataFrame:
-    """Cover crops with the biomass to expect and whether they suit.
+def cover_crops(crops: DataFrame, management: str | Column = "any", min_biomass: float = 2.0, max_cn: float | None = 20.0, frost_days: str = "frost_days") -> DataFrame:
+    """Cover crops with the biomass to expect and whether they suit, for one management or a column of them (null: any).
 
     Organic farming gets 0.8 of what conventional or unspecified sources report; conventional farming leaves
     organic-only sources out. Frost matters only where there is any.
     """
-    biomass = F.col("biomass_t_ha")
-    if management == "organic":
-        biomass = F.when(F.col("source_management").isin("conventional", "unspecified"), biomass * 0.8).otherwise(biomass)
-    if management == "conventional":
-        crops = crops.where(F.col("source_management") != "organic")
+    way = F.coalesce(F.lit(management) if isinstance(management, str) else management, F.lit("any"))
+    crops = crops.where((way != "conventional") | (F.col("source_management") != "organic"))
+    reduced = (way == "organic") & F.col("source_management").isin("conventional", "unspecified")
+    biomass = F.when(reduced, F.col("biomass_t_ha") * 0.8).otherwise(F.col("biomass_t_ha"))
     bad = (biomass < min_biomass) | ((F.col(frost_days) > 0) & F.coalesce(F.col("frost_tolerance_c") > -5, F.lit(False)))
     if max_cn is not None:
         bad = bad | F.coalesce(F.col("c_n_ratio") > max_cn, F.lit(False))
