@@ -12,7 +12,6 @@ from harrow.llm.common import discard, materialise
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stand for a variable segment, and for a literal segment whose branches were merged.
 WILD, MERGED = "*", "+"
-SALTS = 16
 #: Segments that are variable by their form: a number, with an ending or without.
 NUMBER = r"^[0-9]+(\.[A-Za-z0-9]+)?$"
 
@@ -53,14 +52,30 @@ def _marked(template: str, level: int, mark: str) -> Column:
     return F.transform(template, lambda s, i: F.when(i == level - 1, F.lit(mark)).otherwise(s))
 
 
-def path_templates(urls: DataFrame, max_depth: int = 6, min_children: int = 8, min_share: float = 0.05) -> DataFrame:
+def _met(rows: DataFrame, facts: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
+    """``rows`` with the columns of ``facts``, null where there are none; ``facts`` have one row a key, and ``weight``, its number of rows.
+
+    Keys of ``hot_rows`` or more rows number at most all rows / ``hot_rows``, which bounds what is broadcast. The rest meet by a
+    shuffle, in which no key has more rows; rows of hot keys and those with a null key are spread over all tasks.
+    """
+    named = F.struct(*(c for c in facts.columns if c not in (*keys, "weight")))
+    hot = facts.where(F.col("weight") >= hot_rows).select(*keys, named.alias("hot"))
+    cold = facts.where(F.col("weight") < hot_rows).select(*keys, F.lit(0).cast("long").alias("spread"), named.alias("cold"))
+    free = reduce(lambda c, k: c | F.col(k).isNull(), keys, F.col("hot").isNotNull())
+    found = rows.join(F.broadcast(hot), keys, "left").withColumn("spread", F.when(free, F.xxhash64(F.monotonically_increasing_id())).otherwise(F.lit(0).cast("long")))
+    found = found.join(cold, [*keys, "spread"], "left").withColumn("fact", F.coalesce("hot", "cold"))
+    return found.select(*rows.columns, "fact.*")
+
+
+def path_templates(urls: DataFrame, max_depth: int = 6, min_children: int = 8, min_share: float = 0.05, hot_rows: int = 1 << 20) -> DataFrame:
     """``urls`` (host, path, any other columns) with a column ``template``: array of segments, variable ones as ``*``.
 
     The tree is built level by level: at a node (host and template so far) with ``min_children`` or more different
     next segments, those that fewer than ``min_share`` of its rows have are variable, and numbers are everywhere. A node
     keeps at most 1 / min_share literals, so the table of literals stays small beside the urls. One host or branch may
-    hold a large part of all rows, so children meet their node's totals, and rows their literals, by salted keys.
-    Segments past ``max_depth`` count as one. A column ``template`` of ``urls`` is replaced.
+    hold a large part of all rows: segments of ``hot_rows`` rows or more, or of a ten-thousandth of all if that is more, are
+    broadcast, so they are ten thousand at most, and their rows are spread. Segments past ``max_depth`` count as one. A
+    column ``template`` of ``urls`` is replaced.
     """
     kept = [c for c in urls.columns if c.lower() != "template"]
     rows = urls.select(
@@ -68,64 +83,67 @@ def path_templates(urls: DataFrame, max_depth: int = 6, min_children: int = 8, m
         F.filter(F.split("path", "/"), lambda s: s != "").alias("segments"),
     )
     rows = materialise(rows, "url-templates")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    deepest = rows.agg(F.max(F.least(F.size("segments"), F.lit(max_depth)))).first()[0] or 0
-    for level in range(1, deepest + 1):
+    deepest, total = rows.agg(F.max(F.least(F.size("segments"), F.lit(max_depth))), F.count(F.lit(1))).first()
+    hot_rows = max(hot_rows, -(-total // 10_000))
+    for level in range(1, (deepest or 0) + 1):
         rows = rows.withColumn("next", _at(F.col("segments"), level, max_depth))
         children = rows.where("next IS NOT NULL").groupBy("host", "template", "next").agg(F.count(F.lit(1)).alias("n"))
-        children = materialise(children.withColumn("salt", F.pmod(F.xxhash64("next"), F.lit(SALTS)).cast("int")), "url-children")
-        nodes = children.groupBy("host", "template", "salt").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
-        nodes = nodes.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("kinds").alias("kinds"))
-        literals = (
-            children.join(nodes.withColumn("salt", salts), ["host", "template", "salt"])
-            .where((F.col("kinds") < min_children) | (F.col("n") >= min_share * F.col("all_n")))
-            .where(~F.col("next").rlike(NUMBER))
-            .select("host", "template", "next", salts.alias("salt"), F.lit(True).alias("literal"))
-        )
-        salted = rows.withColumn("salt", F.pmod(F.xxhash64("segments", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+        children = materialise(children, "url-children")
+        nodes = children.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("kinds"), F.count(F.lit(1)).alias("weight"))
+        literal = ((F.col("kinds") < min_children) | (F.col("n") >= min_share * F.col("all_n"))) & ~F.col("next").rlike(NUMBER)
+        judged = _met(children, nodes, ["host", "template"], hot_rows).select("host", "template", "next", F.col("n").alias("weight"), literal.alias("literal"))
         segment = F.when(F.col("literal"), F.col("next")).otherwise(F.lit(WILD))
         grown = F.when(F.col("next").isNull(), F.col("template")).otherwise(F.array_append("template", segment))
-        below = salted.join(literals, ["host", "template", "next", "salt"], "left")
+        below = _met(rows, judged.where(F.col("literal") | (F.col("weight") >= hot_rows)), ["host", "template", "next"], hot_rows)
         rows = materialise(below.select("row", "host", grown.alias("template"), "segments"), "url-templates")
         discard(children)
     return rows.select("row.*", "template")
 
 
 def merged_templates(rows: DataFrame, max_depth: int = 6, z: float = 2.0, pseudo: float = 1.0) -> DataFrame:
-    """host, template, labelled, bad, merged: each template's counts of labels and the class it is merged into.
+    """host, template, rows, labelled, bad, merged: each template's counts and the class it is merged into.
 
     ``rows`` have host, template and bad (true, false, or null without a label). From the last segment to the first,
     templates of a host that differ only in the literal there, and so agree in all that is below it, are compared.
-    Labelled ones whose share of bad rows is within ``z`` standard errors of the share of all of them merge. Unlabelled ones
-    join them if no labelled one stands apart, as the literal then makes no difference; else they merge among themselves.
+    Labelled ones whose share of bad rows is within ``z`` standard errors of the share of all of them merge. One without
+    labels has its structure compared: which share of all rows below its literal has this continuation. It joins if that is
+    within ``z`` standard errors of the share among the labelled ones, and no labelled one stands apart, as the literal then makes
+    no difference; where none is labelled, it is compared with the share among all. Others stay as they are.
     """
-    stats = rows.groupBy("host", "template").agg(F.count("bad").alias("labelled"), F.count_if(F.col("bad")).alias("bad"))
+    stats = rows.groupBy("host", "template").agg(F.count(F.lit(1)).alias("rows"), F.count("bad").alias("labelled"), F.count_if(F.col("bad")).alias("bad"))
     stats = materialise(stats.withColumn("merged", F.col("template")), "url-classes")
     for level in range(max_depth, 0, -1):
         here = F.get("merged", F.lit(level - 1))
         masked = _marked("merged", level, MERGED)
-        stats = stats.withColumn("masked", F.when(here.isNotNull() & (here != WILD), masked))
-        branch = stats.where("masked IS NOT NULL").groupBy("host", "masked", "merged").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("k"))
-        pool = branch.groupBy("host", "masked").agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k"))
+        stats = stats.withColumn("masked", F.when(here.isNotNull() & (here != WILD), masked)).withColumn("node", F.slice("merged", 1, level))
+        below = stats.where("masked IS NOT NULL").groupBy("host", "node").agg(F.sum("rows").alias("below"))
+        branch = stats.where("masked IS NOT NULL").groupBy("host", "masked", "merged", "node").agg(
+            F.sum("labelled").alias("n"), F.sum("bad").alias("k"), F.sum("rows").alias("own")
+        ).join(below, ["host", "node"])
+        of = lambda c: F.coalesce(F.sum(F.when(F.col("n") > 0, F.col(c))), F.sum(c))
+        pool = branch.groupBy("host", "masked").agg(
+            F.sum("n").alias("all_n"), F.sum("k").alias("all_k"), of("own").alias("all_own"), of("below").alias("all_below")
+        )
         share = (F.col("all_k") + pseudo) / (F.col("all_n") + 2 * pseudo)
         off = F.abs((F.col("k") + pseudo) / (F.col("n") + 2 * pseudo) - share)
         alike = (F.col("n") > 0) & (off <= z * F.sqrt(share * (1 - share) / F.col("n")))
-        judged = branch.join(pool, ["host", "masked"]).withColumn("alike", alike)
-        agreed = judged.where("n > 0").groupBy("host", "masked").agg(F.bool_and("alike").alias("agreed"))
-        joins = F.col("alike") | ((F.col("n") == 0) & F.coalesce("agreed", F.lit(False)))
-        to = F.when(joins, F.col("masked")).when(F.col("n") == 0, _marked("masked", level, MERGED + "?"))
-        moves = judged.join(agreed, ["host", "masked"], "left").select("host", "merged", to.alias("to"))
-        moved = stats.join(moves, ["host", "merged"], "left").select("host", "template", "labelled", "bad", F.coalesce("to", "merged").alias("merged"))
+        part = (F.col("all_own") + pseudo) / (F.col("all_below") + 2 * pseudo)
+        fits = F.abs(F.col("own") / F.col("below") - part) <= z * F.sqrt(part * (1 - part) * (1 / F.col("below") + 1 / F.col("all_below")))
+        judged = branch.join(pool, ["host", "masked"]).withColumn("alike", alike).withColumn("fits", fits)
+        agreed = judged.groupBy("host", "masked").agg(F.coalesce(F.bool_and(F.when(F.col("n") > 0, F.col("alike"))), F.lit(True)).alias("agreed"))
+        joins = F.col("alike") | ((F.col("n") == 0) & F.col("agreed") & F.col("fits"))
+        moves = judged.join(agreed, ["host", "masked"]).select("host", "merged", F.when(joins, F.col("masked")).alias("to"))
+        moved = stats.join(moves, ["host", "merged"], "left").select("host", "template", "rows", "labelled", "bad", F.coalesce("to", "merged").alias("merged"))
         stats = materialise(moved, "url-classes")
     return stats
 
 
 def template_purity(classes: DataFrame, pseudo: float = 1.0, weight: float = 4.0) -> DataFrame:
-    """host, template, merged, labelled, purity of :func:`merged_templates`: the smoothed share of bad labels.
+    """host, template, rows, merged, labelled, purity of :func:`merged_templates`: the smoothed share of bad labels.
 
     A host's purity is (bad + pseudo) / (labelled + 2 * pseudo). That of each node below, down to the merged template, is
-    (bad + weight * purity of the node above) / (labelled + weight) over all labels under the node. So a template without
-    labels has the purity of the nearest node above that has some, and one half if its host has none.
+    (bad + weight * purity of the node above) / (labelled + weight) over all labels under the node. A template
+    that has no labels even after merging is like none that has, so those above say nothing of it: its purity is one half.
     """
     merged = classes.groupBy("host", "merged").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     paths = merged.select("host", "merged", "labelled", "bad", F.explode(F.sequence(F.lit(0), F.size("merged"))).alias("level"))
@@ -134,10 +152,11 @@ def template_purity(classes: DataFrame, pseudo: float = 1.0, weight: float = 4.0
     steps = paths.join(nodes, ["host", "node"]).groupBy("host", "merged").agg(F.array_sort(F.collect_list(F.struct("level", "n", "k"))).alias("steps"))
     down = lambda above, s: F.when(s["level"] == 0, (s["k"] + pseudo) / (s["n"] + 2 * pseudo)).otherwise((s["k"] + weight * above) / (s["n"] + weight))
     purity = steps.select("host", "merged", F.aggregate("steps", F.lit(0.5), down).alias("purity"))
-    return classes.select("host", "template", "merged").join(purity, ["host", "merged"]).join(merged.drop("bad"), ["host", "merged"])
+    known = classes.select("host", "template", "rows", "merged").join(purity, ["host", "merged"]).join(merged.drop("bad"), ["host", "merged"])
+    return known.withColumn("purity", F.when(F.col("labelled") > 0, F.col("purity")).otherwise(0.5))
 
 
-def judge_urls(pages: DataFrame, rules: dict[str, str], threshold: float = 0.8, max_depth: int = 6) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: dict[str, str], threshold: float = 0.8, max_depth: int = 6, hot_rows: int = 1 << 20) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity, one row per page.
 
     ``rules``: ``host/path`` -> ``allow`` or ``block``; the longest that fits gives the verdict and labels the url.
@@ -150,12 +169,11 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], threshold: float = 0.8,
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     urls = urls.withColumn("rule", matching_rule(F.col("host"), F.col("path"), list(rules)))
     given = reduce(lambda c, r: c.when(F.col("rule") == r, F.lit(rules[r])), rules, F.when(F.lit(False), F.lit("")))
-    rows = path_templates(urls, max_depth).withColumn("given", given).withColumn("bad", F.col("given") == "block")
-    purity = template_purity(merged_templates(rows, max_depth)).select(
-        "host", "template", "purity", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    )
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
+    rows = path_templates(urls, max_depth, hot_rows=hot_rows).withColumn("given", given).withColumn("bad", F.col("given") == "block")
+    classes = merged_templates(rows, max_depth)
+    total = classes.agg(F.sum("rows")).first()[0] or 0
+    purity = template_purity(classes).select("host", "template", "purity", F.col("rows").alias("weight"))
     verdict = F.coalesce("given", F.when(F.col("purity") >= threshold, F.lit("block")).otherwise(F.lit("allow")))
-    return salted.join(purity, ["host", "template", "salt"]).select(
+    return _met(rows, purity, ["host", "template"], max(hot_rows, -(-total // 10_000))).select(
         "page_id", "host", "path", "rule", verdict.alias("verdict"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity"
     )

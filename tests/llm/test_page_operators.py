@@ -81,28 +81,34 @@ def brute_templates(urls: list[tuple[str, str]], min_children: int = 8, min_shar
     return templates
 
 
-def brute_purity(labels: dict[tuple, tuple[int, int]], max_depth: int = 6) -> dict[tuple, float]:
-    """Purity of each (host, template) from its counts of labels and of bad ones."""
+def brute_purity(labels: dict[tuple, tuple[int, int, int]], max_depth: int = 6) -> dict[tuple, float]:
+    """Purity of each (host, template) from its counts of labels, of bad ones and of rows."""
     merged = {key: key[1] for key in labels}
     for level in range(max_depth - 1, -1, -1):
         branches: dict = {}
+        below: Counter = Counter()
         for key, now in merged.items():
             if len(now) > level and now[level] != "*":
                 masked = (key[0], (*now[:level], "+", *now[level + 1 :]))
-                n, k = branches.setdefault(masked, {}).get(now, (0, 0))
-                branches[masked][now] = (n + labels[key][0], k + labels[key][1])
+                branches.setdefault(masked, {}).setdefault(now, Counter()).update(dict(zip("nkr", labels[key], strict=True)))
+                below[key[0], now[: level + 1]] += labels[key][2]
         to = {}
         for (host, masked), some in branches.items():
-            share = (sum(k for _, k in some.values()) + 1) / (sum(n for n, _ in some.values()) + 2)
-            near = {b: abs((k + 1) / (n + 2) - share) <= 2 * (share * (1 - share) / n) ** 0.5 for b, (n, k) in some.items() if n}
-            for b, (n, _) in some.items():
-                if near[b] if n else near and all(near.values()):
+            share = (sum(c["k"] for c in some.values()) + 1) / (sum(c["n"] for c in some.values()) + 2)
+            near = {b: abs((c["k"] + 1) / (c["n"] + 2) - share) <= 2 * (share * (1 - share) / c["n"]) ** 0.5 for b, c in some.items() if c["n"]}
+            model = near or some
+            under = {b: below[host, b[: level + 1]] for b in some}
+            whole = sum(under[b] for b in model)
+            part = (sum(some[b]["r"] for b in model) + 1) / (whole + 2)
+            for b, c in some.items():
+                fits = abs(c["r"] / under[b] - part) <= 2 * (part * (1 - part) * (1 / under[b] + 1 / whole)) ** 0.5
+                if near[b] if c["n"] else all(near.values()) and fits:
                     to[host, b] = masked
-                elif not n:
-                    to[host, b] = (*masked[:level], "+?", *masked[level + 1 :])
         merged = {key: to.get((key[0], now), now) for key, now in merged.items()}
     sums: dict = {}
+    own: Counter = Counter()
     for key, now in merged.items():
+        own[key[0], now] += labels[key][0]
         for i in range(len(now) + 1):
             n, k = sums.get((key[0], now[:i]), (0, 0))
             sums[key[0], now[:i]] = (n + labels[key][0], k + labels[key][1])
@@ -111,6 +117,8 @@ def brute_purity(labels: dict[tuple, tuple[int, int]], max_depth: int = 6) -> di
         for i in range(len(now) + 1):
             n, k = sums[key[0], now[:i]]
             out[key] = (k + 4 * out[key]) / (n + 4) if i else (k + 1) / (n + 2)
+        if not own[key[0], now]:
+            out[key] = 0.5
     return out
 
 
@@ -119,8 +127,8 @@ def check_urls(rows: list, rules: dict[str, str]) -> None:
     assert [r.template for r in rows] == ["/" + "/".join(t) for t in templates]
     labels: dict = {}
     for r, t in zip(rows, templates, strict=True):
-        n, k = labels.get((r.host, t), (0, 0))
-        labels[r.host, t] = (n + (r.rule is not None), k + (rules.get(r.rule) == "block"))
+        n, k, all_ = labels.get((r.host, t), (0, 0, 0))
+        labels[r.host, t] = (n + (r.rule is not None), k + (rules.get(r.rule) == "block"), all_ + 1)
     purity = brute_purity(labels)
     for r, t in zip(rows, templates, strict=True):
         assert r.purity == pytest.approx(purity[r.host, t], abs=1e-12), (r.host, t)
@@ -136,12 +144,22 @@ def test_url_templates_purity_and_verdicts_equal_brute_force(spark, sf):
         for h in rng.choice(list("abcd"), 900)
     ]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    check_urls(judge_urls(pages, rules, hot_rows=20).collect(), rules)  # many hot segments
     rows = judge_urls(pages, rules).collect()
     check_urls(rows, rules)
     unruled = Counter((r.host, r.verdict) for r in rows if r.rule is None)
     assert unruled["a.test", "block"] and not unruled["d.test", "block"] and unruled["d.test", "allow"]
 
 
+def test_one_rule_does_not_block_siblings_of_another_structure(spark):
+    urls = [f"http://h.test/{s}/{kind}/{i}" for s in ("de", "at") for kind, n in (("post", 30), ("tag", 10)) for i in range(n)]
+    urls += [f"http://h.test/shop/{kind}/{i}" for kind, n in (("item", 38), ("post", 2)) for i in range(n)] + ["http://h.test/about"]
+    rows = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), {"h.test/de/": "block"}).collect()
+    check_urls(rows, {"h.test/de/": "block"})
+    verdicts = {(r.path.split("/")[1], r.verdict) for r in rows}
+    assert verdicts == {("de", "block"), ("at", "block"), ("shop", "allow"), ("about", "allow")}
+
+
 def test_nearest_has_exact_scores_and_recall(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
     ids, vectors = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
