@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.llm.common import discard, materialise
@@ -100,15 +100,33 @@ def path_templates(urls: DataFrame, max_depth: int = 6, min_children: int = 8, m
     return rows.select("row.*", "template")
 
 
+def _misfit(shapes: DataFrame, pseudo: float) -> DataFrame:
+    """host, merged, kinds, misfit: the chi-squared statistic of each branch's suffixes against those of its model branches.
+
+    With shares b of the branch and p of the model, smoothed over all suffixes of the group, it is m * (sum of b^2 / p - 1) for
+    m = rows of the branch * rows of the model / their sum.
+    """
+    group, same = Window.partitionBy("host", "masked"), Window.partitionBy("host", "masked", "suffix")
+    model = (F.col("n") > 0) | (F.col("all_n") == 0)
+    shapes = shapes.withColumn("model", F.coalesce(F.sum(F.when(model, F.col("c"))).over(same), F.lit(0))).withColumn("first", F.row_number().over(same.orderBy("merged")))
+    shapes = shapes.withColumn("kinds", F.sum(F.when(F.col("first") == 1, 1).otherwise(0)).over(group))
+    share = (F.col("model") + pseudo) / (F.col("all_own") + pseudo * F.col("kinds"))
+    rows = shapes.groupBy("host", "merged", "own", "all_own", "kinds").agg(F.sum(F.pow(F.col("c") / F.col("own"), 2) / share).alias("ratio"))
+    both = F.col("own") * F.col("all_own") / (F.col("own") + F.col("all_own"))
+    return rows.select("host", "merged", "kinds", (both * (F.col("ratio") - 1)).alias("misfit"))
+
+
 def merged_templates(rows: DataFrame, max_depth: int = 6, z: float = 2.0, pseudo: float = 1.0) -> DataFrame:
     """host, template, rows, labelled, bad, merged: each template's counts and the class it is merged into.
 
     ``rows`` have host, template and bad (true, false, or null without a label). From the last segment to the first,
     templates of a host that differ only in the literal there, and so agree in all that is below it, are compared.
     Labelled ones whose share of bad rows is within ``z`` standard errors of the share of all of them merge. One without
-    labels has its structure compared: which share of all rows below its literal has this continuation. It joins if that is
-    within ``z`` standard errors of the share among the labelled ones, and no labelled one stands apart, as the literal then makes
-    no difference; where none is labelled, it is compared with the share among all. Others stay as they are.
+    labels has its structure compared with that of the labelled ones, or of all where none is labelled: which share of all rows below
+    its literal has this continuation, within ``z`` standard errors, and how often each template that the continuation was made
+    of occurs, by a chi-squared statistic within ``z`` deviations of its mean. If both agree and no labelled one stands apart, it
+    joins, as the literal then makes no difference. Others stay as they are. A node has few literals (1 / min_share), so groups of
+    siblings are small.
     """
     stats = rows.groupBy("host", "template").agg(F.count(F.lit(1)).alias("rows"), F.count("bad").alias("labelled"), F.count_if(F.col("bad")).alias("bad"))
     stats = materialise(stats.withColumn("merged", F.col("template")), "url-classes")
@@ -129,7 +147,11 @@ def merged_templates(rows: DataFrame, max_depth: int = 6, z: float = 2.0, pseudo
         alike = (F.col("n") > 0) & (off <= z * F.sqrt(share * (1 - share) / F.col("n")))
         part = (F.col("all_own") + pseudo) / (F.col("all_below") + 2 * pseudo)
         fits = F.abs(F.col("own") / F.col("below") - part) <= z * F.sqrt(part * (1 - part) * (1 / F.col("below") + 1 / F.col("all_below")))
-        judged = branch.join(pool, ["host", "masked"]).withColumn("alike", alike).withColumn("fits", fits)
+        judged = branch.join(pool, ["host", "masked"]).withColumn("alike", alike)
+        shapes = stats.where("masked IS NOT NULL").groupBy("host", "merged", F.expr(f"slice(template, {level + 1}, greatest(size(template), 1))").alias("suffix")).agg(F.sum("rows").alias("c"))
+        judged = judged.join(_misfit(shapes.join(judged, ["host", "merged"]), pseudo), ["host", "merged"])
+        freedom = F.col("kinds") - 1
+        judged = judged.withColumn("fits", fits & (F.col("misfit") <= freedom + z * F.sqrt(2 * freedom)))
         agreed = judged.groupBy("host", "masked").agg(F.coalesce(F.bool_and(F.when(F.col("n") > 0, F.col("alike"))), F.lit(True)).alias("agreed"))
         joins = F.col("alike") | ((F.col("n") == 0) & F.col("agreed") & F.col("fits"))
         moves = judged.join(agreed, ["host", "masked"]).select("host", "merged", F.when(joins, F.col("masked")).alias("to"))

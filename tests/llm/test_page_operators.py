@@ -87,10 +87,12 @@ def brute_purity(labels: dict[tuple, tuple[int, int, int]], max_depth: int = 6)
     for level in range(max_depth - 1, -1, -1):
         branches: dict = {}
         below: Counter = Counter()
+        shapes: dict = {}
         for key, now in merged.items():
             if len(now) > level and now[level] != "*":
                 masked = (key[0], (*now[:level], "+", *now[level + 1 :]))
                 branches.setdefault(masked, {}).setdefault(now, Counter()).update(dict(zip("nkr", labels[key], strict=True)))
+                shapes.setdefault((key[0], now), Counter())[key[1][level + 1 :]] += labels[key][2]
                 below[key[0], now[: level + 1]] += labels[key][2]
         to = {}
         for (host, masked), some in branches.items():
@@ -100,8 +102,14 @@ def brute_purity(labels: dict[tuple, tuple[int, int, int]], max_depth: int = 6)
             under = {b: below[host, b[: level + 1]] for b in some}
             whole = sum(under[b] for b in model)
             part = (sum(some[b]["r"] for b in model) + 1) / (whole + 2)
+            usual = sum((shapes[host, b] for b in model), Counter())
+            kinds = len(set().union(*(shapes[host, b] for b in some)))
+            rows = usual.total()
             for b, c in some.items():
-                fits = abs(c["r"] / under[b] - part) <= 2 * (part * (1 - part) * (1 / under[b] + 1 / whole)) ** 0.5
+                ratio = sum((x / c["r"]) ** 2 * (rows + kinds) / (usual[t] + 1) for t, x in shapes[host, b].items())
+                misfit = c["r"] * rows / (c["r"] + rows) * (ratio - 1)
+                fits = misfit <= kinds - 1 + 2 * (2 * (kinds - 1)) ** 0.5
+                fits = fits and abs(c["r"] / under[b] - part) <= 2 * (part * (1 - part) * (1 / under[b] + 1 / whole)) ** 0.5
                 if near[b] if c["n"] else all(near.values()) and fits:
                     to[host, b] = masked
         merged = {key: to.get((key[0], now), now) for key, now in merged.items()}
