@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.functions import agronomy as A
+from harrow.operators.parts import holding
 
 #: Yield response factor by growth stage (fixed values); any other stage has the last one.
 KY_BY_STAGE = {
@@ -97,14 +98,14 @@ def lookup_by_part(asked: DataFrame, registry: DataFrame, text: str, into: list[
     """``asked`` with the columns ``into`` of the entry whose key equals the text (trimmed, lower-case), else of the first entry
     in the registry's ``place`` whose key holds the text or is held by it; null if there is none.
 
-    Equal keys are found by an equi-join; only distinct texts without one meet the registry, which is reference data.
+    Equal keys are found by an equi-join; only distinct texts without one are looked up by their parts.
     """
     key = F.lower(F.trim(F.col(text)))
     named = asked.withColumn("__key", F.when(key != "", key))
     exact = registry.groupBy(F.col("key").alias("__key")).agg(F.min_by(F.struct(*into), "place").alias("__exact"))
     missing = named.select("__key").where("__key IS NOT NULL").distinct().join(exact, "__key", "left_anti")
-    part = missing.join(registry, F.col("__key").contains(F.col("key")) | F.col("key").contains(F.col("__key")))
-    part = part.groupBy("__key").agg(F.min_by(F.struct(*into), "place").alias("__part"))
+    pairs = holding(missing, "__key", registry, "key").unionByName(holding(registry, "key", missing, "__key"))
+    part = pairs.join(registry, "key").groupBy("__key").agg(F.min_by(F.struct(*into), "place").alias("__part"))
     found = named.join(exact, "__key", "left").join(part, "__key", "left").withColumn("__found", F.coalesce("__exact", "__part"))
     return found.select(*asked.columns, *(F.col(f"__found.{c}").alias(c) for c in into))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.functions import agronomy as A
+from harrow.operators.parts import holding
 
 #: Whether a crop's grain holds gluten, by EPPO code (fixed values).
 CONTAINS_GLUTEN = "TRZAX TRZDU TRZAW HORVX HORVW SECCE TTLSS".split()
@@ -83,11 +84,12 @@ def coverage(species: DataFrame, children: DataFrame, key: str) -> DataFrame:
 
 def data_gaps(asked: DataFrame, crops: DataFrame, params: DataFrame, heat: DataFrame, nutrients: DataFrame) -> DataFrame:
     """asked (a part of a name), gaps: the kinds of data that no crop with that part in a name has."""
-    part = F.lower("asked")
-    fits = F.lower("name").contains(part) | F.lower("scientific_name").contains(part)
+    names = crops.select("crop_id", F.explode(F.array_compact(F.array(F.lower("name"), F.lower("scientific_name")))).alias("called"))
+    sought = asked.withColumn("part", F.lower("asked"))
+    fits = names.join(holding(names, "called", sought, "part"), "called").select("part", "crop_id").distinct()
     tables = (("has_params", params), ("has_thermal", heat), ("has_npk", nutrients))
     marked = reduce(lambda df, t: df.join(_known(t[1], "crop_id", **{t[0]: F.lit(True)}), "crop_id", "left"), tables, crops)
-    found = asked.join(marked, fits, "left").groupBy("asked").agg(*(F.max(n).alias(n) for n, _ in tables))
+    found = sought.join(fits, "part", "left").join(marked, "crop_id", "left").groupBy("asked").agg(*(F.max(n).alias(n) for n, _ in tables))
     gap = lambda has, *names: F.when(F.col(has).isNull(), F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>"))
     return found.select("asked", F.concat(gap("has_params", "d1", "d2", "mds"), gap("has_thermal", "thermal"), gap("has_npk", "npk")).alias("gaps"))
 
@@ -270,7 +272,8 @@ def forage_value(crops: DataFrame, feeds: DataFrame) -> DataFrame:
 def organic_inputs(pests: DataFrame, inputs: DataFrame) -> DataFrame:
     """eppo, product, category: permitted products whose target list holds the name of one of the crop's pests."""
     named = pests.select("eppo", F.lower("pest").alias("pest")).where("pest <> ''").distinct()
-    return named.join(inputs, F.lower(F.coalesce("target_pests", F.lit(""))).contains(F.col("pest"))).select("eppo", "product", "category").distinct()
+    aimed = inputs.withColumn("targets", F.lower(F.coalesce("target_pests", F.lit(""))))
+    return named.join(holding(aimed, "targets", named, "pest"), "pest").join(aimed, "targets").select("eppo", "product", "category").distinct()
 
 
 def observation_series(products: DataFrame, key: str, columns: dict[str, str], most: int = 200) -> DataFrame:

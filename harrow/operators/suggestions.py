@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.operators.nearby import nearest_sites, rank_for_targets
+from harrow.operators.parts import holding
 from harrow.sources.scratch import written
 
 #: Points of a crop's score: for its yield and margin relative to the parcel's best, for carbon, and for the soil (fixed values).
@@ -170,15 +171,11 @@ def soil_and_climate(environments: DataFrame, soils: DataFrame, sites: DataFrame
     site_id whose texture holds the parcel's, case counting), soil_source, frost_days, rainfall, et0 and climate_source; a class of
     the reanalysis goes before that of the site, and without one the site's stays. One row for each of ``environments``.
 
-    Textures are compared once for each distinct one, through the parts of a site's texture: every part that begins anywhere and
-    ends anywhere, of which a texture of n letters has n squared at most, so no two textures meet that don't fit.
+    Textures are compared once for each distinct one, through their pieces.
     """
     named = sites.where("soil_texture IS NOT NULL AND soil_texture <> ''").groupBy("soil_texture").agg(F.min(F.struct("site_id", "soil_type")).alias("site"))
-    n = F.length("soil_texture")
-    at = named.withColumn("at", F.explode(F.sequence(F.lit(1), n)))
-    parts = at.select("site", F.explode(F.transform(F.sequence(F.lit(1), n - F.col("at") + 1), lambda k: F.substring("soil_texture", F.col("at"), k))).alias("texture"))
-    groups = parts.groupBy("texture").agg(F.min("site")["soil_type"].alias("soil_group"))
     texture = soils.groupBy("parcel_id").agg(F.min(F.nullif("texture", F.lit(""))).alias("texture")).where("texture IS NOT NULL")
+    groups = holding(named, "soil_texture", texture, "texture").join(named, "soil_texture").groupBy("texture").agg(F.min("site")["soil_type"].alias("soil_group"))
     better = reanalysis.groupBy("parcel_id").agg(F.min(F.struct(F.col("climate_class").alias("c"), F.col("frost_days").alias("f"), F.col("rainfall").alias("r"), F.col("et0").alias("e"))).alias("re"))
     rows = environments.join(texture, "parcel_id", "left").join(groups, "texture", "left").join(better, "parcel_id", "left")
     measured = F.col("re").isNotNull()

@@ -109,7 +109,7 @@ def backtest(trials: DataFrame, links: DataFrame, sites: DataFrame, now_year: in
     """
     usable = V.usable(trials).where(F.col("yield_kg_ha").isNotNull()).select(
         "trial_id", "crop", F.col("variety_norm").alias("variety"), "year", "yield_kg_ha", "derived"
-    ).distinct().withColumn("kind", F.xxhash64("crop", "variety"))
+    ).repartition("trial_id").distinct().withColumn("kind", F.xxhash64("crop", "variety"))
     fold_sites = sites.where("climate_class IS NOT NULL").select(F.col("site_id").alias("fold_id"), "name", "climate_class", "rainfall", "et0", "frost_days", "elevation")
     environment = ["name", "climate_class", "rainfall", "et0", "frost_days", "elevation"]
     own = Window.partitionBy(*environment)

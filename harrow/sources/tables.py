@@ -7,6 +7,7 @@ DataFrame and the view that a query's SQL starts from.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SITE = {
     "site_id": "s_suppkey",
@@ -75,7 +76,6 @@ def variety_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trial_links(trials: DataFrame) -> DataFrame:
-    """The many-to-many edge table (trial_id, site_id)."""
-    first = trials.select("trial_id", "site_id")
-    second = trials.where("second_site_id IS NOT NULL").selectExpr("trial_id", "second_site_id AS site_id")
-    return first.unionAll(second).distinct()
+    """The many-to-many edge table (trial_id, site_id), from one scan; it lies by trial, so joins by trial needn't move it again."""
+    sites = F.explode(F.array_compact(F.array("site_id", "second_site_id")))
+    return trials.select("trial_id", sites.alias("site_id")).repartition("trial_id").distinct()
