@@ -130,7 +130,8 @@ def merged_templates(rows: DataFrame, max_depth: int = 6, z: float = 2.0, pseudo
     """
     stats = rows.groupBy("host", "template").agg(F.count(F.lit(1)).alias("rows"), F.count("bad").alias("labelled"), F.count_if(F.col("bad")).alias("bad"))
     stats = materialise(stats.withColumn("merged", F.col("template")), "url-classes")
-    for level in range(max_depth, 0, -1):
+    deepest = stats.agg(F.max(F.least(F.size("template"), F.lit(max_depth)))).first()[0] or 0
+    for level in range(deepest, 0, -1):
         here = F.get("merged", F.lit(level - 1))
         masked = _marked("merged", level, MERGED)
         stats = stats.withColumn("masked", F.when(here.isNotNull() & (here != WILD), masked)).withColumn("node", F.slice("merged", 1, level))
@@ -147,14 +148,14 @@ def merged_templates(rows: DataFrame, max_depth: int = 6, z: float = 2.0, pseudo
         alike = (F.col("n") > 0) & (off <= z * F.sqrt(share * (1 - share) / F.col("n")))
         part = (F.col("all_own") + pseudo) / (F.col("all_below") + 2 * pseudo)
         fits = F.abs(F.col("own") / F.col("below") - part) <= z * F.sqrt(part * (1 - part) * (1 / F.col("below") + 1 / F.col("all_below")))
-        judged = branch.join(pool, ["host", "masked"]).withColumn("alike", alike)
+        judged = materialise(branch.join(pool, ["host", "masked"]).withColumns({"alike": alike, "part_fits": fits}), "url-branches")
         shapes = stats.where("masked IS NOT NULL").groupBy("host", "merged", F.expr(f"slice(template, {level + 1}, greatest(size(template), 1))").alias("suffix")).agg(F.sum("rows").alias("c"))
         judged = judged.join(_misfit(shapes.join(judged, ["host", "merged"]), pseudo), ["host", "merged"])
         freedom = F.col("kinds") - 1
-        judged = judged.withColumn("fits", fits & (F.col("misfit") <= freedom + z * F.sqrt(2 * freedom)))
-        agreed = judged.groupBy("host", "masked").agg(F.coalesce(F.bool_and(F.when(F.col("n") > 0, F.col("alike"))), F.lit(True)).alias("agreed"))
-        joins = F.col("alike") | ((F.col("n") == 0) & F.col("agreed") & F.col("fits"))
-        moves = judged.join(agreed, ["host", "masked"]).select("host", "merged", F.when(joins, F.col("masked")).alias("to"))
+        siblings = Window.partitionBy("host", "masked")
+        judged = judged.withColumn("agreed", F.coalesce(F.bool_and(F.when(F.col("n") > 0, F.col("alike"))).over(siblings), F.lit(True)))
+        joins = F.col("alike") | ((F.col("n") == 0) & F.col("agreed") & F.col("part_fits") & (F.col("misfit") <= freedom + z * F.sqrt(2 * freedom)))
+        moves = judged.select("host", "merged", F.when(joins, F.col("masked")).alias("to"))
         moved = stats.join(moves, ["host", "merged"], "left").select("host", "template", "rows", "labelled", "bad", F.coalesce("to", "merged").alias("merged"))
         stats = materialise(moved, "url-classes")
     return stats
