@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.functions import agronomy as A
+from harrow.operators.hygiene import nearest_places
 from harrow.operators.parts import holding
 
 #: Whether a crop's grain holds gluten, by EPPO code (fixed values).
@@ -294,7 +295,7 @@ def parcel_environment(parcels: DataFrame, sites: DataFrame, max_km: float = 50.
 
     The place is the first pair of a GeoJSON's coordinates, however deep. Irrigation: by the system's name, else by the
     regime's. Climate: the class of the nearest site within ``max_km``; sites are looked for in the neighbouring cells of a
-    one-degree grid, wider towards the poles, so no parcel meets all of them.
+    one-degree grid, wider towards the poles, once for each distinct place, so no parcel meets all of them.
     """
     pair = F.regexp_extract(F.coalesce("location", F.lit("")), r"\[\s*(-?[0-9.]+)\s*,\s*(-?[0-9.]+)", 1), F.regexp_extract(F.coalesce("location", F.lit("")), r"\[\s*(-?[0-9.]+)\s*,\s*(-?[0-9.]+)", 2)
     lon, lat = (p.try_cast("double") for p in pair)
@@ -305,17 +306,12 @@ def parcel_environment(parcels: DataFrame, sites: DataFrame, max_km: float = 50.
         "parcel_id", lat.alias("lat"), lon.alias("lon"), F.col("area").try_cast("double").alias("area_ha"), F.when(watered, "irrigated").when(~watered, "rainfed").alias("irrigation"),
         F.when(system.isNotNull(), "system").when(regime.isNotNull(), "regime").otherwise("unknown").alias("irrigation_source"),
     )
-    known = sites.where("climate_class IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL").select("site_id", "climate_class", "latitude", "longitude")
-    known = known.withColumns({"cell_lat": F.floor("latitude"), "cell_lon": F.floor("longitude")})
-    reach = F.least(F.ceil(F.lit(max_km / 111.0) / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + 1, F.lit(89.0)))), F.lit(0.01))), F.lit(180)).cast("int")
-    near = place.where("lat IS NOT NULL AND lon IS NOT NULL").select("parcel_id", "lat", "lon", reach.alias("reach"))
-    near = near.withColumn("cell_lat", F.explode(F.sequence(F.floor("lat") - 1, F.floor("lat") + 1)))
-    near = near.withColumn("cell_lon", F.explode(F.sequence(F.floor("lon") - F.col("reach"), F.floor("lon") + F.col("reach"))))
-    near = near.withColumn("cell_lon", F.pmod(F.col("cell_lon") + 180, F.lit(360)) - 180)
-    km = F.round(A.haversine_km(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude")), 3)
-    met = near.join(known, ["cell_lat", "cell_lon"]).select("parcel_id", "site_id", "climate_class", km.alias("site_km")).where(F.col("site_km") <= max_km).distinct()
-    best = met.groupBy("parcel_id").agg(F.min(F.struct("site_km", "site_id", "climate_class")).alias("best"))
-    return place.join(best, "parcel_id", "left").select(*place.columns, F.col("best.climate_class").alias("climate_class"), F.col("best.site_km").alias("site_km"))
+    known = sites.where("climate_class IS NOT NULL").select("latitude", "longitude", "site_id", "climate_class")
+    best = nearest_places(place.select(F.col("lat").alias("latitude"), F.col("lon").alias("longitude")), known, max_km)
+    best = best.select(F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "site", F.col("km").alias("site_km"))
+    nearest = F.min(F.when(F.col("site_km").isNotNull() & F.col("parcel_id").isNotNull(), F.struct("site_km", "site"))).over(Window.partitionBy("parcel_id"))
+    rows = place.join(best, ["lat", "lon"], "left").select(*place.columns, nearest.alias("nearest"))
+    return rows.select(*place.columns, "nearest.site.climate_class", "nearest.site_km")
 
 
 def successors(pool: DataFrame, recommended: DataFrame) -> DataFrame:

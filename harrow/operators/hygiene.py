@@ -229,29 +229,36 @@ def nearest_within(points: DataFrame, sites: DataFrame, max_km: float = 50.0) ->
     """Points (point_id, latitude, longitude) with their nearest site within a distance, or none.
 
     Both sides are dealt to cells of one degree and points to the cells around, wide enough towards the poles, so
-    only neighbours meet. Ties go to the smaller site_id.
+    only neighbours meet. Ties go to the smaller site_id. Points of one place ask once, and of sites of one place the smallest answers.
+    """
+    found = nearest_places(points.select("latitude", "longitude"), sites.select("latitude", "longitude", "site_id"), max_km)
+    rows = points.select("point_id", "latitude", "longitude").join(found, ["latitude", "longitude"], "left")
+    known = F.when(F.col("km").isNotNull() & F.col("point_id").isNotNull(), F.struct("km", "site.site_id"))
+    return rows.select("point_id", F.min(known).over(Window.partitionBy("point_id")).alias("b")).select("point_id", "b.site_id", "b.km")
+
+
+def nearest_places(points: DataFrame, sites: DataFrame, max_km: float) -> DataFrame:
+    """latitude, longitude, site, km: for each distinct place of ``points`` the nearest of ``sites`` within a distance, where there is one.
+
+    ``sites``: latitude, longitude and what is told of a site, in the order by which ties go; ``site`` is a struct of it.
     """
     rows = int(max_km / 110.0) + 1
-    band = F.floor("latitude").cast("int")
-    # A degree of longitude is 111 km times the cosine of the latitude farthest from the equator in reach.
-    far = F.least(F.lit(89.0), F.abs("latitude") + F.lit(max_km / 110.0))
-    reach = F.least(F.lit(180), F.ceil(F.lit(max_km / 110.0) / F.cos(F.radians(far)))).cast("int")
+    band = F.floor("latitude")
+    # A degree of longitude is 111 km times the cosine of the latitude farthest from the equator in reach; about the poles all are near.
+    far = F.abs("latitude") + F.lit(max_km / 110.0)
+    reach = F.when(far < 89.0, F.least(F.lit(180), F.ceil(F.lit(max_km / 110.0) / F.cos(F.radians(far))))).otherwise(180).cast("int")
     wrap = lambda c: F.pmod(c + 180, F.lit(360))
-    dealt = (
-        points.select("point_id", F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon"), band.alias("b"), reach.alias("r"))
-        .withColumn("row", F.explode(F.sequence(F.col("b") - rows, F.col("b") + rows)))
-        .withColumn("column", F.explode(F.sequence(F.floor("p_lon").cast("int") - F.col("r"), F.floor("p_lon").cast("int") + F.col("r"))))
-        .withColumn("column", wrap(F.col("column")))
-        .drop("b", "r")
-        .distinct()
-    )
-    cells = sites.where("latitude IS NOT NULL AND longitude IS NOT NULL").select(
-        "site_id", "latitude", "longitude", band.alias("row"), wrap(F.floor("longitude").cast("int")).alias("column")
-    )
-    km = A.haversine_km(F.col("p_lat"), F.col("p_lon"), F.col("latitude"), F.col("longitude"))
-    hits = dealt.join(cells, ["row", "column"]).withColumn("km", F.round(km, 3)).where(F.col("km") <= max_km)
-    best = hits.groupBy("point_id").agg(F.min(F.struct("km", "site_id")).alias("b"))
-    return points.select("point_id").join(best, "point_id", "left").select("point_id", "b.site_id", "b.km")
+    places = points.where("latitude IS NOT NULL AND longitude IS NOT NULL").select("latitude", "longitude").distinct()
+    around = F.sequence(F.floor("longitude") - reach, F.floor("longitude") + reach)
+    dealt = places.select(F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon"), F.sequence(band - rows, band + rows).alias("row"), F.array_distinct(F.transform(around, wrap)).alias("column"))
+    dealt = dealt.withColumn("row", F.explode("row")).withColumn("column", F.explode("column"))
+    told = [c for c in sites.columns if c not in ("latitude", "longitude")]
+    first = sites.where("latitude IS NOT NULL AND longitude IS NOT NULL").groupBy("latitude", "longitude").agg(F.min(F.struct(*told)).alias("site"))
+    cells = first.select("site", "latitude", "longitude", band.alias("row"), wrap(F.floor("longitude")).alias("column"))
+    km = F.round(A.haversine_km(F.col("p_lat"), F.col("p_lon"), F.col("latitude"), F.col("longitude")), 3)
+    hits = dealt.join(cells, ["row", "column"]).select("p_lat", "p_lon", "site", km.alias("km")).where(F.col("km") <= max_km)
+    best = hits.groupBy("p_lat", "p_lon").agg(F.min(F.struct("km", "site")).alias("b"))
+    return best.select(F.col("p_lat").alias("latitude"), F.col("p_lon").alias("longitude"), "b.site", "b.km")
 
 
 def in_batches(df: DataFrame, size: int) -> Iterator[DataFrame]:  # pragma: no cover - thin convenience

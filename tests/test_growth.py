@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+from harrow.operators import crops as K
+from harrow.operators import hygiene as H
 from harrow.operators import prospects as P
 
 
@@ -45,3 +47,24 @@ def test_first_value_is_found_before_names_meet_it(spark):
     rows = P.by_species(asked, species, values, ["source", "heat"], first_only=True)
     assert sorted(tuple(r) for r in rows.collect()) == [(i, "oats", "S00", 0) for i in range(100)]
     assert join_rows(rows) < 1000
+
+
+PLACE = "latitude double, longitude double"
+
+
+def test_points_and_sites_of_one_place_meet_once(spark):
+    points = spark.createDataFrame([(i, 40.5, -3.5) for i in range(300)] + [(300, None, 1.0), (301, 89.6, 10.0)], f"point_id long, {PLACE}")
+    sites = spark.createDataFrame([(500 - i, 40.75, -3.5) for i in range(200)] + [(900, 89.6, 60.0)], f"site_id long, {PLACE}")
+    rows = H.nearest_within(points, sites, 50.0)
+    got = {r.point_id: (r.site_id, r.km) for r in rows.collect()}
+    assert len(got) == 302 and all(got[i] == (301, 27.799) for i in range(300)) and got[300] == (None, None)
+    assert got[301][0] == 900 and 30 < got[301][1] < 40  # by the pole, fifty degrees of longitude are near
+    assert join_rows(rows) < 1000
+
+
+def test_parcels_and_sites_of_one_place_meet_once(spark):
+    parcels = spark.createDataFrame([(i, "[[-3.5, 40.5]]", "2", "drip", None) for i in range(300)], "parcel_id long, location string, area string, irrigation_system string, irrigation_regime string")
+    sites = spark.createDataFrame([(i, "Csa" if i == 7 else "BSk", 40.75, -3.5) for i in range(7, 200)], f"site_id long, climate_class string, {PLACE}")
+    rows = K.parcel_environment(parcels, sites)
+    assert {(r.climate_class, r.site_km) for r in rows.collect()} == {("Csa", 27.799)} and rows.count() == 300
+    assert join_rows(rows) < 1000
