@@ -75,11 +75,16 @@ def strip_hash_suffix(df: DataFrame, key: str) -> DataFrame:
 def link_trials(trials: DataFrame, sites: DataFrame) -> DataFrame:
     """trial_id, site_id by any of three keys: a union of equi-joins instead of a join on OR.
 
-    The trial's location key matches a site's key, its municipality key, or its alternative key.
+    The trial's location key matches a site's key, its municipality key, or its alternative key. Keys are made distinct on both sides,
+    and a trial with several keys takes a site by the smallest that both have, so each pair comes out once and is never shuffled.
     """
     ways = [sites.select(F.col(k).alias("location_key"), "site_id") for k in ("site_key", "municipality_key", "other_key")]
-    any_way = ways[0].unionAll(ways[1]).unionAll(ways[2]).where("location_key IS NOT NULL AND location_key <> ''").distinct()
-    return trials.select("trial_id", "location_key").join(any_way, "location_key").select("trial_id", "site_id").distinct()
+    any_way = ways[0].unionAll(ways[1]).unionAll(ways[2]).where("location_key IS NOT NULL AND location_key <> ''")
+    any_way = any_way.groupBy("site_id").agg(F.collect_set("location_key").alias("site_keys")).select("site_id", "site_keys", F.explode("site_keys").alias("location_key"))
+    asked = trials.where("location_key IS NOT NULL AND location_key <> ''").groupBy("trial_id").agg(F.collect_set("location_key").alias("keys"))
+    asked = asked.select("trial_id", F.when(F.size("keys") > 1, F.col("keys")).alias("several"), F.explode("keys").alias("location_key"))
+    once = F.col("several").isNull() | (F.array_min(F.array_intersect("several", "site_keys")) == F.col("location_key"))
+    return asked.join(any_way, "location_key").where(once).select("trial_id", "site_id")
 
 
 def derived_yields(trials: DataFrame, group: str, min_pairs: int = 20) -> DataFrame:

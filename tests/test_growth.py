@@ -68,3 +68,12 @@ def test_parcels_and_sites_of_one_place_meet_once(spark):
     rows = K.parcel_environment(parcels, sites)
     assert {(r.climate_class, r.site_km) for r in rows.collect()} == {("Csa", 27.799)} and rows.count() == 300
     assert join_rows(rows) < 1000
+
+
+def test_links_are_distinct_without_a_shuffle_of_them(spark):
+    trials = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "b"), (3, ""), (4, None)], "trial_id long, location_key string")
+    sites = spark.createDataFrame([(10, "a", "b", "b"), (11, "a", None, ""), (10, "c", "b", None)], "site_id long, site_key string, municipality_key string, other_key string")
+    rows = H.link_trials(trials, sites)
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, 10), (1, 11), (2, 10)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]  # nothing is grouped above the join
