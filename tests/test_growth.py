@@ -8,6 +8,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
+from harrow.operators import asof as L
 from harrow.operators import crops as K
 from harrow.operators import hygiene as H
 from harrow.operators import nearby as N
@@ -153,3 +154,24 @@ def test_folds_of_one_environment_share_their_sums(spark, monkeypatch):
         assert r.median_abs_error == pytest.approx(median(errors), abs=0.06) and r.top3_overlap == pytest.approx(sum(hits) / len(hits), abs=6e-4)
     assert tables["near"][0].count() <= 2 * 50 and tables["environment-sums"][0].count() <= 2 * 5  # before: 50 for each of the 35 folds
     assert tables["left"][0].where("thin").count() > 0
+
+
+def shuffles(df) -> int:  # noqa: ANN001
+    """Exchanges by hash in a plan before it is run."""
+    return df._jdf.queryExecution().sparkPlan().toString().count("Window [") + df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [")
+
+
+def test_only_hot_keys_are_dealt_by_stretches(spark):
+    moments = spark.createDataFrame([(i, "hot" if i % 4 else "cold" if i % 8 else None, None if i % 9 == 0 else i * 86400 * 3) for i in range(60)], "moment_id long, key string, s long")
+    known = spark.createDataFrame([(i, "hot" if i % 3 else "cold", i * 86400 * 7 - (i % 2) * 86400, i / 2) for i in range(40)], "row_id long, key string, s long, value double")
+    moments, known = (t.select("*", F.timestamp_seconds("s").alias("ts")).drop("s") for t in (moments, known))
+    all_known = [r for r in known.collect()]
+    expected = {}
+    for m in moments.collect():
+        before = [(r.ts, r.row_id, r.value) for r in all_known if m.key and m.ts and r.key == m.key and r.ts < m.ts]
+        expected[m.moment_id] = max(before) if before else None
+    for hot_rows in (1, 50, 1000):  # all, one, none
+        rows = L.last_before(moments, known, ["key"], "ts", "row_id", hot_rows=hot_rows)
+        assert rows.columns == ["moment_id", "key", "ts", "last"] and rows.select("last.*").columns == known.columns
+        assert {r.moment_id: r.last and (r.last.ts, r.last.row_id, r.last.value) for r in rows.collect()} == expected
+    assert shuffles(rows) == 1  # no key is hot: one window by key, nothing is grouped or carried (before: two windows and two groupings)
