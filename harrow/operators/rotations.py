@@ -55,36 +55,46 @@ def best_rotations(parcels: DataFrame, figures: DataFrame, successors: DataFrame
     nitrogen is never below zero: what a year needs beyond it costs ``shortage_cost`` a kilogram. A parcel for which a year has no
     candidate has no plan, nor has one of a zone without figures.
 
-    Of partial plans that are in the same state (the last ``gap`` crops and the nitrogen) only the best goes on, and of a parcel's
+    Of partial plans that are in the same state (the last ``gap`` crops and the nitrogen) only the best goes on, and of a question's
     states the ``beam`` best by score, ties by their crops. One is the greedy plan; a beam as wide as there are states
-    is exact. So a parcel has at most ``beam`` rows a year, and each year is one join with the arcs, which grow with the zones alone.
+    is exact. So a question has at most ``beam`` rows a year, and each year is one join with the arcs, which grow with the zones alone.
+
+    A question is all that counts for a parcel: zone, previous crop, cover_n and locks. Parcels with the same one have it searched once;
+    where all differ, there are as many searches as parcels.
     """
     if not 2 <= years <= 6:
         raise ValueError("a rotation has two to six years")
-    steps = written(arcs(figures, successors, parcels.select("zone", "previous"), yearly_weights(weights, years)), "arcs")
-    fixed = locked.join(parcels.select("parcel_id", "zone"), "parcel_id").join(figures.select("zone", "crop", "n_fixation", "n_requirement"), ["zone", "crop"])
-    fixed = written(fixed.select("parcel_id", "year_no", F.col("crop").alias("l_crop"), F.lit(0.0).alias("l_score"), F.col("n_fixation").alias("l_fix"), F.col("n_requirement").alias("l_need")), "locks")
+    locks = locked.where(F.col("year_no").between(1, years)).groupBy("parcel_id").agg(F.sort_array(F.collect_set(F.struct("year_no", "crop"))).alias("locks"))
+    asked = parcels.join(locks, "parcel_id", "left").select("parcel_id", "zone", "previous", F.coalesce("cover_n", F.lit(0.0)).alias("cover_n"), F.coalesce("locks", F.array().cast(locks.schema["locks"].dataType)).alias("locks"))
+    question = ["zone", "previous", "cover_n", "locks"]
+    questions = written(asked.select(*question).distinct().withColumn("question_id", F.monotonically_increasing_id()), "questions")
+    steps = written(arcs(figures, successors, questions.select("zone", "previous"), yearly_weights(weights, years)), "arcs")
+    fixed = questions.select("question_id", "zone", F.inline("locks")).join(figures.select("zone", "crop", "n_fixation", "n_requirement"), ["zone", "crop"])
+    fixed = written(fixed.select("question_id", "year_no", F.col("crop").alias("l_crop"), F.lit(0.0).alias("l_score"), F.col("n_fixation").alias("l_fix"), F.col("n_requirement").alias("l_need")), "locks")
     none = F.array().cast("array<string>")
-    plans = parcels.select(
-        "parcel_id", "zone", F.coalesce("cover_n", F.lit(0.0)).alias("cover_n"), "previous", none.alias("crops"), F.array().cast("array<double>").alias("scores"),
+    plans = questions.select(
+        "question_id", "zone", "cover_n", "previous", none.alias("crops"), F.array().cast("array<double>").alias("scores"),
         F.lit(0.0).alias("score"), F.lit(start_n).alias("soil_n"),
     )
     for year in range(1, years + 1):
         lock = fixed.where(F.col("year_no") == year).drop("year_no")
-        free = plans.join(lock.select("parcel_id"), "parcel_id", "left_anti").alias("p").join(
+        free = plans.join(lock.select("question_id"), "question_id", "left_anti").alias("p").join(
             steps.where(F.col("year_no") == year).alias("a"), (F.col("p.zone") == F.col("a.zone")) & F.col("p.previous").eqNullSafe(F.col("a.previous"))
         ).where(~F.array_contains(F.slice(F.reverse("crops"), 1, gap), F.col("a.crop"))).select("p.*", "a.crop", F.col("a.score").alias("gain"), "a.n_fixation", "a.n_requirement")
-        held = plans.join(lock, "parcel_id").select(*plans.columns, F.col("l_crop").alias("crop"), F.col("l_score").alias("gain"), F.col("l_fix").alias("n_fixation"), F.col("l_need").alias("n_requirement"))
+        held = plans.join(lock, "question_id").select(*plans.columns, F.col("l_crop").alias("crop"), F.col("l_score").alias("gain"), F.col("l_fix").alias("n_fixation"), F.col("l_need").alias("n_requirement"))
         left = F.col("soil_n") + F.col("n_fixation") - F.col("n_requirement")
-        moved = free.unionByName(held).select(
-            "parcel_id", "zone", "cover_n", F.col("crop").alias("previous"), F.array_append("crops", F.col("crop")).alias("crops"), F.array_append("scores", F.col("gain")).alias("scores"),
+        moved = free.unionByName(held).repartition("question_id").select(  # lies by question for both windows
+            "question_id", "zone", "cover_n", F.col("crop").alias("previous"), F.array_append("crops", F.col("crop")).alias("crops"), F.array_append("scores", F.col("gain")).alias("scores"),
             F.round(F.col("score") + F.col("gain") - F.lit(shortage_cost) * F.greatest(F.lit(0.0), -left), 6).alias("score"),
             F.round(F.greatest(F.lit(0.0), left) + F.col("cover_n"), 3).alias("soil_n"),
         )
-        state = Window.partitionBy("parcel_id", F.slice(F.reverse("crops"), 1, max(gap, 1)), "soil_n").orderBy(F.desc("score"), "crops")
-        best = Window.partitionBy("parcel_id").orderBy(F.desc("score"), "crops")
+        state = Window.partitionBy("question_id", F.slice(F.reverse("crops"), 1, max(gap, 1)), "soil_n").orderBy(F.desc("score"), "crops")
+        best = Window.partitionBy("question_id").orderBy(F.desc("score"), "crops")
         moved = moved.withColumn("r", F.row_number().over(state)).where("r = 1") if beam > 1 else moved
         plans = moved.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).drop("r")
         plans = written(plans, "plans") if beam > 1 and year < years else plans
+    found = written(plans.select("question_id", "crops", "scores", "score", "soil_n").join(questions, "question_id").drop("question_id"), "rotations")
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"f.{c}")) for c in question]
     final = Window.partitionBy("parcel_id").orderBy(F.desc("score"), "crops")
-    return plans.withColumn("r", F.row_number().over(final)).where("r = 1").select("parcel_id", "crops", "scores", "score", "soil_n")
+    rows = asked.alias("p").join(found.alias("f"), same).select("parcel_id", "crops", "scores", "score", "soil_n")
+    return rows.withColumn("r", F.row_number().over(final)).where("r = 1").drop("r")

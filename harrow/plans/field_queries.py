@@ -176,10 +176,12 @@ def catalogue_after_feed(spark: SparkSession, d: str) -> DataFrame:
     return after.select("uri", "deleted", "row.*", "version")
 
 
+#: What a zone offers, from its mean yields y (zone, crop, yield).
+FIGURES_OF_YIELDS = """SELECT zone, crop, yield * CASE crop WHEN 'PROMO' THEN 0.22 WHEN 'SMALL' THEN 0.12 ELSE 0.09 END AS protein, CASE crop WHEN 'LARGE' THEN 3.1 WHEN 'STANDARD' THEN 2.4 ELSE 1.7 END AS carbon,
+        CASE crop WHEN 'PROMO' THEN 80.0 WHEN 'MEDIUM' THEN 25.0 ELSE 0.0 END AS n_fixation, yield * CASE crop WHEN 'ECONOMY' THEN 0.31 WHEN 'LARGE' THEN 0.26 ELSE 0.2 END - 420.0 AS margin, yield, yield / 40 AS n_requirement FROM y"""
 ZONE_FIGURES = f"""{DOMAIN}, y AS (SELECT climate_class AS zone, crop, round(avg(yield_kg_ha), 1) AS yield FROM (SELECT DISTINCT s.climate_class, v.crop, v.trial_id, v.yield_kg_ha
         FROM variety_trial v JOIN trial_at l ON v.trial_id = l.trial_id JOIN trial_site s ON s.site_id = l.site_id WHERE v.yield_kg_ha IS NOT NULL AND NOT v.derived) t GROUP BY climate_class, crop)
-    SELECT zone, crop, yield * CASE crop WHEN 'PROMO' THEN 0.22 WHEN 'SMALL' THEN 0.12 ELSE 0.09 END AS protein, CASE crop WHEN 'LARGE' THEN 3.1 WHEN 'STANDARD' THEN 2.4 ELSE 1.7 END AS carbon,
-        CASE crop WHEN 'PROMO' THEN 80.0 WHEN 'MEDIUM' THEN 25.0 ELSE 0.0 END AS n_fixation, yield * CASE crop WHEN 'ECONOMY' THEN 0.31 WHEN 'LARGE' THEN 0.26 ELSE 0.2 END - 420.0 AS margin, yield, yield / 40 AS n_requirement FROM y"""
+    {FIGURES_OF_YIELDS}"""
 ZONE_PARCEL = "SELECT c_custkey AS parcel_id, r_name AS zone, CASE c_custkey % 7 WHEN 0 THEN 'STANDARD' WHEN 1 THEN 'SMALL' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'LARGE' WHEN 4 THEN 'PROMO' WHEN 5 THEN 'FALLOW' END AS previous, CASE WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE 12.5 END AS cover_n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 LOCKED = "SELECT c_custkey AS parcel_id, 2 AS year_no, 'SMALL' AS crop FROM customer WHERE c_mktsegment = 'BUILDING'"
 FOLLOWS = [("STANDARD", "PROMO"), ("STANDARD", "SMALL"), ("STANDARD", "LARGE"), ("SMALL", "MEDIUM"), ("SMALL", "STANDARD"), ("MEDIUM", "LARGE"), ("MEDIUM", "ECONOMY"), ("LARGE", "PROMO"), ("LARGE", "SMALL"), ("PROMO", "STANDARD"), ("PROMO", "ECONOMY")]
@@ -208,7 +210,11 @@ def _greedy_sql() -> str:
 def _rotations(spark: SparkSession, d: str, **how: float) -> DataFrame:
     crops = "previous string, crop string"
     weights = spark.createDataFrame(PRIORITIES, "year_no int, " + ", ".join(f"{x} double" for x in R.DIMENSIONS))
-    figures = R.written(plain(spark, d, ZONE_FIGURES), "zone-figures")
+    trials = variety_trials(spark, d)
+    measured = trials.where("yield_kg_ha IS NOT NULL AND NOT derived").select("trial_id", "crop", "yield_kg_ha")
+    placed = V.in_zones(measured, trial_links(trials), trial_sites(spark, d).select("site_id", F.col("climate_class").alias("zone")))
+    yields = placed.groupBy("zone", "crop").agg(F.round(F.avg("yield_kg_ha"), 1).alias("yield"))
+    figures = R.written(spark.sql(FIGURES_OF_YIELDS.replace("FROM y", "FROM {y}"), y=yields), "zone-figures")
     return R.best_rotations(plain(spark, d, ZONE_PARCEL), figures, spark.createDataFrame(FOLLOWS, crops), weights, plain(spark, d, LOCKED), **how)
 
 

@@ -13,6 +13,8 @@ from harrow.operators import crops as K
 from harrow.operators import hygiene as H
 from harrow.operators import nearby as N
 from harrow.operators import prospects as P
+from harrow.operators import rotations as R
+from harrow.operators import varieties as V
 from harrow.plans import backtest as T
 from harrow.sources.scratch import written
 
@@ -193,3 +195,42 @@ def test_only_records_at_near_sites_are_read_on(spark, monkeypatch):
     (found,) = N.rank_for_targets(asked, near, trials, links, 2026).collect()
     assert (found.trial_count, found.scores, found.mean_yield) == (2, {"rust": 6.0}, round((1005 / 1.5 + 1006 / 2) / (1 / 1.5 + 1 / 2), 1))
     assert tables["records"][0].count() == 2 and tables["trial-groups"][0].count() == 2
+
+
+def test_parcels_of_one_question_are_searched_once(spark, monkeypatch):
+    tables = {}
+
+    def kept(df, name):  # noqa: ANN001, ANN202
+        tables.setdefault(name, []).append(written(df, name))
+        return tables[name][-1]
+
+    monkeypatch.setattr(R, "written", kept)
+    figures = spark.createDataFrame([("A", c, 10.0 + i, 1.0, 0.0, 5.0, 4.0, 3.0) for i, c in enumerate(("corn", "oats", "rape", "rye"))], "zone string, crop string, " + ", ".join(f"{x} double" for x in R.DIMENSIONS) + ", n_requirement double")
+    parcels = spark.createDataFrame([(i, "A", "rye" if i % 2 else None, 0.0 if i % 3 else None) for i in range(300)], "parcel_id long, zone string, previous string, cover_n double")
+    locked = spark.createDataFrame([(i, y, "corn") for i in range(0, 300, 2) for y in (3, 3, 9)], "parcel_id long, year_no int, crop string")
+    none = spark.createDataFrame([], "previous string, crop string"), spark.createDataFrame([], "year_no int, " + ", ".join(f"{x} double" for x in R.DIMENSIONS))
+    rows = {r.parcel_id: (r.crops, r.score) for r in R.best_rotations(parcels, figures, *none, locked, years=4, beam=50, gap=2).collect()}
+    assert len(rows) == 300 and len({(tuple(c), s) for c, s in rows.values()}) == 2
+    assert all(c[2] == "corn" and c[3] not in c[1:3] for i, (c, _) in rows.items() if i % 2 == 0)
+    assert all(c[0] != "rye" and len(set(c[:3])) == len(set(c[1:])) == 3 for i, (c, _) in rows.items() if i % 2)
+    assert max(t.count() for t in tables["plans"]) <= 2 * 24  # before: those of 300 parcels
+
+
+def test_records_meet_their_zones_once(spark):
+    zones = spark.createDataFrame([(1, "A"), (2, "A"), (3, "B"), (4, None)], "site_id long, zone string")
+    links = spark.createDataFrame([("t", 1), ("t", 2), ("t", 3), ("u", 3), ("v", 9), ("w", 4)], "trial_id string, site_id long").repartition("trial_id").distinct()
+    records = spark.createDataFrame([("t", 1.0), ("t", 1.0), ("t", None), ("u", 5.0), ("v", 5.0), ("w", 7.0)], "trial_id string, y double")
+    rows = V.in_zones(records, links, zones)
+    assert Counter(tuple(r) for r in rows.collect()) == Counter([("t", y, z) for y in (1.0, None) for z in "AB"] + [("u", 5.0, "B"), ("w", 7.0, None)])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan[plan.index("Initial Plan") :].count("Exchange hashpartitioning") == 2 if "Initial Plan" in plan else plan.count("Exchange hashpartitioning") == 2
+
+
+def test_zones_figures_are_from_one_scan_of_links(spark, sf, monkeypatch):
+    from harrow.plans import field_queries as Q
+
+    tables = {}
+    monkeypatch.setattr(R, "written", lambda df, name: tables.setdefault(name, df) and written(df, name))
+    Q.rotation_greedy(spark, sf)
+    plan = tables["zone-figures"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey") and plan.count("Union") == 0  # before: links from two scans, united
