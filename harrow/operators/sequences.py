@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from harrow.functions import agronomy as A
 from harrow.operators.crops import n_fixation_estimate, sequence_dates
 from harrow.operators.decisions import cover_crops
-from harrow.operators.nearby import rank_for_targets, written
-from harrow.operators.varieties import top_per_group
+from harrow.operators.varieties import in_zones, top_per_group
+from harrow.sources.scratch import written
 
 #: What a degree-day sum is taken to be where it isn't known.
 COVER_GDD, PROTEIN_GDD = 1250.0, 1400.0
@@ -33,13 +33,21 @@ def zone_covers(covers: DataFrame, zones: DataFrame, most: int = 4) -> DataFrame
     return first.groupBy("climate_class", "management").agg(F.array_sort(F.collect_list(choice)).alias("choices"))
 
 
-def zone_varieties(sites: DataFrame, trials: DataFrame, links: DataFrame, crops: DataFrame, now_year: int, most: int = 5) -> DataFrame:
-    """climate_class, crop, varieties: the ``most`` best varieties (variety, mean_yield) of each crop over a zone's sites."""
-    near = sites.where("climate_class IS NOT NULL").select(F.col("climate_class").alias("target_id"), "site_id", F.lit(None).cast("double").alias("distance"))
-    asked = near.select("target_id").distinct().join(crops.select("crop").distinct(), how="cross")  # zones by crops: the result's own keys
-    ranked = rank_for_targets(asked, near, trials, links, now_year, top_n=most)
+def zone_varieties(sites: DataFrame, trials: DataFrame, links: DataFrame, crops: DataFrame, now_year: int, most: int = 5, half_life: float = 8.0) -> DataFrame:
+    """climate_class, crop, varieties: the ``most`` best varieties (variety, mean_yield) of each crop over a zone's sites.
+
+    Sites of a zone weigh the same, so a record counts once for each zone its trial has sites in; as in ``rank_for_targets``, records of
+    one trial that differ in their scores are two. They are added up where they lie, so only sums by zone, crop and variety are moved on.
+    """
+    zones = sites.where("climate_class IS NOT NULL").select("site_id", "climate_class")
+    records = trials.dropna(subset=["crop", "variety_norm"]).select("trial_id", "crop", F.col("variety_norm").alias("variety"), "year", "yield_kg_ha", F.to_json("scores").alias("scores"))
+    age, known = F.lit(now_year) - F.col("year"), F.col("yield_kg_ha")
+    recency = F.when(age > 0, F.pow(F.lit(0.5), age / half_life)).otherwise(1.0)
+    mean = F.try_divide(F.sum(recency * known), F.nullif(F.sum(F.when(known.isNotNull(), recency)), F.lit(0.0)))
+    rows = in_zones(records, links, zones).groupBy("climate_class", "crop", "variety").agg(F.round(F.round(mean, 6), 1).alias("mean_yield"))
+    ranked = top_per_group(written(rows, "zone-varieties").join(crops.select("crop"), "crop", "left_semi"), ["climate_class", "crop"], [F.col("mean_yield").desc_nulls_last(), F.col("variety")], most)
     found = F.array_sort(F.collect_list(F.struct("rank", "variety", "mean_yield")))
-    return ranked.where("mean_yield IS NOT NULL").groupBy(F.col("target_id").alias("climate_class"), "crop").agg(found.alias("varieties"))
+    return ranked.where("mean_yield IS NOT NULL").groupBy("climate_class", "crop").agg(found.alias("varieties"))
 
 
 def regenerative_sequences(parcels: DataFrame, sites: DataFrame, covers: DataFrame, proteins: DataFrame, trials: DataFrame, links: DataFrame, now_year: int, year: int = 2026) -> DataFrame:

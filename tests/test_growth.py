@@ -14,6 +14,7 @@ from harrow.operators import hygiene as H
 from harrow.operators import nearby as N
 from harrow.operators import prospects as P
 from harrow.operators import rotations as R
+from harrow.operators import sequences as Q
 from harrow.operators import varieties as V
 from harrow.plans import backtest as T
 from harrow.sources.scratch import written
@@ -227,10 +228,42 @@ def test_records_meet_their_zones_once(spark):
 
 
 def test_zones_figures_are_from_one_scan_of_links(spark, sf, monkeypatch):
-    from harrow.plans import field_queries as Q
+    from harrow.plans import field_queries
 
     tables = {}
     monkeypatch.setattr(R, "written", lambda df, name: tables.setdefault(name, df) and written(df, name))
-    Q.rotation_greedy(spark, sf)
+    field_queries.rotation_greedy(spark, sf)
     plan = tables["zone-figures"]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_orderkey") and plan.count("Union") == 0  # before: links from two scans, united
+
+
+def test_varieties_of_zones_are_summed_where_records_lie(spark, monkeypatch):
+    tables = {}
+
+    def kept(df, name):  # noqa: ANN001, ANN202
+        tables.setdefault(name, []).append(df)
+        return written(df, name)
+
+    monkeypatch.setattr(N, "written", kept)
+    monkeypatch.setattr(Q, "written", kept)
+    zone = lambda s: None if s == 0 else "AB"[s % 2]
+    sites = spark.createDataFrame([(s, zone(s)) for s in range(60)], "site_id long, climate_class string")
+    made = [(f"t{i}", "oats", f"V{i % 7}", 2010 + i % 20, None if i % 11 == 0 else 1000.0 + 13 * i, 1.0, (i % 60, (i * 7 + i % 2) % 60)) for i in range(400)]
+    made += [("t5", "oats", "V5", 2015, 1065.0, 1.0, (5,)), ("t5", "oats", "V5", 2015, 1065.0, 2.0, (5,)), ("x", None, "V0", 2026, 9e9, 1.0, (1,)), ("y", "rye", "V0", 2026, 9e9, 1.0, (1,)), ("z", "pea", "none", 2026, None, 1.0, (2,))]
+    trials = spark.createDataFrame([(t, c, v, y, kg, {"rust": r}) for t, c, v, y, kg, r, _ in made], "trial_id string, crop string, variety_norm string, year int, yield_kg_ha double, scores map<string,double>")
+    links = spark.createDataFrame([(t, s) for t, *_, at in made for s in at], "trial_id string, site_id long")
+    crops = spark.createDataFrame([("oats",), ("oats",), ("pea",)], "crop string")
+    sums, at = {}, {}
+    for t, *_, places in made:
+        at.setdefault(t, set()).update(z for z in map(zone, places) if z)
+    for t, c, v, y, kg, _ in {m[:6] for m in made}:
+        for z in at[t]:
+            w = 0.5 ** (max(0, 2026 - y) / 8)
+            s = sums.setdefault((z, c, v), [0.0, 0.0])
+            s[0], s[1] = s[0] + w * (kg or 0.0), s[1] + w * (kg is not None)
+    got = {(r.climate_class, r.crop): [(x.rank, x.variety, x.mean_yield) for x in r.varieties] for r in Q.zone_varieties(sites, trials, links, crops, 2026).collect()}
+    assert got.keys() == {("A", "oats"), ("B", "oats")}
+    for (z, c), best in got.items():
+        means = sorted((-round(round(a / b, 6), 1), v) for (zz, cc, v), (a, b) in sums.items() if (zz, cc) == (z, c) and b)
+        assert best == [(n, v, -m) for n, (m, v) in enumerate(means[:5], 1)]
+    assert sum(t.count() for ts in tables.values() for t in ts) <= 2 * 9  # before: every record and its sites were written, and sums of each set of sites
