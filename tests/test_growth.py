@@ -51,6 +51,18 @@ def test_equal_values_of_a_species_are_met_as_one(spark):
     assert join_rows(rows) < 5000 < rows.count()
 
 
+def test_copies_of_a_value_are_made_in_pieces_and_by_many_tasks(spark):
+    asked = spark.createDataFrame([(i, "oats", "early" if i == 2 else None) for i in range(3)], "ask_id long, name string, stage string")
+    species = spark.createDataFrame([(1, "oats", "Avena sativa")], SPECIES)
+    values = spark.range(50_007).selectExpr("1L AS crop_id", "IF(id < 50000, 'early', NULL) AS stage", "IF(id < 50000, 0.5D, CAST(id AS DOUBLE)) AS n_uptake")
+    rows = P.by_species(asked, species, values, ["stage"], any_case=True)
+    assert rows.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
+    sums = rows.groupBy("ask_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_uptake").alias("s"), F.countDistinct("stage", "n_uptake").alias("d"), F.count_if(F.col("stage").isNull()).alias("null"))
+    whole = (50_007, 25_000.0 + sum(range(50_000, 50_007)), 1, 7)  # values without a stage are met if none is asked for
+    assert {tuple(r) for r in sums.collect()} == {(0, *whole), (1, *whole), (2, 50_000, 25_000.0, 1, 0)}
+    assert 3 * 50 <= join_rows(rows) < 1000  # three who ask meet fifty pieces each, not one value of 50,000 copies
+
+
 def test_first_value_is_found_before_names_meet_it(spark):
     asked = spark.createDataFrame([(i, "oats") for i in range(100)] + [(100, None), (101, "rye")], "ask_id long, name string")
     species = spark.createDataFrame([(1, "oats", "a"), (2, "oats", "b")], SPECIES)
